@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from quakeframe.llm import op1_divergence
+from quakeframe.llm import op1_divergence, op6_pseudonyms, op8_mixing
 
-_ALL = {"op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL)}
+_ALL = {
+    "op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL),
+    "op6_pseudonyms": (op6_pseudonyms.op6_pseudonyms, op6_pseudonyms.SQL),
+    "op8_mixing": (op8_mixing.op8_mixing, op8_mixing.SQL),
+}
 
 
 def queries() -> dict:
