@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quakeframe.llm import op1_divergence, op6_pseudonyms, op8_mixing
+from quakeframe.llm import op1_divergence, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
 
 _ALL = {
     "op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL),
     "op6_pseudonyms": (op6_pseudonyms.op6_pseudonyms, op6_pseudonyms.SQL),
+    "op7_packing": (op7_packing.op7_packing, op7_packing.SQL),
     "op8_mixing": (op8_mixing.op8_mixing, op8_mixing.SQL),
+    "op9_reshard": (op9_reshard.op9_reshard, op9_reshard.SQL),
 }
 
 
