@@ -79,6 +79,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     """One row per piece: the id, piece, start, length and ids_crc32."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    common.ship(docs.sparkSession)
     df = docs.select(doc_id, F.col(text).cast("string").alias("_pack_text"))
     kind = df.schema[0].dataType
     schema = pa.schema([("_id", to_arrow_type(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
