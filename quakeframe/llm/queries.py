@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quakeframe.llm import op1_divergence, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
+from quakeframe.llm import op1_divergence, op10_topk, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
 
 _ALL = {
     "op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL),
+    "op4_licenses": (op4_licenses.op4_licenses, op4_licenses.SQL),
+    "op5_langid": (op5_langid.op5_langid, op5_langid.SQL),
     "op6_pseudonyms": (op6_pseudonyms.op6_pseudonyms, op6_pseudonyms.SQL),
     "op7_packing": (op7_packing.op7_packing, op7_packing.SQL),
     "op8_mixing": (op8_mixing.op8_mixing, op8_mixing.SQL),
     "op9_reshard": (op9_reshard.op9_reshard, op9_reshard.SQL),
+    "op10_topk": (op10_topk.op10_topk, op10_topk.SQL),
 }
 
 
