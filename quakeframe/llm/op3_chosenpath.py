@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.llm import common
@@ -259,12 +259,19 @@ def _buckets(sketches: DataFrame) -> DataFrame:
     return out.join(s, out["id"] == s["_i"]).drop("_i")
 
 
+def _digest(docs: DataFrame, text: str) -> Column:
+    return F.md5(F.encode(common.text_of(docs, text), "UTF-8"))
+
+
+def _spare(digest: Column) -> Column:
+    """A negative id for a text whose rows have none."""
+    return -1 - F.pmod(F.xxhash64(digest), F.lit(1 << 62))
+
+
 def classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A written table with the digest of each row's text and its class: _id, _digest, _class (the smallest id of an equal text), _copies."""
-    digest = F.md5(F.encode(common.text_of(docs, text), "UTF-8"))
-    rows = common.written(docs.select(docs[doc_id].cast("long").alias("_id"), digest.alias("_digest")), "op3-digests")
-    spare = -1 - F.pmod(F.xxhash64("_digest"), F.lit(1 << 62))
-    c = rows.groupBy("_digest").agg(F.coalesce(F.min("_id"), F.min(spare)).alias("_class"), F.count(F.lit(1)).alias("_copies"))
+    rows = common.written(docs.select(docs[doc_id].cast("long").alias("_id"), _digest(docs, text).alias("_digest")), "op3-digests")
+    c = rows.groupBy("_digest").agg(F.coalesce(F.min("_id"), F.min(_spare(F.col("_digest")))).alias("_class"), F.count(F.lit(1)).alias("_copies"))
     c = c.withColumnRenamed("_digest", "_d")
     return common.written(rows.join(c, rows["_digest"] == c["_d"]).drop("_d"), "op3-classes")
 
@@ -294,11 +301,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group stays: the one with the smallest id, of rows with that id and text one; all columns of `docs`."""
-    keep = join(docs, doc_id, text).filter(F.col("_id") == F.col("_group")).select("_id", "_digest").distinct()
-    digest = F.md5(F.encode(common.text_of(docs, text), "UTF-8"))
-    d = docs.withColumn("_this", digest)
-    return d.join(keep, (d[doc_id].cast("long") == keep["_id"]) & (d["_this"] == keep["_digest"]), "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
+    """One document of each group stays, the one with the smallest id, with all columns of `docs`.
+
+    Rows are known by id and text. Only if some rows agree in both are whole rows grouped to keep one of each.
+    """
+    key = lambda i, d: F.coalesce(i, _spare(d))
+    member = join(docs, doc_id, text).select("_id", "_digest", key(F.col("_id"), F.col("_digest")).alias("_key"), "_group")
+    gone = common.written(member.filter(F.col("_key") != F.col("_group")).select("_key", "_digest").distinct(), "op3-gone")
+    repeated = member.filter(F.col("_key") == F.col("_group")).groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    df = docs.withColumn("_this", _digest(docs, text)).withColumn("_own", key(docs[doc_id].cast("long"), F.col("_this")))
+    left = df.join(gone, (df["_own"] == gone["_key"]) & (df["_this"] == gone["_digest"]), "left_anti")
+    if not repeated.isEmpty():
+        left = left.dropDuplicates(["_own", "_this"])
+    return left.select(*docs.columns)
 
 
 def op3_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quakeframe.llm import op1_divergence, op10_topk, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
 
 _ALL = {
@@ -13,6 +14,7 @@ _ALL = {
     "op7_packing": (op7_packing.op7_packing, op7_packing.SQL),
     "op8_mixing": (op8_mixing.op8_mixing, op8_mixing.SQL),
     "op9_reshard": (op9_reshard.op9_reshard, op9_reshard.SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_topk": (op10_topk.op10_topk, op10_topk.SQL),
 }
 
