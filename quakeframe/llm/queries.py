@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quakeframe.llm import op1_divergence, op10_topk, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
+from quakeframe.llm import op1_divergence, op10_topk, op2_suffixes, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
 
 _ALL = {
     "op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL),
+    "op2_suffixes": (op2_suffixes.op2_suffixes, op2_suffixes.SQL),
     "op3_chosenpath": (op3_chosenpath.op3_chosenpath, op3_chosenpath.SQL),
     "op4_licenses": (op4_licenses.op4_licenses, op4_licenses.SQL),
     "op5_langid": (op5_langid.op5_langid, op5_langid.SQL),
