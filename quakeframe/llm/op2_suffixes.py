@@ -102,7 +102,7 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, {}
     for _ in range(n):
-        name, kind = raw[at : at + 16].rstrip(b"\0").decode().split("|")
+        name, kind = raw[at : at + 16].rstrip(b"\0").decode().split("|", 1)
         size = int(np.frombuffer(raw, np.int64, 1, at + 16)[0])
         kind = np.dtype(kind)
         body = np.frombuffer(raw, np.uint8, size * kind.itemsize, at + 24)
@@ -283,12 +283,12 @@ def later_windows(order: dict[str, np.ndarray], known: np.ndarray) -> np.ndarray
     n = len(known)
     x0, x1 = order["x0"].astype(np.int64), order["x1"].astype(np.int64)
     out = np.zeros((n, WIDTH), bool)
-    h, power = np.zeros(n, np.uint64), np.uint64(1)
+    h, power = np.zeros(n, np.uint64), 1
     rank = order["rank"]
     for x in range(WIDTH):
         if x:
-            h = h + order["left"][:, x - 1].astype(np.uint64) * power
-            power = power * np.uint64(_BASE)
+            h = h + order["left"][:, x - 1].astype(np.uint64) * np.uint64(power)
+            power = power * _BASE % (1 << 64)
         group = np.cumsum(known < SPAN - x)
         own = np.flatnonzero((x0 <= x) & (x <= x1))
         own = own[np.bincount(group[own], minlength=n + 1)[group[own]] > 1]
