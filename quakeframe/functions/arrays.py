@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once for the row, not once for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mean(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
@@ -24,8 +29,7 @@ def peak(x: Column) -> Column:
 
 def normalise(x: Column, least: float = 1e-4) -> Column:
     """x over its largest absolute value; zeros where that is `least` at most."""
-    top = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    return F.transform(x, lambda v: F.when(top > least, v / top).otherwise(F.lit(0.0)))
+    return let(peak(x), lambda top: F.transform(x, lambda v: F.when(top > least, v / top).otherwise(F.lit(0.0))))
 
 
 def pad_edges(x: Column, before: Column | int, after: Column | int) -> Column:
@@ -40,7 +44,7 @@ def padding(npts: Column, window: int, slide: int, pad_start: bool) -> dict[str,
     start = F.lit(edge if pad_start else 0)
     rest = F.pmod(npts + start - window, F.lit(slide))
     end = slide - rest
-    end = F.when(end < edge, end + slide).otherwise(end) if pad_start else end
+    end = F.when(end < edge, end + slide).otherwise(end)
     return {"total": npts + start + end, "start_pad": start, "end_pad": end}
 
 
@@ -56,6 +60,14 @@ def cut(x: Column, first: Column, n: int) -> Column:
     return F.when(ok, F.slice(x, F.greatest(first, F.lit(0)) + 1, F.lit(n)))
 
 
+def cut_padded(x: Column, first: Column, n: int) -> Column:
+    """Always n samples from `first` on, zeros where they lie outside x."""
+    before = F.least(F.lit(n), F.greatest(-first, F.lit(0)))
+    size = F.greatest(F.lit(0), F.least(F.size(x) - F.greatest(first, F.lit(0)), n - before))
+    inside = F.slice(x, F.greatest(first, F.lit(0)) + 1, size)
+    return F.concat(F.array_repeat(F.lit(0.0), before.cast("int")), inside, F.array_repeat(F.lit(0.0), (n - before - size).cast("int")))
+
+
 def sample_index(time: Column, start: Column, dt: float) -> Column:
     """Index of the sample nearest to a time, half up, truncated toward zero."""
     return ((time - start) / dt + 0.5).cast("int")
@@ -65,7 +77,8 @@ def boxcar(n: Column | int, centre: Column, width: Column) -> Column:
     """0/1 mask of a width around a centre; all 0 for a negative centre."""
     size = F.lit(n) if isinstance(n, int) else n
     half = F.floor(width / 2)
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when((centre >= 0) & (i >= centre - half) & (i <= centre + half), 1).otherwise(0))
+    bounds = F.struct(F.when(centre >= 0, centre - half).otherwise(size).alias("a"), (centre + half).alias("b"))
+    return let(bounds, lambda w: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when((i >= w["a"]) & (i <= w["b"]), 1).otherwise(0)))
 
 
 def boxcar_width(quality: Column, widths: tuple[int, int, int] = (21, 31, 51)) -> Column:
@@ -134,10 +147,11 @@ def random_lag(seed: str, key: Column, copy: Column, most: int) -> Column:
 
 def scaled_pair(x1: Column, x2: Column, m1: Column, m2: Column) -> tuple[Column, Column]:
     """Two events over their largest values and about their means, the smaller one scaled to 10^-|m1 - m2| of the larger."""
-    unit = lambda x: F.transform(x, lambda v: v - mean(x))
-    a, b = unit(normalise(x1, 0.0)), unit(normalise(x2, 0.0))
-    f = F.pow(F.lit(10.0), -F.abs(m1 - m2))
-    return F.when(m1 < m2, F.transform(a, lambda v: v * f)).otherwise(a), F.when(m1 < m2, b).otherwise(F.transform(b, lambda v: v * f))
+    centred = lambda x: let(mean(x), lambda m: F.transform(x, lambda v: v - m))
+    unit = lambda x: let(normalise(x, 0.0), centred)
+    smaller = F.pow(F.lit(10.0), -F.abs(m1 - m2))
+    scaled = lambda x, f: let(f, lambda g: F.transform(x, lambda v: v * g))
+    return scaled(unit(x1), F.when(m1 < m2, smaller).otherwise(1.0)), scaled(unit(x2), F.when(m1 < m2, 1.0).otherwise(smaller))
 
 
 def calibrated_bound(y: Column, std: Column, q: float) -> Column:

@@ -100,7 +100,7 @@ def station_run_range(requests: DataFrame, epochs: DataFrame, keys: list[str]) -
 
 def missing_days(stations: DataFrame, inventory: DataFrame, first: int, last: int, expected: int) -> DataFrame:
     """Station-days of a range without the expected number of files: (station, day, files, error)."""
-    days = stations.select("station", F.explode(F.sequence(F.lit(first), F.lit(last))).cast("long").alias("day"))
+    days = stations.select("station", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("day"))
     have = inventory.groupBy("station", "day").agg(F.count(F.lit(1)).alias("files"))
     df = days.join(have, ["station", "day"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
     return df.filter(F.col("files") != expected).withColumn("error", F.when(F.col("files") == 0, "missing").otherwise("file_error"))

@@ -112,6 +112,37 @@ def processed(df: DataFrame, x: str, low: float = 1.0, high: float = 17.0, rate:
     return df.withColumn(x, run(F.col(x)))
 
 
+def apply_processing(df: DataFrame, x: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows with a user's function of one waveform applied to x."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: np.asarray(function(np.asarray(v, float)), float) if v is not None else None)
+
+    return df.withColumn(x, run(F.col(x)))
+
+
+def cut_pick_windows(picks: DataFrame, traces: DataFrame, keys: list[str], n: int, margin: int) -> DataFrame:
+    """Every pick (`index`) with exactly n samples around it from its station-day's trace, and `margin` more on both sides for processing; zeros beyond the day's edges."""
+    j = picks.join(traces, keys)
+    return j.withColumn("x", arrays.cut_padded(F.col("x"), F.col("index") - n // 2 - margin, n + 2 * margin))
+
+
+def margins_removed(df: DataFrame, x: str, margin: int) -> DataFrame:
+    """x without `margin` samples at both ends."""
+    return df.withColumn(x, F.slice(x, margin + 1, F.size(x) - 2 * margin))
+
+
+def vertical_only(df: DataFrame, comps: dict[str, str]) -> DataFrame:
+    """Rows with their vertical component alone; comps names the columns of e, n and z."""
+    return df.drop(comps["e"], comps["n"])
+
+
+def reordered(df: DataFrame, order: list[str], names: list[str]) -> DataFrame:
+    """Component columns given in one order, named in another: values move, names stay."""
+    return df.withColumns({new: F.col(old) for old, new in zip(order, names, strict=True)})
+
+
 def resample(df: DataFrame, x: str, old: float, new: float) -> DataFrame:
     """x at another sampling rate."""
 
