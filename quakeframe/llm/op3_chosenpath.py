@@ -5,8 +5,9 @@ A set is embedded as T min-hash values; two sets share the value at a sampled pl
 the probability of their Jaccard similarity. In each of RUNS runs every set walks down a
 path of sampled places: sets that share the values met so far share a bucket. A bucket of
 at most BUCKET sets is compared by brute force; a larger one is split again on places
-sampled from its path, up to LEVELS times, and what is large even then (many sets that
-share nearly everything) is compared in pairs of chunks, so nothing is dropped.
+sampled from its path, up to LEVELS times. What is large even then, or what a split would
+not separate (many sets that share nearly everything), is compared in pairs of chunks, so
+nothing is dropped.
 
 Recall: a pair at similarity s meets in a run with probability s^2 at least while buckets
 are small; RUNS = 20 leaves (1 - 0.64)^20 < 1e-8 of the pairs at 0.8 unmet, and
@@ -38,7 +39,7 @@ from quakeframe.llm import common
 from quakeframe.llm.components import components
 
 WORDS, T, RUNS, DEPTH = 5, 64, 20, 2
-BUCKET, CHUNK, LEVELS = 1024, 512, 3
+BUCKET, CHUNK, LEVELS, DENSE = 1024, 512, 3, 0.7
 #: Sketches that agree in this many of T places make candidates: 5 deviations under the mean at similarity 0.8.
 AGREE = 35
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -162,17 +163,24 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest of the candidates in each chunk pair (key, i, j; id, sketch)."""
+    """Edges of a spanning forest of the candidates in each chunk pair (key, i, j; chunk, id, sketch).
+
+    A pair of different chunks adds only what joins the trees that its two chunks have already.
+    """
     a, b = [], []
     for g in _groups(batches, 3):
         if g.num_rows < 2:
             continue
-        ids = g.column("id").to_numpy()
+        ids, chunk = g.column("id").to_numpy(), g.column("chunk").to_numpy()
         s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(-1, T)
         order = np.argsort(ids, kind="stable")
-        ids, s = ids[order], s[order]
-        root = _forest(len(ids), lambda k, rest, s=s: (s[rest] == s[k]).sum(1) >= AGREE)
-        own = np.flatnonzero(root != np.arange(len(ids)))
+        ids, s, chunk = ids[order], s[order], chunk[order]
+        near = lambda k, rest, s=s: (s[rest] == s[k]).sum(1) >= AGREE
+        root, own = _forest(len(ids), near), np.arange(len(ids))
+        if g.column("i")[0].as_py() != g.column("j")[0].as_py():
+            within = _forest(len(ids), lambda k, rest, c=chunk, near=near: near(k, rest) & (c[rest] == c[k]))
+            own = own[within == own]
+        own = own[root[own] != own]
         a.append(ids[own])
         b.append(ids[root[own]])
         if len(a) >= 4096:
@@ -237,25 +245,33 @@ def _chunk_pairs(rows: DataFrame, key: str, size: str) -> DataFrame:
 
 
 def _buckets(sketches: DataFrame) -> DataFrame:
-    """(key, n, id, sketch): the sets of every bucket that is compared, with the bucket's size."""
+    """(key, n, id, sketch): the sets of every bucket that is compared, with the bucket's size.
+
+    A large bucket is split while that separates its sets. Where a child would keep more
+    than DENSE of them they are much alike, and the bucket is compared as it is.
+    """
+    sizes = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "_k")
+    s = sketches.select(F.col("id").alias("_i"), "sketch")
     slim = sketches.select("id", F.explode("keys").alias("key"))
     done = []
     for level in range(LEVELS + 1):
-        sizes = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "_k")
-        met = common.written(slim.join(sizes, slim["key"] == sizes["_k"]).drop("_k"), "op3-met")
-        last = level == LEVELS
-        done.append(met if last else met.filter(F.col("n") <= BUCKET))
+        many = sizes(slim).filter("n > 1")
+        met = common.written(slim.join(many, slim["key"] == many["_k"]).drop("_k"), "op3-met")
         large = met.filter(F.col("n") > BUCKET)
-        if last or large.isEmpty():
+        if level == LEVELS or large.isEmpty():
+            done.append(met)
             break
-        s = sketches.select(F.col("id").alias("_i"), "sketch")
+        done.append(met.filter(F.col("n") <= BUCKET))
         large = large.join(s, large["id"] == s["_i"]).drop("_i")
         child = lambda c: F.xxhash64("key", F.lit(c), F.substring("sketch", (F.pmod(F.xxhash64("key", F.lit(c)), F.lit(T)) * 2 + 1).cast("int"), F.lit(2)))
-        slim = common.written(large.select("id", F.explode(F.array(child(0), child(1))).alias("key")), "op3-split")
+        split = common.written(large.select(F.col("key").alias("parent"), "n", "id", F.explode(F.array(child(0), child(1))).alias("key")), "op3-split")
+        most = split.groupBy("parent", "n", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("parent").agg((F.max("m") > DENSE * F.max("n")).alias("dense")).withColumnRenamed("parent", "_p")
+        split = split.join(most, split["parent"] == most["_p"])
+        done.append(split.filter("dense").select("id", F.col("parent").alias("key"), "n").distinct())
+        slim = common.written(split.filter(~F.col("dense")).select("id", "key"), "op3-slim")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    s = sketches.select(F.col("id").alias("_i"), "sketch")
     return out.join(s, out["id"] == s["_i"]).drop("_i")
 
 
@@ -284,7 +300,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text")).filter(F.col("id").isNotNull())
     one = texts.join(first, texts["id"] == first["_id"], "left_semi")
     sketches = common.written(one.mapInArrow(_sketches, _ddl(_SKETCH)).dropDuplicates(["id"]), "op3-sketches")
-    pairs = _chunk_pairs(_buckets(sketches), "key", "n").select("key", "i", "j", "id", "sketch")
+    pairs = _chunk_pairs(_buckets(sketches), "key", "n").select("key", "i", "j", "chunk", "id", "sketch")
     near = common.written(components(pairs.mapInArrow(_candidates, _ddl(_EDGES)).distinct(), "op3-near").withColumnRenamed("root", "cluster"), "op3-clusters")
     sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_c")
     near = near.withColumnRenamed("id", "_i")
