@@ -15,8 +15,8 @@ max(BLOCK, vectors / MAX_BLOCKS) rows.
 
 Defined results: vectors that are null, empty, of another length than most, or hold null
 or non-finite components take no part; a query with fewer than k partners gets them all;
-rows with an id that occurs twice are candidates each (a query never gets its own id);
-an empty table gives no rows. Other columns of the input are not read.
+rows with an id that occurs twice are candidates each (a query never gets its own id, and
+asks with the smallest of its vectors); an empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -160,15 +160,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vect
     heads = blocks.select("block", "high", "low").collect()  # MAX_BLOCKS rows of 2 * dims numbers at most
     numbers = np.array([r["block"] for r in heads])
     high, low = (np.array([np.frombuffer(bytes(r[c]), "<i8") for r in heads]) for c in ("high", "low"))
-    queries = rows.filter(is_query(F.col("vec_id")))
+    queries = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def visits(q: DataFrame, first: bool) -> DataFrame:
         routes = q.mapInArrow(_route(dims, numbers, high, low, first), _ddl(_ROUTES))
         return routes.join(blocks.select("block", "ids", "matrix"), "block").mapInArrow(_score(dims, k), _ddl(_FOUND))
 
-    seen = common.written(_best(visits(queries.dropDuplicates(["vec_id"]), True), k).select("query_id", "vec_id", "score"), "op10-first")
+    seen = common.written(_best(visits(queries, True), k).select("query_id", "vec_id", "score"), "op10-first")
     least = seen.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    more = queries.dropDuplicates(["vec_id"]).join(least, F.col("vec_id") == F.col("_q"), "left")
+    more = queries.join(least, F.col("vec_id") == F.col("_q"), "left")
     more = more.select("vec_id", "v", F.coalesce("least", F.lit(-(2**63))).alias("least"))
     found = visits(more, False).unionByName(seen)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
