@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.operators.splits import ranked, shuffled
+
 
 def filter_quality(df: DataFrame, min_quality: float, col: str = "pick_quality") -> DataFrame:
     """Rows of at least that quality; a limit of 0 or less keeps all."""
@@ -184,9 +186,8 @@ def match_distribution(target: DataFrame, pool: DataFrame, bin_col: str, n: int,
     size = pool.groupBy(F.col(bin_col).alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
     draws = share.join(size, F.col("_bin") == F.col("_b")).filter("_draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
     draws = draws.withColumn("_rank", F.pmod(bucket32(F.concat_ws(":", F.lit(seed), "_bin", "draw")), F.col("_size")) + 1).select("_bin", "draw", "_rank")
-    order = W.partitionBy(bin_col).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.col(key))
-    ranked = pool.withColumn("_r", F.row_number().over(order))
-    return ranked.join(draws, (ranked[bin_col] == draws["_bin"]) & (ranked["_r"] == draws["_rank"])).drop("_bin", "_rank", "_r")
+    r = ranked(pool, [shuffled(seed, F.col(key)), F.col(key)], [bin_col], "_r")
+    return r.join(draws, (r[bin_col] == draws["_bin"]) & (r["_r"] == draws["_rank"])).drop("_bin", "_rank", "_r")
 
 
 def bucket32(key: Column) -> Column:

@@ -39,16 +39,18 @@ def sufficient_signal(segments: DataFrame, keys: list[str], min_percent: float)
 def carry_over_tail(days: DataFrame, n: int, key: str = "station", order: str = "day") -> DataFrame:
     """Every day's data with the last n samples of the day before put before it, if that day ended less than 1.5 samples ago.
 
-    Only the tails go through the window, not the days.
+    Only (station, day, tail) rows are sorted by the window; the days are hashed to them once and never sorted.
     """
     w = W.partitionBy(key).orderBy(order)
     size = F.size("data")
-    tails = days.withColumns({"_tail": F.slice("data", F.greatest(F.lit(1), size - n + 1), F.least(F.lit(n), size)), "_end": F.col("starttime") + size / F.col("sampling_rate")})
+    tails = days.select(key, order, "starttime", "sampling_rate", F.slice("data", F.greatest(F.lit(1), size - n + 1), F.least(F.lit(n), size)).alias("_tail"), (F.col("starttime") + size / F.col("sampling_rate")).alias("_end"))
     tails = tails.withColumns({"_before": F.lag("_tail").over(w), "_until": F.lag("_end").over(w)})
     gap = F.col("starttime") - F.col("_until") + 1 / F.col("sampling_rate")
-    joined = F.col("_before").isNotNull() & (gap > 0) & (gap < 1.5 / F.col("sampling_rate"))
-    joined = F.coalesce(joined, F.lit(False))
-    return tails.withColumns({"previous_appended": joined, "starttime": F.when(joined, F.col("starttime") - F.size("_before") / F.col("sampling_rate")).otherwise(F.col("starttime")), "data": F.when(joined, F.concat("_before", "data")).otherwise(F.col("data"))}).drop("_tail", "_end", "_before", "_until")
+    joined = F.coalesce(F.col("_before").isNotNull() & (gap > 0) & (gap < 1.5 / F.col("sampling_rate")), F.lit(False))
+    tails = tails.select(key, order, joined.alias("previous_appended"), F.when(joined, F.col("_before")).alias("_before"))
+    df = days.join(tails.hint("shuffle_hash"), [key, order])
+    joined = F.col("previous_appended")
+    return df.withColumns({"starttime": F.when(joined, F.col("starttime") - F.size("_before") / F.col("sampling_rate")).otherwise(F.col("starttime")), "data": F.when(joined, F.concat("_before", "data")).otherwise(F.col("data"))}).drop("_before")
 
 
 def pick_ids(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -32,7 +32,6 @@ def detector_metrics(df: DataFrame, tolerances: list[float], keys: list[str]) ->
 def by_stratum(df: DataFrame, tolerances: list[float]) -> DataFrame:
     """Hits and residual counts of each stratum and of all, in one pass over the rows."""
     d = at_tolerances(df, tolerances).withColumn("hit", ((F.col("proba") > F.col("tolerance")) == (F.col("true_index") >= 0)).cast("long"))
-    d.createOrReplaceTempView("_by_stratum")
     g = d.groupingSets([["epoch", "tolerance", "stratum"], ["epoch", "tolerance"]], "epoch", "tolerance", "stratum").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"), F.grouping("stratum").alias("_all"))
     return g.select("epoch", "tolerance", F.when(F.col("_all") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), "hits", "n", ratio(F.col("hits"), F.col("n")).alias("accuracy"))
 

@@ -15,11 +15,11 @@ def shuffled(seed: str, key: Column) -> Column:
 def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Global (or per `by`) row numbers without one task for all rows.
 
-    The first 2 hex digits of the leading md5 key are ranges: ranks inside a range plus
+    The first 3 hex digits of the leading md5 key are ranges: ranks inside a range plus
     the counts of the ranges before it.
     """
     by = by or []
-    df = df.withColumn("_k", order[0]).withColumn("_range", F.substring("_k", 1, 2))
+    df = df.withColumn("_k", order[0]).withColumn("_range", F.substring("_k", 1, 3))
     inside = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_k", *order[1:]))
     df = df.withColumn("_in", inside)
     counts = df.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
