@@ -17,11 +17,10 @@ ARRIVAL_COLUMNS = (
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share (spark.checkpoint.dir); local only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_quakeframe_scratch", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+        where = sc._quakeframe_scratch = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
