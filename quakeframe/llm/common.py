@@ -37,12 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only where that is unset (tests, a laptop) a local one is made and set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, as spark.checkpoint.dir names it. Only where that is unset (tests, a laptop) a local one is made."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_quakeframe_scratch", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+        where = sc._quakeframe_scratch = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return where.rstrip("/")
 
 
