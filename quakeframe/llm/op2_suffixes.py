@@ -44,7 +44,7 @@ from quakeframe.llm.op3_chosenpath import _groups, _powers, mixed
 
 SPAN, GRAM = 100, 16
 WIDTH = SPAN - GRAM + 1  # GRAM-byte strings in a window
-CHUNK, SEGMENT = 8 << 20, 4 << 20
+CHUNK, SEGMENT, BLOCK = 8 << 20, 4 << 20, 1 << 19
 PART_BYTES, SAMPLES = 16 << 20, 64
 _BASE = 0xD6E8FEB86659FD93
 _UP = _powers(1 << 16, _BASE)
@@ -64,10 +64,8 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, anchor, first window start, last window start) of the runs of windows in the segments [start, end) of `data`."""
-    if len(data) < SPAN:
-        return (np.empty(0, np.int64),) * 4
+def _block_anchors(data: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs of windows of a block: segment[p] is the segment of the window that starts at p, or -1."""
     low = (_hashes(data) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(data) - GRAM + 1, dtype=np.uint64)
     size = 1
     while 2 * size <= WIDTH:
@@ -75,17 +73,30 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
         size *= 2
     rest = WIDTH - size
     low = np.minimum(low[: len(low) - rest], low[rest:])
-    anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the window that starts here
-    segment = np.full(len(anchor), -1, np.int64)
-    for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
-        if b - a >= SPAN:
-            segment[a : b - SPAN + 1] = k
     p = np.flatnonzero(segment >= 0)
     if not len(p):
         return (np.empty(0, np.int64),) * 4
-    new = np.flatnonzero((np.diff(anchor[p]) != 0) | (np.diff(p) != 1)) + 1
-    first, last = p[np.concatenate([[0], new])], p[np.concatenate([new - 1, [len(p) - 1]])]
-    return segment[first], anchor[first], first, last
+    anchor = (low[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(p) != 1)) + 1
+    heads, tails = np.concatenate([[0], new]), np.concatenate([new - 1, [len(p) - 1]])
+    return segment[p[heads]].astype(np.int64), anchor[heads], p[heads], p[tails]
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(segment, anchor, first window start, last window start) of the runs of windows in the segments [start, end) of `data`.
+
+    Blocks of BLOCK window starts are taken one by one, so that 64-bit hashes exist for one block only.
+    """
+    segment = np.full(max(0, len(data) - SPAN + 1), -1, np.int32)
+    for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        if b - a >= SPAN:
+            segment[a : b - SPAN + 1] = k
+    out = []
+    for at in range(0, len(segment), BLOCK):
+        own = segment[at : at + BLOCK]
+        found = _block_anchors(data[at : at + len(own) + SPAN - 1], own)
+        out.append((found[0], *[x + at for x in found[1:]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -128,6 +139,7 @@ def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray) -
     right[np.arange(SPAN)[None, :] >= (SPAN - x0)[:, None]] = 0
     left[np.arange(WIDTH)[None, :] >= x1[:, None]] = 0
     whole = np.concatenate([right, left, (x0 + 1).astype(np.uint8)[:, None], (x1 + 1).astype(np.uint8)[:, None]], axis=1)
+    del right, left, padded
     order = np.argsort(whole.view(f"S{whole.shape[1]}").ravel(), kind="stable")
     whole = whole[order]
     same = np.concatenate([[False], (whole[1:] == whole[:-1]).all(1)])
@@ -328,8 +340,9 @@ def _resolved(runs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, ...] | Non
     sizes = x1.astype(np.int64)
     flat, starts = join("left"), np.cumsum(sizes) - sizes
     left = np.zeros((len(take), WIDTH), np.uint8)
-    fill = np.arange(WIDTH)[None, :] < sizes[take][:, None]
-    left[fill] = flat[(starts[take][:, None] + np.arange(WIDTH)[None, :])[fill]]
+    for k in range(WIDTH):
+        own = np.flatnonzero(sizes[take] > k)
+        left[own, k] = flat[starts[take[own]] + k]
     x0, x1, at, ids, hashes = (v[take] for v in (x0, x1, at, ids, hashes))
     by = np.lexsort((at, hashes, ids))
     new = np.concatenate([[0], ((np.diff(ids[by]) != 0) | (np.diff(hashes[by]) != 0) | (np.diff(at[by]) != 0)).astype(np.int64)])
