@@ -31,7 +31,7 @@ PATTERNS = {
     "ip": "(?<![\\d.])\\d{1,3}(?:\\.\\d{1,3}){3}(?!\\d|\\.\\d)",
     "phone": "(?<!\\d)(?:\\+?\\d{1,3}[ .\\-]?)?(?:\\(\\d{3}\\)[ .\\-]?|\\d{3}[ .\\-])\\d{3}[ .\\-]\\d{4}(?!\\d)",
     "ssn": "(?<!\\d)\\d{3}-\\d{2}-\\d{4}(?!\\d)",
-    "card": "(?<!\\d)\\d(?:[ \\-]?\\d){12,18}(?!\\d)",
+    "card": "(?<!\\d)(?:\\d{13,19}|\\d{4}(?<four>[ \\-])\\d{4}\\k<four>\\d{4}\\k<four>\\d{4}|\\d{4}(?<six>[ \\-])\\d{6}\\k<six>\\d{5})(?!\\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without one of these characters can hold none of the kinds but an AWS key.

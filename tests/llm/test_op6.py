@@ -42,6 +42,13 @@ def test_cards_stay_cards_and_link(make):
     assert got[2].text == "4785380592391138 no card" and got[2].n_card == 0 and got[0].n_card == 1
 
 
+def test_numbers_side_by_side(make):
+    got = run(make, ["4785380592391139 4785380592391139", "3782-822463-10005 4785380592391139 +1 (743) 555-3824", "9807915762804490 4785380592391139"])
+    new = got[2].text.split()[1]
+    assert got[0].text == f"{new} {new}" and got[0].n_card == 2 and got[2].text.startswith("9807915762804490 ") and got[2].n_card == 1
+    assert got[1].n_card == 2 and got[1].n_phone == 1 and "10005" not in got[1].text
+
+
 def test_phones_ips_dates_and_ids(make):
     import datetime as dt
 
