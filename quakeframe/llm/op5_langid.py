@@ -5,7 +5,8 @@ probability of a word is the sum over all its segmentations into pieces, by a fo
 algorithm; a text's is the product over its words. The piece probabilities are learned by
 expectation maximisation over soft segmentations, from a sample of the labelled documents
 that is bounded by `Fit.docs_per_language` documents of each language (in expectation:
-every document is drawn by a hash of its id at the rate that its language's count gives).
+every document is drawn by a hash of its id at the rate that its language's count gives)
+and by `Fit.words` different words, drawn by their hash.
 
 Prediction reads nothing but the text, and all of it. Words are scored once per task and
 cached; a word longer than MAX_WORD letters is scored in parts of that length.
@@ -40,9 +41,10 @@ LETTERS = regex.compile(r"\p{L}+")
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the training sample, passes of expectation maximisation, and smoothing."""
+    """Bounds of the training sample (documents of a language, different words in all), passes of expectation maximisation, and smoothing."""
 
     docs_per_language: int = 150
+    words: int = 400_000
     passes: int = 4
     smoothing: float = 0.05
     unknown: float = 1e-8
@@ -247,7 +249,8 @@ def predict(docs: DataFrame, train: DataFrame | None = None, fit: Fit = Fit(), k
 
     common.ship(docs.sparkSession)
     counts: dict[str, dict[str, int]] = {}
-    for r in sample(docs if train is None else train, fit.docs_per_language, doc_id, text, lang).collect():  # words of the bounded sample
+    words = sample(docs if train is None else train, fit.docs_per_language, doc_id, text, lang)
+    for r in words.orderBy(F.xxhash64("_lang", "_word"), "_lang", "_word").limit(fit.words).collect():  # fit.words rows at most
         counts.setdefault(r["_lang"], {})[r["_word"]] = r["n"]
     languages, p = learn(Pieces(), counts, fit) if counts else ([], np.zeros((1, 0)))
     keep = docs.columns if keep is None else keep
