@@ -326,7 +326,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = common.written(member.filter(F.col("_key") != F.col("_group")).select("_key", "_digest").distinct(), "op3-gone")
     repeated = member.filter(F.col("_key") == F.col("_group")).groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     df = docs.withColumn("_this", _digest(docs, text)).withColumn("_own", key(docs[doc_id].cast("long"), F.col("_this")))
-    left = df.join(gone, (df["_own"] == gone["_key"]) & (df["_this"] == gone["_digest"]), "left_anti")
+    # What goes grows with the documents, so it is never broadcast, at no size.
+    left = df.join(gone.hint("merge"), (df["_own"] == gone["_key"]) & (df["_this"] == gone["_digest"]), "left_anti")
     if not repeated.isEmpty():
         left = left.dropDuplicates(["_own", "_this"])
     return left.select(*docs.columns)
