@@ -14,7 +14,7 @@ from quakeframe.llm import common, op3_chosenpath, op5_langid, op6_pseudonyms, o
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, no letter) go; the model is learned from the labelled ones."""
-    return op5_langid.accepted(op5_langid.predict(docs))
+    return op5_langid.with_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

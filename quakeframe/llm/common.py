@@ -53,6 +53,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Plain:
+    """A DataFrame under the column names c0, c1, ..., so that no helper column can clash with one of its own."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.columns = [f"c{k}" for k in range(len(self.names))]
+        self.df = df.toDF(*self.columns)
+
+    def at(self, name: str) -> str:
+        return self.columns[self.names.index(name)]
+
+    def back(self, df: DataFrame, *more: str) -> DataFrame:
+        """The columns of the original, and `more`, of a result, under their own names."""
+        return df.select(*self.columns, *more).toDF(*self.names, *more)
+
+
 def text_of(df: DataFrame, col: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[col].cast("string"), F.lit(""))

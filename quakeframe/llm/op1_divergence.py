@@ -7,7 +7,7 @@ counts over all documents of that language.
 Defined results: a null or empty text has no words and fails the base rules; a language
 without a reference (null, or none of `COMMON`) passes the divergence test, as do texts
 under the length guards; repeated rows are judged alike; an empty table gives no rows.
-Other columns of the input are carried along by the operator and never read.
+Columns of the input that are not in `keep` are never read.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_d", "_q", "_p")
 
 
-def _features(docs: DataFrame, text: str, lang: str, keep: list[str]) -> DataFrame:
+def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...]) -> DataFrame:
     """One row per document: the base counts, the counts by class and by common word of its language."""
     df = docs.select(*keep, F.col(lang).cast("string").alias("_lang"), common.text_of(docs, text).alias("_t"))
     df = df.withColumn("_w", common.words_of(F.col("_t"))).withColumn("n_chars_all", F.length("_t").cast("long"))
@@ -115,9 +115,8 @@ def references(features: DataFrame) -> DataFrame:
     return known.groupBy("_lang").agg(*sums, F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc"))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of every document with its counts, both distances, base_failed and kept."""
-    keep = keep or [c for c in docs.columns if c not in (text,)]
     features = common.written(_features(docs, text, lang, keep), "op1-features")
     k, m = len(CLASSES) + 1, max(map(len, COMMON.values()))
     # As many rows as COMMON has languages, so it can go into the expression itself.
@@ -143,7 +142,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over all of documents."""
-    return judge(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judge(common.table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
 def _sql() -> str:

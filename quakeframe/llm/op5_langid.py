@@ -260,9 +260,11 @@ def predict(docs: DataFrame, train: DataFrame | None = None, fit: Fit = Fit(), k
     return df.mapInArrow(_predict(len(keep), languages, p, VOCABULARY, fit.unknown, schema), out).drop("_lang_text")
 
 
-def accepted(predicted: DataFrame) -> DataFrame:
-    """The rows whose language was found; prediction columns go."""
-    return predicted.filter(F.col("_lang_pred") != "und").drop("_lang_pred", "_lang_score")
+def with_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents whose language is found; learned from the labelled ones among them."""
+    plain = common.Plain(docs)
+    found = predict(plain.df, doc_id=plain.at(doc_id), text=plain.at(text), lang=plain.at(lang))
+    return plain.back(found.filter(F.col("_lang_pred") != "und"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,8 +184,9 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: bool = False) -> DataFrame:
     """The documents with their texts changed; with `count`, also n_<kind> columns of replaced values."""
-    t = F.col("_pii_text")
-    df = docs.withColumn("_pii_text", docs[text].cast("string"))
+    plain = common.Plain(docs)
+    t, text = F.col("_pii_text"), plain.at(text)
+    df = plain.df.withColumn("_pii_text", F.col(text).cast("string"))
     none = F.array().cast("array<string>")
     df = df.withColumn("_pii_found", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(ANY), 0)).otherwise(none))
     found = F.col("_pii_found")
@@ -198,7 +199,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: boo
     if count:
         of_kind = lambda k: F.coalesce(F.size(F.filter(new, lambda x: (x["kind"] == k) & (x["old"] != x["new"]))), F.lit(0)).cast("long")
         out |= {f"n_{k}": F.when(F.size(found) > 0, of_kind(k)).otherwise(F.lit(0)).cast("long") for k in PATTERNS}
-    return df.withColumns(out).drop("_pii_text", "_pii_found", "_pii_parts", "_pii_new")
+    return plain.back(df.withColumns(out), *[c for c in out if c != text])
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

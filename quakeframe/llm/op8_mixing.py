@@ -108,11 +108,12 @@ def copies(keyed_docs: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of `docs`."""
-    k = keyed(docs, doc_id, text, source)
+    plain = common.Plain(docs)
+    k = keyed(plain.df, plain.at(doc_id), plain.at(text), plain.at(source))
     cuts = plan(common.written(k.select("_mix_source", "_mix_id", "_mix_size", "_mix_key"), "op8-keys"))
     df = copies(k, cuts).filter(F.col("_mix_copies") > 0)
     df = df.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return df.select(*docs.columns)
+    return plain.back(df)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

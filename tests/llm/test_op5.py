@@ -73,4 +73,5 @@ def test_odd_rows(make, odd):
     assert all(by[i]._lang_pred == "und" and by[i]._lang_score == 0 for i in (1, 2, 3)) and by[4]._lang_pred != "und"
     assert {r._lang_pred for r in op.predict(make(odd), train=make([])).collect()} == {"und"}
     assert op.predict(make([]), train=train).collect() == []
-    assert op.accepted(op.predict(make(odd), train=train)).columns == make(odd).columns
+    kept = op.with_language(make(docs(60) + [(1000 + k, t, None, s) for k, (_, t, _, s) in enumerate(odd)]))
+    assert kept.columns == make([]).columns and {1000, 1001, 1002} & {r.doc_id for r in kept.collect()} == set()
