@@ -255,7 +255,7 @@ def _buckets(sketches: DataFrame) -> DataFrame:
     slim = sketches.select("id", F.explode("keys").alias("key"))
     done = []
     for level in range(LEVELS + 1):
-        many = sizes(slim).filter("n > 1")
+        many = common.written(sizes(slim).filter("n > 1"), "op3-sizes")
         met = common.written(slim.join(many, slim["key"] == many["_k"]).drop("_k"), "op3-met")
         large = met.filter(F.col("n") > BUCKET)
         if level == LEVELS or large.isEmpty():
@@ -288,7 +288,8 @@ def classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A written table with the digest of each row's text and its class: _id, _digest, _class (the smallest id of an equal text), _copies."""
     rows = common.written(docs.select(docs[doc_id].cast("long").alias("_id"), _digest(docs, text).alias("_digest")), "op3-digests")
     c = rows.groupBy("_digest").agg(F.coalesce(F.min("_id"), F.min(_spare(F.col("_digest")))).alias("_class"), F.count(F.lit(1)).alias("_copies"))
-    c = c.withColumnRenamed("_digest", "_d")
+    # Written, as other sides of joins below: a join of two plain exchanges is one whose hot keys Spark can split.
+    c = common.written(c.withColumnRenamed("_digest", "_d"), "op3-texts")
     return common.written(rows.join(c, rows["_digest"] == c["_d"]).drop("_d"), "op3-classes")
 
 
@@ -302,16 +303,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sketches = common.written(one.mapInArrow(_sketches, _ddl(_SKETCH)).dropDuplicates(["id"]), "op3-sketches")
     pairs = _chunk_pairs(_buckets(sketches), "key", "n").select("key", "i", "j", "chunk", "id", "sketch")
     near = common.written(components(pairs.mapInArrow(_candidates, _ddl(_EDGES)).distinct(), "op3-near").withColumnRenamed("root", "cluster"), "op3-clusters")
-    sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_c")
+    sizes = common.written(near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_c"), "op3-cluster-sizes")
     near = near.withColumnRenamed("id", "_i")
     sets = texts.join(near, texts["id"] == near["_i"]).select("id", "cluster", "text").dropDuplicates(["id"]).mapInArrow(_sets, _ddl(_SETS))
     dealt = _chunk_pairs(sets.join(sizes, sets["cluster"] == sizes["_c"]), "cluster", "n").select("cluster", "i", "j", "chunk", "id", "shingles")
     found = common.written(dealt.mapInArrow(_verified, _ddl(_LINKS)), "op3-links")
     links = found.groupBy("id").agg(F.sum("links").alias("_links")).withColumnRenamed("id", "_l")
-    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "op3-groups")
-    low = groups.groupBy("root").agg(F.min("id").alias("_group")).withColumnRenamed("root", "_r")
+    groups = common.written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "op3-groups"), "op3-groups")
+    low = common.written(groups.groupBy("root").agg(F.min("id").alias("_group")).withColumnRenamed("root", "_r"), "op3-low")
     groups = groups.join(low, groups["root"] == low["_r"]).select(F.col("id").alias("_g"), "_group")
-    per_class = links.join(groups, links["_l"] == groups["_g"], "left").filter("_links > 0").select("_l", "_links", "_group")
+    per_class = common.written(links.join(groups, links["_l"] == groups["_g"], "left").filter("_links > 0").select("_l", "_links", "_group"), "op3-per-class")
     out = member.join(per_class, member["_class"] == per_class["_l"], "left").drop("_l")
     return out.withColumns({"_links": F.coalesce("_links", F.lit(0)), "_group": F.coalesce("_group", "_class")})
 
@@ -321,6 +322,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows are known by id and text. Only if some rows agree in both are whole rows grouped to keep one of each.
     """
+    plain = common.Plain(docs)
+    docs, doc_id, text = plain.df, plain.at(doc_id), plain.at(text)
     key = lambda i, d: F.coalesce(i, _spare(d))
     member = join(docs, doc_id, text).select("_id", "_digest", key(F.col("_id"), F.col("_digest")).alias("_key"), "_group")
     gone = common.written(member.filter(F.col("_key") != F.col("_group")).select("_key", "_digest").distinct(), "op3-gone")
@@ -330,7 +333,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     left = df.join(gone.hint("merge"), (df["_own"] == gone["_key"]) & (df["_this"] == gone["_digest"]), "left_anti")
     if not repeated.isEmpty():
         left = left.dropDuplicates(["_own", "_this"])
-    return left.select(*docs.columns)
+    return plain.back(left)
 
 
 def op3_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:
