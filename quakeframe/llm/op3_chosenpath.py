@@ -265,7 +265,8 @@ def _buckets(sketches: DataFrame) -> DataFrame:
         large = large.join(s, large["id"] == s["_i"]).drop("_i")
         child = lambda c: F.xxhash64("key", F.lit(c), F.substring("sketch", (F.pmod(F.xxhash64("key", F.lit(c)), F.lit(T)) * 2 + 1).cast("int"), F.lit(2)))
         split = common.written(large.select(F.col("key").alias("parent"), "n", "id", F.explode(F.array(child(0), child(1))).alias("key")), "op3-split")
-        most = split.groupBy("parent", "n", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("parent").agg((F.max("m") > DENSE * F.max("n")).alias("dense")).withColumnRenamed("parent", "_p")
+        most = split.groupBy("parent", "n", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("parent").agg((F.max("m") > DENSE * F.max("n")).alias("dense"))
+        most = common.written(most.withColumnRenamed("parent", "_p"), "op3-dense")
         split = split.join(most, split["parent"] == most["_p"])
         done.append(split.filter("dense").select("id", F.col("parent").alias("key"), "n").distinct())
         slim = common.written(split.filter(~F.col("dense")).select("id", "key"), "op3-slim")
