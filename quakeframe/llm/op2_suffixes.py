@@ -173,7 +173,15 @@ def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray) -
         yield int(part[i]), _pack(lcp=u1(shared), size=u1(size), x0=u1(x0[own]), x1=u1(x1[own]), doc=number.astype(np.uint32), at=place, rest=rest, left=lefts, ids=ids[docs], hashes=hashes[docs])
 
 
-def _runs(splitters: np.ndarray, schema: pa.Schema):
+def even_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each partition number a key that repartition(parts, key) puts there, so that each range gets a task of its own. `parts` numbers."""
+    key = F.col("id").cast("int")
+    found = spark.range(32 * parts).groupBy(F.pmod(F.hash(key), F.lit(parts)).alias("p")).agg(F.min(key).alias("k")).collect()
+    at = {r["p"]: r["k"] for r in found}
+    return [at.get(p, p) for p in range(parts)]
+
+
+def _runs(splitters: np.ndarray, keys: list[int], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -181,7 +189,7 @@ def _runs(splitters: np.ndarray, schema: pa.Schema):
             held.sort(key=lambda x: x[:3])
             made = list(_run(held, splitters))
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[m[0]] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], schema=schema)
 
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -425,7 +433,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     cuts = splitters(base, parts)
     schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-    runs = base.select("_id", "_hash", "_bytes").mapInArrow(_runs(np.array(cuts, f"S{GRAM}"), schema), "part int, blob binary")
+    runs = base.select("_id", "_hash", "_bytes").mapInArrow(_runs(np.array(cuts, f"S{GRAM}"), even_keys(spark, parts), schema), "part int, blob binary")
     merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "id long, hash long, a long, b long")
     of = merged.groupBy(F.col("id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
     df = base.join(of, (base["_id"] == of["_i"]) & (base["_hash"] == of["_h"]), "left").select("_own", "_bytes", "_ranges")
