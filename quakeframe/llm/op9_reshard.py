@@ -7,18 +7,25 @@ new shards as full as their capacities. The network has old x new arcs whatever
 number of rows, so it is solved on the driver; the rows follow the flow by their running
 byte offset in their old shard, and every step over rows is keyed by (shard, block).
 
+The plan is made on narrow rows; then the files of all affected shards are written with
+every column, by a join on the rows' places in the input files, and the result's columns
+are read from them. Rows of other shards stay where they are.
+
 Law of the result: `bytes`. Shards differ from their capacity by the rows that lie on the
 borders of flows, at most one row for each border.
 
 Defined results: a null or empty text has size 1 (no bytes plus 1); rows with equal ids
 and texts are placed one after the other in any order; an empty table gives no rows.
-Input columns are kept under their names, helpers start with `_rs_`.
+Input columns are kept under their names, helpers start with `_rs_`; the columns `shard`
+and `slot` are added to the files.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 from quakeframe.llm import common
 
 OLD_SHARDS, NEW_SHARDS, MAX_BLOCKS = 6, 8, 4096
+ROW = ["_rs_file", "_rs_row"]
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -134,28 +142,62 @@ def slots(placed: DataFrame, old: str) -> DataFrame:
     return df.withColumn("_rs_slot", F.col("_rs_rank") + F.col("_e")).drop("_s", "_o", "_b", "_e", "_rs_rank", "_rs_block")
 
 
-def rewrite(docs: DataFrame, assignment: DataFrame, out: str, doc_id: str = "doc_id", old: str = "_rs_old", spared: set[int] | None = None) -> list[int]:
-    """Writes the files of the shards that the plan changes to `out`/shard=K and returns their numbers; others stay where they are.
+def rewrite(docs: DataFrame, assignment: DataFrame, out: str, key: str | list[str] = "doc_id", old: str = "_rs_old") -> list[int]:
+    """Writes the files of all shards that the plan changes to `out`/shard=K and returns their numbers; others stay where they are.
 
-    `assignment` has one row per id: its old shard and `_rs_shard`. `spared` names shards that are not to be written though they change.
+    `assignment` has one row for each row of `docs`, found by `key` (nulls match): its old shard, `_rs_shard` and perhaps `_rs_slot`,
+    written as `slot`. A key that isn't unique in both would lose or multiply rows; that raises an error.
     """
+    keys = [key] if isinstance(key, str) else key
     changed = assignment.filter(F.col(old) != F.col("_rs_shard"))
     pairs = changed.select(F.col(old).alias("a"), F.col("_rs_shard").alias("b")).distinct().collect()  # old x new at most
-    affected = sorted({x for r in pairs for x in (r["a"], r["b"])} - (spared or set()))
-    rows = assignment.filter(F.col("_rs_shard").isin(affected)).select(F.col(doc_id).alias("_rs_id"), F.col("_rs_shard").alias("shard"))
-    if affected:
-        docs.join(rows, docs[doc_id] == rows["_rs_id"]).drop("_rs_id").write.mode("overwrite").partitionBy("shard").parquet(out)
+    affected = sorted({x for r in pairs for x in (r["a"], r["b"])})
+    if not affected:
+        return affected
+    slot = [F.col("_rs_slot").alias("slot")] if "_rs_slot" in assignment.columns else []
+    rows = assignment.filter(F.col("_rs_shard").isin(affected))
+    rows = rows.select(*[F.col(c).alias(f"_rs_key{k}") for k, c in enumerate(keys)], *slot, F.col("_rs_shard").alias("shard"))
+    same = reduce(lambda x, y: x & y, [docs[c].eqNullSafe(rows[f"_rs_key{k}"]) for k, c in enumerate(keys)])
+    made = docs.join(rows.hint("shuffle_hash"), same).drop(*rows.columns[: len(keys)], *[c for c in keys if c in ROW])
+    made.write.mode("overwrite").partitionBy("shard").parquet(out)
+    got, want = docs.sparkSession.read.parquet(out).count(), rows.count()
+    if got != want:
+        raise ValueError(f"{got} rows written for {want} planned: {keys} isn't a key")
     return affected
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """`docs`, read from Parquet, with the columns ROW: each row's file and place in it, which are unique and the same at every read."""
+    return docs.select("*", F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+
+
+def _facts(docs: DataFrame) -> list[Column]:
+    """doc_id, size, text_crc32 and the old shard of rows with a text."""
+    body = common.text_of(docs)
+    return [docs["doc_id"], (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).cast("long").alias("text_crc32"), hashed_shard(docs["doc_id"], OLD_SHARDS).alias("_rs_old")]
+
+
+def reshard(docs: DataFrame, out: str, capacity: list[int] | None = None) -> DataFrame:
+    """Moves the rows of `docs` (read from Parquet) to their new shards, whose files are written to `out`; what the query returns.
+
+    Rows of affected shards are described from the files written, the others from where they stay.
+    """
+    docs = with_row_key(docs)
+    rows = common.written(docs.select(*_facts(docs), *ROW), "op9-rows")
+    placed = common.written(plan(rows, "_rs_old", "size", ["doc_id", "text_crc32"], capacity), "op9-placed")
+    placed = common.written(slots(placed, "_rs_old"), "op9-slots")
+    affected = rewrite(docs, placed, out, ROW)
+    facts = ["doc_id", "size", "text_crc32", "_rs_old"]
+    df = placed.filter(~F.col("_rs_shard").isin(affected)).select(*facts, F.col("_rs_shard").alias("shard"), F.col("_rs_slot").alias("slot"))
+    if affected:
+        new = docs.sparkSession.read.parquet(out)
+        df = df.unionByName(new.select(*_facts(new), "shard", "slot"))
+    return df.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), F.col("_rs_old").alias("old_shard"))
+
+
 def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents from 6 hashed shards into 8 of near equal bytes, moving the fewest bytes."""
-    docs = common.table(spark, sf_dir, "documents")
-    body = F.encode(common.text_of(docs), "UTF-8")
-    rows = docs.select("doc_id", (F.octet_length(common.text_of(docs)) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"), hashed_shard(docs["doc_id"], OLD_SHARDS).alias("_rs_old"))
-    placed = common.written(plan(common.written(rows, "op9-rows"), "_rs_old", "size", ["doc_id", "text_crc32"]), "op9-placed")
-    df = slots(placed, "_rs_old")
-    return df.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_rs_shard").alias("shard"), F.col("_rs_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_rs_old").alias("old_shard"))
+    """All documents from 6 hashed shards into 8 of near equal bytes, moving the fewest bytes; the new files lie in the shared folder."""
+    return reshard(common.table(spark, sf_dir, "documents"), f"{common.shared_dir(spark)}/op9-shards-{uuid.uuid4().hex}")
 
 
 SQL = None

@@ -51,3 +51,52 @@ def test_only_changed_shards_are_written(spark, make, tmp_path):
     assert op.rewrite(docs, plan, f"file://{tmp_path}/out") == [3, 4]
     back = {r.doc_id: r.shard for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert back == {k: (4 if k > 20 else 3) for k in range(40) if k % 4 == 3}
+
+
+def test_query_moves_texts(spark, make, odd, tmp_path):
+    """Null ids, repeated ids and repeated rows included, each row's text is in its new shard's file once."""
+    from collections import Counter
+
+    rows = [r for r in odd if r[0] != 4] + [(k % 50 if k % 3 else None, f"text {k % 40}", "en", "s") for k in range(300)]
+    make(rows).repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op.reshard(docs, f"file://{tmp_path}/out").collect()
+    size = lambda t: len((t or "").encode()) + 1
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, size(t), crc(t)) for i, t, *_ in rows)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert set(docs.columns) | {"slot", "shard"} == set(back.columns)
+    back = back.collect()
+    moved = {k for r in got if r.shard != r.old_shard for k in (r.shard, r.old_shard)}
+    assert any(r.doc_id is None and r.shard in moved for r in got) and {r.shard for r in back} <= moved
+    assert not Counter((r.doc_id, r.text, r.lang, r.source) for r in back) - Counter(rows)
+    assert Counter((r.doc_id, crc(r.text), r.shard, r.slot) for r in back) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got if r.shard in moved)
+    assert sorted((r.shard, r.slot) for r in got) == [(k, j) for k, n in sorted(Counter(r.shard for r in got).items()) for j in range(n)]
+
+
+def test_untouched_shards_stay(spark, make, tmp_path):
+    rows = [(k, "x" * 9, "en", "s") for k in range(60)]
+    make(rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    full = {r.o: r.n * 10 for r in docs.groupBy(op.hashed_shard(docs["doc_id"], 6).alias("o")).count().withColumnRenamed("count", "n").collect()}
+    capacity = [full.get(k, 0) for k in range(6)]
+    got = op.reshard(docs, f"file://{tmp_path}/none", capacity).collect()
+    assert sorted(r.doc_id for r in got) == list(range(60)) and all(r.shard == r.old_shard for r in got) and not (tmp_path / "none").exists()
+    capacity = [*capacity[:5], capacity[5] // 2, capacity[5]]
+    got = op.reshard(docs, f"file://{tmp_path}/some", capacity).collect()
+    assert sorted(r.doc_id for r in got) == list(range(60)) and all(r.shard == r.old_shard for r in got if r.old_shard < 5)
+    assert {r.shard for r in spark.read.parquet(f"file://{tmp_path}/some").collect()} == {5, 6}
+
+
+def test_rewrite_wants_a_key(spark, make, tmp_path):
+    import pytest
+
+    docs = make([(1, "a", "en", "s"), (1, "b", "en", "s"), (None, "c", "en", "s")])
+    plan = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (None, 0, 1)], "doc_id long, _rs_old int, _rs_shard int")
+    with pytest.raises(ValueError):
+        op.rewrite(docs, plan, f"file://{tmp_path}/out")
+
+
+def test_reshard_of_nothing(spark, make, tmp_path):
+    make([]).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert op.reshard(spark.read.parquet(f"file://{tmp_path}/documents.parquet"), f"file://{tmp_path}/out").collect() == []
