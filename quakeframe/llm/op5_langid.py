@@ -9,10 +9,12 @@ every document is drawn by a hash of its id at the rate that its language's coun
 and by `Fit.words` different words, drawn by their hash.
 
 Prediction reads nothing but the text, and all of it. Words are scored once per task and
-cached; a word longer than MAX_WORD letters is scored in parts of that length.
+cached; a word longer than MAX_WORD letters is learned from and scored in parts of that
+length. All lower-case pieces of letters that the vocabulary has are used.
 
 Defined results: a null text and one without letters get `und` and score 0; if nothing can
-be learned every text does; a language is one that a training document names; repeated
+be learned every text does; a language is one that a training document names; a text whose
+letters all lack from the vocabulary scores every language alike and gets the first; repeated
 rows are predicted alike; an empty table gives no rows. Columns of the input are kept.
 """
 
@@ -32,8 +34,8 @@ from pyspark.sql import types as T
 from quakeframe.llm import common
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Pieces of more letters, and with letters that aren't among the ALPHABET commonest in pieces, are left out.
-MAX_PIECE, ALPHABET = 10, 512
+#: Letters of the vocabulary's longest piece, the start sign included.
+MAX_PIECE = 16
 MAX_WORD, CACHE = 400, 200_000
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
@@ -50,6 +52,66 @@ class Fit:
     unknown: float = 1e-8
 
 
+class Steps:
+    """The steps of a trie as a double array: steps[node, letter] is the next node or the dead end 0, for numbers and arrays alike.
+
+    A node is a place in the array; its steps lie at `base` of the node plus the letter, where `owner` names it.
+    """
+
+    def __init__(self, steps: list[dict[int, int]], letters: int):
+        """`steps` of nodes 0 (the dead end), 1 (the root) and so on, each after its parent. `place` has the node here of each node there."""
+        n, grow = 4 * len(steps) + 2 * letters, 4096
+        free = np.ones(n, bool)
+        free[:2] = False
+        self.place = np.zeros(len(steps), np.int32)
+        bases = [0] * len(steps)
+        lowest, single = {}, letters + 1  # where the search goes on, by number of steps
+        for node in sorted((k for k, own in enumerate(steps) if own), key=lambda k: -len(steps[k])):
+            own = np.array(sorted(steps[node]), np.int64)
+            if len(own) == 1:
+                single += int(free[single:].argmax())
+                base = single - int(own[0])
+            else:
+                base = lowest.get(len(own), 0)
+                while True:
+                    if base + grow + letters >= len(free):
+                        free = np.concatenate([free, np.ones(n, bool)])
+                    fits = np.logical_and.reduce([free[base + c : base + c + grow] for c in own])
+                    if fits.any():
+                        base += int(fits.argmax())
+                        break
+                    base += grow
+                    lowest[len(own)] = base
+            if base + letters >= len(free):
+                free = np.concatenate([free, np.ones(n, bool)])
+            free[base + own] = False
+            bases[node] = base
+        size = max(bases) + letters + 1
+        self.base, self.owner = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.place[1] = 1
+        for node, own in enumerate(steps):
+            here = self.place[node]
+            self.base[here] = bases[node]
+            for c, to in own.items():
+                self.place[to] = bases[node] + c
+                self.owner[bases[node] + c] = here
+
+    def __getitem__(self, at):
+        node, letter = at
+        to = self.base[node] + letter
+        return to * (self.owner[to] == node)
+
+
+_PIECES: dict[str, Pieces] = {}
+
+
+def pieces_of(name: str = VOCABULARY) -> Pieces:
+    """The pieces of a vocabulary file, built once per process."""
+    if name not in _PIECES:
+        _PIECES[name] = Pieces(name)
+    return _PIECES[name]
+
+
 class Pieces:
     """The vocabulary as a trie in arrays: a step for each node and letter, the piece that ends at a node."""
 
@@ -59,10 +121,11 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=files.path(name))
         fit = regex.compile(START + r"?\p{L}*")
-        pieces = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) <= MAX_PIECE and p == p.lower() and p not in ("", START) and fit.fullmatch(p)]
+        pieces = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if p == p.lower() and p not in ("", START) and fit.fullmatch(p)]
+        if max(map(len, pieces)) > MAX_PIECE:
+            raise ValueError(f"{name} has pieces of more than {MAX_PIECE} letters")
         often = Counter(c for p in pieces for c in set(p))
-        self.letters = {c: k + 1 for k, c in enumerate(sorted(often, key=lambda c: (-often[c], c))[:ALPHABET])}
-        pieces = [p for p in pieces if all(c in self.letters for c in p)]
+        self.letters = {c: k + 1 for k, c in enumerate(sorted(often, key=lambda c: (-often[c], c)))}
         steps: list[dict[int, int]] = [{}, {}]  # node 0 is the dead end, node 1 the root
         ends = [-1, -1]
         for number, piece in enumerate(pieces):
@@ -76,12 +139,11 @@ class Pieces:
                 node = steps[node][k]
             ends[node] = number
         self.n = len(pieces)
-        self.step = np.zeros((len(steps), len(self.letters) + 1), np.uint16)
-        for node, own in enumerate(steps):
-            for k, to in own.items():
-                self.step[node, k] = to
-        self.end = np.array(ends, np.int32)
-        self.end[self.end < 0] = self.n  # row n of a probability table is 0
+        self.step = Steps(steps, len(self.letters))
+        self.end = np.full(len(self.step.base), self.n, np.int32)  # row n of a probability table is 0
+        for place, number in zip(self.step.place, ends, strict=True):
+            if number >= 0:
+                self.end[place] = number
         self.table = np.zeros(0x110000, np.uint16)
         for c, k in self.letters.items():
             self.table[ord(c)] = k
@@ -107,74 +169,81 @@ class Pieces:
             yield n, self.end[node]
 
 
-def forward(pieces: Pieces, p: np.ndarray, letters: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums a[place, word, language] and the log scale of each word that they are to be taken with."""
+def forward(pieces: Pieces, p: np.ndarray, letters: np.ndarray, unknown: float) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Forward sums a[place, word, language], scaled, and the factors [word, language] by which those from a place on were divided."""
     m, n = letters.shape
     a = np.zeros((n + 1, m, p.shape[1]))
     a[0] = 1
-    scale = np.zeros(m)
+    tops = {}
     for i in range(n):
-        if i and i % 16 == 0:
-            top = a[i : i + MAX_PIECE + 1].max(axis=(0, 2))
-            a[i : i + MAX_PIECE + 1] /= top[None, :, None]
-            scale += np.log(top)
+        if i and i % MAX_PIECE == 0:
+            tops[i] = a[i : i + MAX_PIECE + 1].max(axis=0)
+            a[i : i + MAX_PIECE + 1] /= tops[i]
         a[i + 1] += a[i] * unknown
         for length, number in pieces.found(letters, i):
             a[i + length] += a[i] * p[number]
-    return a, scale
+    return a, tops
 
 
 def word_scores(pieces: Pieces, p: np.ndarray, words: list[str], unknown: float) -> np.ndarray:
     """log P(word) in each language."""
     out = np.empty((len(words), p.shape[1]))
     for rows, letters in pieces.coded(words):
-        a, scale = forward(pieces, p, letters, unknown)
-        out[rows] = np.log(a[-1]) + scale[:, None]
+        a, tops = forward(pieces, p, letters, unknown)
+        out[rows] = np.log(a[-1]) + sum(map(np.log, tops.values()))
     return out
 
 
+def expected(pieces: Pieces, own: np.ndarray, letters: np.ndarray, weight: np.ndarray, unknown: float) -> np.ndarray:
+    """How often each piece is expected in the segmentations of words, by forward and backward sums of one language.
+
+    The backward sums are scaled by the factors of the forward ones and the words' probabilities, so that a x b is the
+    probability of a border at a place.
+    """
+    a, tops = forward(pieces, own[:, None], letters, unknown)
+    a = a[:, :, 0]
+    m, n = letters.shape
+    b = np.zeros((n + 1, m))
+    b[n] = 1 / a[n]
+    gained = np.zeros(pieces.n + 1)
+
+    def at(i: int, j: int) -> np.ndarray:
+        """b[j] on the scale of place i; at most one factor lies between them."""
+        k = j // MAX_PIECE * MAX_PIECE
+        return b[j] / tops[k][:, 0] if k > i and k in tops else b[j]
+
+    for i in range(n - 1, -1, -1):
+        b[i] = at(i, i + 1) * unknown
+        for length, number in pieces.found(letters, i):
+            way = own[number] * at(i, i + length)
+            b[i] += way
+            gained += np.bincount(number, a[i] * way * weight, pieces.n + 1)
+    return gained
+
+
 def learn(pieces: Pieces, counts: dict[str, dict[str, int]], fit: Fit = Fit()) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (pieces + 1 rows, the last 0) from word counts by language."""
     languages = sorted(counts)
     p = np.zeros((pieces.n + 1, len(languages)))
     for k, language in enumerate(languages):
-        words = list(counts[language])
-        weight = np.array([counts[language][w] for w in words], float)
-        own = np.full((pieces.n + 1, 1), 1.0 / pieces.n)
+        own_counts: Counter[str] = Counter()
+        for word, n in counts[language].items():
+            for part in parts(word):
+                own_counts[part] += n
+        words = list(own_counts)
+        weight = np.array([own_counts[w] for w in words], float)
+        own = np.full(pieces.n + 1, 1.0 / pieces.n)
         own[-1] = 0
         for _ in range(fit.passes if words else 0):
             gained = np.full(pieces.n + 1, fit.smoothing)
-            for rows, letters in pieces.coded([w[:48] for w in words]):
-                a, _ = forward_plain(pieces, own[:, 0], letters, fit.unknown)
-                m, n = letters.shape
-                b = np.zeros((n + 1, m))
-                b[n] = 1
-                for i in range(n - 1, -1, -1):
-                    b[i] = b[i + 1] * fit.unknown
-                    for length, number in pieces.found(letters, i):
-                        b[i] += own[number, 0] * b[i + length]
-                share = weight[rows] / a[n]
-                for i in range(n):
-                    for length, number in pieces.found(letters, i):
-                        gained += np.bincount(number, a[i] * own[number, 0] * b[i + length] * share, pieces.n + 1)
+            for rows, letters in pieces.coded(words):
+                gained += expected(pieces, own, letters, weight[rows], fit.unknown)
             gained[-1] = 0
-            own[:, 0] = gained / gained.sum()
-        p[:, k] = own[:, 0]
+            own = gained / gained.sum()
+        p[:, k] = own
     return languages, p
 
 
-def forward_plain(pieces: Pieces, own: np.ndarray, letters: np.ndarray, unknown: float) -> tuple[np.ndarray, None]:
-    """Unscaled forward sums of one language, for words of training length."""
-    m, n = letters.shape
-    a = np.zeros((n + 1, m))
-    a[0] = 1
-    for i in range(n):
-        a[i + 1] += a[i] * unknown
-        for length, number in pieces.found(letters, i):
-            a[i + length] += a[i] * own[number]
-    return a, None
-
-
 def parts(text: str) -> list[str]:
     """Lower-case words of a text; a longer one than MAX_WORD in parts."""
     words = LETTERS.findall(text.lower())
@@ -185,7 +254,7 @@ def parts(text: str) -> list[str]:
 
 def _predict(place: int, languages: list[str], p: np.ndarray, vocabulary: str, unknown: float, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = pieces_of(vocabulary)
         cache: dict[str, int] = {}
         scores = np.empty((0, len(languages)))
 
@@ -252,7 +321,7 @@ def predict(docs: DataFrame, train: DataFrame | None = None, fit: Fit = Fit(), k
     words = sample(docs if train is None else train, fit.docs_per_language, doc_id, text, lang)
     for r in words.orderBy(F.xxhash64("_lang", "_word"), "_lang", "_word").limit(fit.words).collect():  # fit.words rows at most
         counts.setdefault(r["_lang"], {})[r["_word"]] = r["n"]
-    languages, p = learn(Pieces(), counts, fit) if counts else ([], np.zeros((1, 0)))
+    languages, p = learn(pieces_of(), counts, fit) if counts else ([], np.zeros((1, 0)))
     keep = docs.columns if keep is None else keep
     df = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_lang_text"))
     schema = to_arrow_schema(df.schema).append(pa.field("_lang_pred", pa.string())).append(pa.field("_lang_score", pa.float64()))

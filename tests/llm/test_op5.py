@@ -75,3 +75,74 @@ def test_odd_rows(make, odd):
     assert op.predict(make([]), train=train).collect() == []
     kept = op.with_language(make(docs(60) + [(1000 + k, t, None, s) for k, (_, t, _, s) in enumerate(odd)]))
     assert kept.columns == make([]).columns and {1000, 1001, 1002} & {r.doc_id for r in kept.collect()} == set()
+
+
+def test_all_letters_and_pieces_of_the_vocabulary(pieces):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(op.VOCABULARY))
+    listed = {p for p in map(model.id_to_piece, range(model.get_piece_size())) if p.lower() == p and p.strip(op.START).isalpha() and op.LETTERS.fullmatch(p.strip(op.START)) and op.START not in p[1:]}
+    ends = set()
+    for piece in listed:
+        node = 1
+        for c in piece:
+            node = pieces.step[node, pieces.letters[c]]
+        assert node and pieces.end[node] < pieces.n
+        ends.add(int(pieces.end[node]))
+    assert len(ends) == len(listed) == pieces.n and any(len(p) == op.MAX_PIECE for p in listed)
+    nodes = np.flatnonzero(pieces.step.owner >= 0)
+    assert len(nodes) == len({p[:k] for p in listed for k in range(1, len(p) + 1)})
+    assert pieces.step[0, 5] == 0 and pieces.step[1, 0] == 0
+
+
+def test_languages_of_other_scripts(make):
+    rng = random.Random(5)
+    letters = {"ja": "のにはをたがでてとしれさいな日本人", "ko": "이다는을의에가고하지로사", "zh": "的一是不了人我在有他这中大来上国", "ka": "აბდეილმნორსუ"}
+    rows = [(k, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 12))) for _ in range(30)), lang, "s") for k, lang in enumerate(list(letters) * 60)]
+    df = op.predict(make(rows), keep=["doc_id", "lang"])
+    out = [r for r in df.select("*", op.held_out(df["doc_id"]).alias("held")).collect() if r.held]
+    assert {r.lang for r in out} == set(letters) and all(r.lang == r._lang_pred for r in out)
+
+
+def test_expected_counts_of_long_words(pieces):
+    """By the rule: the sum over segmentations, here from exact fractions of forward and backward sums."""
+    from fractions import Fraction as Q
+
+    p = np.random.default_rng(2).random(pieces.n + 1) / 50
+    p[-1] = 0
+    words = ["theandof" * 9 + "zur", "ab", "日本の" * 30, "characteristics" * 8 + "q" * 50]
+    weight = np.array([1.0, 2.0, 3.0, 0.5])
+    want = np.zeros(pieces.n + 1)
+    for word, times in zip(words, weight, strict=True):
+        w = op.START + word
+        ways = []
+        for i in range(len(w)):
+            node = 1
+            for j in range(i, min(len(w), i + op.MAX_PIECE)):
+                node = pieces.step[node, pieces.letters.get(w[j], 0)]
+                if pieces.end[node] < pieces.n:
+                    ways.append((i, j + 1, int(pieces.end[node]), Q(float(p[pieces.end[node]]))))
+            ways.append((i, i + 1, pieces.n, Q(1e-8)))
+        a, b = [Q(0)] * (len(w) + 1), [Q(0)] * (len(w) + 1)
+        a[0] = b[-1] = Q(1)
+        for i, j, _, x in sorted(ways, key=lambda v: v[0]):
+            a[j] += a[i] * x
+        for i, j, _, x in sorted(ways, key=lambda v: -v[0]):
+            b[i] += b[j] * x
+        for i, j, k, x in ways:
+            if k < pieces.n:
+                want[k] += times * float(a[i] * x * b[j] / a[-1])
+    got = np.zeros(pieces.n + 1)
+    for rows, letters in pieces.coded(words):
+        got += op.expected(pieces, p, letters, weight[rows], 1e-8)
+    assert np.allclose(got[:-1], want[:-1], rtol=1e-9)
+
+
+def test_letters_after_the_48th_are_learned(pieces):
+    head = "x" * 48
+    languages, p = op.learn(pieces, {"a": {head + "thingthing": 5}, "b": {head + "keitkeit": 5}})
+    scores = op.word_scores(pieces, p, [head + "thing", head + "keit"], 1e-8)
+    assert languages == ["a", "b"] and scores[0, 0] > scores[0, 1] + 5 and scores[1, 1] > scores[1, 0] + 5
+    long = {"a": {"q" * (op.MAX_WORD * 2 + 30): 3}}
+    assert np.isfinite(op.learn(pieces, long)[1]).all()
