@@ -2,11 +2,14 @@
 
 A document's histogram of character classes and its histogram of common words are held
 against the references of its language by Jensen-Shannon distance. The references are
-counts over all documents of that language.
-
-Defined results: a null or empty text has no words and fails the base rules; a language
-without a reference (null, or none of `COMMON`) passes the divergence test, as do texts
-under the length guards; repeated rows are judged alike; an empty table gives no rows.
+counts over all documents of that language. A language that isn't in `COMMON` has the 12
+commonest words of its own documents as its list, if it has MIN_DOCS of them. Documents
+without a reference of their own (no language, or one of fewer documents) are held against
+all references, and the smallest distance of each kind counts; if no language has a
+reference, against the counts over all documents.
+
+Defined results: a null or empty text has no words and fails the base rules; texts under
+the length guards pass the divergence test; repeated rows are judged alike; an empty table gives no rows.
 Columns of the input that are not in `keep` are never read.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeframe.llm import common
@@ -38,6 +42,10 @@ CLASSES = {
 }
 
 
+#: A language that isn't in COMMON has a reference of its own from so many documents up, and so many words in its list.
+MIN_DOCS, LISTED = 50, 12
+
+
 @dataclass(frozen=True)
 class Rules:
     """Guards and limits: distances are judged from `min_chars` characters and `min_words` words up."""
@@ -71,18 +79,34 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_d", "_q", "_p")
 
 
-def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...]) -> DataFrame:
-    """One row per document: the base counts, the counts by class and by common word of its language."""
+def lists(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """The common words by language: COMMON and, for every other language of MIN_DOCS documents, its commonest words."""
+    rows = docs.select(F.col(lang).cast("string").alias("_lang"), common.text_of(docs, text).alias("_t")).filter(~F.col("_lang").isin(list(COMMON)))
+    many = [r["_lang"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS).collect()]  # documents / MIN_DOCS at most
+    if not many:
+        return dict(COMMON)
+    words = rows.filter(F.col("_lang").isin(many)).select("_lang", F.explode(common.words_of(F.col("_t"))).alias("_word"))
+    counts = words.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.withColumn("_k", F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("n"), "_word"))).filter(F.col("_k") <= LISTED)
+    own: dict[str, list[str]] = {name: [] for name in many}
+    for r in top.orderBy("_lang", "_k").collect():
+        own[r["_lang"]].append(r["_word"])
+    return COMMON | own
+
+
+def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...], listing: dict[str, list[str]]) -> DataFrame:
+    """One row per document: the base counts, the counts by class and by common word of its language, or, without one of `listing`, by all listed words."""
     df = docs.select(*keep, F.col(lang).cast("string").alias("_lang"), common.text_of(docs, text).alias("_t"))
     df = df.withColumn("_w", common.words_of(F.col("_t"))).withColumn("n_chars_all", F.length("_t").cast("long"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     df = _repeat_words(df)
-    listed = sorted({w for ws in COMMON.values() for w in ws})
+    listed = _listed(listing)
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_c", F.filter("_w", lambda x: x.isin(listed)))
     mine = F.lit(None).cast("array<string>")
-    for name, ws in COMMON.items():
-        mine = F.when(F.col("_lang") == name, F.array(*map(F.lit, ws))).otherwise(mine)
+    for name, ws in [("", listed), *listing.items()]:
+        here = F.col("_lang") == name if name else F.coalesce(~F.col("_lang").isin(list(listing)), F.lit(True))
+        mine = F.when(here, F.array(*map(F.lit, ws)).cast("array<string>")).otherwise(mine)
     df = df.withColumn("_mine", mine)
     c = F.col("_c")
     df = df.withColumn("words_hist", F.transform("_mine", lambda x: F.size(F.filter(c, lambda y: y == x)).cast("long")))
@@ -107,33 +131,54 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(total < 0, F.lit(0.0)).otherwise(total))
 
 
-def references(features: DataFrame) -> DataFrame:
-    """Per language of COMMON, its summed histograms: as many rows as COMMON has languages at most."""
-    known = features.filter(F.col("_lang").isin(list(COMMON)))
-    k, m = len(CLASSES) + 1, max(map(len, COMMON.values()))
-    sums = [F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)] + [F.sum(F.col("words_hist")[i]).alias(f"w{i}") for i in range(m)]
+def _listed(listing: dict[str, list[str]]) -> list[str]:
+    return sorted({w for ws in listing.values() for w in ws})
+
+
+def references(features: DataFrame, listing: dict[str, list[str]]) -> DataFrame:
+    """Per language of `listing`, its summed histograms: one row for each of them at most."""
+    known = features.filter(F.col("_lang").isin(list(listing)))
+    k, m = len(CLASSES) + 1, max(map(len, listing.values()))
+    sums = [F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)] + [F.sum(F.get("words_hist", F.lit(i))).alias(f"w{i}") for i in range(m)]
     return known.groupBy("_lang").agg(*sums, F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc"))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of every document with its counts, both distances, base_failed and kept."""
-    features = common.written(_features(docs, text, lang, keep), "op1-features")
-    k, m = len(CLASSES) + 1, max(map(len, COMMON.values()))
-    # As many rows as COMMON has languages, so it can go into the expression itself.
-    refs = {r["_lang"]: r for r in references(features).collect()}
+    listing = lists(docs, text, lang)
+    listed = _listed(listing)
+    features = common.written(_features(docs, text, lang, keep, listing), "op1-features")
+    k = len(CLASSES) + 1
+    # As many rows as there are languages in COMMON or of MIN_DOCS documents, so they can go into the expression itself.
+    refs = {r["_lang"]: r for r in references(features, listing).collect()}
     share = lambda xs, n: F.transform(xs, lambda x: x.cast("double") / n)
-    fixed = lambda xs, n: F.array(*[F.lit(x / n if n else None).cast("double") for x in xs])
+    fixed = lambda xs, n: F.array(*[F.lit(x / n if n else None).cast("double") for x in xs]).cast("array<double>")
     with_rest = lambda xs: F.concat(xs, F.array(1 - F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)))
     chars = words = F.lit(None).cast("array<double>")
+    every = []  # of each reference: places of its words among the listed ones, both distributions
     for name, r in refs.items():
         here = F.col("_lang") == name
-        chars = F.when(here, fixed([r[f"c{i}"] for i in range(k)], r["nc"])).otherwise(chars)
-        words = F.when(here, with_rest(fixed([r[f"w{i}"] for i in range(m)], r["nw"]))).otherwise(words)
+        own_chars, own_words = fixed([r[f"c{i}"] for i in range(k)], r["nc"]), with_rest(fixed([r[f"w{i}"] for i in range(len(listing[name]))], r["nw"]))
+        chars, words = F.when(here, own_chars).otherwise(chars), F.when(here, own_words).otherwise(words)
+        if r["nc"] and r["nw"]:
+            every.append(F.struct(F.array(*[F.lit(listed.index(w)) for w in listing[name]]).cast("array<int>").alias("at"), own_chars.alias("qc"), own_words.alias("qw")))
+    if not every:
+        pooled = features.agg(*[F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)], *[F.sum(F.col("words_hist")[i]).alias(f"w{i}") for i in range(len(listed))], F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc")).first()
+        if pooled["nc"] and pooled["nw"]:
+            places = F.array(*map(F.lit, range(len(listed))))
+            every.append(F.struct(places.alias("at"), fixed([pooled[f"c{i}"] for i in range(k)], pooled["nc"]).alias("qc"), with_rest(fixed([pooled[f"w{i}"] for i in range(len(listed))], pooled["nw"])).alias("qw")))
     df = features.withColumns({"_qc": chars, "_qw": words})
+    none_of_its_own = F.coalesce(~F.col("_lang").isin(list(refs)), F.lit(True))
     df = df.withColumn("_pc", F.when(F.col("n_chars_all") >= rules.min_chars, share("chars_hist", F.col("n_chars_all"))))
     df = df.withColumn("_pw", F.when(F.col("n_words") >= rules.min_words, with_rest(share("words_hist", F.col("n_words")))))
-    df = df.withColumn("char_distance", F.round(_distance(F.col("_pc"), F.col("_qc")), 6))
-    df = df.withColumn("word_distance", F.round(_distance(F.col("_pw"), F.col("_qw")), 6))
+    char, word = _distance(F.col("_pc"), F.col("_qc")), _distance(F.col("_pw"), F.col("_qw"))
+    if every:
+        n, h = F.col("n_words"), F.col("words_hist")
+        nearest = lambda d: F.array_min(F.transform(F.array(*every), d))
+        char = F.when(none_of_its_own, nearest(lambda r: _distance(F.col("_pc"), r["qc"]))).otherwise(char)
+        part = lambda r: with_rest(F.transform(r["at"], lambda i: h[i].cast("double") / n))
+        word = F.when(none_of_its_own, F.when(F.col("_pw").isNotNull(), nearest(lambda r: _distance(part(r), r["qw"])))).otherwise(word)
+    df = df.withColumn("char_distance", F.round(char, 6)).withColumn("word_distance", F.round(word, 6))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
     df = df.withColumn("base_failed", base).withColumn("kept", ~base & near)

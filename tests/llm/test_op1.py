@@ -65,3 +65,49 @@ def test_distance_is_jensen_shannon(spark):
 
 def test_empty_table(make):
     assert op.judge(make([]), keep=["doc_id"]).collect() == []
+
+
+def texts(seed=3):
+    import random
+
+    rng = random.Random(seed)
+    names = ["house", "garden", "river", "window", "people", "evening", "mountain", "letter"] * 3
+    prose = lambda ws: " ".join(rng.choice(ws + names) + rng.choice(["", "", "", ",", "."]) for _ in range(300))
+    salad = lambda: " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    symbols = " ".join(f"#{k}$%& |{k}|" for k in range(300))
+    return prose, salad, symbols
+
+
+def test_rows_without_a_language_are_held_against_all_references(make):
+    prose, salad, symbols = texts()
+    rows = [(k, prose(op.COMMON["en"]), "en", "s") for k in range(20)] + [(100 + k, prose(op.COMMON["de"]), "de", "s") for k in range(20)]
+    rows += [(200, prose(op.COMMON["en"]), None, "s"), (201, prose(op.COMMON["de"]), None, "s"), (202, prose(op.COMMON["de"]), "rare", "s")]
+    rows += [(300 + 10 * k + j, t, lang, "s") for k, lang in enumerate([None, "rare"]) for j, t in enumerate([symbols, prose(op.COMMON["en"]).upper(), salad()])]
+    got = {r.doc_id: r for r in op.judge(make(rows), keep=["doc_id"]).collect()}
+    assert all(r.kept and r.char_distance is not None and r.word_distance is not None for i, r in got.items() if i < 300)
+    assert not any(r.kept or r.base_failed for i, r in got.items() if i >= 300)
+    labelled = {r.doc_id: r for r in op.judge(make([(i, t, lang or "en", s) if i < 201 else (i, t, lang, s) for i, t, lang, s in rows if i < 100 or i == 200]), keep=["doc_id"]).collect()}
+    assert abs(labelled[200].word_distance - got[200].word_distance) < 0.02
+
+
+def test_a_fifth_language_has_its_own_reference(make):
+    prose, salad, symbols = texts()
+    own = ["il", "che", "di", "non", "per", "sono", "con", "una", "alla", "anche", "come", "della"]
+    rows = [(k, prose(own * 2), "it", "s") for k in range(60)] + [(k, prose(op.COMMON["en"]), "en", "s") for k in range(100, 120)]
+    rows += [(200, symbols, "it", "s"), (201, prose(own).upper(), "it", "s"), (202, salad(), "it", "s"), (300, prose(own * 2), None, "s")]
+    got = {r.doc_id: r for r in op.judge(make(rows), keep=["doc_id"]).collect()}
+    assert all(got[k].kept for k in [*range(60), *range(100, 120), 300])
+    assert not any(got[k].kept or got[k].base_failed for k in (200, 201, 202))
+
+
+def test_no_language_at_all(make):
+    prose, salad, symbols = texts()
+    rows = [(k, prose(op.COMMON["en"]), None, "s") for k in range(40)] + [(50, symbols, None, "s"), (51, salad(), None, "s")]
+    got = {r.doc_id: r for r in op.judge(make(rows), keep=["doc_id"]).collect()}
+    assert all(got[k].kept for k in range(40)) and not got[50].kept and not got[51].kept
+
+
+def test_a_language_of_few_words_and_one_of_none(make):
+    rows = [(k, "la " * 120, "xx", "s") for k in range(60)] + [(100 + k, None, "yy", "s") for k in range(60)] + [(200, "ba " * 120, None, "s")]
+    got = {r.doc_id: r for r in op.judge(make(rows), keep=["doc_id"]).collect()}
+    assert len(got) == 121 and got[0].word_distance == 0 and got[100].word_distance is None and got[200].word_distance > 0.9
