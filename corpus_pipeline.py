@@ -34,7 +34,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 ids."""
-    return op7_packing.pack_documents(docs)
+    return op7_packing.pack_documents(docs, special=True)
 
 
 STAGES = [

@@ -9,7 +9,8 @@ root of a length's count, so no length is ranked in one task.
 
 Ids are those of the `tokenizers` file byte_bpe_50k.json; the same vocabulary is run by
 the faster of the two libraries that ship it (tests hold both against each other).
-Strings of special tokens in a text are ordinary text.
+The query and the pipeline take `<|endoftext|>` in a text for the file's added token, as
+that file does by default; without `special` the string is ordinary text.
 
 Defined results: a null or empty text is one piece of length 1 (the end id); only longer
 documents than `capacity` are cut, and then the first piece is the shorter one; repeated
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from quakeframe.llm import common
 
 CAPACITY, END = 1024, 2
+#: The added tokens of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 #: Plans of more runs than this are joined without a broadcast; best-fit over 1024 lengths makes some thousands.
 MAX_BROADCAST_RUNS = 100_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -47,7 +50,7 @@ def encoding(name: str = "byte_bpe_50k.tiktoken"):
 
         with open(files.path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _ENCODINGS[name]
 
 
@@ -57,7 +60,9 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _pieces(name: str, capacity: int, schema: pa.Schema):
+def _pieces(name: str, capacity: int, special: bool, schema: pa.Schema):
+    allowed = set(ADDED) if special else set()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(name)
         for batch in batches:
@@ -65,7 +70,7 @@ def _pieces(name: str, capacity: int, schema: pa.Schema):
             row, out = [], [[], [], [], []]
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
-                tokens = np.append(bpe.encode_to_numpy(text, disallowed_special=()), END).astype("<u4")
+                tokens = np.append(bpe.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), END).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(tokens), capacity)):
                     row.append(k)
                     for column, x in zip(out, (piece, start, length, zlib.crc32(tokens[start : start + length].tobytes())), strict=True):
@@ -75,15 +80,15 @@ def _pieces(name: str, capacity: int, schema: pa.Schema):
     return run
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: the id, piece, start, length and ids_crc32."""
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, special: bool = False) -> DataFrame:
+    """One row per piece: the id, piece, start, length and ids_crc32. `special`: strings of ADDED are their tokens, not text."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     common.ship(docs.sparkSession)
     df = docs.select(doc_id, F.col(text).cast("string").alias("_pack_text"))
     kind = df.schema[0].dataType
     schema = pa.schema([("_id", to_arrow_type(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    made = df.mapInArrow(_pieces(vocabulary, capacity, schema), f"_id {kind.simpleString()}, {PIECES}")
+    made = df.mapInArrow(_pieces(vocabulary, capacity, special, schema), f"_id {kind.simpleString()}, {PIECES}")
     return made.withColumnRenamed("_id", doc_id)
 
 
@@ -151,14 +156,14 @@ def pack(cut_pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> D
     return df.drop("_salt", "_l", "_s", "_before", "_in", "_rank", "_len", "_from", "_to", "_first", "_at")
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """Documents cut, checked and packed: id, piece, start, length, ids_crc32, sequence_id and offset."""
-    return pack(common.written(pieces(docs, doc_id, text), "op7-pieces"), [doc_id, "piece", "ids_crc32"])
+    return pack(common.written(pieces(docs, doc_id, text, special=special), "op7-pieces"), [doc_id, "piece", "ids_crc32"])
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
-    return pack_documents(common.table(spark, sf_dir, "documents"))
+    return pack_documents(common.table(spark, sf_dir, "documents"), special=True)
 
 
 SQL = None

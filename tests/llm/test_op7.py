@@ -77,3 +77,19 @@ def test_plan_uses_each_place_once():
 
 def test_empty_table(make):
     assert op.pack_documents(make([])).collect() == []
+
+
+def test_query_and_pipeline_take_added_tokens(spark, make, odd, tmp_path):
+    """The file of `tokenizers` in its default setting."""
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275, 2]
+    rng = random.Random(4)
+    bits = ["the ", "of", " ", "\n\n", "   ", "año ", "<|endoftext|>", "<|endoftext|>", "<|endof", "|>", "it's", "日本"]
+    rows = odd + [(100 + k, "".join(rng.choice(bits) for _ in range(rng.choice([1, 5, 50, 2000]))), "en", "s") for k in range(80)]
+    make(rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    for got in (op.op7_packing(spark, f"file://{tmp_path}"), corpus_pipeline.packing(spark, make(rows), "")):
+        n, least = check(rows, got.collect(), ids)
+        assert n <= least + 1
