@@ -3,15 +3,20 @@
 Validated numbers and dates found in a text are permuted within their format by a keyed
 Feistel network, so equal values get equal pseudonyms in every document and different
 values stay different. Card numbers keep their length, separators and Luhn digit, IP
-addresses stay IP addresses, dates stay dates of the same notation. E-mail addresses and
-secrets have no numeric format; they become keyed digests.
+addresses stay IP addresses, dates stay dates of the same notation, social security
+numbers keep to the areas, groups and serials that are given out, and phone numbers of the
+North American plan stay numbers of that plan. E-mail addresses and secrets have no
+numeric format; they become keyed digests.
+
+No pattern repeats a group without a bound (Java's regular expressions recurse for each
+turn of one): a mail domain has 126 labels at most, which is what 253 characters hold.
 
 Defined results: a null text stays null, an empty one empty; numbers that fail their
 validation stay as they are; repeated rows are changed alike; an empty table gives no
 rows; other columns are untouched, whatever their names (helpers start with `_pii_`).
 
-The key is a parameter. Spark writes expressions to its event log, so on a shared
-cluster the log has to be as private as the key.
+The key has no default and needs 16 characters. Spark writes expressions to its event
+log, so on a shared cluster the log has to be as private as the key.
 """
 
 from __future__ import annotations
@@ -21,12 +26,13 @@ from pyspark.sql import functions as F
 
 from quakeframe.llm import common
 
-KEY = "change-me"
+#: Where a session names the key of the query and the pipeline; without it they take a key that anyone can read, good for tests only.
+KEY_SETTING, PUBLIC_KEY = "spark.quakeframe.pseudonyms.key", "a public key, for tests only"
 ROUNDS = 8
 #: The patterns of the kinds, tried in this order at every place.
 PATTERNS = {
     "secret": "AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \\t]{0,3}[=:][ \\t]{0,3}[\"']?[^\\s\"'#*$%&|<>]{6,}",
-    "email": "[A-Za-z0-9._%+\\-]{1,64}+@(?:[A-Za-z0-9\\-]{1,63}+\\.)+[A-Za-z]{2,24}",
+    "email": "[A-Za-z0-9._%+\\-]{1,64}+@(?:[A-Za-z0-9\\-]{1,63}+\\.){1,126}[A-Za-z]{2,24}",
     "date": "(?<!\\d)(?:\\d{4}([-/.])\\d{2}\\1\\d{2}|\\d{2}([-/.])\\d{2}\\2\\d{4})(?!\\d)",
     "ip": "(?<![\\d.])\\d{1,3}(?:\\.\\d{1,3}){3}(?!\\d|\\.\\d)",
     "phone": "(?<!\\d)(?:\\+?\\d{1,3}[ .\\-]?)?(?:\\(\\d{3}\\)[ .\\-]?|\\d{3}[ .\\-])\\d{3}[ .\\-]\\d{4}(?!\\d)",
@@ -119,7 +125,32 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    return _let(digits_of(m), lambda d: refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permuted(key, "phone", F.substring(d, F.length(d) - 9, F.lit(10))))))
+    """Numbers of the North American plan (no country code, or 1) have areas and exchanges from 200 up; those of other countries are permuted whole."""
+
+    def of(d: Column) -> Column:
+        head, own = F.substring(d, F.lit(1), F.length(d) - 10), F.substring(d, F.length(d) - 9, F.lit(10))
+        area, exchange, line = (F.substring(own, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (4, 3), (7, 4)))
+        pair = feistel(key, "phone", area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000))
+        dialled = _let(pair, lambda x: F.concat((x["a"] + 200).cast("string"), F.lpad((x["b"] + 2_000_000).cast("string"), 7, "0")))
+        american, valid = head.isin("", "1"), (area >= 200) & (exchange >= 200)
+        return F.when(american & ~valid, m).when(american, refilled(m, F.concat(head, dialled))).otherwise(refilled(m, F.concat(head, permuted(key, "phone", own))))
+
+    return _let(digits_of(m), of)
+
+
+def _ssn(key: str, m: Column) -> Column:
+    """Areas are 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+
+    def of(d: Column) -> Column:
+        area, group, serial = (F.substring(d, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (4, 2), (6, 4)))
+        valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        pair = feistel(key, "ssn", area - 1 - (area > 666).cast("bigint"), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999))
+        areas = lambda a: a + 1 + (a >= 665).cast("bigint")
+        shown = lambda v, n: F.lpad(v.cast("bigint").cast("string"), n, "0")
+        new = _let(pair, lambda x: F.concat(shown(areas(x["a"]), 3), shown(F.floor(x["b"] / 9999) + 1, 2), shown(x["b"] % 9999 + 1, 4)))
+        return F.when(valid, refilled(m, new)).otherwise(m)
+
+    return _let(digits_of(m), of)
 
 
 def _ip(key: str, m: Column) -> Column:
@@ -173,7 +204,7 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
         "date": _date(key, m),
         "ip": _ip(key, m),
         "phone": _phone(key, m),
-        "ssn": refilled(m, permuted(key, "ssn", digits_of(m))),
+        "ssn": _ssn(key, m),
         "card": _card(key, m),
     }
     out = m
@@ -182,8 +213,15 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's KEY_SETTING names, or the public one."""
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: bool = False) -> DataFrame:
     """The documents with their texts changed; with `count`, also n_<kind> columns of replaced values."""
+    if len(key) < 16:
+        raise ValueError("a key needs 16 characters")
     plain = common.Plain(docs)
     t, text = F.col("_pii_text"), plain.at(text)
     df = plain.df.withColumn("_pii_text", F.col(text).cast("string"))
@@ -205,7 +243,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: boo
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents with its pseudonyms, and how many values of each kind were replaced."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, count=True)
+    return pseudonymise(docs, key_of(spark), count=True)
 
 
 SQL = None

@@ -1,8 +1,10 @@
 import hashlib
 
+import pytest
+
 from quakeframe.llm import op6_pseudonyms as op
 
-KEY = op.KEY
+KEY = op.PUBLIC_KEY
 
 
 def f(kind, r, half):
@@ -28,9 +30,9 @@ def luhn(d):
     return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(map(int, d[::-1]))) % 10 == 0
 
 
-def run(make, texts, **kw):
+def run(make, texts, key=KEY):
     rows = [(k, t, None, None) for k, t in enumerate(texts)]
-    return {r.doc_id: r for r in op.pseudonymise(make(rows), count=True, **kw).collect()}
+    return {r.doc_id: r for r in op.pseudonymise(make(rows), key, count=True).collect()}
 
 
 def test_cards_stay_cards_and_link(make):
@@ -53,8 +55,8 @@ def test_phones_ips_dates_and_ids(make):
     import datetime as dt
 
     got = run(make, ["+1 (743) 555-3824", "152.143.123.131", "999.143.123.131 1.2.3.4.5", "1984-02-29 and 1985-02-29", "123-45-6789", "02/29/1984", "29.02.1984"])
-    d = permuted("phone", "7435553824")
-    assert got[0].text == f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"
+    a, b = feistel("phone", 743 - 200, (555 - 200) * 10000 + 3824, 800, 8_000_000)
+    assert got[0].text == f"+1 ({a + 200}) {b // 10000 + 200}-{b % 10000:04}"
     a, b = feistel("ip", 152 * 256 + 143, 123 * 256 + 131, 65536, 65536)
     assert got[1].text == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
     assert got[2].text == "999.143.123.131 1.2.3.4.5"
@@ -62,8 +64,32 @@ def test_phones_ips_dates_and_ids(make):
     a, b = feistel("date", n // op.DAYS_B, n % op.DAYS_B, op.DAYS_A, op.DAYS_B)
     day = dt.date(1700, 1, 1) + dt.timedelta(a * op.DAYS_B + b)
     assert got[3].text == f"{day:%Y-%m-%d} and 1985-02-29" and got[5].text == f"{day:%m/%d/%Y}" and got[6].text == f"{day:%d.%m.%Y}"
-    d = permuted("ssn", "123456789")
-    assert got[4].text == f"{d[:3]}-{d[3:5]}-{d[5:]}"
+    a, b = feistel("ssn", 122, 44 * 9999 + 6788, 898, 99 * 9999)
+    assert got[4].text == f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+
+
+def test_what_is_no_number_of_its_plan_stays(make):
+    texts = ["666-45-6789", "000-45-6789", "923-45-6789", "123-00-6789", "123-45-0000", "899-99-9999", "743-155-3824", "+1 143-555-3824", "+44 143-155-3824"]
+    got = run(make, texts)
+    assert [got[k].text == t for k, t in enumerate(texts)] == [True] * 5 + [False] + [True] * 2 + [False]
+    assert got[5].n_ssn == 1 and got[8].n_phone == 1 and got[7].n_phone == 0
+    d = permuted("phone", "1431553824")
+    assert got[8].text == f"+44 {d[:3]}-{d[3:6]}-{d[6:]}"
+
+
+def test_ssn_places_are_permuted(make):
+    seen = {feistel("ssn", a, b, 898, 99 * 9999) for a in range(898) for b in range(0, 99 * 9999, 9901)}
+    assert len(seen) == 898 * len(range(0, 99 * 9999, 9901)) and all(a < 898 and b < 99 * 9999 for a, b in seen)
+
+
+def test_hostile_long_texts(make):
+    n = 1_000_000
+    texts = ["x@" + "a." * n, "x@" + "aa." * n, "a.b@" + "a-" * n, "a" * n + "@", "password" * (n // 8), "password=" + "a" * n, "token = " * (n // 8)]
+    texts += ["1" * n, "1." * n, "1-" * n, "+1 (" * (n // 4), "123 456 " * (n // 8), "12/31/" * (n // 6), "AKIA" * (n // 4), "\u3042@" * (n // 2), " " * n]
+    got = run(make, texts)
+    same = [got[k].text == t for k, t in enumerate(texts)]
+    assert same[0] and same[2:5] == [True] * 3 and not same[5] and len(got[5].text) < 100 and same[7:10] == [True] * 3 and all(same[14:]) and got[13].n_secret == 1
+    assert got[1].n_email == 1 and got[1].text.endswith("aa." * (n - 200))
 
 
 def test_dates_are_permuted():
@@ -80,7 +106,9 @@ def test_mail_and_secrets(make):
 
 
 def test_odd_rows_and_other_keys(make, odd):
-    got = op.pseudonymise(make(odd)).collect()
+    got = op.pseudonymise(make(odd), KEY).collect()
     assert sorted(str(r.text) for r in got) == sorted(str(t) for _, t, *_ in odd)
-    assert op.pseudonymise(make([])).collect() == []
-    assert run(make, ["4785380592391139"])[0].text != run(make, ["4785380592391139"], key="other")[0].text
+    assert op.pseudonymise(make([]), KEY).collect() == []
+    assert run(make, ["4785380592391139"])[0].text != run(make, ["4785380592391139"], "another key, for tests")[0].text
+    with pytest.raises(ValueError, match="16 characters"):
+        op.pseudonymise(make([]), "short")
