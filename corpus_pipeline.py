@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers, dates, addresses and secrets get their pseudonyms."""
-    return op6_pseudonyms.pseudonymise(docs)
+    return op6_pseudonyms.pseudonymise(docs, op6_pseudonyms.key_of(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
