@@ -8,7 +8,9 @@ within their length; ranks come from (length, salt) groups whose number grows wi
 root of a length's count, so no length is ranked in one task.
 
 Ids are those of the `tokenizers` file byte_bpe_50k.json; the same vocabulary is run by
-the faster of the two libraries that ship it (tests hold both against each other).
+the faster of the two libraries that ship it (tests hold both against each other). Texts
+that the faster one refuses (its pattern gives up on some 900,000 blanks in a row) are
+encoded by `tokenizers` itself.
 The query and the pipeline take `<|endoftext|>` in a text for the file's added token, as
 that file does by default; without `special` the string is ordinary text.
 
@@ -54,6 +56,27 @@ def encoding(name: str = "byte_bpe_50k.tiktoken"):
     return _ENCODINGS[name]
 
 
+def reference(special: bool):
+    """The tokenizer of byte_bpe_50k.json itself, loaded once per process; `special` as in `pieces`."""
+    name = f"tokenizers-{special}"
+    if name not in _ENCODINGS:
+        import public_tokenizers as files
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+        t.encode_special_tokens = not special
+        _ENCODINGS[name] = t
+    return _ENCODINGS[name]
+
+
+def token_ids(text: str, vocabulary: str, special: bool) -> np.ndarray:
+    """The ids of a text."""
+    try:
+        return encoding(vocabulary).encode_to_numpy(text, allowed_special=set(ADDED) if special else set(), disallowed_special=())
+    except ValueError:
+        return np.array(reference(special).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids."""
     first = n % capacity or capacity
@@ -61,16 +84,13 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(name: str, capacity: int, special: bool, schema: pa.Schema):
-    allowed = set(ADDED) if special else set()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoding(name)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             row, out = [], [[], [], [], []]
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
-                tokens = np.append(bpe.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), END).astype("<u4")
+                tokens = np.append(token_ids(text, name, special), END).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(tokens), capacity)):
                     row.append(k)
                     for column, x in zip(out, (piece, start, length, zlib.crc32(tokens[start : start + length].tobytes())), strict=True):

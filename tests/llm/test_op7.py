@@ -93,3 +93,16 @@ def test_query_and_pipeline_take_added_tokens(spark, make, odd, tmp_path):
     for got in (op.op7_packing(spark, f"file://{tmp_path}"), corpus_pipeline.packing(spark, make(rows), "")):
         n, least = check(rows, got.collect(), ids)
         assert n <= least + 1
+
+
+def test_long_runs_of_blanks(make):
+    """What the faster library refuses has the ids of `tokenizers`, the added token included."""
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, " \n\t\u2003" * (n // 4), "a <|endoftext|>" + " " * n + "b"]
+    with pytest.raises(ValueError):
+        op.encoding().encode_to_numpy(texts[0], disallowed_special=())
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(k, text, "en", "s") for k, text in enumerate(texts)]
+    check(rows, op.pack_documents(make(rows), special=True).collect(), lambda text: t.encode(text, add_special_tokens=False).ids + [2])
+    for text in ("x" * 300_000, "1" * 300_000, "!?" * 200_000, "é" * 200_000, "a " * 400_000):
+        assert op.token_ids(text, "byte_bpe_50k.tiktoken", True).tolist() == t.encode(text, add_special_tokens=False).ids
