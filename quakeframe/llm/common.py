@@ -37,10 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only where that is unset (tests, a laptop) a local one is made."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only where that is unset and the master is local (tests, a laptop) a local one is made."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_quakeframe_scratch", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         where = sc._quakeframe_scratch = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return where.rstrip("/")
 
@@ -50,7 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quakeframe_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of `written`. Only for those that no table still to be read is made from: what was made of them is written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, df._quakeframe_path
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 class Plain:

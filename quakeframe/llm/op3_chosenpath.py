@@ -1,17 +1,17 @@
 """N-gram Jaccard join by chosen paths.
 
-Texts are sets of five-word shingles; equal texts form one class and go on as one set.
-A set is embedded as T min-hash values; two sets share the value at a sampled place with
-the probability of their Jaccard similarity. In each of RUNS runs every set walks down a
-path of sampled places: sets that share the values met so far share a bucket. A bucket of
-at most BUCKET sets is compared by brute force; a larger one is split again on places
-sampled from its path, up to LEVELS times. What is large even then, or what a split would
-not separate (many sets that share nearly everything), is compared in pairs of chunks, so
-nothing is dropped.
-
-Recall: a pair at similarity s meets in a run with probability s^2 at least while buckets
-are small; RUNS = 20 leaves (1 - 0.64)^20 < 1e-8 of the pairs at 0.8 unmet, and
-(1 - 0.33)^20 < 4e-4 in buckets that were split to the last level.
+Texts are sets of five-word shingles; equal texts form one class and go on as one set,
+known by a number of its own, whatever the ids of its rows. A set is embedded as T
+min-hash values: tokens of which two sets share the one at a sampled place with the
+probability of their Jaccard similarity. In each run every set walks down a path of
+sampled tokens: sets that share the tokens met so far share a bucket. All sets are split
+on DEPTH tokens; a bucket of at most BUCKET sets is then compared by brute force, a larger
+one is split again on tokens sampled from its path, up to LEVELS times. What is large even
+then, or what a split would not separate (many sets that share nearly everything), is
+compared in pairs of chunks, so nothing is dropped.
+
+Recall: `meeting` is the probability that a pair meets in a run, and `runs_for` repeats
+runs until a pair at the limit is met with probability RECALL.
 
 Pairs that meet and agree in the sketch give candidate clusters. Within a cluster every
 pair is then held against the true sets (links are exact: 9 * shared >= 4 * (a + b) for
@@ -21,13 +21,18 @@ a group of n different near copies is n^2 / 2 comparisons, spread over chunk pai
 the number of links of each of its sets is part of the result.
 
 Defined results: null and empty texts have no shingles and no links, but are copies of one
-another; a text of 1 to 4 words has one shingle, all its words; repeated rows are copies;
-a row without an id belongs to its text's class; an empty table gives no rows. Columns of
-the input other than id and text are only carried.
+another; a text of 1 to 4 words has one shingle, all its words; repeated rows are copies.
+A text's class is the smallest id of its rows. Where that is no id (all null), or the
+smallest of several texts (then it is that of the one with the smallest digest), the class
+is a negative number made of the digest; a group's class is the smallest proper one, if it
+has any. An empty table gives no rows. Columns of the input other than id and text are
+only carried.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,9 @@ from pyspark.sql import functions as F
 from quakeframe.llm import common
 from quakeframe.llm.components import components
 
-WORDS, T, RUNS, DEPTH = 5, 64, 20, 2
+WORDS, T, DEPTH, WAYS = 5, 64, 2, 2
 BUCKET, CHUNK, LEVELS, DENSE = 1024, 512, 3, 0.7
+SIMILARITY, RECALL = 0.8, 1 - 1e-8
 #: Sketches that agree in this many of T places make candidates: 5 deviations under the mean at similarity 0.8.
 AGREE = 35
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -47,6 +53,23 @@ _MASK = (1 << 64) - 1
 _BLANKS = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
 
+def meeting(similarity: float) -> float:
+    """The least probability that a pair of that similarity meets in a run: it shares the first DEPTH tokens, and then, should its buckets be split
+    to the last level, one of the WAYS tokens sampled at each level, all the way down."""
+    down = 1.0
+    for _ in range(LEVELS):
+        down = 1 - (1 - similarity * down) ** WAYS
+    return similarity**DEPTH * down
+
+
+def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair of that similarity has met with probability `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - meeting(similarity)))
+
+
+RUNS = runs_for(RECALL)
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -59,9 +82,9 @@ class Shingler:
     def __init__(self) -> None:
         self.up, self.down = _powers(1 << 16, _BASE), _powers(1 << 16, pow(_BASE, -1, 1 << 64))
 
-    def hashes(self, text: str) -> np.ndarray:
+    def hashes(self, text: bytes) -> np.ndarray:
         """Sorted distinct hashes of the shingles."""
-        tokens = text.encode("utf-8", "surrogatepass").translate(_BLANKS).split()
+        tokens = text.translate(_BLANKS).split()
         if not tokens:
             return np.empty(0, np.uint64)
         data = np.frombuffer(b" ".join(tokens), np.uint8)
@@ -99,25 +122,32 @@ def _places() -> np.ndarray:
     return np.stack([rng.choice(T, DEPTH, replace=False) for _ in range(RUNS)])
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest, sketch and the bucket of each run of every row's text (id, bytes); no sketch where a text has no word. A text seen last is not done again."""
     shingler, places = Shingler(), _places()
-    runs = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
+    starts = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
+    lately: dict[bytes, tuple] = {}
     for b in batches:
-        ids, sketches, keys = [], [], []
-        for k in range(b.num_rows):
-            h = shingler.hashes(b.column(1)[k].as_py() or "")
-            if len(h):
-                e = embedded(h)
-                key = runs
-                for d in range(DEPTH):
-                    key = mixed(key * np.uint64(31) + e[places[:, d]])
-                ids.append(b.column(0)[k])
-                sketches.append((e & np.uint64(0xFFFF)).astype("<u2").tobytes())
-                keys.append(key.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
+        out = []
+        for text in b.column(1):
+            data = text.as_py() or b""
+            digest = hashlib.md5(data, usedforsecurity=False).digest()
+            if digest not in lately:
+                if len(lately) >= 4096:
+                    lately.clear()
+                h, made = shingler.hashes(data), (None, None)
+                if len(h):
+                    e, key = embedded(h), starts
+                    for d in range(DEPTH):
+                        key = mixed(key * np.uint64(31) + e[places[:, d]])
+                    made = (e & np.uint64(0xFFFF)).astype("<u2").tobytes(), key.view(np.int64)
+                lately[digest] = made
+            out.append((digest, *lately[digest]))
+        digests, sketches, keys = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -194,10 +224,13 @@ _SETS = pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("shingles", pa.
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+    """The shingles of each set (id, cluster, bytes), once for each task that has its text."""
+    shingler, seen = Shingler(), set()
     for b in batches:
-        h = [shingler.hashes(t.as_py() or "").astype("<u8").tobytes() for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h, pa.binary())], schema=_SETS)
+        fresh = [k for k, i in enumerate(b.column(0).to_pylist()) if i not in seen and not seen.add(i)]
+        some = b.take(pa.array(fresh, pa.int64()))
+        h = [shingler.hashes(t.as_py() or b"").astype("<u8").tobytes() for t in some.column(2)]
+        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(h, pa.binary())], schema=_SETS)
 
 
 _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -206,17 +239,16 @@ _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each set and a spanning forest over them in each chunk pair (cluster, i, j; chunk, id, shingles)."""
     for g in _groups(batches, 3):
-        ids, chunk = g.column("id").to_numpy(), g.column("chunk").to_numpy()
+        ids, order = np.unique(g.column("id").to_numpy(), return_index=True)  # a set comes twice where its rows lay in two tasks
+        chunk = g.column("chunk").to_numpy()[order]
         two = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-        order = np.argsort(ids, kind="stable")
-        ids, chunk = ids[order], chunk[order]
         raw = g.column("shingles").to_pylist()
         sets = [np.frombuffer(raw[k], "<u8") for k in order]
         sizes = np.array([len(x) for x in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         mark = np.zeros(flat.max(initial=0) + 1, np.int64)
-        linked = np.zeros((len(ids), len(ids)), bool)  # at most 2 * CHUNK squared
+        linked = np.zeros((len(ids), len(ids)), bool)  # about 2 * CHUNK squared
         for k in range(len(ids)):
             own = flat[starts[k] : starts[k] + sizes[k]]
             mark[own] = 1
@@ -244,8 +276,8 @@ def _chunk_pairs(rows: DataFrame, key: str, size: str) -> DataFrame:
     return df.filter((F.col("i") != F.col("j")) | (F.col("i") == F.col("chunk"))).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _buckets(sketches: DataFrame) -> DataFrame:
-    """(key, n, id, sketch): the sets of every bucket that is compared, with the bucket's size.
+def _buckets(sketches: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, n, id, sketch): the sets of every bucket that is compared, with the bucket's size; and the written tables it is read from.
 
     A large bucket is split while that separates its sets. Where a child would keep more
     than DENSE of them they are much alike, and the bucket is compared as it is.
@@ -253,10 +285,12 @@ def _buckets(sketches: DataFrame) -> DataFrame:
     sizes = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "_k")
     s = sketches.select(F.col("id").alias("_i"), "sketch")
     slim = sketches.select("id", F.explode("keys").alias("key"))
-    done = []
+    done, used = [], []
     for level in range(LEVELS + 1):
         many = common.written(sizes(slim).filter("n > 1"), "op3-sizes")
         met = common.written(slim.join(many, slim["key"] == many["_k"]).drop("_k"), "op3-met")
+        common.forget(many)
+        used.append(met)
         large = met.filter(F.col("n") > BUCKET)
         if level == LEVELS or large.isEmpty():
             done.append(met)
@@ -264,76 +298,103 @@ def _buckets(sketches: DataFrame) -> DataFrame:
         done.append(met.filter(F.col("n") <= BUCKET))
         large = large.join(s, large["id"] == s["_i"]).drop("_i")
         child = lambda c: F.xxhash64("key", F.lit(c), F.substring("sketch", (F.pmod(F.xxhash64("key", F.lit(c)), F.lit(T)) * 2 + 1).cast("int"), F.lit(2)))
-        split = common.written(large.select(F.col("key").alias("parent"), "n", "id", F.explode(F.array(child(0), child(1))).alias("key")), "op3-split")
+        split = common.written(large.select(F.col("key").alias("parent"), "n", "id", F.explode(F.array(*map(child, range(WAYS)))).alias("key")), "op3-split")
         most = split.groupBy("parent", "n", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("parent").agg((F.max("m") > DENSE * F.max("n")).alias("dense"))
         most = common.written(most.withColumnRenamed("parent", "_p"), "op3-dense")
+        used += [split, most]
         split = split.join(most, split["parent"] == most["_p"])
         done.append(split.filter("dense").select("id", F.col("parent").alias("key"), "n").distinct())
         slim = common.written(split.filter(~F.col("dense")).select("id", "key"), "op3-slim")
+        used.append(slim)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.join(s, out["id"] == s["_i"]).drop("_i")
+    return out.join(s, out["id"] == s["_i"]).drop("_i"), used
 
 
-def _digest(docs: DataFrame, text: str) -> Column:
-    return F.md5(F.encode(common.text_of(docs, text), "UTF-8"))
+def _bytes(docs: DataFrame, text: str) -> Column:
+    return common.text_of(docs, text).cast("binary")
 
 
 def _spare(digest: Column) -> Column:
-    """A negative id for a text whose rows have none."""
+    """A negative number for a text that has no id to be known by."""
     return -1 - F.pmod(F.xxhash64(digest), F.lit(1 << 62))
 
 
-def classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A written table with the digest of each row's text and its class: _id, _digest, _class (the smallest id of an equal text), _copies."""
-    rows = common.written(docs.select(docs[doc_id].cast("long").alias("_id"), _digest(docs, text).alias("_digest")), "op3-digests")
-    c = rows.groupBy("_digest").agg(F.coalesce(F.min("_id"), F.min(_spare(F.col("_digest")))).alias("_class"), F.count(F.lit(1)).alias("_copies"))
-    # Written, as other sides of joins below: a join of two plain exchanges is one whose hot keys Spark can split.
-    c = common.written(c.withColumnRenamed("_digest", "_d"), "op3-texts")
-    return common.written(rows.join(c, rows["_digest"] == c["_d"]).drop("_d"), "op3-classes")
+def classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Two written tables. Rows: id and digest. Texts: set (a number for each), digest, low (smallest id), copies, proper (whether the class is an id), class, sketch, keys."""
+    made = docs.select(docs[doc_id].cast("long").alias("id"), _bytes(docs, text).alias("text")).mapInArrow(_sketches, _ddl(_SKETCH))
+    rows = common.written(made, "op3-rows")
+    texts = rows.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    # Written, so the numbers stay; and a join of two plain exchanges is one whose hot keys Spark can split.
+    texts = common.written(texts.withColumn("set", F.monotonically_increasing_id()), "op3-texts")
+    first = common.written(texts.filter(F.col("low").isNotNull()).groupBy(F.col("low").alias("_l")).agg(F.min("digest").alias("_d")), "op3-first")
+    own = texts.join(first, (texts["low"] == first["_l"]) & (texts["digest"] == first["_d"]), "left")
+    own = own.withColumn("proper", F.col("_l").isNotNull()).withColumn("class", F.when(F.col("proper"), F.col("low")).otherwise(_spare(F.col("digest"))))
+    named = common.written(own.drop("_l", "_d"), "op3-named")
+    common.forget(texts, first)
+    return rows, named
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: _id, _digest, _class, _copies, _links (to different texts) and _group (smallest id that links reach)."""
+    """One row per document: _id, _digest, _class, _copies, _links (to different texts), _group (class of all that links reach) and _first (whether it is the row that stands for its group)."""
+    return _joined(docs, doc_id, text)[0]
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """`join`, and the written tables it is read from."""
     common.ship(docs.sparkSession)
-    member = classes(docs, doc_id, text)
-    first = member.filter(F.col("_id") == F.col("_class")).select("_id").distinct()
-    texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text")).filter(F.col("id").isNotNull())
-    one = texts.join(first, texts["id"] == first["_id"], "left_semi")
-    sketches = common.written(one.mapInArrow(_sketches, _ddl(_SKETCH)).dropDuplicates(["id"]), "op3-sketches")
-    pairs = _chunk_pairs(_buckets(sketches), "key", "n").select("key", "i", "j", "chunk", "id", "sketch")
-    near = common.written(components(pairs.mapInArrow(_candidates, _ddl(_EDGES)).distinct(), "op3-near").withColumnRenamed("root", "cluster"), "op3-clusters")
+    rows, texts = classes(docs, doc_id, text)
+    sketches = texts.filter(F.col("sketch").isNotNull()).select(F.col("set").alias("id"), "sketch", "keys")
+    buckets, used = _buckets(sketches)
+    pairs = _chunk_pairs(buckets, "key", "n").select("key", "i", "j", "chunk", "id", "sketch")
+    found_near = components(pairs.mapInArrow(_candidates, _ddl(_EDGES)).distinct(), "op3-near")
+    near = found_near.withColumnsRenamed({"id": "_i", "root": "cluster"})
+    common.forget(*used)
     sizes = common.written(near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_c"), "op3-cluster-sizes")
-    near = near.withColumnRenamed("id", "_i")
-    sets = texts.join(near, texts["id"] == near["_i"]).select("id", "cluster", "text").dropDuplicates(["id"]).mapInArrow(_sets, _ddl(_SETS))
+    # A set's text is that of the rows with its smallest id, so rows of a hot text lie apart.
+    wanted = near.join(texts.select("set", "digest", "low"), F.col("_i") == F.col("set")).select("set", "cluster", F.col("digest").alias("_d"), F.coalesce("low", F.lit(0)).alias("_l"))
+    wanted = common.written(wanted, "op3-wanted")
+    body = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(0)).alias("_own"), _bytes(docs, text).alias("_text")).withColumn("_digest", F.unhex(F.md5("_text")))
+    sets = body.join(wanted, (body["_digest"] == wanted["_d"]) & (body["_own"] == wanted["_l"])).select("set", "cluster", "_text").mapInArrow(_sets, _ddl(_SETS))
     dealt = _chunk_pairs(sets.join(sizes, sets["cluster"] == sizes["_c"]), "cluster", "n").select("cluster", "i", "j", "chunk", "id", "shingles")
     found = common.written(dealt.mapInArrow(_verified, _ddl(_LINKS)), "op3-links")
-    links = found.groupBy("id").agg(F.sum("links").alias("_links")).withColumnRenamed("id", "_l")
-    groups = common.written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "op3-groups"), "op3-groups")
-    low = common.written(groups.groupBy("root").agg(F.min("id").alias("_group")).withColumnRenamed("root", "_r"), "op3-low")
-    groups = groups.join(low, groups["root"] == low["_r"]).select(F.col("id").alias("_g"), "_group")
-    per_class = common.written(links.join(groups, links["_l"] == groups["_g"], "left").filter("_links > 0").select("_l", "_links", "_group"), "op3-per-class")
-    out = member.join(per_class, member["_class"] == per_class["_l"], "left").drop("_l")
-    return out.withColumns({"_links": F.coalesce("_links", F.lit(0)), "_group": F.coalesce("_group", "_class")})
+    common.forget(sizes, wanted)
+    links = found.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0").withColumnRenamed("id", "_s")
+    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "op3-groups")
+    named = groups.join(texts.select("set", "proper", "class"), F.col("id") == F.col("set"))
+    low = named.groupBy("root").agg(F.min(F.struct((~F.col("proper")).alias("p"), F.col("class").alias("c"), F.col("set").alias("s"))).alias("low"))
+    low = common.written(low.select(F.col("root").alias("_r"), F.col("low.c").alias("group"), F.col("low.s").alias("head")), "op3-low")
+    reached = groups.join(low, groups["root"] == low["_r"]).select(F.col("id").alias("_g"), "group", "head")
+    per_set = common.written(links.join(reached, links["_s"] == reached["_g"]).drop("_g"), "op3-per-set")
+    facts = texts.select("set", "digest", "copies", "class", "low").join(per_set, F.col("set") == F.col("_s"), "left")
+    facts = facts.select(F.col("digest").alias("_d"), "low", F.col("class").alias("_class"), F.col("copies").alias("_copies"), F.coalesce("links", F.lit(0)).alias("_links"), F.coalesce("group", "class").alias("_group"), F.coalesce(F.col("head") == F.col("set"), F.lit(True)).alias("_first"))
+    facts = common.written(facts, "op3-facts")
+    common.forget(texts, found, groups, low, per_set, found_near)
+    out = rows.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).join(facts, F.col("_digest") == F.col("_d")).drop("_d")
+    return out.withColumn("_first", F.col("_first") & F.col("_id").eqNullSafe(F.col("low"))).drop("low"), [rows, facts]
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group stays, the one with the smallest id, with all columns of `docs`.
+    """One document of each group stays, one of its class, with all columns of `docs`.
 
     Rows are known by id and text. Only if some rows agree in both are whole rows grouped to keep one of each.
     """
     plain = common.Plain(docs)
     docs, doc_id, text = plain.df, plain.at(doc_id), plain.at(text)
-    key = lambda i, d: F.coalesce(i, _spare(d))
-    member = join(docs, doc_id, text).select("_id", "_digest", key(F.col("_id"), F.col("_digest")).alias("_key"), "_group")
-    gone = common.written(member.filter(F.col("_key") != F.col("_group")).select("_key", "_digest").distinct(), "op3-gone")
-    repeated = member.filter(F.col("_key") == F.col("_group")).groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    df = docs.withColumn("_this", _digest(docs, text)).withColumn("_own", key(docs[doc_id].cast("long"), F.col("_this")))
+    joined, used = _joined(docs, doc_id, text)
+    member = joined.select(F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_none"), "_digest", "_first")
+    member = common.written(member, "op3-member")
+    common.forget(*used)
+    gone = common.written(member.filter(~F.col("_first")).select("_key", "_none", "_digest").distinct(), "op3-gone")
+    repeated = member.filter("_first").groupBy("_key", "_none", "_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = docs[doc_id].cast("long")
+    df = docs.withColumns({"_this": F.unhex(F.md5(_bytes(docs, text))), "_own": F.coalesce(own, F.lit(0)), "_bare": own.isNull()})
     # What goes grows with the documents, so it is never broadcast, at no size.
-    left = df.join(gone.hint("merge"), (df["_own"] == gone["_key"]) & (df["_this"] == gone["_digest"]), "left_anti")
+    left = df.join(gone.hint("merge"), (df["_own"] == gone["_key"]) & (df["_bare"] == gone["_none"]) & (df["_this"] == gone["_digest"]), "left_anti")
     if not repeated.isEmpty():
-        left = left.dropDuplicates(["_own", "_this"])
+        left = left.dropDuplicates(["_own", "_bare", "_this"])
+    common.forget(member)
     return plain.back(left)
 
 
