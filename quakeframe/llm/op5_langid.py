@@ -2,20 +2,22 @@
 
 Every language has a probability for each piece of a fixed public vocabulary. The
 probability of a word is the sum over all its segmentations into pieces, by a forward
-algorithm; a text's is the product over its words. The piece probabilities are learned by
-expectation maximisation over soft segmentations, from a sample of the labelled documents
-that is bounded by `Fit.docs_per_language` documents of each language (in expectation:
-every document is drawn by a hash of its id at the rate that its language's count gives)
-and by `Fit.words` different words, drawn by their hash.
-
-Prediction reads nothing but the text, and all of it. Words are scored once per task and
-cached; a word longer than MAX_WORD letters is learned from and scored in parts of that
-length. All lower-case pieces of letters that the vocabulary has are used.
+algorithm; a text's is the product over its words. All pieces of letters that the
+vocabulary has are used, lower-cased; a letter that it lacks is spelled, as the vocabulary
+does it, by its byte pieces. The piece probabilities are learned by expectation
+maximisation over soft segmentations, from a sample of the labelled documents that is
+bounded by `Fit.docs_per_language` documents of each language (in expectation: every
+document is drawn by a hash of its id at the rate that its language's count gives). All
+words of the sample are learned from, whole; the longest one takes 16 bytes a letter.
+
+Prediction reads nothing but the text, and all of it. Words are scored whole, once per
+task while the cache has room; sums are kept for the last MAX_PIECE letters only, so a
+word of any length takes the same memory.
 
 Defined results: a null text and one without letters get `und` and score 0; if nothing can
-be learned every text does; a language is one that a training document names; a text whose
-letters all lack from the vocabulary scores every language alike and gets the first; repeated
-rows are predicted alike; an empty table gives no rows. Columns of the input are kept.
+be learned every text does; a language is one that a training document names; a text that
+scores all languages alike gets the first; repeated rows are predicted alike; an empty
+table gives no rows. Columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -36,17 +38,17 @@ from quakeframe.llm import common
 VOCABULARY = "piece_bpe_32k.model"
 #: Letters of the vocabulary's longest piece, the start sign included.
 MAX_PIECE = 16
-MAX_WORD, CACHE = 400, 200_000
+#: Different words in the cache, and letters in all; places after which sums are scaled, so that no product of letters underflows.
+CACHE, CACHE_LETTERS, SCALE = 200_000, 4_000_000, 8
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the training sample (documents of a language, different words in all), passes of expectation maximisation, and smoothing."""
+    """Bound of the training sample (documents of a language), passes of expectation maximisation, and smoothing."""
 
-    docs_per_language: int = 150
-    words: int = 400_000
+    docs_per_language: int = 300
     passes: int = 4
     smoothing: float = 0.05
     unknown: float = 1e-8
@@ -113,7 +115,10 @@ def pieces_of(name: str = VOCABULARY) -> Pieces:
 
 
 class Pieces:
-    """The vocabulary as a trie in arrays: a step for each node and letter, the piece that ends at a node."""
+    """The vocabulary as a trie in arrays: a step for each node and letter, the piece that ends at a node.
+
+    Rows of a probability table: `n` pieces, 256 byte pieces, and a last one of 0 for nodes where no piece ends.
+    """
 
     def __init__(self, name: str = VOCABULARY):
         import public_tokenizers as files
@@ -121,7 +126,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=files.path(name))
         fit = regex.compile(START + r"?\p{L}*")
-        pieces = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if p == p.lower() and p not in ("", START) and fit.fullmatch(p)]
+        pieces = list(dict.fromkeys(p for p in map(str.lower, map(model.id_to_piece, range(model.get_piece_size()))) if p not in ("", START) and fit.fullmatch(p)))
         if max(map(len, pieces)) > MAX_PIECE:
             raise ValueError(f"{name} has pieces of more than {MAX_PIECE} letters")
         often = Counter(c for p in pieces for c in set(p))
@@ -138,9 +143,9 @@ class Pieces:
                     ends.append(-1)
                 node = steps[node][k]
             ends[node] = number
-        self.n = len(pieces)
+        self.n, self.rows = len(pieces), len(pieces) + 257
         self.step = Steps(steps, len(self.letters))
-        self.end = np.full(len(self.step.base), self.n, np.int32)  # row n of a probability table is 0
+        self.end = np.full(len(self.step.base), self.rows - 1, np.int32)
         for place, number in zip(self.step.place, ends, strict=True):
             if number >= 0:
                 self.end[place] = number
@@ -148,16 +153,28 @@ class Pieces:
         for c, k in self.letters.items():
             self.table[ord(c)] = k
 
-    def coded(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words by length: their places in the list and a matrix of letter numbers that begins with START."""
+    def coded(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words by length: their places in the list, and matrices of letter numbers and code points that begin with START."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             n = int(sizes[part[0]]) if len(part) else 0
-            for at in range(0, len(part), 8192):
-                rows = part[at : at + 8192]
-                points = np.frombuffer("".join(START + words[k] for k in rows).encode("utf-32-le", "surrogatepass"), np.uint32)
-                yield rows, self.table[points].reshape(len(rows), n + 1).astype(np.int32)
+            some = max(1, min(8192, (1 << 20) // (n + 1)))
+            for at in range(0, len(part), some):
+                rows = part[at : at + some]
+                points = np.frombuffer("".join(START + words[k] for k in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), n + 1)
+                yield rows, self.table[points].astype(np.int32), points
+
+    def spelled(self, points: np.ndarray) -> np.ndarray:
+        """Rows of the byte pieces of code points, four for each, -1 where it has fewer."""
+        c = points.astype(np.int64)
+        out = np.full((len(c), 4), -1, np.int64)
+        size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        for n, head in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            own = size == n
+            for k in range(n):
+                out[own, k] = self.n + (((c[own] >> 6 * (n - 1 - k)) & 0x3F) | 0x80 if k else head | (c[own] >> 6 * (n - 1)))
+        return out
 
     def found(self, letters: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray]]:
         """(length, piece numbers) of the pieces that start at place i."""
@@ -169,17 +186,27 @@ class Pieces:
             yield n, self.end[node]
 
 
-def forward(pieces: Pieces, p: np.ndarray, letters: np.ndarray, unknown: float) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def single(pieces: Pieces, p: np.ndarray, letters: np.ndarray, points: np.ndarray, unknown: float) -> np.ndarray:
+    """Probability [word, language] of one letter by itself: `unknown`, or for one that the vocabulary lacks that of its byte pieces."""
+    out = np.full((len(letters), p.shape[1]), unknown)
+    lack = np.flatnonzero(letters == 0)
+    if len(lack):
+        rows = pieces.spelled(points[lack])
+        out[lack] = np.where(rows[:, :, None] < 0, 1.0, p[rows]).prod(axis=1)
+    return out
+
+
+def forward(pieces: Pieces, p: np.ndarray, letters: np.ndarray, points: np.ndarray, unknown: float) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Forward sums a[place, word, language], scaled, and the factors [word, language] by which those from a place on were divided."""
     m, n = letters.shape
     a = np.zeros((n + 1, m, p.shape[1]))
     a[0] = 1
     tops = {}
     for i in range(n):
-        if i and i % MAX_PIECE == 0:
+        if i and i % SCALE == 0:
             tops[i] = a[i : i + MAX_PIECE + 1].max(axis=0)
             a[i : i + MAX_PIECE + 1] /= tops[i]
-        a[i + 1] += a[i] * unknown
+        a[i + 1] += a[i] * single(pieces, p, letters[:, i], points[:, i], unknown)
         for length, number in pieces.found(letters, i):
             a[i + length] += a[i] * p[number]
     return a, tops
@@ -188,85 +215,102 @@ def forward(pieces: Pieces, p: np.ndarray, letters: np.ndarray, unknown: float)
 def word_scores(pieces: Pieces, p: np.ndarray, words: list[str], unknown: float) -> np.ndarray:
     """log P(word) in each language."""
     out = np.empty((len(words), p.shape[1]))
-    for rows, letters in pieces.coded(words):
-        a, tops = forward(pieces, p, letters, unknown)
-        out[rows] = np.log(a[-1]) + sum(map(np.log, tops.values()))
+    for rows, letters, points in pieces.coded(words):
+        m, n = letters.shape
+        a, logs = np.zeros((SCALE + MAX_PIECE + 1, m, p.shape[1])), 0.0
+        a[0] = 1
+        for at in range(0, n, SCALE):
+            last = min(n, at + SCALE)
+            for i in range(at, last):
+                here = a[i - at]
+                a[i - at + 1] += here * single(pieces, p, letters[:, i], points[:, i], unknown)
+                for length, number in pieces.found(letters, i):
+                    a[i - at + length] += here * p[number]
+            ahead = a[last - at : last - at + MAX_PIECE + 1].copy()
+            top = ahead.max(axis=0)
+            logs = logs + np.log(top)
+            a[: MAX_PIECE + 1], a[MAX_PIECE + 1 :] = ahead / top, 0
+        out[rows] = np.log(a[0]) + logs
     return out
 
 
-def expected(pieces: Pieces, own: np.ndarray, letters: np.ndarray, weight: np.ndarray, unknown: float) -> np.ndarray:
+def expected(pieces: Pieces, own: np.ndarray, letters: np.ndarray, points: np.ndarray, weight: np.ndarray, unknown: float) -> np.ndarray:
     """How often each piece is expected in the segmentations of words, by forward and backward sums of one language.
 
     The backward sums are scaled by the factors of the forward ones and the words' probabilities, so that a x b is the
     probability of a border at a place.
     """
-    a, tops = forward(pieces, own[:, None], letters, unknown)
+    p = own[:, None]
+    a, tops = forward(pieces, p, letters, points, unknown)
     a = a[:, :, 0]
     m, n = letters.shape
     b = np.zeros((n + 1, m))
     b[n] = 1 / a[n]
-    gained = np.zeros(pieces.n + 1)
+    gained = np.zeros(pieces.rows)
 
     def at(i: int, j: int) -> np.ndarray:
-        """b[j] on the scale of place i; at most one factor lies between them."""
-        k = j // MAX_PIECE * MAX_PIECE
-        return b[j] / tops[k][:, 0] if k > i and k in tops else b[j]
+        """b[j] on the scale of place i."""
+        out = b[j]
+        for k in range((i // SCALE + 1) * SCALE, j + 1, SCALE):
+            out = out / tops[k][:, 0] if k in tops else out
+        return out
 
     for i in range(n - 1, -1, -1):
-        b[i] = at(i, i + 1) * unknown
+        alone = single(pieces, p, letters[:, i], points[:, i], unknown)[:, 0] * at(i, i + 1)
+        b[i] = alone
+        lack = np.flatnonzero(letters[:, i] == 0)
+        if len(lack):
+            rows = pieces.spelled(points[lack, i])
+            for k in range(4):
+                has = rows[:, k] >= 0
+                gained += np.bincount(rows[has, k], (a[i] * alone * weight)[lack[has]], pieces.rows)
         for length, number in pieces.found(letters, i):
             way = own[number] * at(i, i + length)
             b[i] += way
-            gained += np.bincount(number, a[i] * way * weight, pieces.n + 1)
+            gained += np.bincount(number, a[i] * way * weight, pieces.rows)
     return gained
 
 
 def learn(pieces: Pieces, counts: dict[str, dict[str, int]], fit: Fit = Fit()) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities (pieces + 1 rows, the last 0) from word counts by language."""
+    """Languages and their piece probabilities (pieces.rows, the last 0) from word counts by language."""
     languages = sorted(counts)
-    p = np.zeros((pieces.n + 1, len(languages)))
+    p = np.zeros((pieces.rows, len(languages)))
     for k, language in enumerate(languages):
-        own_counts: Counter[str] = Counter()
-        for word, n in counts[language].items():
-            for part in parts(word):
-                own_counts[part] += n
-        words = list(own_counts)
-        weight = np.array([own_counts[w] for w in words], float)
-        own = np.full(pieces.n + 1, 1.0 / pieces.n)
+        words = list(counts[language])
+        weight = np.array([counts[language][w] for w in words], float)
+        own = np.full(pieces.rows, 1.0 / (pieces.rows - 1))
         own[-1] = 0
         for _ in range(fit.passes if words else 0):
-            gained = np.full(pieces.n + 1, fit.smoothing)
-            for rows, letters in pieces.coded(words):
-                gained += expected(pieces, own, letters, weight[rows], fit.unknown)
+            gained = np.full(pieces.rows, fit.smoothing)
+            for rows, letters, points in pieces.coded(words):
+                gained += expected(pieces, own, letters, points, weight[rows], fit.unknown)
             gained[-1] = 0
             own = gained / gained.sum()
         p[:, k] = own
     return languages, p
 
 
-def parts(text: str) -> list[str]:
-    """Lower-case words of a text; a longer one than MAX_WORD in parts."""
-    words = LETTERS.findall(text.lower())
-    if any(len(w) > MAX_WORD for w in words):
-        words = [w[k : k + MAX_WORD] for w in words for k in range(0, len(w), MAX_WORD)]
-    return words
+def words_in(text: str) -> list[str]:
+    """Lower-case words of a text."""
+    return LETTERS.findall(text.lower())
 
 
 def _predict(place: int, languages: list[str], p: np.ndarray, vocabulary: str, unknown: float, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(vocabulary)
         cache: dict[str, int] = {}
-        scores = np.empty((0, len(languages)))
+        scores, letters = np.empty((0, len(languages))), 0
 
         def judge(texts: list[str]) -> tuple[list[str], list[float]]:
-            nonlocal cache, scores
-            split = [parts(t) for t in texts]
+            nonlocal cache, scores, letters
+            split = [words_in(t) for t in texts]
             flat = [w for ws in split for w in ws]
             fresh = list(set(flat).difference(cache))
-            if len(cache) + len(fresh) > CACHE and cache:
-                cache, scores = {}, np.empty((0, len(languages)))
+            if cache and (len(cache) + len(fresh) > CACHE or letters > CACHE_LETTERS):
+                cache, scores, letters = {}, np.empty((0, len(languages))), 0
                 fresh = list(set(flat))
             if fresh:
+                letters += sum(map(len, fresh))
                 cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh)), strict=True))
                 scores = np.concatenate([scores, word_scores(pieces, p, fresh, unknown)])
             sizes = np.array([len(ws) for ws in split])
@@ -319,7 +363,7 @@ def predict(docs: DataFrame, train: DataFrame | None = None, fit: Fit = Fit(), k
     common.ship(docs.sparkSession)
     counts: dict[str, dict[str, int]] = {}
     words = sample(docs if train is None else train, fit.docs_per_language, doc_id, text, lang)
-    for r in words.orderBy(F.xxhash64("_lang", "_word"), "_lang", "_word").limit(fit.words).collect():  # fit.words rows at most
+    for r in words.orderBy("_lang", "_word").collect():  # the words of fit.docs_per_language documents of each language
         counts.setdefault(r["_lang"], {})[r["_word"]] = r["n"]
     languages, p = learn(pieces_of(), counts, fit) if counts else ([], np.zeros((1, 0)))
     keep = docs.columns if keep is None else keep
@@ -330,10 +374,11 @@ def predict(docs: DataFrame, train: DataFrame | None = None, fit: Fit = Fit(), k
 
 
 def with_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents whose language is found; learned from the labelled ones among them."""
+    """The documents whose language is found, under that language where they name none; learned from those that name theirs."""
     plain = common.Plain(docs)
     found = predict(plain.df, doc_id=plain.at(doc_id), text=plain.at(text), lang=plain.at(lang))
-    return plain.back(found.filter(F.col("_lang_pred") != "und"))
+    named = F.coalesce(F.col(plain.at(lang)), F.col("_lang_pred").cast(docs.schema[lang].dataType))
+    return plain.back(found.filter(F.col("_lang_pred") != "und").withColumn(plain.at(lang), named))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
