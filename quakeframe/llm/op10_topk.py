@@ -1,22 +1,26 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Candidates are cut into blocks of consecutive ids. A block row is a forward index (its
-vectors as one integer matrix) with the largest and smallest value of every dimension,
-the term maxima; for a query their weighted sum bounds every score in the block. Queries
-first score the block with the highest bound, which gives a threshold (their k-th score);
-then they visit, block by block, only those whose bound reaches it. Queries travel to
-blocks, blocks never travel to queries.
+Candidates are cut into blocks of at most BLOCK consecutive ids. A block row is a forward
+index (its vectors as one integer matrix of the narrowest type that holds them) with the
+largest and smallest value of every dimension, the term maxima; for a query their weighted
+sum bounds every score in the block. Blocks keep their size however many vectors there are.
+Their summaries are packed into pages, a distributed table as well: no task and no driver
+holds them all.
+
+A query visits its blocks in the order of its own bounds. Visits go in bands: first the
+blocks of the highest bound, then those down to half way between that and the k-th score,
+half way again, and last the rest; the k-th score is taken anew after each band, and a
+block is left out as soon as its bound is under it. (A job for every single block would
+take as many jobs as there are blocks.) Queries travel to blocks in chunks, blocks never
+travel to queries.
 
 Scores are integers, so all of this is exact; ties go to the smaller id.
 
-Bounds: the block table has at most MAX_BLOCKS rows of summaries, whatever the number of
-vectors, so the summaries are small enough for every task; a block's matrix has
-max(BLOCK, vectors / MAX_BLOCKS) rows.
-
-Defined results: vectors that are null, empty, of another length than most, or hold null
-or non-finite components take no part; a query with fewer than k partners gets them all;
-rows with an id that occurs twice are candidates each (a query never gets its own id, and
-asks with the smallest of its vectors); an empty table gives no rows. Other columns of the input are not read.
+Defined results: vectors that are null, empty, or hold null or non-finite components take
+no part; a score takes two vectors of one length, so a query's candidates are those of its
+own length; a query with fewer than k partners gets them all; rows with an id that occurs
+twice are candidates each (a query never gets its own id, and asks with the smallest of
+its vectors); an empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +35,16 @@ from pyspark.sql import functions as F
 
 from quakeframe.llm import common
 
-BLOCK, MAX_BLOCKS, QUERY_CHUNK = 1024, 4096, 512
+BLOCK, QUERY_CHUNK, BANDS = 1024, 512, 4
+#: Blocks of a partition that makes them, and partitions of a page of summaries.
+PART_BLOCKS, PAGE_PARTS = 64, 8
 SCALE = 256
-_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("matrix", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
+NONE = -(2**63)
+_BLOCKS = pa.schema([("block", pa.int64()), ("page", pa.int64()), ("dims", pa.int64()), ("kind", pa.string()), ("ids", pa.binary()), ("matrix", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
+_CHUNKS = pa.schema([("dims", pa.int64()), ("queries", pa.binary()), ("vectors", pa.binary()), ("upper", pa.binary()), ("lower", pa.binary()), ("least", pa.binary())])
+_TOPS = pa.schema([("query_id", pa.int64()), ("top", pa.int64())])
 _ROUTES = pa.schema([("block", pa.int64()), ("queries", pa.binary()), ("vectors", pa.binary()), ("least", pa.binary())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-_DDL = {"long": "bigint", "binary": "binary"}
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -48,31 +56,62 @@ def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
+
+
+def _kind(m: np.ndarray) -> str:
+    """The narrowest integer type that holds all of a matrix."""
+    most = max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+    return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
+    """Up to `size` rows of one length (column dims), as they come."""
+    held, n, last = [], 0, None
+    for b in batches:
+        dims = b.column("dims").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            while x < y:
+                if held and (n == size or dims[x] != last):
+                    yield last, pa.Table.from_batches(held)
+                    held, n = [], 0
+                last, take = int(dims[x]), min(y - x, size - n)
+                held.append(b.slice(x, take))
+                n, x = n + take, x + take
+    if held:
+        yield last, pa.Table.from_batches(held)
+
 
+def _matrix(column, dims: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
 
-def _make_blocks(dims: int):
-    """A partition's rows, in their order, as one block. A partition is a range of ids."""
+
+def _make_blocks(size: int, page_parts: int):
+    """A partition's rows (dims, vec_id, v), in their order, as blocks. A partition is a range of lengths and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, rows = [], []
-        for b in batches:
-            ids.append(b.column(0).to_numpy())
-            rows.append(_matrix(b.column(1), dims))
-        if ids and sum(map(len, ids)):
-            m = np.concatenate(rows)
-            one = [TaskContext.get().partitionId()], [np.concatenate(ids).astype("<i8").tobytes()], [m.astype("<i8").tobytes()], [m.max(0).tobytes()], [m.min(0).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(one, _BLOCKS, strict=True)], schema=_BLOCKS)
+        part = TaskContext.get().partitionId()
+        for k, (dims, t) in enumerate(_in_order(batches, size)):
+            m = _matrix(t.column("v"), dims)
+            kind = _kind(m)
+            yield _row(_BLOCKS, (part << 32) + k, part // page_parts, dims, kind, t.column("vec_id").to_numpy().astype("<i8").tobytes(), m.astype(kind).tobytes(), m.max(0).astype("<i8").tobytes(), m.min(0).astype("<i8").tobytes())
 
     return run
 
 
-def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The most that any vector of each block can score with each query."""
-    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+def _make_chunks(size: int):
+    """Queries (dims, vec_id, v, upper, lower, least) as rows of up to `size`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dims, t in _in_order(batches, size):
+            numbers = [t.column(c).to_numpy().astype("<i8").tobytes() for c in ("upper", "lower", "least")]
+            yield _row(_CHUNKS, dims, t.column("vec_id").to_numpy().astype("<i8").tobytes(), _matrix(t.column("v"), dims).astype("<i8").tobytes(), *numbers)
+
+    return run
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,42 +121,50 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _route(dims: int, blocks: np.ndarray, high: np.ndarray, low: np.ndarray, first: bool):
-    """Queries packed for the blocks they visit: at first the one of the highest bound, then all others whose bound reaches the threshold."""
+def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The most that any vector of each block can score with each query."""
+    return _product(np.maximum(q, 0), high) + _product(np.minimum(q, 0), low)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, QUERY_CHUNK):
-                part = b.slice(at, QUERY_CHUNK)
-                ids, q = part.column(0).to_numpy().astype("<i8"), _matrix(part.column(1), dims)
-                bound = _bounds(q, high, low)
-                best = bound.argmax(1)
-                if first:
-                    least, visit = np.full(len(ids), np.iinfo(np.int64).min), np.zeros(bound.shape, bool)
-                    visit[np.arange(len(ids)), best] = True
-                else:
-                    least = part.column(2).to_numpy().astype(np.int64)
-                    visit = bound >= least[:, None]
-                    visit[np.arange(len(ids)), best] = False
-                out = [[], [], [], []]
-                for k in np.argsort(-bound.sum(0), kind="stable"):  # by the bounds summed over the queries
-                    mine = np.flatnonzero(visit[:, k])
-                    if len(mine):
-                        for c, x in zip(out, (int(blocks[k]), ids[mine].tobytes(), q[mine].astype("<i8").tobytes(), least[mine].astype("<i8").tobytes()), strict=True):
-                            c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, _ROUTES, strict=True)], schema=_ROUTES)
 
-    return run
+def _chunk_and_page(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
+    """Blocks, queries, their vectors and limits, and all bounds, of a row that joins a chunk of queries and a page of summaries."""
+    dims = b.column("dims")[r].as_py()
+    queries, q, upper, lower, least = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "upper", "lower", "least"))
+    own = b.column("heads")[r].values
+    high, low = (np.frombuffer(b"".join(own.field(c).to_pylist()), "<i8").reshape(-1, dims) for c in ("high", "low"))
+    q = q.reshape(-1, dims)
+    return own.field("block").to_numpy(), queries, q, upper, lower, least, _bounds(q, high, low)
+
+
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each query's highest bound in a page."""
+    for b in batches:
+        for r in range(b.num_rows):
+            _, queries, *_, bound = _chunk_and_page(b, r)
+            yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(bound.max(1))], schema=_TOPS)
 
 
-def _score(dims: int, k: int):
+def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries packed for the blocks of a page that they visit in a band: lower <= bound < upper, and not under the k-th score."""
+    for b in batches:
+        for r in range(b.num_rows):
+            blocks, queries, q, upper, lower, least, bound = _chunk_and_page(b, r)
+            visit = (bound < upper[:, None]) & (bound >= np.maximum(lower, least)[:, None])
+            for k in np.flatnonzero(visit.any(0)):
+                mine = np.flatnonzero(visit[:, k])
+                yield _row(_ROUTES, int(blocks[k]), queries[mine].tobytes(), q[mine].tobytes(), least[mine].tobytes())
+
+
+def _score(k: int):
     """The k best of a block for each query that visits it, none below its threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                queries, q, least, ids, m = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "least", "ids", "matrix"))
-                scores = _product(q.reshape(-1, dims), m.reshape(-1, dims))
+                dims = b.column("dims")[r].as_py()
+                queries, q, least, ids = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "least", "ids"))
+                m = np.frombuffer(b.column("matrix")[r].as_py(), b.column("kind")[r].as_py()).astype(np.int64).reshape(-1, dims)
+                scores = _product(q.reshape(-1, dims), m)
                 order = np.argsort(ids, kind="stable")
                 ids, scores = ids[order], scores[:, order]
                 out = [[], [], []]
@@ -137,7 +184,8 @@ def _score(dims: int, k: int):
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -145,33 +193,57 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each row of `is_query` (a condition on vec_id) its k best other rows: query_id, rank, vec_id, score."""
+def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", visits: list[int] | None = None) -> DataFrame:
+    """For each row of `is_query` (a condition on vec_id) its k best other rows: query_id, rank, vec_id, score.
+
+    `visits`, if given, gets the number of block visits in each band.
+    """
     spark = vectors.sparkSession
     common.ship(spark)
-    rows = common.written(quantised(vectors, vec_id, vector), "op10-rows")
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, n = lengths[0]["n"], lengths[0]["c"]
-    rows = rows.filter(F.size("v") == dims)
-    n_blocks = min(MAX_BLOCKS, -(-n // BLOCK))
-    blocks = common.written(rows.repartitionByRange(n_blocks, "vec_id").mapInArrow(_make_blocks(dims), _ddl(_BLOCKS)), "op10-blocks")
-    heads = blocks.select("block", "high", "low").collect()  # MAX_BLOCKS rows of 2 * dims numbers at most
-    numbers = np.array([r["block"] for r in heads])
-    high, low = (np.array([np.frombuffer(bytes(r[c]), "<i8") for r in heads]) for c in ("high", "low"))
-    queries = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-
-    def visits(q: DataFrame, first: bool) -> DataFrame:
-        routes = q.mapInArrow(_route(dims, numbers, high, low, first), _ddl(_ROUTES))
-        return routes.join(blocks.select("block", "ids", "matrix"), "block").mapInArrow(_score(dims, k), _ddl(_FOUND))
-
-    seen = common.written(_best(visits(queries, True), k).select("query_id", "vec_id", "score"), "op10-first")
-    least = seen.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    more = queries.join(least, F.col("vec_id") == F.col("_q"), "left")
-    more = more.select("vec_id", "v", F.coalesce("least", F.lit(-(2**63))).alias("least"))
-    found = visits(more, False).unionByName(seen)
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = common.written(quantised(vectors, vec_id, vector).withColumn("dims", F.size("v").cast("long")), "op10-rows")
+    n = rows.count()
+    parts = max(-(-n // (BLOCK * PART_BLOCKS)), min(max(1, -(-n // BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    pages = -(-parts // PAGE_PARTS)
+    ranged = rows.select("dims", "vec_id", "v").repartitionByRange(parts, "dims", "vec_id", F.xxhash64("v")).sortWithinPartitions("dims", "vec_id")
+    blocks = common.written(ranged.mapInArrow(_make_blocks(BLOCK, PAGE_PARTS), _ddl(_BLOCKS)), "op10-blocks")
+    # PART_BLOCKS * PAGE_PARTS summaries in a page, but for uneven ranges.
+    heads = common.written(blocks.groupBy(F.col("page").alias("_p"), F.col("dims").alias("_d")).agg(F.collect_list(F.struct("block", "high", "low")).alias("heads")), "op10-pages")
+    indexes = blocks.select(F.col("block").alias("_b"), "dims", "kind", "ids", "matrix")
+    asked = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("m"))
+    state = asked.select("m.dims", "vec_id", "m.v", *[F.lit(NONE).alias(c) for c in ("upper", "lower", "least")])
+
+    def met(live: DataFrame) -> DataFrame:
+        """Chunks of queries with all pages of vectors of their length."""
+        chunks = live.select("dims", "vec_id", "v", "upper", "lower", "least").sortWithinPartitions("dims").mapInArrow(_make_chunks(QUERY_CHUNK), _ddl(_CHUNKS))
+        chunks = chunks.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))))
+        return chunks.join(heads, (chunks["page"] == heads["_p"]) & (chunks["dims"] == heads["_d"])).drop("_p", "_d")
+
+    tops = met(state).mapInArrow(_tops, _ddl(_TOPS)).groupBy(F.col("query_id").alias("_q")).agg(F.max("top").alias("top"))
+    state = state.join(tops, F.col("vec_id") == F.col("_q")).select("dims", "vec_id", "v", (F.col("top") + 1).alias("upper"), F.col("top").alias("lower"), "least")
+    state = common.written(state, "op10-state")
+    seen, used = None, [rows]
+    for band in range(BANDS):
+        routes = common.written(met(state).mapInArrow(_routes, _ddl(_ROUTES)), "op10-routes")
+        if visits is not None:
+            visits.append(routes.agg(F.sum(F.octet_length("queries") / 8)).first()[0] or 0)
+        found = routes.join(indexes, routes["block"] == indexes["_b"]).mapInArrow(_score(k), _ddl(_FOUND))
+        found = found if seen is None else found.unionByName(seen)
+        best = common.written(_best(found, k).select("query_id", "rank", "vec_id", "score"), "op10-best")
+        common.forget(*used, routes)
+        seen, used = best.drop("rank"), [best]
+        if band == BANDS - 1:
+            break
+        kth = best.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+        after = state.join(kth, F.col("vec_id") == F.col("_q"), "left").withColumn("least", F.coalesce("kth", F.lit(NONE)))
+        half = F.when(F.col("least") > NONE, F.col("least") + F.shiftright(F.col("lower") - F.col("least"), 1)).otherwise(F.lit(NONE))
+        after = after.withColumn("next", half if band < BANDS - 2 else F.lit(NONE)).filter(F.col("lower") > F.col("least"))
+        after = common.written(after.select("dims", "vec_id", "v", F.col("lower").alias("upper"), F.col("next").alias("lower"), "least"), "op10-state")
+        common.forget(state)
+        state = after
+        if state.isEmpty():
+            break
+    common.forget(blocks, heads, state)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
