@@ -356,7 +356,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[Da
     wanted = near.join(texts.select("set", "digest", "low"), F.col("_i") == F.col("set")).select("set", "cluster", F.col("digest").alias("_d"), F.coalesce("low", F.lit(0)).alias("_l"))
     wanted = common.written(wanted, "op3-wanted")
     body = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(0)).alias("_own"), _bytes(docs, text).alias("_text")).withColumn("_digest", F.unhex(F.md5("_text")))
-    sets = body.join(wanted, (body["_digest"] == wanted["_d"]) & (body["_own"] == wanted["_l"])).select("set", "cluster", "_text").mapInArrow(_sets, _ddl(_SETS))
+    # The texts wanted grow with the documents, so they are never broadcast, at no size.
+    sets = body.join(wanted.hint("merge"), (body["_digest"] == wanted["_d"]) & (body["_own"] == wanted["_l"])).select("set", "cluster", "_text").mapInArrow(_sets, _ddl(_SETS))
     dealt = _chunk_pairs(sets.join(sizes, sets["cluster"] == sizes["_c"]), "cluster", "n").select("cluster", "i", "j", "chunk", "id", "shingles")
     found = common.written(dealt.mapInArrow(_verified, _ddl(_LINKS)), "op3-links")
     common.forget(sizes, wanted)
