@@ -6,12 +6,14 @@ key order up to the token budget (whole documents; the last one goes in if that
 nearer to the budget).
 
 No source is ever sorted in one task: its keys fall into about sqrt(rows) ranges, the
-sums of the ranges tell in which one the budget ends, and only that range is sorted.
+sums of the ranges tell in which one the budget ends, and only that range is sorted. The
+ranges follow the distribution of the source's own keys, a mixture of exponential ones
+whose shares are its counts of documents by weight, so they are even for any weights.
 
 Defined results: a null or wordless text has size 0, and 0 words are taken of it; a null
 source is a source of its own and comes last; rows with equal key and id (repeated rows)
-are taken together or not at all; an empty table gives no rows. Columns of the input are
-never overwritten: helper columns start with `_mix_`.
+are taken together or not at all; an empty table gives no rows. `mix` carries columns of
+any name; what `keyed` gets may have none that starts with `_mix_`, as its own ones do.
 """
 
 from __future__ import annotations
@@ -25,12 +27,16 @@ from quakeframe.llm import common
 SEED = "mix-1"
 #: Weights by rank of the source, repeating; and the most epochs of a source.
 WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
+#: The least weight of a document, and classes of weights from there to 1 that are counted for the ranges.
+LEAST, CLASSES = 0.25, 15
+#: What a document's quality weight counts: letters of any script, with their marks.
+LETTERS = "[\\p{L}\\p{M}]+"
 
 
 def quality_weight(text: Column) -> Column:
-    """Share of a-z in the text, from 0.25 to 1: prose counts more than tables, codes and capitals."""
+    """Share of letters in the text, from LEAST to 1: prose of any script counts more than tables, codes and markup."""
     n = F.length(text)
-    return F.when(n > 0, F.greatest(F.lit(0.25), F.round((n - F.length(F.regexp_replace(text, "[a-z]+", ""))) / n, 4))).otherwise(F.lit(0.25))
+    return F.when(n > 0, F.greatest(F.lit(LEAST), F.round((n - F.length(F.regexp_replace(text, LETTERS, ""))) / n, 4))).otherwise(F.lit(LEAST))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
@@ -40,9 +46,12 @@ def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents with _mix_source, _mix_id, _mix_size and _mix_key."""
-    t = common.text_of(docs, text)
-    return docs.withColumns({"_mix_source": docs[source].cast("string"), "_mix_id": docs[doc_id], "_mix_size": common.word_count(t), "_mix_key": exponential_key(docs[doc_id], quality_weight(t))})
+    """The documents with _mix_source, _mix_id, _mix_size, _mix_class (of its weight) and _mix_key."""
+    if any(c.startswith("_mix_") for c in docs.columns):
+        raise ValueError("columns that start with _mix_ are those of the mix")
+    df = docs.withColumns({"_mix_source": docs[source].cast("string"), "_mix_id": docs[doc_id], "_mix_size": common.word_count(common.text_of(docs, text)), "_mix_weight": quality_weight(common.text_of(docs, text))})
+    df = df.withColumn("_mix_class", F.floor((F.col("_mix_weight") - LEAST) / (1 - LEAST) * CLASSES).cast("int"))
+    return df.withColumn("_mix_key", exponential_key(docs[doc_id], F.col("_mix_weight"))).drop("_mix_weight")
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -63,20 +72,29 @@ def targets(totals: DataFrame) -> DataFrame:
     df = df.withColumn("_mix_target", target)
     epochs = F.when(F.col("_mix_total") > 0, F.floor(F.col("_mix_target") / F.col("_mix_total"))).otherwise(F.lit(0)).cast("long")
     df = df.withColumn("_mix_epochs", epochs).withColumn("_mix_rest", F.col("_mix_target") - F.col("_mix_epochs") * F.col("_mix_total"))
-    return df.select("_mix_source", "_mix_total", "_mix_rows", "_mix_target", "_mix_epochs", "_mix_rest")
+    return df.select("_mix_source", "_mix_total", "_mix_rows", "_mix_target", "_mix_epochs", "_mix_rest", *[c for c in totals.columns if c.startswith("_mix_n")])
 
 
-def _range(rows: Column) -> Column:
-    """Number of the range that a key falls in: about sqrt(rows) of them per source, ascending with the key."""
+def _range() -> Column:
+    """Number of the range that a key falls in: about sqrt(rows) of them per source, ascending with the key, each with about as many documents."""
+    rows, key = F.col("_mix_rows"), F.col("_mix_key")
     n = F.ceil(F.sqrt(rows)).cast("long")
-    return F.least(n - 1, F.floor((1 - F.exp(-F.col("_mix_key"))) * n))
+    under = F.lit(0.0)
+    for k in range(CLASSES + 1):
+        weight = LEAST + (1 - LEAST) * min(1.0, (k + 0.5) / CLASSES)
+        under = under + F.col(f"_mix_n{k}") * (1 - F.exp(-key * weight))
+    return F.least(n - 1, F.floor(under / rows * n))
+
+
+KEYS = ["_mix_source", "_mix_id", "_mix_size", "_mix_class", "_mix_key"]
 
 
 def plan(features: DataFrame) -> DataFrame:
     """One row per source: its target, its epochs and the place (range, key, id) up to which one more copy is taken."""
-    totals = features.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_rows"))
+    of_class = [F.count(F.when(F.col("_mix_class") == k, 1)).alias(f"_mix_n{k}") for k in range(CLASSES + 1)]
+    totals = features.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_rows"), *of_class)
     goals = common.written(targets(totals), "op8-targets")
-    f = _with(features, goals).withColumn("_range", _range(F.col("_mix_rows")))
+    f = _with(features, goals).withColumn("_range", _range())
     sums = f.groupBy("_mix_source", "_range").agg(F.sum("_mix_size").alias("_n"), F.max("_mix_rest").alias("_rest"))
     running = F.sum("_n").over(W.partitionBy("_mix_source").orderBy("_range"))
     sums = sums.withColumn("_before", running - F.col("_n"))
@@ -89,7 +107,9 @@ def plan(features: DataFrame) -> DataFrame:
     peers = inside.groupBy("_mix_source", "_range", "_place").agg(F.max("_to").alias("_to"), F.sum("_mix_size").alias("_n"), F.max("_mix_rest").alias("_rest"))
     nearer = (F.col("_to") - F.col("_n") < F.col("_rest")) & (F.col("_to") - F.col("_rest") < F.col("_rest") - (F.col("_to") - F.col("_n")))
     cut = peers.groupBy("_mix_source").agg(F.max("_range").alias("_mix_range"), F.max(F.when((F.col("_to") <= F.col("_rest")) | nearer, F.col("_place"))).alias("_mix_place"))
-    return common.written(_with(goals, cut), "op8-plan")
+    out = common.written(_with(goals, cut), "op8-plan")
+    common.forget(goals)
+    return out
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -100,17 +120,19 @@ def _with(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def copies(keyed_docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """The documents with _mix_copies (0 to MAX_EPOCHS), _mix_target and _mix_total."""
-    df = _with(keyed_docs, cuts).withColumn("_range", _range(F.col("_mix_rows")))
+    df = _with(keyed_docs, cuts).withColumn("_range", _range())
     place = F.struct(F.col("_mix_key").alias("k"), F.col("_mix_id").alias("i"))
     one_more = F.coalesce((F.col("_range") < F.col("_mix_range")) | ((F.col("_range") == F.col("_mix_range")) & (place <= F.col("_mix_place"))), F.lit(False))
-    return df.withColumn("_mix_copies", F.col("_mix_epochs") + one_more.cast("long")).drop("_range", "_mix_range", "_mix_place", "_mix_rows", "_mix_rest", "_mix_epochs")
+    return df.withColumn("_mix_copies", F.col("_mix_epochs") + one_more.cast("long")).drop("_range", "_mix_range", "_mix_place", "_mix_rows", "_mix_rest", "_mix_epochs", *[f"_mix_n{k}" for k in range(CLASSES + 1)])
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of `docs`."""
     plain = common.Plain(docs)
     k = keyed(plain.df, plain.at(doc_id), plain.at(text), plain.at(source))
-    cuts = plan(common.written(k.select("_mix_source", "_mix_id", "_mix_size", "_mix_key"), "op8-keys"))
+    keys = common.written(k.select(*KEYS), "op8-keys")
+    cuts = plan(keys)
+    common.forget(keys)
     df = copies(k, cuts).filter(F.col("_mix_copies") > 0)
     df = df.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
     return plain.back(df)
@@ -118,8 +140,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each of all documents."""
-    k = keyed(common.table(spark, sf_dir, "documents")).select("_mix_source", "_mix_id", "_mix_size", "_mix_key")
-    k = common.written(k, "op8-keys")
+    k = common.written(keyed(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*KEYS), "op8-keys")
     df = copies(k, plan(k))
     return df.select(F.col("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
 
@@ -132,7 +153,7 @@ WITH d AS (
 k AS (
   SELECT doc_id, source, size,
     -ln((('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296.0)
-    / (CASE WHEN length(t) > 0 THEN greatest(0.25, round((length(t) - length(regexp_replace(t, '[a-z]+', '', 'g'))) / length(t), 4)) ELSE 0.25 END) AS key
+    / (CASE WHEN length(t) > 0 THEN greatest({LEAST}, round((length(t) - length(regexp_replace(t, '{LETTERS}', '', 'g'))) / length(t), 4)) ELSE {LEAST} END) AS key
   FROM d),
 s AS (SELECT source, sum(size) AS total FROM k GROUP BY source),
 w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),

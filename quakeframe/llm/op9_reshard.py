@@ -16,8 +16,9 @@ borders of flows, at most one row for each border.
 
 Defined results: a null or empty text has size 1 (no bytes plus 1); rows with equal ids
 and texts are placed one after the other in any order; an empty table gives no rows.
-Input columns are kept under their names, helpers start with `_rs_`; the columns `shard`
-and `slot` are added to the files.
+Input columns are kept under their names, and the columns `shard` and `slot` are added to
+the files; an input column of one of these names, or one that starts with `_rs_` as the
+helpers do, is written with `in_` in front (as often as it takes to be new).
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def plan(rows: DataFrame, old: str, size: str, order: list[str], capacity: list[
         at[i] = at.get(i, 0) + n
     before = F.sum("_rs_n").over(W.partitionBy("_rs_o").orderBy("_rs_b")) - F.col("_rs_n")
     offsets = sums.withColumn("_rs_before", before).drop("_rs_n")
-    df = df.join(F.broadcast(offsets), (df[old] == offsets["_rs_o"]) & (df["_rs_block"] == offsets["_rs_b"]))  # old shards x blocks rows
+    df = df.join(offsets, (df[old] == offsets["_rs_o"]) & (df["_rs_block"] == offsets["_rs_b"]))
     inside = W.partitionBy(old, "_rs_block").orderBy(*order, size)
     middle = F.col("_rs_before") + F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size) / 2
     shard = F.lit(None).cast("int")
@@ -137,8 +138,7 @@ def slots(placed: DataFrame, old: str) -> DataFrame:
     counts = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(W.partitionBy("_s").orderBy("_o", "_b")) - F.col("_n")
     counts = counts.withColumn("_e", earlier).drop("_n")
-    # new shards x old shards x blocks rows at most.
-    df = placed.join(F.broadcast(counts), (placed["_rs_shard"] == counts["_s"]) & (placed[old] == counts["_o"]) & (placed["_rs_block"] == counts["_b"]))
+    df = placed.join(counts, (placed["_rs_shard"] == counts["_s"]) & (placed[old] == counts["_o"]) & (placed["_rs_block"] == counts["_b"]))
     return df.withColumn("_rs_slot", F.col("_rs_rank") + F.col("_e")).drop("_s", "_o", "_b", "_e", "_rs_rank", "_rs_block")
 
 
@@ -166,9 +166,23 @@ def rewrite(docs: DataFrame, assignment: DataFrame, out: str, key: str | list[st
     return affected
 
 
+def file_names(columns: list[str]) -> list[str]:
+    """The names of input columns in the files."""
+    ours = lambda c: c.lower() in ("shard", "slot") or c.lower().startswith("_rs_")
+    taken, out = {c.lower() for c in columns if not ours(c)}, []
+    for c in columns:
+        if ours(c):
+            while ours(c) or c.lower() in taken:
+                c = f"in_{c}"
+            taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """`docs`, read from Parquet, with the columns ROW: each row's file and place in it, which are unique and the same at every read."""
-    return docs.select("*", F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    """`docs`, read from Parquet, under their names in the files, with the columns ROW: each row's file and place in it, which are unique and the same at every read."""
+    named = [F.col(f"`{a}`").alias(b) for a, b in zip(docs.columns, file_names(docs.columns), strict=True)]
+    return docs.select(*named, F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
 
 
 def _facts(docs: DataFrame) -> list[Column]:

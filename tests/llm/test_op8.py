@@ -5,7 +5,7 @@ from quakeframe.llm import op8_mixing as op
 
 
 def table(df):
-    k = op.keyed(df).select("_mix_source", "_mix_id", "_mix_size", "_mix_key").cache()
+    k = op.keyed(df).select(*op.KEYS).cache()
     return op.copies(k, op.plan(k)).collect()
 
 
@@ -72,3 +72,32 @@ def test_odd_rows(make, odd):
     assert len(table(df)) == len(odd) and mixed.count() > 0
     assert table(make([])) == [] and op.mix(make([])).collect() == []
     assert {r._mix_copies for r in table(make([(1, None, None, None), (2, "", None, "x")]))} == {0}
+
+
+def test_ranges_are_even_for_any_weights(spark, make):
+    """40,000 documents of one source, nine tenths of the least weight: no range holds many more than the others."""
+    from pyspark.sql import functions as F
+
+    text = F.when(F.col("id") % 10 == 0, F.lit("letters only here ")).otherwise(F.lit("# 12 % 345 |"))
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).alias("n_chars"))
+    k = op.keyed(docs)
+    counts = k.groupBy("_mix_source").agg(F.count(F.lit(1)).alias("_mix_rows"), *[F.count(F.when(F.col("_mix_class") == c, 1)).alias(f"_mix_n{c}") for c in range(op.CLASSES + 1)])
+    own = op._with(k, counts).groupBy(op._range().alias("r")).count().collect()
+    assert len(own) > 190 and max(r["count"] for r in own) < 2 * 40000 / 200
+
+
+def test_prose_of_every_script_weighs_alike(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("the river of gold runs",), ("река золота течёт вниз",), ("नदी का सोना बहता है",), ("黄金の川が流れている",), ("12 345 | # 67 $",), ("",)]
+    w = [r[0] for r in spark.createDataFrame(rows, "t string").select(op.quality_weight(F.col("t"))).collect()]
+    assert min(w[:4]) > 0.7 and w[4:] == [0.25, 0.25]
+
+
+def test_names_of_the_mix_are_refused_where_they_would_be_overwritten(make):
+    import pytest
+
+    docs = make([(1, "a", "en", "s")])
+    with pytest.raises(ValueError):
+        op.keyed(docs.withColumnRenamed("n_chars", "_mix_size"))
+    assert op.mix(docs.withColumnRenamed("n_chars", "_mix_size")).columns == ["doc_id", "text", "lang", "source", "_mix_size"]

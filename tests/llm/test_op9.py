@@ -100,3 +100,16 @@ def test_rewrite_wants_a_key(spark, make, tmp_path):
 def test_reshard_of_nothing(spark, make, tmp_path):
     make([]).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert op.reshard(spark.read.parquet(f"file://{tmp_path}/documents.parquet"), f"file://{tmp_path}/out").collect() == []
+
+
+def test_clashing_names_are_kept_under_others(spark, make, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = ["Shard", "slot", "in_slot", "_rs_row", "_rs_old", "law", "grown_shard"]
+    docs = make([(k, f"text {k}", "en", "s") for k in range(60)]).select("*", *[F.lit(f"x{n}").alias(c) for n, c in enumerate(names)])
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op.reshard(spark.read.parquet(f"file://{tmp_path}/documents.parquet"), f"file://{tmp_path}/out")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(60))
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.columns == ["doc_id", "text", "lang", "source", "n_chars", "in_Shard", "in_in_slot", "in_slot", "in__rs_row", "in__rs_old", "law", "grown_shard", "slot", "shard"]
+    assert all(tuple(r)[5:12] == tuple(f"x{n}" for n in range(7)) for r in back.collect())
