@@ -14,16 +14,27 @@ def attach_waveforms_1c(catalog: DataFrame, archive: DataFrame, keys: list[str])
     return catalog.join(archive, keys)
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """The different rows with `_copies`, how often each occurs."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Each row as often as its `_copies` says."""
+    return df.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")
+
+
 def attach_waveforms_3c(catalog: DataFrame, archive: DataFrame, keys: list[str], channels: dict[str, str]) -> DataFrame:
     """Picks that have all three component waveforms. `channels` names, by component, the catalog column with its channel.
 
-    The channels are unpivoted, so the archive is joined once and shuffled once.
+    The channels are unpivoted, so the archive is joined once and shuffled once. A pick given twice comes out twice; of
+    several waveforms that the archive has for a channel the smallest is taken.
     """
-    pick = catalog.withColumn("_key", F.struct(*[F.col(c) for c in catalog.columns]))
-    long = pick.select("_key", *keys, F.explode(F.array(*[F.struct(F.lit(k).alias("component"), F.col(c).alias("channel")) for k, c in channels.items()])).alias("_c"))
-    long = long.select("_key", *keys, "_c.component", "_c.channel")
-    found = long.join(archive, [*keys, "channel"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("component", "x"))).alias("_w"), F.count_distinct("component").alias("_n"))
-    return found.filter(F.col("_n") == len(channels)).select("_key.*", *[F.col("_w")[k].alias(f"x_{k}") for k in channels])
+    long = counted(catalog).withColumn("_c", F.explode(F.array(*[F.struct(F.lit(k).alias("component"), F.col(c).alias("channel")) for k, c in channels.items()])))
+    waves = archive.groupBy(*[F.col(k).alias(f"_a{k}") for k in keys], F.col("channel").alias("_channel")).agg(F.min("x").alias("_x"))
+    found = long.join(waves, [long[k] == waves[f"_a{k}"] for k in keys] + [long["_c.channel"] == waves["_channel"]])
+    one = found.groupBy(*catalog.columns, "_copies").agg(*[F.min(F.when(F.col("_c.component") == k, F.col("_x"))).alias(f"x_{k}") for k in channels])
+    return repeated(one.dropna(subset=[f"x_{k}" for k in channels]))
 
 
 def coverage_left(catalog: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,27 +68,28 @@ def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float,
     """For each row of `left` one row of `right` of the same keys, another event, and a magnitude from m + low to m + high.
 
     Magnitudes are bucketed, and the buckets a row can reach are exploded on the (small)
-    left side: an equi-join on keys and bucket instead of a pair loop over a station.
+    left side: an equi-join on keys and bucket instead of a pair loop over a station. A row given twice comes out twice.
     """
     reach = F.sequence(F.floor((F.col("magnitude") + low) / width), F.floor((F.col("magnitude") + high) / width))
-    a = left.withColumn("_b", F.explode(reach))
+    a = counted(left).withColumn("_b", F.explode(reach))
     b = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2"), F.floor(F.col("magnitude") / width).alias("_b2")).distinct()
     on = [a[k] == b[f"_r{k}"] for k in keys] + [a["_b"] == b["_b2"], a["evid"] != b["evid2"], b["magnitude2"] >= a["magnitude"] + low, b["magnitude2"] <= a["magnitude"] + high]
     j = a.join(b, on)
     # One partner per row: an aggregate that combines before the shuffle, not a sort of all pairs.
     pick = F.min(F.struct(F.md5(F.concat_ws(":", F.lit(seed), "evid", "evid2")).alias("h"), "evid2", "magnitude2")).alias("_p")
-    return j.groupBy(*left.columns).agg(pick).select(*left.columns, "_p.evid2", "_p.magnitude2")
+    return repeated(j.groupBy(*left.columns, "_copies").agg(pick).select(*left.columns, "_copies", "_p.evid2", "_p.magnitude2"))
 
 
 def match_picks(estimated: DataFrame, actual: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Every actual pick with the closest estimated pick of its waveform nearer than `tolerance`; ties go to the earlier.
 
-    Residual is actual - estimated, null without a match.
+    Residual is actual - estimated, null without a match. An actual pick given twice comes out twice.
     """
+    actual = counted(actual)
     e = estimated.select(*[F.col(k).alias(f"_e{k}") for k in keys], "est")
     on = [actual[k] == e[f"_e{k}"] for k in keys] + [F.abs(actual["act"] - e["est"]) < tolerance]
     j = actual.join(e, on, "left").groupBy(*actual.columns).agg(F.min(F.when(F.col("est").isNotNull(), F.struct(F.abs(F.col("act") - F.col("est")).alias("d"), "est"))).alias("_m"))
-    return j.select(*actual.columns, F.col("_m.est").alias("est"), (F.col("act") - F.col("_m.est")).alias("residual"))
+    return repeated(j.select(*actual.columns, F.col("_m.est").alias("est"), (F.col("act") - F.col("_m.est")).alias("residual")))
 
 
 def nearest_pick_residuals(estimated: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeframe.operators.catalog import bucket
@@ -18,32 +19,103 @@ def at_tolerances(df: DataFrame, tolerances: list[float]) -> DataFrame:
     return df.withColumn("tolerance", F.explode(F.array(*map(F.lit, tolerances))))
 
 
-def detector_metrics(df: DataFrame, tolerances: list[float], keys: list[str]) -> DataFrame:
-    """Confusion counts, accuracy, precision, recall (0 for 0/0) and the residuals of the found true picks, by keys and tolerance."""
+def confusion_sums(predicted: Column, true: Column, tail: str = "", where: Column | None = None) -> list[Column]:
+    """tp, tn, fp and fn over the rows of `where`, names ending in `tail`."""
+    inside = F.lit(True) if where is None else where
+    return [F.sum((inside & p & t).cast("long")).alias(name + tail) for name, p, t in (("tp", predicted, true), ("tn", ~predicted, ~true), ("fp", predicted, ~true), ("fn", ~predicted, true))]
+
+
+def rates(tail: str = "", head: str = "") -> dict[str, Column]:
+    """Accuracy, precision and recall (0 for 0/0) of sums whose names end in `tail`, under names that begin with `head`."""
+    tp, tn, fp, fn = (F.col(c + tail) for c in ("tp", "tn", "fp", "fn"))
+    return {f"{head}accuracy": ratio(tp + tn, tp + tn + fp + fn), f"{head}precision": ratio(tp, tp + fp), f"{head}recall": ratio(tp, tp + fn)}
+
+
+#: Classes of events in a row of metrics, and the windows without one.
+STRATA = ("ceq", "heq", "cbl", "noise")
+
+
+def _strata(predicted: Column, true: Column, stratum: str | None) -> list[Column]:
+    return [c for s in STRATA for c in confusion_sums(predicted, true, f"_{s}", F.col(stratum) == s)] if stratum else []
+
+
+def _strata_rates(stratum: str | None) -> dict[str, Column]:
+    """Rates of each stratum; null for noise if there is none."""
+    out: dict[str, Column] = {}
+    for s in STRATA if stratum else ():
+        n = sum((F.col(f"{c}_{s}") for c in ("tn", "fp", "fn")), F.col(f"tp_{s}"))
+        for name, rate in rates(f"_{s}", f"{s}_").items():
+            out[name] = F.when(n > 0, rate) if s == "noise" else rate
+    return out
+
+
+def detector_metrics(df: DataFrame, tolerances: list[float], keys: list[str], stratum: str | None = None) -> DataFrame:
+    """One row for keys and tolerance: confusion counts, accuracy, precision, recall (0 for 0/0), and mean and std of the residuals of the
+    found true picks, plain and inside the fences at 1.5 quartile distances (0 without any). With the name of a column that
+    holds the classes of STRATA also accuracy, precision and recall of each of them.
+    """
     d = at_tolerances(df, tolerances).withColumns({"_p": F.col("proba") > F.col("tolerance"), "_t": F.col("true_index") >= 0})
-    count = lambda c: F.sum(c.cast("long"))
-    r = F.when(F.col("_p") & F.col("_t"), F.col("true_index") - F.col("est_index"))
     p, t = F.col("_p"), F.col("_t")
-    g = d.groupBy(*keys, "tolerance").agg(count(p & t).alias("tp"), count(~p & ~t).alias("tn"), count(p & ~t).alias("fp"), count(~p & t).alias("fn"), F.round(F.avg(r), 6).alias("residual_mean"), F.round(F.stddev_pop(r), 6).alias("residual_std"))
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    return g.withColumns({"n_picks": tp + fn, "accuracy": ratio(tp + tn, tp + tn + fp + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
+    d = d.withColumn("_r", F.when(p & t, F.col("true_index") - F.col("est_index")))
+    plain = [F.round(F.coalesce(F.avg("_r"), F.lit(0.0)), 6).alias("residual_mean"), F.round(F.coalesce(F.stddev_pop("_r"), F.lit(0.0)), 6).alias("residual_std")]
+    g = d.groupBy(*keys, "tolerance").agg(*confusion_sums(p, t), *plain, *_strata(p, t, stratum))
+    g = g.withColumns({"n_picks": F.col("tp") + F.col("fn"), "n_picked": F.col("tp"), **rates(), **_strata_rates(stratum)})
+    return _with_trimmed(g, d, [*keys, "tolerance"], "_r").drop(*[f"{c}_{s}" for c in ("tp", "tn", "fp", "fn") for s in STRATA])
+
+
+def _with_trimmed(g: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Groups with the mean and std of a value of `rows` inside its fences."""
+    f = fence_stats(rows, keys, value, 1.5)
+    f = f.select(*[F.col(k).alias(f"_f{k}") for k in keys], F.col("fence_mean").alias("_m"), F.col("fence_std").alias("_s"))
+    j = g.join(f, [g[k] == f[f"_f{k}"] for k in keys], "left")
+    trimmed = {"trimmed_residual_mean": F.coalesce("_m", F.lit(0.0)), "trimmed_residual_std": F.coalesce("_s", F.lit(0.0))}
+    return j.withColumns(trimmed).drop(*[f"_f{k}" for k in keys], "_m", "_s")
 
 
 def by_stratum(df: DataFrame, tolerances: list[float]) -> DataFrame:
-    """Hits and residual counts of each stratum and of all, in one pass over the rows."""
-    d = at_tolerances(df, tolerances).withColumn("hit", ((F.col("proba") > F.col("tolerance")) == (F.col("true_index") >= 0)).cast("long"))
-    g = d.groupingSets([["epoch", "tolerance", "stratum"], ["epoch", "tolerance"]], "epoch", "tolerance", "stratum").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"), F.grouping("stratum").alias("_all"))
-    return g.select("epoch", "tolerance", F.when(F.col("_all") == 1, "all").otherwise(F.col("stratum")).alias("stratum"), "hits", "n", ratio(F.col("hits"), F.col("n")).alias("accuracy"))
+    """Hits, accuracy, precision and recall of each stratum and of all, in one pass over the rows."""
+    d = at_tolerances(df, tolerances).withColumns({"_p": F.col("proba") > F.col("tolerance"), "_t": F.col("true_index") >= 0})
+    sums = [*confusion_sums(F.col("_p"), F.col("_t")), F.count(F.lit(1)).alias("n"), F.grouping("stratum").alias("_all")]
+    g = d.groupingSets([["epoch", "tolerance", "stratum"], ["epoch", "tolerance"]], "epoch", "tolerance", "stratum").agg(*sums)
+    g = g.withColumns({"stratum": F.when(F.col("_all") == 1, "all").otherwise(F.col("stratum")), "hits": F.col("tp") + F.col("tn"), **rates()})
+    return g.select("epoch", "tolerance", "stratum", "hits", "n", "accuracy", "precision", "recall")
+
+
+#: Value ranges in which quantiles are sought: one of them is sorted, whatever the size of the group.
+RANGES = 256
+
+
+def exact_quantiles(counts: DataFrame, keys: list[str], value: str, n: str, probabilities: list[float]) -> DataFrame:
+    """keys and `_q`, the interpolated quantiles of values given with their counts.
+
+    The values of a group are dealt to ranges between approximate cut points; the counts of the ranges tell which of
+    them hold the ranks that are wanted, and only those are sorted. No task and no buffer holds all values of a group.
+    """
+    marks = [k / RANGES for k in range(1, RANGES)]
+    cuts = counts.groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx(value, marks, 4 * RANGES).alias("_xcuts"), F.sum(n).alias("_xall"))
+    d = counts.join(cuts, [counts[k] == cuts[f"_c{k}"] for k in keys]).drop(*[f"_c{k}" for k in keys])
+    d = d.withColumn("_xrange", F.size(F.filter("_xcuts", lambda x: x < F.col(value)))).drop("_xcuts")
+    sums = d.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys], F.col("_xrange").alias("_xr")).agg(F.sum(n).alias("_xm"), F.max("_xall").alias("_xa"))
+    sums = sums.withColumn("_xbefore", F.sum("_xm").over(W.partitionBy(*[f"_s{k}" for k in keys]).orderBy("_xr")) - F.col("_xm"))
+    places = [p * (F.col("_xa") - 1) for p in probabilities]
+    wanted = F.array_distinct(F.array(*[f(x).cast("long") for x in places for f in (F.floor, F.ceil)]))
+    sums = sums.withColumn("_xwanted", F.filter(wanted, lambda r: (r >= F.col("_xbefore")) & (r < F.col("_xbefore") + F.col("_xm")))).filter(F.size("_xwanted") > 0)
+    some = d.join(sums, [d[k] == sums[f"_s{k}"] for k in keys] + [d["_xrange"] == sums["_xr"]])
+    some = some.withColumn("_xto", F.col("_xbefore") + F.sum(n).over(W.partitionBy(*keys, "_xrange").orderBy(value)))
+    hits = some.withColumn("_xrank", F.explode(F.filter("_xwanted", lambda r: (r >= F.col("_xto") - F.col(n)) & (r < F.col("_xto")))))
+    g = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_xrank"), F.col(value).cast("double").alias("v")))).alias("_xv"), F.max("_xa").alias("_xa"))
+    at = lambda r: F.element_at("_xv", r.cast("long"))
+    between = lambda x: at(F.floor(x)) + (x - F.floor(x)) * (at(F.ceil(x)) - at(F.floor(x)))
+    return g.select(*keys, F.array(*map(between, places)).alias("_q"))
 
 
 def fence_stats(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
     """Mean and population std of the values strictly inside [q1 - k iqr, q3 + k iqr]; 0 and 0 without any.
 
-    Values are counted first: percentile takes the counts as frequencies, so a group costs as many rows as it has distinct values.
+    Values are counted first, so a group costs as many rows as it has distinct values.
     """
     c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(value).isNotNull())
-    q = c.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_q"))
-    j = c.join(q, keys)
+    j = c.join(exact_quantiles(c, keys, value, "_n", [0.25, 0.75]), keys)
     iqr = F.col("_q")[1] - F.col("_q")[0]
     inside = j.withColumn("_w", F.when((F.col(value) > F.col("_q")[0] - k * iqr) & (F.col(value) < F.col("_q")[1] + k * iqr), F.col("_n")).otherwise(0))
     v, w = F.col(value), F.col("_w")
@@ -90,33 +162,86 @@ def histogram2d(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: li
     return d.filter(F.col("xbin").isNotNull() & F.col("ybin").isNotNull()).groupBy("xbin", "ybin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mew_metrics(est: DataFrame, act: DataFrame, tolerances: list[float], near: int) -> DataFrame:
-    """Two-pick windows, by epoch and tolerance: found first and second picks, windows with both, and estimated picks without a match.
+def mew_metrics(est: DataFrame, windows: DataFrame, tolerances: list[float], near: int, stratum: str | None = None) -> DataFrame:
+    """Metrics of windows with up to two picks: a row for epoch, tolerance and `picks`, which is `first`, `second` or `combined`.
 
-    `act` has epoch, waveform_id, act1, act2; `est` epoch, waveform_id, est, proba. The
-    candidates of a window are matched once, and tolerances are applied to the matches.
+    `windows` has epoch, waveform_id, act1 (negative in noise windows) and act2 (null without a second pick); `est` has
+    epoch, waveform_id, est and proba. At a tolerance an actual pick is found by the closest estimated one of more
+    probability that is nearer than `near`, the earlier of equals. A noise window counts as predicted if it has any pick;
+    a window is right in `combined` if all its picks are found. fp counts the picks that match nothing (in `second` those
+    of two-pick windows), and accuracy and precision take it in place of fp_notused, the predicted noise windows. Means are
+    0 without residuals, rates 0 for 0/0. With the name of a column of STRATA, `first` has the rates of each, and its
+    n_picked counts the actual picks of all windows where anything is picked, found or not.
     """
-    e = est.select(F.col("epoch").alias("_e"), F.col("waveform_id").alias("_w"), "est", "proba")
-    j = act.join(e, (act["epoch"] == e["_e"]) & (act["waveform_id"] == e["_w"]), "left").drop("_e", "_w")
-    best = lambda a: F.max(F.when(F.abs(F.col(a) - F.col("est")) < near, F.col("proba")))
-    w = j.groupBy("epoch", "waveform_id").agg(best("act1").alias("p1"), best("act2").alias("p2"), F.collect_list("proba").alias("_all"))
-    d = at_tolerances(w, tolerances)
-    one, two = (F.coalesce(F.col(c) > F.col("tolerance"), F.lit(False)).cast("long") for c in ("p1", "p2"))
-    picks = F.size(F.filter("_all", lambda p: p > F.col("tolerance"))).cast("long")
-    return d.groupBy("epoch", "tolerance").agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("tp1"), F.sum(two).alias("tp2"), F.sum(one * two).alias("tp_both"), F.sum(F.greatest(F.lit(0), picks - one - two)).alias("fp"))
+    from quakeframe.operators.joins import counted, repeated
+
+    own = ["epoch", "waveform_id", "act1", "act2", *([stratum] if stratum else [])]
+    e = est.select(F.col("epoch").alias("_e"), F.col("waveform_id").alias("_w"), F.struct(F.col("est").cast("long").alias("est"), F.col("proba").alias("proba")).alias("_pick"))
+    w = counted(windows.select(*own))
+    j = w.join(e, (w["epoch"] == e["_e"]) & (w["waveform_id"] == e["_w"]), "left")
+    j = repeated(j.groupBy(*own, "_copies").agg(F.collect_list("_pick").alias("_picks")))  # the picks of one window
+    d = at_tolerances(j, tolerances).withColumn("_picks", F.filter("_picks", lambda p: p["proba"] > F.col("tolerance")))
+
+    def found(a: str) -> Column:
+        near_ones = F.filter("_picks", lambda p: F.abs(F.col(a) - p["est"]) < near)
+        best = F.array_min(F.transform(near_ones, lambda p: F.struct(F.abs(F.col(a) - p["est"]).alias("d"), p["est"].alias("est"))))
+        return F.when(F.col(a) >= 0, F.col(a) - best["est"])
+
+    d = d.withColumns({"_r1": found("act1"), "_r2": found("act2"), "_n": F.size("_picks").cast("long"), "_signal": F.col("act1") >= 0, "_two": F.coalesce(F.col("act2") >= 0, F.lit(False))})
+    m1, m2, signal, two, n = F.col("_r1").isNotNull(), F.col("_r2").isNotNull(), F.col("_signal"), F.col("_two"), F.col("_n")
+    spare = n - m1.cast("long") - m2.cast("long")
+    first = F.when(signal, m1).otherwise(n > 0)
+    given = signal.cast("long") + two.cast("long")
+    kinds = [("first", signal, first, F.array("_r1"), signal.cast("long")), ("second", F.lit(True), m2, F.array("_r2"), F.lit(1).cast("long")), ("combined", signal, first & (m2 | ~two), F.array("_r1", "_r2"), given)]
+    rows = F.array(*[F.struct(F.lit(k).alias("picks"), o.alias("_t"), h.alias("_p"), F.filter(r, lambda x: x.isNotNull()).alias("_rs"), g.alias("_given")) for k, o, h, r, g in kinds])
+    rows = F.when(two, rows).otherwise(F.filter(rows, lambda x: x["picks"] != "second"))
+    d = d.withColumns({"_spare": spare, "_any": F.when(signal & (n > 0), given).otherwise(0)}).withColumn("_k", F.explode(rows)).select("*", "_k.*")
+    p, t = F.col("_p"), F.col("_t")
+    total = lambda part: F.sum(F.aggregate("_rs", F.lit(0).cast("double"), part))
+    sums = [*confusion_sums(p, t), F.sum("_spare").alias("_fp"), F.sum("_given").alias("n_picks"), F.sum(F.size("_rs")).alias("_found"), F.sum("_any").alias("_any"), total(lambda a, x: a + x).alias("_s"), total(lambda a, x: a + x * x).alias("_ss")]
+    keys = ["epoch", "tolerance", "picks"]
+    g = d.groupBy(*keys).agg(*sums, *_strata(p, t, stratum))
+    g = g.withColumnRenamed("fp", "fp_notused").withColumnRenamed("_fp", "fp")
+    mean = F.when(F.col("_found") > 0, F.col("_s") / F.col("_found")).otherwise(0.0)
+    var = F.when(F.col("_found") > 0, F.col("_ss") / F.col("_found") - mean * mean).otherwise(0.0)
+    picked = F.when(F.col("picks") == "first", F.col("_any")).otherwise(F.col("_found")) if stratum else F.col("_found")
+    of_first = {name: F.when(F.col("picks") == "first", rate) for name, rate in _strata_rates(stratum).items()}
+    g = g.withColumns({"n_picked": picked, "residual_mean": F.round(mean, 6), "residual_std": F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 6), **rates(), **of_first})
+    g = g.drop("_found", "_any", "_s", "_ss", *[f"{c}_{s}" for c in ("tp", "tn", "fp", "fn") for s in STRATA])
+    return _with_trimmed(g, d.select(*keys, F.explode("_rs").alias("_r")), keys, "_r")
 
 
 def pick_jaccard(est: DataFrame, act: DataFrame, keys: list[str], near: int) -> DataFrame:
-    """matched / (estimated + actual - matched) of each waveform; 1 if it has neither."""
+    """matched / (estimated + actual - matched) of each waveform, where matched counts the actual picks that have an estimated one nearer than `near`; 1 if it has neither."""
     from quakeframe.operators.joins import match_picks
 
-    m = match_picks(est, act, keys, near).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_act"), F.count_distinct("est").alias("matched"))
+    m = match_picks(est, act, keys, near).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_act"), F.count("est").alias("matched"))
     n = est.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_est"))
     j = m.join(n, keys, "full").na.fill(0, ["n_act", "matched", "n_est"])
     either = F.col("n_est") + F.col("n_act") - F.col("matched")
     return j.select(*keys, "n_est", "n_act", "matched", ratio(F.col("matched"), either, 1.0).alias("jaccard"))
 
 
+def pick_jaccard_at(est: DataFrame, act: DataFrame, tolerances: list[float], keys: list[str], near: int) -> DataFrame:
+    """`pick_jaccard` at each tolerance, over the estimated picks (with `proba`) above it."""
+    some = at_tolerances(est, tolerances).filter(F.col("proba") > F.col("tolerance")).drop("proba")
+    return pick_jaccard(some, at_tolerances(act, tolerances), [*keys, "tolerance"], near)
+
+
+def jaccard_summary(df: DataFrame, keys: list[str], value: str = "jaccard", name: str = "js") -> DataFrame:
+    """Mean, min, max and a histogram of 10 equal bins from the least to the largest value (half a unit around a single one)."""
+    g = df.groupBy(*keys).agg(F.round(F.avg(value), 6).alias(f"{name}_mean"), F.min(value).alias(f"{name}_min"), F.max(value).alias(f"{name}_max"))
+    low, high = F.col(f"{name}_min"), F.col(f"{name}_max")
+    one = low == high
+    a, b = F.when(one, low - 0.5).otherwise(low), F.when(one, high + 0.5).otherwise(high)
+    g = g.withColumn("_edges", F.array(*[a + (b - a) * k / 10 for k in range(1, 10)]))
+    j = df.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col(value).alias("_v"))
+    j = j.join(g, [j[f"_g{k}"] == g[k] for k in keys]).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))))
+    stats = [f"{name}_mean", f"{name}_min", f"{name}_max"]
+    dist = F.array(*[F.count(F.when(F.col("_bin") == k, 1)) for k in range(10)]).alias(f"{name}_dist")
+    return j.groupBy(*keys, *stats).agg(dist)
+
+
 def precision_recall_curve(metrics: DataFrame, epoch: int) -> DataFrame:
     """Precision and recall of an epoch in the order of tolerance."""
     return metrics.filter(F.col("epoch") == epoch).orderBy("tolerance").select("tolerance", "precision", "recall")

@@ -16,16 +16,24 @@ SEED = "split-1"
 FLAG_TOLERANCES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
+def _fence(keys: str, value: str, source: str, k: float) -> str:
+    return f"""q AS (SELECT {keys}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.75) AS q3 FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL),
+fs AS (SELECT {keys}, count(v) AS n_inside, round(coalesce(avg(v), 0), 6) AS fence_mean, round(coalesce(stddev_pop(v), 0), 6) AS fence_std
+  FROM (SELECT s.*, CASE WHEN {value} > q1 - {k} * (q3 - q1) AND {value} < q3 + {k} * (q3 - q1) THEN {value} END AS v FROM {source} s JOIN q USING ({keys}) WHERE {value} IS NOT NULL) GROUP BY ALL)"""
+
+
 @query("flagship_pick_metrics", f"""
 WITH {V.PICKS}, g AS (SELECT *, lag(arrival_time) OVER w AS a, lead(arrival_time) OVER w AS b FROM picks WINDOW w AS (PARTITION BY station ORDER BY arrival_time, pick_id)),
 k AS (SELECT * FROM g WHERE coalesce(arrival_time - a >= 600, true) AND coalesce(b - arrival_time >= 600, true)),
 e AS (SELECT station, tolerance, least(1.0, amplitude / 100) > tolerance AS p, phase <> 'error' AS t, pick_id % 40 - floor(amplitude)::BIGINT % 40 AS r
   FROM k, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS tolerance)),
+er AS (SELECT station, tolerance, CASE WHEN p AND t THEN r END AS r FROM e), {_fence('station, tolerance', 'r', 'er', 1.5)},
 m AS (SELECT station, tolerance, sum((p AND t)::INT) tp, sum((NOT p AND NOT t)::INT) tn, sum((p AND NOT t)::INT) fp, sum((NOT p AND t)::INT) fn,
-  round(avg(CASE WHEN p AND t THEN r END), 6) residual_mean, round(stddev_pop(CASE WHEN p AND t THEN r END), 6) residual_std FROM e GROUP BY ALL)
-SELECT station, tolerance, tp::BIGINT tp, tn::BIGINT tn, fp::BIGINT fp, fn::BIGINT fn, residual_mean, residual_std, (tp + fn)::BIGINT AS n_picks,
+  round(coalesce(avg(CASE WHEN p AND t THEN r END), 0), 6) residual_mean, round(coalesce(stddev_pop(CASE WHEN p AND t THEN r END), 0), 6) residual_std FROM e GROUP BY ALL)
+SELECT station, tolerance, tp::BIGINT tp, tn::BIGINT tn, fp::BIGINT fp, fn::BIGINT fn, residual_mean, residual_std, (tp + fn)::BIGINT AS n_picks, tp::BIGINT AS n_picked,
+  coalesce(fence_mean, 0) AS trimmed_residual_mean, coalesce(fence_std, 0) AS trimmed_residual_std,
   round(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0 END, 6) AS accuracy,
-  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM m""")
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM m LEFT JOIN fs USING (station, tolerance)""")
 def flagship(spark, d):
     p = remove_close_picks(V.picks(spark, d), 600, ["station"]).filter(~F.col("is_close"))
     e = p.select("station", F.least(F.lit(1.0), F.col("amplitude") / 100).alias("proba"), F.when(F.col("phase") != "error", F.col("pick_id") % 40).otherwise(-1).alias("true_index"), (F.floor("amplitude") % 40).alias("est_index"))

@@ -24,15 +24,20 @@ def j1(spark, d):
     return J.attach_waveforms_1c(V.catalog(spark, d).withColumnRenamed("part", "wave"), _archive(spark, d), ["wave"]).select("evid", "station", "line", F.col("wave").alias("part"), F.round(F.array_max("x"), 6).alias("peak"))
 
 
-@query("j2_attach_waveforms_3c", """
-WITH p AS (SELECT event_id AS pick_id, user_id % 40 AS station, 'c' || (event_id % 5) AS z, 'c' || ((event_id + 1) % 5) AS n, 'c' || ((event_id + 2) % 5) AS e FROM events),
-a AS (SELECT vec_id % 40 AS station, 'c' || label AS channel, max(embedding[1]::DOUBLE) AS x FROM embeddings WHERE label < 5 GROUP BY ALL)
+_REPEATED = "events UNION ALL SELECT * FROM events WHERE event_type = 'click'"
+
+
+@query("j2_attach_waveforms_3c", f"""
+WITH p AS (SELECT event_id AS pick_id, user_id % 40 AS station, 'c' || (event_id % 5) AS z, 'c' || ((event_id + 1) % 5) AS n, 'c' || ((event_id + 2) % 5) AS e FROM (SELECT * FROM {_REPEATED})),
+a AS (SELECT vec_id % 40 AS station, 'c' || label AS channel, min(embedding[1]::DOUBLE) AS x FROM embeddings WHERE label < 5 GROUP BY ALL)
 SELECT pick_id, p.station, round(az.x, 6) AS x_z, round(an.x, 6) AS x_n, round(ae.x, 6) AS x_e FROM p JOIN a az ON az.station = p.station AND az.channel = z JOIN a an ON an.station = p.station AND an.channel = n JOIN a ae ON ae.station = p.station AND ae.channel = e""")
 def j2(spark, d):
+    """Picks of one type are given twice, and the archive has many waveforms for each channel."""
     p = V.picks(spark, d)
+    p = p.unionAll(p.filter("phase = 'click'"))
     channel = lambda k: F.concat(F.lit("c"), ((F.col("pick_id") + k) % 5).cast("string"))
     p = p.select("pick_id", (F.col("station") % 40).alias("station"), channel(0).alias("z"), channel(1).alias("n"), channel(2).alias("e"))
-    a = V.waveforms(spark, d).filter("label < 5").groupBy((F.col("row_id") % 40).alias("station"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("channel")).agg(F.max(F.element_at("x", 1)).alias("x"))
+    a = V.waveforms(spark, d).filter("label < 5").select((F.col("row_id") % 40).alias("station"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("channel"), F.element_at("x", 1).alias("x"))
     return J.attach_waveforms_3c(p, a, ["station"], {"z": "z", "n": "n", "e": "e"}).select("pick_id", "station", *[F.round(f"x_{k}", 6).alias(f"x_{k}") for k in "zne"])
 
 
@@ -70,30 +75,34 @@ def j6(spark, d):
     return J.add_magnitudes(V.catalog(spark, d).select("evid", "station", "line", "part"), V.events(spark, d).filter("magnitude > 2"))
 
 
-@query("j8_pair_events", f"""WITH {V.CATALOG}, {V.EVENTS}, m AS (SELECT DISTINCT c.evid, station, channel, magnitude FROM catalog c JOIN evt USING (evid)),
-l AS (SELECT * FROM m WHERE evid % 10 = 3), r AS (SELECT l.*, m.evid AS evid2, m.magnitude AS magnitude2, row_number() OVER (PARTITION BY l.evid, l.station, l.channel, l.magnitude ORDER BY md5('pair:' || l.evid || ':' || m.evid), m.evid) AS rk
+@query("j8_pair_events", f"""WITH {V.CATALOG}, {V.EVENTS}, l AS (SELECT c.evid, station, channel, magnitude, row_number() OVER () AS rid FROM catalog c JOIN evt USING (evid)), m AS (SELECT DISTINCT evid, station, channel, magnitude FROM l),
+r AS (SELECT l.*, m.evid AS evid2, m.magnitude AS magnitude2, row_number() OVER (PARTITION BY rid ORDER BY md5('pair:' || l.evid || ':' || m.evid), m.evid) AS rk
 FROM l JOIN m ON l.station = m.station AND l.channel = m.channel AND l.evid <> m.evid AND m.magnitude BETWEEN l.magnitude - 0.3 AND l.magnitude + 0.4)
 SELECT evid, station, channel, magnitude, evid2, magnitude2 FROM r WHERE rk = 1""")
 def j8(spark, d):
-    m = V.catalog(spark, d).join(V.events(spark, d).select("evid", "magnitude"), "evid").select("evid", "station", "channel", "magnitude").distinct()
-    return J.pair_events(m.filter("evid % 10 = 3"), m, ["station", "channel"], -0.3, 0.4, "pair")
+    """All picks look for a partner; some events have several picks at a station and channel, which are equal rows here."""
+    m = V.catalog(spark, d).join(V.events(spark, d).select("evid", "magnitude"), "evid").select("evid", "station", "channel", "magnitude")
+    return J.pair_events(m, m, ["station", "channel"], -0.3, 0.4, "pair")
 
 
-_PICKS2 = "act AS (SELECT l_orderkey AS waveform_id, l_linenumber::BIGINT AS epoch, l_quantity::BIGINT AS act FROM lineitem WHERE l_returnflag = 'A'), est AS (SELECT l_orderkey AS waveform_id, l_linenumber::BIGINT AS epoch, l_quantity::BIGINT + l_partkey % 9 - 4 AS est FROM lineitem WHERE l_returnflag <> 'N')"
+_PICKS2 = """act0 AS (SELECT l_orderkey AS waveform_id, l_suppkey % 3 AS epoch, l_quantity::BIGINT AS act, l_linestatus FROM lineitem WHERE l_returnflag = 'A'), act AS (SELECT waveform_id, epoch, act FROM act0 UNION ALL SELECT waveform_id, epoch, act FROM act0 WHERE act < 10),
+est AS (SELECT l_orderkey AS waveform_id, l_suppkey % 3 AS epoch, l_quantity::BIGINT + l_partkey % 9 - 4 AS est, round(l_discount * 10, 4) AS proba FROM lineitem WHERE l_returnflag <> 'N')"""
 
 
 def _act_est(spark, d):
+    """Actual picks, the early ones given twice, and estimated picks with their probabilities."""
     x = V.table(spark, d, "lineitem")
-    key = [F.col("l_orderkey").alias("waveform_id"), F.col("l_linenumber").cast("long").alias("epoch")]
+    key = [F.col("l_orderkey").alias("waveform_id"), (F.col("l_suppkey") % 3).alias("epoch")]
     q = F.col("l_quantity").cast("long")
-    return x.filter("l_returnflag = 'A'").select(*key, q.alias("act")), x.filter("l_returnflag <> 'N'").select(*key, (q + F.col("l_partkey") % 9 - 4).alias("est"))
+    act = x.filter("l_returnflag = 'A'").select(*key, q.alias("act"))
+    return act.unionAll(act.filter("act < 10")), x.filter("l_returnflag <> 'N'").select(*key, (q + F.col("l_partkey") % 9 - 4).alias("est"), F.round(F.col("l_discount") * 10, 4).alias("proba"))
 
 
-@query("j9_match_picks", f"""WITH {_PICKS2}, a AS (SELECT DISTINCT * FROM act), m AS (SELECT a.*, e.est, row_number() OVER (PARTITION BY a.waveform_id, a.epoch, a.act ORDER BY abs(a.act - e.est), e.est) AS rk FROM a LEFT JOIN est e ON a.waveform_id = e.waveform_id AND a.epoch = e.epoch AND abs(a.act - e.est) < 5)
+@query("j9_match_picks", f"""WITH {_PICKS2}, a AS (SELECT *, row_number() OVER () AS rid FROM act), m AS (SELECT a.*, e.est, row_number() OVER (PARTITION BY rid ORDER BY abs(a.act - e.est), e.est) AS rk FROM a LEFT JOIN est e ON a.waveform_id = e.waveform_id AND a.epoch = e.epoch AND abs(a.act - e.est) < 5)
 SELECT waveform_id, epoch, act, est, act - est AS residual FROM m WHERE rk = 1""")
 def j9(spark, d):
     act, est = _act_est(spark, d)
-    return J.match_picks(est, act.distinct(), ["waveform_id", "epoch"], 5)
+    return J.match_picks(est, act, ["waveform_id", "epoch"], 5)
 
 
 @query("j10_nearest_pick_residuals", """WITH a AS (SELECT o_orderkey AS waveform_id, o_custkey % 30 AS act1, o_custkey % 50 AS act2 FROM orders), e AS (SELECT DISTINCT l_orderkey AS waveform_id, l_quantity::BIGINT AS est FROM lineitem WHERE l_returnflag <> 'N'),
