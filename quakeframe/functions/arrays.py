@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,16 +89,25 @@ def boxcar_width(quality: Column, widths: tuple[int, int, int] = (21, 31, 51)) -
 
 
 def snr(x: Column, pick: Column, half: int) -> Column:
-    """10 log10 of the mean square in the 2 half + 1 samples around a pick to that in as many before them, each about its mean; -999 for noise."""
-    n = 2 * half + 1
+    """10 log10 of the mean square in a pick's mask (`half` samples on both sides, clipped at the ends) to that in as many samples before it, each about its mean; -999 for noise, null without spread."""
     first = F.greatest(pick - half, F.lit(0))
-    s = F.slice(x, first + 1, F.lit(n))
+    n = F.greatest(F.least(F.size(x), pick + half + 1) - first, F.lit(0))
     before = F.greatest(first - n, F.lit(0))
-    b = F.slice(x, before + 1, first - before)
-    ratio = variance(s) / variance(b)
+    ratio = F.try_divide(variance(F.slice(x, first + 1, n)), variance(F.slice(x, before + 1, first - before)))
     return F.when((pick < 0) | (first - before < 1), F.lit(-999.0)).otherwise(F.when(ratio > 0, 10 * F.log10(ratio)))
 
 
+def transverse(north: Column, east: Column, azimuth: Column) -> Column:
+    """The transverse component of two horizontal ones, by the azimuth in degrees."""
+    turn = F.struct(F.sin(F.radians(azimuth)).alias("s"), F.cos(F.radians(azimuth)).alias("c"))
+    return let(turn, lambda t: F.zip_with(north, east, lambda n, e: e * t["c"] - n * t["s"]))
+
+
+def snr_transverse(north: Column, east: Column, azimuth: Column, pick: Column, half: int) -> Column:
+    """`snr` of the transverse component, as for S picks; an azimuth of null counts as 0."""
+    return let(transverse(north, east, F.coalesce(azimuth, F.lit(0.0))), lambda x: snr(x, pick, half))
+
+
 def argmax(p: Column) -> Column:
     """Index of the first largest value."""
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
@@ -161,6 +172,52 @@ def calibrated_bound(y: Column, std: Column, q: float) -> Column:
     return y + std * NormalDist().inv_cdf(q)
 
 
+def sorted_quantile(s: Column, q: float) -> Column:
+    """Interpolated quantile of a sorted array."""
+    at = (F.size(s) - 1) * q
+    low = F.get(s, F.floor(at).cast("int"))
+    return low + (at - F.floor(at)) * (F.get(s, F.ceil(at).cast("int")) - low)
+
+
+def fenced_summary(x: Column, k: float) -> Column:
+    """Median, std and number of the values strictly between the quartiles moved out by k times their distance; 0, 0, 0 without any."""
+
+    def inside(s: Column) -> Column:
+        quartiles = F.struct(sorted_quantile(s, 0.25).alias("a"), sorted_quantile(s, 0.75).alias("b"))
+        return let(quartiles, lambda q: F.filter(s, lambda v: (v > q["a"] - k * (q["b"] - q["a"])) & (v < q["b"] + k * (q["b"] - q["a"]))))
+
+    def summary(f: Column) -> Column:
+        std = let(mean(f), lambda m: F.sqrt(F.aggregate(f, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(f)))
+        some = F.size(f) > 0
+        return F.struct(F.when(some, sorted_quantile(f, 0.5)).otherwise(0.0).alias("shift"), F.when(some, std).otherwise(0.0).alias("std"), F.size(f).alias("n"))
+
+    return F.when(x.isNotNull(), let(F.array_sort(F.transform(x, lambda v: v.cast("double"))), lambda s: let(inside(s), summary)))
+
+
+def mixed_window(x1: Column, x2: Column, first: Column, second: Column, offset: Column, n: int, lead: int = 10, taper: int = 9) -> Column:
+    """n samples of two events on top of each other, from `offset` on.
+
+    Both traces have their arrival in the middle. The first one's lies at `first`; the second one is cut from `lead` samples before its
+    arrival, sloped in over `taper` samples by a cosine, and arrives at `second`. Zeros where a trace has ended.
+    """
+
+    def sample(j: Column) -> Column:
+        i = j + offset
+        k = i - second + lead
+        own = F.coalesce(F.get(x1, (F.floor(F.size(x1) / 2) - first + i).cast("int")), F.lit(0.0))
+        other = F.coalesce(F.get(x2, (F.floor(F.size(x2) / 2) - lead + k).cast("int")), F.lit(0.0))
+        slope = F.when(k < taper, 0.5 * (1 - F.cos(math.pi * k / taper))).otherwise(1.0)
+        return own + F.when(k >= 0, other * slope).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), sample)
+
+
+def two_boxcars(first: Column, second: Column, offset: Column, n: int, half: int) -> Column:
+    """0/1 mask of n samples from `offset` on, `half` samples on both sides of two arrivals."""
+    near = lambda i, at: F.abs(i + offset - at) <= half
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(near(i, first) | near(i, second), 1).otherwise(0))
+
+
 def first_motion_index(idx: Column, correction: Column) -> Column:
     """Pick index moved by a correction in seconds, rounded half to even."""
     return F.bround(idx + correction * 100).cast("long")

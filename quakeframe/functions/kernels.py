@@ -97,22 +97,3 @@ def tapered(x: np.ndarray, share: float = 0.01) -> np.ndarray:
     slope = 0.5 * (1 - np.cos(np.pi * np.arange(n) / n))
     w[:n], w[-n:] = slope, slope[::-1]
     return x * w
-
-
-def fenced(x: np.ndarray, k: float = 1.5) -> np.ndarray:
-    """Values strictly between the quartiles moved out by k times their distance."""
-    q1, q3 = np.percentile(x, [25, 75])
-    return x[(x > q1 - k * (q3 - q1)) & (x < q3 + k * (q3 - q1))]
-
-
-def mixed_pair(x1: np.ndarray, x2: np.ndarray, i1: int, i2: int, shift: int, taper: int = 9, lead: int = 10) -> np.ndarray:
-    """x1 with the second event on top: x2 from `lead` samples before its arrival i2, sloped in over `taper`, arriving `shift` after i1."""
-    cut = x2[max(0, i2 - lead) :].astype(float).copy()
-    n = min(taper, len(cut))
-    cut[:n] *= 0.5 * (1 - np.cos(np.pi * np.arange(n) / max(1, taper)))
-    at = i1 + shift - min(lead, i2)
-    out = x1.astype(float).copy()
-    a, b = max(0, at), min(len(out), at + len(cut))
-    if b > a:
-        out[a:b] += cut[a - at : b - at]
-    return out

@@ -234,7 +234,7 @@ def jaccard_summary(df: DataFrame, keys: list[str], value: str = "jaccard", name
     low, high = F.col(f"{name}_min"), F.col(f"{name}_max")
     one = low == high
     a, b = F.when(one, low - 0.5).otherwise(low), F.when(one, high + 0.5).otherwise(high)
-    g = g.withColumn("_edges", F.array(*[a + (b - a) * k / 10 for k in range(1, 10)]))
+    g = g.withColumn("_edges", F.array(*[a + (b - a) / 10 * k for k in range(1, 10)]))
     j = df.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col(value).alias("_v"))
     j = j.join(g, [j[f"_g{k}"] == g[k] for k in keys]).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))))
     stats = [f"{name}_mean", f"{name}_min", f"{name}_max"]

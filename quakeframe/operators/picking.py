@@ -122,10 +122,21 @@ def apply_processing(df: DataFrame, x: str, function: Callable[[np.ndarray], np.
     return df.withColumn(x, run(F.col(x)))
 
 
-def cut_pick_windows(picks: DataFrame, traces: DataFrame, keys: list[str], n: int, margin: int) -> DataFrame:
-    """Every pick (`index`) with exactly n samples around it from its station-day's trace, and `margin` more on both sides for processing; zeros beyond the day's edges."""
-    j = picks.join(traces, keys)
-    return j.withColumn("x", arrays.cut_padded(F.col("x"), F.col("index") - n // 2 - margin, n + 2 * margin))
+def cut_pick_windows(picks: DataFrame, traces: DataFrame, keys: list[str], n: int, margin: int, process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Every pick (`index`) with exactly n samples `x` around it from its station-day's trace; zeros beyond the day's edges.
+
+    `process` gets rows whose x has `margin` more samples on both sides, where there are any, which are cut off afterwards.
+    The picks of a station-day are collected, so its trace is joined once and never lies in a row for each pick.
+    """
+    own = [c for c in picks.columns if c not in keys]
+    g = picks.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("_picks"))
+    j = g.join(traces.select(*keys, F.col("x").alias("_trace")), keys)
+    begin = lambda p: F.greatest(p["index"] - n // 2 - margin, F.lit(0)).cast("int")
+    size = lambda p: F.greatest(F.least(F.size("_trace"), p["index"] - n // 2 + n + margin) - begin(p), F.lit(0)).cast("int")
+    cut = F.transform("_picks", lambda p: F.struct(p.alias("p"), begin(p).alias("begin"), F.slice("_trace", begin(p) + 1, size(p)).alias("x")))
+    df = j.select(*keys, F.explode(cut).alias("_c")).select(*keys, "_c.p.*", F.col("_c.begin").alias("_begin"), "_c.x")
+    df = process(df) if process else df
+    return df.withColumn("x", arrays.cut_padded(F.col("x"), F.col("index") - n // 2 - F.col("_begin"), n)).drop("_begin")
 
 
 def margins_removed(df: DataFrame, x: str, margin: int) -> DataFrame:
@@ -169,23 +180,39 @@ def fill_gaps(segments: DataFrame, keys: list[str], day: str = "day") -> DataFra
 
 def ensemble_summary(df: DataFrame, preds: str, k: float = 1.5) -> DataFrame:
     """Rows with median and std of their ensemble inside its own fence."""
+    return df.withColumn("_s", arrays.fenced_summary(F.col(preds), k)).select("*", "_s.shift", "_s.std", F.col("_s.n").alias("n_kept")).drop("_s")
 
-    @F.pandas_udf("struct<shift: double, std: double, n: int>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        def one(v) -> tuple[float, float, int]:
-            x = kernels.fenced(np.asarray(v, float), k)
-            return (float(np.median(x)), float(np.std(x)), len(x)) if len(x) else (0.0, 0.0, 0)
 
-        return pd.DataFrame([one(v) for v in s], columns=["shift", "std", "n"])
+def mix_pairs(df: DataFrame, n: int, half: int, lead: int = 10, taper: int = 9) -> DataFrame:
+    """Two rows for each pair of traces x1, x2 (arrivals in their middle): `window` 1 shows the first event where `first` puts it, `window` 2 starts `shift`
+    samples later, so that the second one, at `second`, stands there.
 
-    return df.withColumn("_s", run(F.col(preds))).select("*", "_s.shift", "_s.std", F.col("_s.n").alias("n_kept")).drop("_s")
+    Each has n samples x over their largest absolute value, the mask y of both arrivals, and the places of its own and of the other
+    arrival, pick_index and pick_index2. Other columns are kept.
+    """
+    first, second, shift = (F.col(c).cast("int") for c in ("first", "second", "shift"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("window"), o.alias("_offset"), a.alias("pick_index"), b.alias("pick_index2")) for k, o, a, b in ((1, F.lit(0), first, second), (2, shift, second - shift, first - shift))])
+    w = df.withColumn("_k", F.explode(kinds)).select("*", "_k.*").drop("_k")
+    x = arrays.mixed_window(F.col("x1"), F.col("x2"), first, second, F.col("_offset"), n, lead, taper)
+    w = w.withColumns({"x": arrays.normalise(x, 0.0), "y": arrays.two_boxcars(first, second, F.col("_offset"), n, half)})
+    return w.drop("x1", "x2", "_offset")
 
 
-def mix_pairs(df: DataFrame, out: str = "x") -> DataFrame:
-    """Rows with the two waves x1, x2 (arrivals i1, i2; `shift` samples apart) on top of each other."""
+def inverse_isotonic(curve: DataFrame, observed: str, nominal: str) -> list[tuple[float, float]]:
+    """Knots (observed, nominal) of the isotonic regression of nominal on observed quantiles: at most as many as the calibration curve has points, some tens."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    points = curve.select(F.col(observed).cast("double").alias("features"), F.col(nominal).cast("double").alias("label"))
+    model = IsotonicRegression().fit(points)
+    return list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+
+
+def calibrated_quantile(q: float, knots: list[tuple[float, float]]) -> float:
+    """q on the line through the knots; that of the outer ones beyond them."""
+    return float(np.interp(q, *zip(*knots, strict=True)))
 
-    @F.pandas_udf("array<double>")
-    def run(x1: pd.Series, x2: pd.Series, i1: pd.Series, i2: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series([kernels.mixed_pair(np.asarray(a), np.asarray(b), int(i), int(j), int(s)) for a, b, i, j, s in zip(x1, x2, i1, i2, shift, strict=True)])
 
-    return df.withColumn(out, run("x1", "x2", "i1", "i2", "shift"))
+def calibrated_bounds(df: DataFrame, y: str, std: str, knots: list[tuple[float, float]], lower: float, upper: float) -> DataFrame:
+    """Rows with `lower` and `upper`: y and its std times the normal quantiles of the calibrated probabilities."""
+    bound = lambda q: arrays.calibrated_bound(F.col(y), F.col(std), calibrated_quantile(q, knots))
+    return df.withColumns({"lower": bound(lower), "upper": bound(upper)})

@@ -59,6 +59,24 @@ def thin_every_nth(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return ranked(df, order).filter((F.col("rank") - 1) % n == 0).drop("rank")
 
 
+def thinned_to_signal(noise: DataFrame, n_signal: int, n: int, key: str, seed: str) -> DataFrame:
+    """Every n-th noise row and, if those are fewer than the `n_signal` signal rows, as many others, drawn with replacement, as are missing.
+
+    Draw j takes the other row of rank md5(seed:j) modulo their number, so reruns agree; a row drawn twice comes twice.
+    """
+    r = ranked(noise, [shuffled(seed, F.col(key)), F.col(key)])
+    kept = r.filter((F.col("rank") - 1) % n == 0).drop("rank")
+    others = r.filter((F.col("rank") - 1) % n != 0).withColumn("_place", F.col("rank") - F.floor((F.col("rank") - 1) / n) - 2).drop("rank")
+    rows = noise.count()
+    left = rows - -(-rows // n)
+    missing = n_signal - (rows - left)
+    if missing <= 0 or not left:
+        return kept
+    draws = noise.sparkSession.range(1, missing + 1).withColumn("_h", F.conv(F.substring(shuffled(seed, F.col("id")), 1, 8), 16, 10).cast("bigint"))
+    draws = draws.select((F.col("_h") % left).alias("_draw"))
+    return kept.unionByName(others.join(draws, F.col("_place") == F.col("_draw")).drop("_place", "_draw"))
+
+
 def split_report(df: DataFrame, key: str) -> DataFrame:
     """Rows, events and share of rows of each split."""
     g = df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_events"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -123,12 +125,26 @@ def x19(spark, d):
     return j.select("row_id", _r(F.element_at(a, 1)).alias("a0"), _r(F.element_at(b, 1)).alias("b0"))
 
 
-@query("x20_mix_pair")
+@query("x18_snr_transverse", f"""WITH {V.WAVEFORMS}, t AS (SELECT row_id, list_transform(range(1, 65), lambda i: x[65 - i] * cos(radians(row_id % 360)) - x[i] * sin(radians(row_id % 360))) AS t, row_id % 60 AS k FROM wf),
+w AS (SELECT *, greatest(k - 5, 0) AS a, least(64, k + 6) AS b FROM t), v AS (SELECT *, greatest(a - (b - a), 0) AS c FROM w)
+SELECT row_id, CASE WHEN a - c < 1 THEN -999 WHEN a - c > 1 THEN round(10 * log10(list_var_pop(t[a + 1:b]) / list_var_pop(t[c + 1:a])), 4) END AS snr FROM v""")
+def x18_transverse(spark, d):
+    """S picks at all places of the window; a single noise sample has no spread, and so no ratio."""
+    w = V.waveforms(spark, d).withColumn("k", (F.col("row_id") % 60).cast("int"))
+    return w.select("row_id", _r(A.snr_transverse(F.col("x"), F.reverse("x"), F.col("row_id") % 360, F.col("k"), 5), 4).alias("snr"))
+
+
+@query("x20_mix_pair", f"""WITH {V.WAVEFORMS}, j AS (SELECT a.row_id, a.x AS x1, b.x AS x2, 10 + a.row_id % 5 AS f, 10 + a.row_id % 5 + 6 + a.row_id % 6 AS s, 6 + a.row_id % 6 AS shift FROM wf a JOIN wf b ON b.row_id = a.row_id + 1),
+k AS (SELECT *, 1 AS win, 0 AS o, f AS pick_index, s AS pick_index2 FROM j UNION ALL SELECT *, 2, shift, s - shift, f - shift FROM j),
+m AS (SELECT row_id, win, pick_index, pick_index2, list_transform(range(0, 30), lambda i: coalesce(x1[32 - f + i + o + 1], 0) + CASE WHEN i + o - s + 10 >= 0 THEN coalesce(x2[32 + i + o - s + 1], 0) * CASE WHEN i + o - s + 10 < 9 THEN 0.5 * (1 - cos(pi() * (i + o - s + 10) / 9)) ELSE 1 END ELSE 0 END) AS x,
+  list_transform(range(0, 30), lambda i: CASE WHEN abs(i + o - f) <= 2 OR abs(i + o - s) <= 2 THEN 1 ELSE 0 END) AS y FROM k)
+SELECT row_id, win::INT AS "window", pick_index::INT AS pick_index, pick_index2::INT AS pick_index2, list_transform(x, lambda v: round(v / list_max(list_transform(x, lambda u: abs(u))), 6)) AS x, y FROM m""")
 def x20(spark, d):
     w = V.waveforms(spark, d)
     j = w.select("row_id", F.col("x").alias("x1")).join(w.select((F.col("row_id") - 1).alias("row_id"), F.col("x").alias("x2")), "row_id")
-    m = P.mix_pairs(j.withColumns({"i1": F.lit(20), "i2": F.lit(20), "shift": (15 + F.col("row_id") % 10).cast("int")}))
-    return m.select("row_id", F.col("shift"), _rounded(F.col("x")).alias("x"))
+    first, shift = 10 + F.col("row_id") % 5, 6 + F.col("row_id") % 6
+    m = P.mix_pairs(j.withColumns({"first": first, "second": first + shift, "shift": shift}), 30, 2)
+    return m.select("row_id", "window", "pick_index", "pick_index2", _rounded(F.col("x")).alias("x"), "y")
 
 
 @query("x21_segment_noise", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest(range(0, 4)) AS part FROM wf) SELECT row_id, part::INT AS part, round(list_sum(x[part * 16 + 1: part * 16 + 16]), 6) AS total FROM c")
@@ -156,6 +172,24 @@ def x24(spark, d):
     return s.select("row_id", _r(A.calibrated_bound(F.col("shift"), F.col("std"), 0.025)).alias("lb"), _r(A.calibrated_bound(F.col("shift"), F.col("std"), 0.975)).alias("ub"))
 
 
+_NOMINAL = [k / 10 for k in range(1, 10)]
+_CURVE = ", ".join(f"({q}, {NormalDist().inv_cdf(q)!r})" for q in _NOMINAL)
+
+
+@query("x24_calibrated_quantiles", f"""WITH {V.WAVEFORMS}, s AS (SELECT list_median(x) AS y, list_stddev_pop(x) AS sd, x[64] AS t FROM wf), c(q, z) AS (VALUES {_CURVE}),
+o AS (SELECT q, round(avg((t <= y + sd * z)::INT), 9) AS obs FROM s, c GROUP BY q), k AS (SELECT obs, avg(q) AS q FROM o GROUP BY obs), a AS (SELECT unnest([0.05, 0.25, 0.6, 0.95])::DOUBLE AS v),
+b AS (SELECT v, (SELECT max(obs) FROM k WHERE obs <= v) AS l, (SELECT min(obs) FROM k WHERE obs >= v) AS h FROM a),
+r AS (SELECT b.*, kl.q AS ql, kh.q AS qh FROM b LEFT JOIN k kl ON kl.obs = l LEFT JOIN k kh ON kh.obs = h)
+SELECT v AS target, round(CASE WHEN l IS NULL THEN qh WHEN h IS NULL OR l = h THEN ql ELSE ql + (qh - ql) * (v - l) / (h - l) END, 6) AS quantile FROM r""")
+def x24_quantiles(spark, d):
+    """The calibration curve of all ensembles against the last sample, inverted."""
+    s = P.ensemble_summary(V.waveforms(spark, d).withColumn("truth", F.element_at("x", 64)), "x", 1e9)
+    under = [F.avg((F.col("truth") <= A.calibrated_bound(F.col("shift"), F.col("std"), q)).cast("int")) for q in _NOMINAL]
+    curve = s.agg(F.array(*[F.struct(F.lit(q).alias("nominal"), F.round(u, 9).alias("observed")) for q, u in zip(_NOMINAL, under, strict=True)]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    knots = P.inverse_isotonic(curve, "observed", "nominal")
+    return spark.createDataFrame([(v, round(P.calibrated_quantile(v, knots), 6)) for v in (0.05, 0.25, 0.6, 0.95)], "target double, quantile double")
+
+
 @query("x29_strip_trailing_zeros", "SELECT vec_id AS row_id, greatest(0, 64 - vec_id % 65)::INT AS n FROM embeddings")
 def x29(spark, d):
     w = V.waveforms(spark, d)
@@ -234,17 +268,21 @@ def x8(spark, d):
     return P.processed(V.waveforms(spark, d).select("row_id", "x"), "x").select("row_id", _rounded(F.col("x")).alias("x"))
 
 
-@query("x9_fill_gaps")
+@query("x9_fill_gaps", f"""WITH {V.WAVEFORMS}, s AS (SELECT label AS station, row_id // 576 AS day, row_id % 576 * 150 + i AS t, x[i + 1] AS v FROM wf, (SELECT unnest(range(0, 64)) AS i)),
+l AS (SELECT *, lag(t) OVER w AS t1, lag(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY station, day ORDER BY t))
+SELECT station, day, 86400 AS npts, round(sum(CASE WHEN t1 IS NULL THEN v * (t + 1) ELSE (t - t1) * v1 + (v - v1) * (t - t1 + 1) / 2 END) + arg_max(v, t) * (86399 - max(t)), 4) AS total FROM l GROUP BY station, day""")
 def x9(spark, d):
     w = V.waveforms(spark, d)
-    seg = w.select(F.col("label").alias("station"), F.lit(0).cast("long").alias("day"), (F.col("row_id") * 150 % 86000).cast("double").alias("starttime"), F.lit(1.0).alias("sampling_rate"), F.col("x").alias("data"))
+    day = F.floor(F.col("row_id") / 576).cast("long")
+    seg = w.select(F.col("label").alias("station"), day.alias("day"), (day * 86400 + F.col("row_id") % 576 * 150).cast("double").alias("starttime"), F.lit(1.0).alias("sampling_rate"), F.col("x").alias("data"))
     f = P.fill_gaps(seg, ["station"])
     return f.select("station", "day", F.size("data").alias("npts"), _r(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
-@query("x10_resample")
+@query("x10_resample", f"""WITH {V.WAVEFORMS}, k AS (SELECT j, n, (1 + 2 * sum(cos(2 * pi() * f * (j / 160 - n / 64)))) / 64 AS w FROM (SELECT unnest(range(0, 160)) AS j), (SELECT unnest(range(0, 64)) AS n), (SELECT unnest(range(1, 33)) AS f) GROUP BY ALL),
+o AS (SELECT row_id, j, sum(x[n + 1] * w) AS v FROM wf, k GROUP BY ALL) SELECT row_id, count(*)::INT AS n, list(round(v, 4) + 0 ORDER BY j) AS x FROM o GROUP BY row_id""")
 def x10(spark, d):
-    return P.resample(V.waveforms(spark, d).select("row_id", "x"), "x", 40, 100).select("row_id", F.size("x").alias("n"), _rounded(F.col("x"), 4).alias("x"))
+    return P.resample(V.waveforms(spark, d).select("row_id", "x"), "x", 40, 100).select("row_id", F.size("x").alias("n"), F.transform("x", lambda v: F.round(v, 4) + 0.0).alias("x"))
 
 
 @query("x3_swap_channels", f"WITH {V.WAVEFORMS} SELECT row_id, round(x[2], 6) AS x_e, round(x[1], 6) AS x_n, round(x[3], 6) AS x_z FROM wf")
@@ -260,13 +298,16 @@ def x3_vertical(spark, d):
 
 
 @query("x14_cut_pick_windows", f"""WITH {V.WAVEFORMS}, p AS (SELECT l_orderkey AS evid, l_linenumber::BIGINT AS line, l_suppkey AS row_id, l_quantity::BIGINT + l_linenumber * 2 AS idx FROM lineitem),
-w AS (SELECT evid, line, p.row_id, idx, list_transform(range(idx - 10, idx + 10), lambda i: CASE WHEN i >= 0 AND i < 64 THEN x[i + 1] ELSE 0 END) AS y FROM p JOIN wf ON wf.row_id = p.row_id)
-SELECT evid, line, row_id, idx, len(y)::INT AS n, round(list_sum(y), 6) AS total FROM w""")
+c AS (SELECT evid, line, p.row_id, idx, x, list_avg(x[greatest(idx - 15, 0) + 1:least(64, idx + 15)]) AS m FROM p JOIN wf ON wf.row_id = p.row_id),
+w AS (SELECT evid, line, row_id, idx, list_transform(range(idx - 10, idx + 10), lambda i: CASE WHEN i >= 0 AND i < 64 THEN x[i + 1] - m ELSE 0 END) AS y FROM c)
+SELECT evid, line, row_id, idx, len(y)::INT AS n, round(list_sum(y), 6) AS total, round(list_max(y), 6) AS peak FROM w""")
 def x14(spark, d):
+    """Windows less the mean of what is processed with them, margins included."""
     x = V.table(spark, d, "lineitem")
     p = x.select(F.col("l_orderkey").alias("evid"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_suppkey").alias("row_id"), (F.col("l_quantity").cast("long") + F.col("l_linenumber") * 2).alias("index"))
-    w = P.margins_removed(P.cut_pick_windows(p, V.waveforms(spark, d).select("row_id", "x"), ["row_id"], 20, 5), "x", 5)
-    return w.select("evid", "line", "row_id", F.col("index").alias("idx"), F.size("x").alias("n"), _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+    less_mean = lambda df: df.withColumn("x", A.let(A.mean(F.col("x")), lambda m: F.transform("x", lambda v: v - m)))
+    w = P.cut_pick_windows(p, V.waveforms(spark, d).select("row_id", "x"), ["row_id"], 20, 5, less_mean)
+    return w.select("evid", "line", "row_id", F.col("index").alias("idx"), F.size("x").alias("n"), _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"), _r(F.array_max("x")).alias("peak"))
 
 
 @query("f2_apply_processing", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(x, lambda v: round(v - list_avg(x), 6)) AS x FROM wf")

@@ -233,6 +233,17 @@ def w7(spark, d):
     return S.thin_every_nth(V.picks(spark, d).select("pick_id"), 3, [S.shuffled("w7", F.col("pick_id")), F.col("pick_id")])
 
 
+@query("w7_top_up", f"""WITH {V.PICKS}, r AS (SELECT pick_id, row_number() OVER (ORDER BY md5('w7:' || pick_id), pick_id) AS rk FROM picks WHERE phase <> 'error'),
+kept AS (SELECT pick_id FROM r WHERE (rk - 1) % 3 = 0), others AS (SELECT pick_id, row_number() OVER (ORDER BY rk) - 1 AS place FROM r WHERE (rk - 1) % 3 <> 0),
+n AS (SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A') - (SELECT count(*) FROM kept) AS missing, (SELECT count(*) FROM others) AS size),
+draws AS (SELECT ('0x' || substr(md5('w7:' || j), 1, 8))::BIGINT % size AS draw FROM (SELECT unnest(range(1, missing + 1)) AS j, size FROM n))
+SELECT pick_id FROM kept UNION ALL SELECT pick_id FROM others JOIN draws ON place = draw""")
+def w7_top_up(spark, d):
+    """Noise is thinned and topped up to the number of signal rows, here those of one first motion."""
+    n_signal = V.table(spark, d, "lineitem").filter("l_returnflag = 'A'").count()
+    return S.thinned_to_signal(V.picks(spark, d).filter("phase <> 'error'").select("pick_id"), n_signal, 3, "pick_id", "w7")
+
+
 @query("w13_match_distribution", f"""WITH {V.EVENTS}, t AS (SELECT floor(magnitude)::BIGINT AS bin FROM evt WHERE event_type = 'qb'), c AS (SELECT bin, count(*) AS n FROM t GROUP BY bin),
 s AS (SELECT bin, round(500 * round(n / sum(n) OVER (), 6))::INT AS draws FROM c), pool AS (SELECT evid, floor(magnitude)::BIGINT AS bin FROM evt WHERE event_type = 'le'),
 r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('w13:' || evid), evid) AS rk, count(*) OVER (PARTITION BY bin) AS size FROM pool),

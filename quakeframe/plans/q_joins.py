@@ -172,10 +172,10 @@ def s6(spark, d):
     return m.select("station", "day", "n_gaps", F.get_json_object("metadata", "$.original_npts").cast("long").alias("npts"))
 
 
-@query("j14_attach_pick_metadata", f"WITH {V.PICKS}, s AS (SELECT pick_id, round(amplitude / 2, 6) AS shift FROM picks WHERE pick_id % 2 = 0) SELECT p.pick_id, station, phase, shift FROM picks p JOIN s USING (pick_id)")
+@query("j14_attach_pick_metadata", f"WITH {V.PICKS}, s AS (SELECT pick_id, round(amplitude / 2, 6) AS shift FROM picks WHERE phase <> 'error') SELECT p.pick_id, station, phase, shift FROM picks p JOIN s USING (pick_id)")
 def j14(spark, d):
     p = V.picks(spark, d)
-    return J.attach_pick_metadata(p.filter("pick_id % 2 = 0").select("pick_id", F.round(F.col("amplitude") / 2, 6).alias("shift")), p.select("pick_id", "station", "phase"))
+    return J.attach_pick_metadata(p.filter("phase <> 'error'").select("pick_id", F.round(F.col("amplitude") / 2, 6).alias("shift")), p.select("pick_id", "station", "phase"))
 
 
 @query("w1_remove_close_picks", f"WITH {V.PICKS}, g AS (SELECT *, lag(arrival_time) OVER w AS a, lead(arrival_time) OVER w AS b FROM picks WINDOW w AS (PARTITION BY station ORDER BY arrival_time, pick_id)) SELECT pick_id, station, coalesce(arrival_time - a < 3600, false) OR coalesce(b - arrival_time < 3600, false) AS is_close FROM g")

@@ -117,7 +117,7 @@ def a6(spark, d):
 
 _SUMMARY = """g AS (SELECT {keys}, round(avg({v}), 6) AS js_mean, min({v}) AS js_min, max({v}) AS js_max FROM {t} GROUP BY ALL),
 h AS (SELECT *, CASE WHEN js_min = js_max THEN js_min - 0.5 ELSE js_min END AS lo, CASE WHEN js_min = js_max THEN js_max + 0.5 ELSE js_max END AS hi FROM g),
-b AS (SELECT h.*, len(list_filter(list_transform(range(1, 10), lambda k: lo + (hi - lo) * k / 10), lambda e: e <= {v})) AS bin FROM {t} JOIN h USING ({keys}))
+b AS (SELECT h.*, len(list_filter(list_transform(range(1, 10), lambda k: lo + (hi - lo) / 10 * k), lambda e: e <= {v})) AS bin FROM {t} JOIN h USING ({keys}))
 SELECT {keys}, js_mean, js_min, js_max, list_transform(range(0, 10), lambda k: len(list_filter(bins, lambda x: x = k))) AS js_dist FROM (SELECT {keys}, js_mean, js_min, js_max, list(bin) AS bins FROM b GROUP BY ALL)"""
 
 

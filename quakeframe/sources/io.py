@@ -16,9 +16,11 @@ ARRIVAL_COLUMNS = (
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share (spark.checkpoint.dir); local only where that is unset, as in tests."""
+    """A new path in the folder all executors share (spark.checkpoint.dir); local only where that is unset and the master is local, as in tests."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_quakeframe_scratch", None)
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not where:
         where = sc._quakeframe_scratch = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

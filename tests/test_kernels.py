@@ -73,11 +73,6 @@ def test_bandpass_passes_the_band_only():
     assert level(0.05) < 0.02 and level(45) < 0.02
 
 
-def test_fence_lowers_the_spread():
-    x = np.concatenate([np.linspace(-1, 1, 20), [20, -20, 20, -20, 20]])
-    assert len(K.fenced(x)) == 20 and K.fenced(x).std() < x.std()
-
-
 def test_resampling_keeps_a_sine():
     x = np.sin(2 * np.pi * 2 * np.arange(400) / 40)
     assert np.abs(K.resampled(x, 40, 100) - np.sin(2 * np.pi * 2 * np.arange(1000) / 100)).max() < 1e-9
@@ -129,8 +124,3 @@ def test_close_picks_go_in_pairs(spark):
     p = spark.createDataFrame([(1, "A", 0.0), (2, "A", 8.0), (3, "A", 15.9), (4, "B", 16.0)], "pick_id long, station string, arrival_time double")
     got = {r.pick_id: r.is_close for r in continuity.remove_close_picks(p, 8, ["station"]).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False}
-
-
-def test_mixed_pair_adds_the_second_event():
-    x = K.mixed_pair(np.zeros(100), np.eye(1, 100, 50)[0], 20, 50, 30)
-    assert x.argmax() == 50 and x.max() == 1
