@@ -2,15 +2,18 @@
 
 A document's histogram of character classes and its histogram of common words are held
 against the references of its language by Jensen-Shannon distance. The references are
-counts over all documents of that language. A language that isn't in `COMMON` has the 12
+counts over the clean texts of that language: those that pass the base rules and have
+small letters (or characters beyond ASCII) for half of the characters of their words at
+least, each text once however many copies it has. A language that isn't in `COMMON` has the LISTED
 commonest words of its own documents as its list, if it has MIN_DOCS of them. Documents
 without a reference of their own (no language, or one of fewer documents) are held against
 all references, and the smallest distance of each kind counts; if no language has a
-reference, against the counts over all documents.
+reference, against the counts over all clean texts.
 
 Defined results: a null or empty text has no words and fails the base rules; texts under
-the length guards pass the divergence test; repeated rows are judged alike; an empty table gives no rows.
-Columns of the input that are not in `keep` are never read.
+the length guards pass the divergence test; where no clean text is there to refer to, all
+pass it; a language with a list but without a clean text is judged by its characters only; repeated rows are judged alike; an empty table gives no rows. Columns of the
+input that are not in `keep` are never read.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from quakeframe.llm import common
 
 #: The function words whose frequencies make the common-word histogram of each language.
 COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "with"],
-    "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "ist", "im", "auf", "für"],
-    "fr": ["de", "la", "le", "et", "les", "des", "un", "que", "en", "du", "pas", "une"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "un", "del", "se", "no", "las"],
+    "en": "the of and to in a is that it for was with as be on not he by are at his this but from have they which or you one had were all there her an their we him been".split(),
+    "de": "der die und den von zu das mit ist im auf für sich nicht ein eine als auch es an er werden aus hat dass sie nach bei um noch wie über einen so zum war haben nur oder aber".split(),
+    "fr": "de la le et les des un que en du pas une est dans qui il pour ce sur se plus au par ne avec sont mais ou nous on cette ses aux être elle comme son tout fait même".split(),
+    "es": "de la que el en y los un del se no las por con una su para es al lo como más pero sus le ha o este sí porque esta entre cuando muy sin sobre también me hasta hay".split(),
 }
 #: Character classes in the order of the histogram; what none of them takes is the class "other".
 CLASSES = {
@@ -43,17 +46,22 @@ CLASSES = {
 
 
 #: A language that isn't in COMMON has a reference of its own from so many documents up, and so many words in its list.
-MIN_DOCS, LISTED = 50, 12
+MIN_DOCS, LISTED = 50, 40
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Guards and limits: distances are judged from `min_chars` characters and `min_words` words up."""
+    """Guards and limits: distances are judged from `min_chars` characters and `min_words` words up.
+
+    The words of a short text are a small sample, whose squared distance is larger by a term that falls with their number:
+    the limit is the root of max_word_distance^2 + word_noise / n_words.
+    """
 
     min_chars: int = 200
     min_words: int = 100
     max_char_distance: float = 0.25
-    max_word_distance: float = 0.23
+    max_word_distance: float = 0.2
+    word_noise: float = 3.0
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -109,7 +117,7 @@ def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...], list
         mine = F.when(here, F.array(*map(F.lit, ws)).cast("array<string>")).otherwise(mine)
     df = df.withColumn("_mine", mine)
     c = F.col("_c")
-    df = df.withColumn("words_hist", F.transform("_mine", lambda x: F.size(F.filter(c, lambda y: y == x)).cast("long")))
+    df = df.withColumn("words_hist", F.transform("_mine", lambda x: (F.size(c) - F.size(F.array_remove(c, x))).cast("long")))
     rest, before = F.col("_t"), F.col("n_chars_all")
     counts = []
     for k, (name, pattern) in enumerate(CLASSES.items()):
@@ -120,7 +128,8 @@ def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...], list
     df = df.withColumn("chars_hist", F.array(*counts, before.cast("long")))
     blank, symbol = list(CLASSES).index("blank"), list(CLASSES).index("symbol")
     df = df.withColumn("word_chars", F.col("n_chars_all") - F.col("chars_hist")[blank]).withColumn("n_symbols", F.col("chars_hist")[symbol])
-    return df.select(*keep, "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "chars_hist", "words_hist")
+    df = df.withColumn("_hash", F.md5("_t"))
+    return df.select(*keep, "_lang", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "chars_hist", "words_hist")
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -135,9 +144,20 @@ def _listed(listing: dict[str, list[str]]) -> list[str]:
     return sorted({w for ws in listing.values() for w in ws})
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def clean(features: DataFrame) -> DataFrame:
+    """The documents that pass the base rules and are written in small letters for the most part, each text of a language once."""
+    names = list(CLASSES)
+    small = F.col("chars_hist")[names.index("lower")] + F.col("chars_hist")[names.index("wide")]
+    return features.filter(~base_failed() & (2 * small >= F.col("word_chars"))).select("_lang", "_hash", "chars_hist", "words_hist", "n_words", "n_chars_all").dropDuplicates(["_lang", "_hash"])
+
+
 def references(features: DataFrame, listing: dict[str, list[str]]) -> DataFrame:
-    """Per language of `listing`, its summed histograms: one row for each of them at most."""
-    known = features.filter(F.col("_lang").isin(list(listing)))
+    """Per language of `listing`, the summed histograms of its clean texts: one row for each of them at most."""
+    known = clean(features.filter(F.col("_lang").isin(list(listing))))
     k, m = len(CLASSES) + 1, max(map(len, listing.values()))
     sums = [F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)] + [F.sum(F.get("words_hist", F.lit(i))).alias(f"w{i}") for i in range(m)]
     return known.groupBy("_lang").agg(*sums, F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc"))
@@ -163,8 +183,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
         if r["nc"] and r["nw"]:
             every.append(F.struct(F.array(*[F.lit(listed.index(w)) for w in listing[name]]).cast("array<int>").alias("at"), own_chars.alias("qc"), own_words.alias("qw")))
     if not every:
-        pooled = features.agg(*[F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)], *[F.sum(F.col("words_hist")[i]).alias(f"w{i}") for i in range(len(listed))], F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc")).first()
-        if pooled["nc"] and pooled["nw"]:
+        pooled = clean(features).agg(*[F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)], *[F.sum(F.col("words_hist")[i]).alias(f"w{i}") for i in range(len(listed))], F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc")).first()
+        if pooled["nc"] and pooled["nw"]:  # null without a clean text
             places = F.array(*map(F.lit, range(len(listed))))
             every.append(F.struct(places.alias("at"), fixed([pooled[f"c{i}"] for i in range(k)], pooled["nc"]).alias("qc"), with_rest(fixed([pooled[f"w{i}"] for i in range(len(listed))], pooled["nw"])).alias("qw")))
     df = features.withColumns({"_qc": chars, "_qw": words})
@@ -177,11 +197,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
         nearest = lambda d: F.array_min(F.transform(F.array(*every), d))
         char = F.when(none_of_its_own, nearest(lambda r: _distance(F.col("_pc"), r["qc"]))).otherwise(char)
         part = lambda r: with_rest(F.transform(r["at"], lambda i: h[i].cast("double") / n))
-        word = F.when(none_of_its_own, F.when(F.col("_pw").isNotNull(), nearest(lambda r: _distance(part(r), r["qw"])))).otherwise(word)
+        word = F.when(none_of_its_own, F.when(F.col("_pw").isNotNull() & (F.size(h) == len(listed)), nearest(lambda r: _distance(part(r), r["qw"])))).otherwise(word)
     df = df.withColumn("char_distance", F.round(char, 6)).withColumn("word_distance", F.round(word, 6))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
-    df = df.withColumn("base_failed", base).withColumn("kept", ~base & near)
+    near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce(F.col("word_distance") * F.col("word_distance"), F.lit(0.0)) <= rules.max_word_distance**2 + rules.word_noise / F.greatest(F.col("n_words"), F.lit(1)))
+    df = df.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & near)
     return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
@@ -206,7 +225,7 @@ WITH langs(lang, ws) AS (VALUES {langs}),
 d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, {', '.join(steps)} FROM d),
 f AS (
-  SELECT doc_id, s.lang, ws, length(t) AS nc, [{hist}] AS ch,
+  SELECT doc_id, s.lang, ws, md5(t) AS th, length(t) AS nc, [{hist}] AS ch,
     list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS li
   FROM s LEFT JOIN langs ON s.lang = langs.lang),
@@ -217,8 +236,8 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2
 refs AS (
   SELECT lang, sum(nc) AS rc, sum(nw) AS rw,
     [{', '.join(f'sum(ch[{i + 1}])' for i in range(len(CLASSES) + 1))}] AS rch,
-    [{', '.join(f'sum(wh[{i + 1}])' for i in range(12))}] AS rwh
-  FROM g WHERE ws IS NOT NULL GROUP BY lang),
+    [{', '.join(f'sum(wh[{i + 1}])' for i in range(LISTED))}] AS rwh
+  FROM (SELECT DISTINCT lang, th, nc, nw, ch, wh FROM g LEFT JOIN cov USING (doc_id) WHERE ws IS NOT NULL AND NOT (nw < 50 OR 100 * coalesce(n, 0) > 50 * nw) AND 2 * (ch[1] + ch[7]) >= nc - ch[2]) GROUP BY lang),
 p AS (
   SELECT g.*, coalesce(cov.n, 0) AS rp,
     list_transform(ch, lambda x: x::DOUBLE / nc) AS pc, list_transform(rch, lambda x: x::DOUBLE / rc) AS qc,
@@ -231,7 +250,7 @@ j AS (
   FROM p)
 SELECT doc_id, nw::BIGINT AS n_words, (nc - ch[2])::BIGINT AS word_chars, ch[6]::BIGINT AS n_symbols,
   (len(li) - len(list_distinct(li)))::BIGINT AS n_dup_lines, rp::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(char_distance, 0) <= {rules.max_char_distance} AND coalesce(word_distance, 0) <= {rules.max_word_distance} AS kept,
+  NOT base_failed AND coalesce(char_distance, 0) <= {rules.max_char_distance} AND coalesce(word_distance * word_distance, 0) <= {rules.max_word_distance**2!r}::DOUBLE + {rules.word_noise} / greatest(nw, 1) AS kept,
   char_distance, word_distance
 FROM j"""
 

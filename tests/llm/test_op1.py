@@ -49,7 +49,7 @@ def test_prose_stays_and_symbols_go(make):
     prose = lambda: " ".join(rng.choice(op.COMMON["en"] + ["house", "garden", "river", "window", "people", "evening", "mountain", "letter"] * 3) + rng.choice(["", "", "", ",", "."]) for _ in range(300))
     rows = [(k, prose(), "en", "s") for k in range(20)] + [(50, " ".join(f"#{k}$%& |{k}|" for k in range(300)), "en", "s"), (51, prose().upper(), "en", "s")]
     got = {r.doc_id: r for r in op.judge(make(rows), keep=["doc_id"]).collect()}
-    assert all(got[k].kept for k in range(20))
+    assert all(got[k].kept for k in range(20)), [got[k] for k in range(20) if not got[k].kept]
     assert not got[50].kept and not got[51].kept and not got[51].base_failed
 
 
@@ -110,4 +110,17 @@ def test_no_language_at_all(make):
 def test_a_language_of_few_words_and_one_of_none(make):
     rows = [(k, "la " * 120, "xx", "s") for k in range(60)] + [(100 + k, None, "yy", "s") for k in range(60)] + [(200, "ba " * 120, None, "s")]
     got = {r.doc_id: r for r in op.judge(make(rows), keep=["doc_id"]).collect()}
-    assert len(got) == 121 and got[0].word_distance == 0 and got[100].word_distance is None and got[200].word_distance > 0.9
+    assert len(got) == 121 and not any(r.kept for r in got.values()) and got[0].word_distance is None and got[100].word_distance is None
+    prose, salad, _ = texts()
+    some = [(300 + k, prose(op.COMMON["en"]), "en", "s") for k in range(10)]
+    got = {r.doc_id: r for r in op.judge(make(rows + some), keep=["doc_id"]).collect()}
+    assert got[0].base_failed and got[0].word_distance is None and got[0].char_distance > 0.1 and got[200].word_distance > 0.5 and got[300].kept
+
+
+def test_junk_and_copies_do_not_move_the_references(make):
+    prose, salad, symbols = texts()
+    rows = [(k, prose(op.COMMON["en"]), "en", "s") for k in range(20)]
+    before = {r.doc_id: (r.char_distance, r.word_distance) for r in op.judge(make(rows), keep=["doc_id"]).collect()}
+    more = [(100 + k, rows[3][1], "en", "s") for k in range(200)] + [(400 + k, "# " * 100, "en", "s") for k in range(50)] + [(500, None, "en", "s")]
+    after = {r.doc_id: (r.char_distance, r.word_distance) for r in op.judge(make(rows + more), keep=["doc_id"]).collect()}
+    assert all(after[k] == before[k] for k in range(20)) and after[150] == before[3]
