@@ -114,7 +114,7 @@ def test_a_language_of_few_words_and_one_of_none(make):
     prose, salad, _ = texts()
     some = [(300 + k, prose(op.COMMON["en"]), "en", "s") for k in range(10)]
     got = {r.doc_id: r for r in op.judge(make(rows + some), keep=["doc_id"]).collect()}
-    assert got[0].base_failed and got[0].word_distance is None and got[0].char_distance > 0.1 and got[200].word_distance > 0.5 and got[300].kept
+    assert got[0].base_failed and got[0].word_distance is None and got[0].char_distance > 0.1 and got[200].word_distance > 0.4 and got[300].kept
 
 
 def test_junk_and_copies_do_not_move_the_references(make):
