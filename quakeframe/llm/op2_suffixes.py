@@ -22,6 +22,11 @@ carries what they need on its left.
 
 Equality to the left is judged by 64-bit hashes within a group of equal right parts.
 
+The ranges are at most MAX_RANGES, so the sample for the splitters, and what each task
+carries of them, has a fixed size. Where ranges of PART_BYTES would be more, each has lanes:
+suffixes take one by the hash of their first GRAM bytes (windows that are equal agree in
+them), and a lane is merged by itself.
+
 Defined results: a null text is empty; a text under SPAN bytes loses nothing; rows that
 repeat an id and a text are one document given more than once and get equal results; rows
 that share an id but not the text are ordered by the hash of the text; rows without an id
@@ -45,7 +50,9 @@ from quakeframe.llm.op3_chosenpath import _groups, _powers, mixed
 SPAN, GRAM = 100, 16
 WIDTH = SPAN - GRAM + 1  # GRAM-byte strings in a window
 CHUNK, SEGMENT, BLOCK = 8 << 20, 4 << 20, 1 << 19
-PART_BYTES, SAMPLES = 16 << 20, 64
+PART_BYTES, SAMPLES, MAX_RANGES = 16 << 20, 64, 4096
+#: Shuffle partitions at most; beyond them a task merges several lanes, one after the other.
+MAX_TASKS = 100_000
 _BASE = 0xD6E8FEB86659FD93
 _UP = _powers(1 << 16, _BASE)
 
@@ -122,8 +129,8 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Packed runs, by range, of the suffixes of one chunk: texts (id, hash, offset, bytes + 1) in order."""
+def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray, lanes: int = 1) -> Iterator[tuple[int, bytes]]:
+    """Packed runs, by range and lane (range * lanes + lane), of the suffixes of one chunk: texts (id, hash, offset, bytes + 1) in order."""
     sizes = np.array([len(t[3]) for t in texts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -151,7 +158,7 @@ def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray) -
         own = (ids[segment[again]] != ids[segment[head]]) | (hashes[segment[again]] != hashes[segment[head]]) | (at[again] != at[head])
         again = again[own]
     if len(again):
-        yield int(again[0]) % (len(splitters) + 1), _pack(id=ids[segment[again]], hash=hashes[segment[again]], a=at[again] - x1[again], b=at[again] - x0[again] + SPAN)
+        yield int(again[0]) % ((len(splitters) + 1) * lanes), _pack(id=ids[segment[again]], hash=hashes[segment[again]], a=at[again] - x1[again], b=at[again] - x0[again] + SPAN)
     order, whole = order[~same], whole[~same]
     right, left = whole[:, :SPAN], whole[:, SPAN : SPAN + WIDTH]
     differs = right[1:] != right[:-1]
@@ -159,37 +166,52 @@ def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray) -
     length = SPAN - x0[order]
     lcp = np.minimum(lcp, length)
     lcp[1:] = np.minimum(lcp[1:], length[:-1])
-    part = np.searchsorted(splitters, np.ascontiguousarray(right[:, :GRAM]).view(f"S{GRAM}").ravel(), side="right")
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-        own, size, shared = order[i:j], length[i:j], lcp[i:j].copy()
-        shared[0] = 0
+    head = np.ascontiguousarray(right[:, :GRAM])
+    part = np.searchsorted(splitters, head.view(f"S{GRAM}").ravel(), side="right") * lanes
+    if lanes > 1:
+        words = head.view(np.uint64)
+        part = part + (mixed(words[:, 0] * np.uint64(_BASE) + mixed(words[:, 1])) % np.uint64(lanes)).astype(np.int64)
+    for number, own_rows, shared in _lanes(part, lcp):
+        own, size = order[own_rows], length[own_rows]
         columns = np.arange(SPAN)[None, :]
-        rest = right[i:j][(columns >= shared[:, None]) & (columns < size[:, None])]
-        lefts = left[i:j][np.arange(WIDTH)[None, :] < x1[own][:, None]]
-        docs, number = np.unique(segment[own], return_inverse=True)
+        rest = right[own_rows][(columns >= shared[:, None]) & (columns < size[:, None])]
+        lefts = left[own_rows][np.arange(WIDTH)[None, :] < x1[own][:, None]]
+        docs, place_of = np.unique(segment[own], return_inverse=True)
         u1 = lambda x: x.astype(np.uint8)
         place = (at[own]).astype(np.uint32 if at[own].max() < 1 << 32 else np.int64)
-        yield int(part[i]), _pack(lcp=u1(shared), size=u1(size), x0=u1(x0[own]), x1=u1(x1[own]), doc=number.astype(np.uint32), at=place, rest=rest, left=lefts, ids=ids[docs], hashes=hashes[docs])
+        yield number, _pack(lcp=u1(shared), size=u1(size), x0=u1(x0[own]), x1=u1(x1[own]), doc=place_of.astype(np.uint32), at=place, rest=rest, left=lefts, ids=ids[docs], hashes=hashes[docs])
+
+
+def _lanes(part: np.ndarray, lcp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of sorted rows with the number of their lane and the common prefix with the row before: each lane's rows in order, and the
+    common prefix of each with the one before in its lane (the least of those in between)."""
+    by = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[by])) + 1
+    for rows in np.split(by, cuts):
+        if len(rows):
+            starts = np.concatenate([rows[:1], rows[:-1] + 1])
+            shared = np.minimum.reduceat(lcp[: rows[-1] + 1], starts)
+            shared[0] = 0
+            yield int(part[rows[0]]), rows, shared
 
 
 def even_keys(spark: SparkSession, parts: int) -> list[int]:
-    """For each partition number a key that repartition(parts, key) puts there, so that each range gets a task of its own. `parts` numbers."""
-    key = F.col("id").cast("int")
+    """For each partition number a key that repartition(parts, key) puts there, so that each range gets a task of its own. `parts` numbers, MAX_RANGES at most."""
+    key = F.col("id")
     found = spark.range(32 * parts).groupBy(F.pmod(F.hash(key), F.lit(parts)).alias("p")).agg(F.min(key).alias("k")).collect()
     at = {r["p"]: r["k"] for r in found}
     return [at.get(p, p) for p in range(parts)]
 
 
-def _runs(splitters: np.ndarray, keys: list[int], schema: pa.Schema):
+def _runs(splitters: np.ndarray, lanes: int, keys: list[int] | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush(held: list) -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: x[:3])
-            made = list(_run(held, splitters))
+            made = list(_run(held, splitters, lanes))
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[m[0]] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[m[0]] if keys else m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], schema=schema)
 
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -430,11 +452,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = common.text_of(docs, text)
     base = docs.select(docs[doc_id].alias("_own"), F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(body).alias("_hash"), body.cast("binary").alias("_bytes"))
     total = base.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    cuts = splitters(base, parts)
-    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-    runs = base.select("_id", "_hash", "_bytes").mapInArrow(_runs(np.array(cuts, f"S{GRAM}"), even_keys(spark, parts), schema), "part int, blob binary")
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "id long, hash long, a long, b long")
+    wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    ranges = min(wanted, MAX_RANGES)
+    lanes = -(-wanted // ranges)
+    cuts = splitters(base, ranges)
+    schema = pa.schema([("part", pa.int64()), ("blob", pa.binary())])
+    keys = even_keys(spark, ranges) if lanes == 1 else None
+    runs = base.select("_id", "_hash", "_bytes").mapInArrow(_runs(np.array(cuts, f"S{GRAM}"), lanes, keys, schema), "part long, blob binary")
+    merged = runs.repartition(min(ranges * lanes, MAX_TASKS), "part").sortWithinPartitions("part").mapInArrow(_merge, "id long, hash long, a long, b long")
     of = merged.groupBy(F.col("id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
     df = base.join(of, (base["_id"] == of["_i"]) & (base["_hash"] == of["_h"]), "left").select("_own", "_bytes", "_ranges")
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}

@@ -56,6 +56,32 @@ def test_against_the_rule(make, seed, monkeypatch):
     check(rows, op.remove_repeats(make(rows).repartition(5)).collect())
 
 
+def test_lanes_of_ranges(make, monkeypatch):
+    """Three ranges of many lanes, in fewer tasks than lanes."""
+    monkeypatch.setattr(op, "CHUNK", 20_000)
+    monkeypatch.setattr(op, "MAX_RANGES", 3)
+    monkeypatch.setattr(op, "MAX_TASKS", 10)
+    monkeypatch.setattr(op, "PART_BYTES", 2_000)
+    rows = corpus(5, 150)
+    check(rows, op.remove_repeats(make(rows).repartition(5)).collect())
+
+
+def test_lanes_keep_exact_prefixes():
+    import numpy as np
+
+    rng = random.Random(6)
+    keys = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    prefix = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    lcp = np.array([0] + [prefix(a, b) for a, b in zip(keys, keys[1:], strict=False)])
+    part = np.array([rng.randrange(7) for _ in keys])
+    seen = 0
+    for number, rows, shared in op._lanes(part, lcp):
+        assert (part[rows] == number).all() and shared[0] == 0
+        assert shared[1:].tolist() == [prefix(keys[a], keys[b]) for a, b in zip(rows, rows[1:], strict=False)]
+        seen += len(rows)
+    assert seen == len(keys)
+
+
 def test_odd_rows(make, odd):
     rows = [r for r in odd if r[0] != 4]
     check(rows, op.remove_repeats(make(rows)).collect())
