@@ -47,6 +47,64 @@ def test_chains_bridge_changed_words(make):
     assert got[2].labels == "" and got[2].score == 0 and got[3].labels == ""
 
 
+def plain_spans(text):
+    """Spans by the rules, slowly: longest matches at every word, chains end by end, then what overlaps and what lies within."""
+    templates = [(label, op.words(t)) for label, t in op.TEMPLATES]
+    w = op.words(text)
+    occurs = lambda part, t: [k + len(part) - 1 for k in range(len(t) - len(part) + 1) if t[k : k + len(part)] == part]
+    longest = [max((n for n in range(1, k + 2) if any(occurs(w[k + 1 - n : k + 1], t) for _, t in templates)), default=0) for k in range(len(w))]
+    matches = [(k, n) for k, n in enumerate(longest) if n >= op.MIN_MATCH and (k + 1 == len(w) or longest[k + 1] != n + 1)]
+    chains = []
+    for label, t in templates:
+        spots = sorted((e, p, n) for e, n in matches for p in occurs(w[e + 1 - n : e + 1], t))
+        best = []
+        for k, (e, p, n) in enumerate(spots):
+            ways = [(n, 0, e - n + 1)]
+            for j, (e2, p2, _) in enumerate(spots[:k]):
+                if e - n - e2 <= op.MAX_GAP and e2 < e and p2 < p:
+                    ways.append((best[j][0] + min(n, e - e2, p - p2), j + 1, best[j][1]))
+            gain, _, first = max(ways, key=lambda x: (x[0], x[1] == 0, x[1]))
+            best.append((gain, first))
+        taken = []
+        for gain, first, e in sorted(((g, f, spots[k][0]) for k, (g, f) in enumerate(best) if g >= op.MIN_SHARE * len(t)), key=lambda c: (-c[0], c[2], c[1])):
+            if all(e < f2 or first > e2 for _, _, f2, e2, _ in taken):
+                taken.append((gain, min(1.0, gain / len(t)), first, e, label))
+        chains += taken
+    keep = []
+    for k, c in enumerate(chains):
+        holds = [o for j, o in enumerate(chains) if j != k and o[2] <= c[2] and c[3] <= o[3]]
+        twin = any((o[2], o[3], o[0], o[1], o[4]) == (c[2], c[3], c[0], c[1], c[4]) and j < k for j, o in enumerate(chains))
+        same = any(o[4] == c[4] and ((o[2], o[3]) != (c[2], c[3]) or o[:2] > c[:2]) for o in holds)
+        if not twin and not same and not any(o[:2] > c[:2] for o in holds):
+            keep.append((c[4], c[2], c[3], c[1]))
+    return sorted(keep)
+
+
+def test_spans_labels_and_score_against_the_rules(monkeypatch):
+    rng = random.Random(7)
+    for least, gap in ((2, 3), (1, 1), (3, 6)):
+        monkeypatch.setattr(op, "MIN_MATCH", least)
+        monkeypatch.setattr(op, "MAX_GAP", gap)
+        for _ in range(60):
+            monkeypatch.setattr(op, "TEMPLATES", [(f"l{k % 3}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9)))) for k in range(4)])
+            scanner = op.Scanner()
+            bits = [t for _, t in op.TEMPLATES] * 2 + ["x", "x y", "a b"]
+            text = " ".join(w for _ in range(rng.randint(1, 6)) for w in rng.choice(bits).split() if rng.random() < 0.9)
+            *_, labels, score, spans = scanner.scan(text)
+            want = plain_spans(text)
+            assert sorted((s["label"], s["first_word"], s["last_word"], s["share"]) for s in spans) == want
+            assert labels == ",".join(sorted({x[0] for x in want})) and score == max([x[3] for x in want], default=0.0)
+
+
+def test_whole_licences_are_told_apart(make):
+    texts = {label: t for label, t in op.TEMPLATES if len(t) > 400}
+    rows = [(k, f"Copyright (c) 2020 Someone. {t} And some code.", "en", "s") for k, t in enumerate(texts.values())]
+    rows.append((100, texts["mit"] + " code " * 50 + texts["mit"] + " code " * 50 + texts["bsd-2"], "en", "s"))
+    got = {r.doc_id: r for r in op.scan(make(rows)).collect()}
+    assert [got[k].labels for k in range(len(texts))] == list(texts) and all(got[k].score == 1 for k in range(len(texts)))
+    assert got[100].labels == "bsd-2,mit" and [s.label for s in got[100].spans] == ["bsd-2", "mit", "mit"]
+
+
 def test_odd_and_empty(make, odd):
     assert len(op.scan(make(odd)).collect()) == len(odd)
     assert op.scan(make([])).collect() == []
