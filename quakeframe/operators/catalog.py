@@ -170,13 +170,17 @@ def station_list(inventory: DataFrame, components: int, limit: int | None = None
 def assign_event_ids(df: DataFrame, lat: str = "event_lat", lon: str = "event_lon", depth: str = "event_depth") -> DataFrame:
     """event_id from 1 for each (lat, lon, depth) to a tenth, in sorted order; an unknown depth is the truncated mean of the known ones.
 
-    Ids are ranked over the distinct triples only.
+    Ids are ranked over the distinct triples of a latitude, and only the latitudes (1,801 at most) in one task.
     """
     mean = df.agg(F.avg(F.col(depth).try_cast("double")).cast("int").alias("_mean"))
     tenth = lambda c: (F.col(c) * 10).cast("int")
     full = df.join(F.broadcast(mean)).withColumn("_d", F.coalesce(F.col(depth).try_cast("double"), F.col("_mean")))  # one row
     full = full.withColumns({"_a": tenth(lat), "_o": tenth(lon), "_z": tenth("_d")}).drop("_mean", "_d")
-    ids = full.select("_a", "_o", "_z").distinct().withColumn("event_id", F.dense_rank().over(W.orderBy("_a", "_o", "_z")).cast("long"))
+    places = full.select("_a", "_o", "_z").distinct()
+    before = places.groupBy(F.col("_a").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")
+    ranked = places.withColumn("_k", F.row_number().over(W.partitionBy("_a").orderBy("_o", "_z")))
+    ids = ranked.join(before, F.col("_a").eqNullSafe(F.col("_p"))).withColumn("event_id", (F.col("_before") + F.col("_k")).cast("long")).drop("_p", "_k", "_before")
     return full.join(ids, ["_a", "_o", "_z"]).drop("_a", "_o", "_z")
 
 

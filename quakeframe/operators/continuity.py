@@ -54,9 +54,16 @@ def carry_over_tail(days: DataFrame, n: int, key: str = "station", order: str =
 
 
 def pick_ids(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """pick_id from 1 across groups in their order: rank in the group after the counts of the groups before it."""
+    """pick_id from 1 across groups in their order: rank in the group after the counts of the groups before it.
+
+    Groups are counted within the values of their first column, and only those values (stations) in one task.
+    """
+    first, rest = group[0], group[1:] or group
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    counts = counts.withColumn("_within", F.sum("_n").over(W.partitionBy(first).orderBy(*rest)) - F.col("_n"))
+    totals = counts.groupBy(F.col(first).alias("_f")).agg(F.sum("_n").alias("_m"))
+    totals = totals.withColumn("_earlier", F.sum("_m").over(W.orderBy("_f")) - F.col("_m")).drop("_m")
+    counts = counts.join(totals, F.col(first) == F.col("_f")).withColumn("_before", F.col("_within") + F.col("_earlier")).drop("_f", "_within", "_earlier", "_n")
     inside = df.withColumn("_in", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     return inside.join(counts, group).withColumn("new_id", F.col("_before") + F.col("_in")).drop("_before", "_in")
 
