@@ -65,9 +65,11 @@ def x7(spark, d):
     return V.waveforms(spark, d).select("row_id", _rounded(A.normalise(F.col("x"))).alias("x"))
 
 
-@query("x11_stitch", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(x, lambda v: round(v, 6)) AS p FROM wf")
+@query("x11_stitch", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(range(0, 64), lambda i: round(x[i + 1] * (least(6, greatest(0, (i - 4) // 8)) + 1), 6)) AS p FROM wf")
 def x11(spark, d):
+    """Each window is scaled by its number, so the result tells which window every sample is from."""
     w = P.sliding_windows(V.waveforms(spark, d).select("row_id", F.col("x").alias("p")), "p", 16, 8)
+    w = w.withColumn("p", F.transform("p", lambda v: v * (F.col("window_id") + 1)))
     return P.stitch(w, ["row_id"], "p", 16, 8, 0, 64).select("row_id", _rounded(F.col("p")).alias("p"))
 
 
@@ -77,9 +79,11 @@ def x12(spark, d):
     return c.select("row_id", "chunk_id", "lead", F.size("x").alias("n"))
 
 
-@query("x12_join_chunks", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(x, lambda v: round(v, 6)) AS x FROM wf")
+@query("x12_join_chunks", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(range(0, 64), lambda i: round(x[i + 1] * (i // 20 + 1), 6)) AS x FROM wf")
 def x12_join(spark, d):
+    """Each chunk is scaled by its number, buffers included."""
     c = P.hour_chunks(V.waveforms(spark, d).select("row_id", "x"), "x", 20, 4)
+    c = c.withColumn("x", F.transform("x", lambda v: v * (F.col("chunk_id") + 1)))
     return P.join_chunks(c, ["row_id"], "x", 20).select("row_id", _rounded(F.col("x")).alias("x"))
 
 
@@ -190,11 +194,11 @@ def x24_quantiles(spark, d):
     return spark.createDataFrame([(v, round(P.calibrated_quantile(v, knots), 6)) for v in (0.05, 0.25, 0.6, 0.95)], "target double, quantile double")
 
 
-@query("x29_strip_trailing_zeros", "SELECT vec_id AS row_id, greatest(0, 64 - vec_id % 65)::INT AS n FROM embeddings")
+@query("x29_strip_trailing_zeros", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(x[1:greatest(0, 64 - row_id % 65)], lambda v: round(CASE WHEN v = 0 THEN 1 ELSE v END, 6)) AS x FROM wf")
 def x29(spark, d):
     w = V.waveforms(spark, d)
     z = F.transform("x", lambda v, i: F.when(i < 64 - F.col("row_id") % 65, F.when(v == 0, 1.0).otherwise(v)).otherwise(0.0))
-    return w.select("row_id", F.size(A.strip_trailing_zeros(z)).alias("n"))
+    return w.select("row_id", _rounded(A.strip_trailing_zeros(z)).alias("x"))
 
 
 @query("x30_pair_shift_plan", "SELECT o_orderkey AS evid, greatest(300, least(trunc(o_custkey / 6 * 100)::BIGINT + 50, 900)) AS min_sep, greatest(300, least(trunc(o_custkey / 6 * 100)::BIGINT + 50, 900)) + ('0x' || substr(md5('shift:' || o_orderkey), 1, 8))::BIGINT % 100 AS shift FROM orders")

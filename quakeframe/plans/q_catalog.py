@@ -45,9 +45,9 @@ def p1(spark, d):
     return C.filter_quality(V.catalog(spark, d), 0.75).select("evid", "station", "line", "part", "pick_quality")
 
 
-@query("p2_filter_first_motion", f"WITH {V.CATALOG} SELECT first_motion, pick_quality, count(*) AS n FROM catalog WHERE pick_quality IN (0.5, 1.0) AND first_motion <> -1 GROUP BY ALL")
+@query("p2_filter_first_motion", f"WITH {V.CATALOG} SELECT evid, line, part, first_motion, pick_quality FROM catalog WHERE pick_quality IN (0.5, 1.0) AND first_motion <> -1")
 def p2(spark, d):
-    return C.filter_first_motion(V.catalog(spark, d), True).groupBy("first_motion", "pick_quality").agg(F.count(F.lit(1)).alias("n"))
+    return C.filter_first_motion(V.catalog(spark, d), True).select("evid", "line", "part", "first_motion", "pick_quality")
 
 
 @query("p3_select_signal", """
@@ -84,17 +84,17 @@ def p7(spark, d):
     return C.filter_distance(V.catalog(spark, d), 90).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p8_quality_from_weight", f"WITH {V.CATALOG} SELECT CASE WHEN weight >= 0.98 THEN 1.0 WHEN weight >= 0.6 THEN 0.75 ELSE 0.5 END::DOUBLE AS quality, count(*) AS n FROM catalog GROUP BY 1")
+@query("p8_quality_from_weight", f"WITH {V.CATALOG} SELECT evid, line, part, CASE WHEN weight >= 0.98 THEN 1.0 WHEN weight >= 0.6 THEN 0.75 ELSE 0.5 END::DOUBLE AS quality FROM catalog")
 def p8(spark, d):
-    return V.catalog(spark, d).groupBy(C.quality_from_weight(F.col("weight")).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
+    return V.catalog(spark, d).select("evid", "line", "part", C.quality_from_weight(F.col("weight")).alias("quality"))
 
 
 _STRATUM = "CASE WHEN event_type = 'qb' THEN 'cbl' WHEN event_type = 'le' AND evid >= 60000000 THEN 'ceq' WHEN event_type = 'le' THEN 'heq' ELSE 'noise' END"
 
 
-@query("p9_event_stratum", f"WITH {V.EVALUATION} SELECT {_STRATUM} AS stratum, count(*) AS n FROM ev GROUP BY 1")
+@query("p9_event_stratum", f"WITH {V.EVALUATION} SELECT epoch, waveform_id, {_STRATUM} AS stratum FROM ev")
 def p9(spark, d):
-    return V.evaluation(spark, d).groupBy(C.event_stratum(F.col("event_type"), F.col("evid")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return V.evaluation(spark, d).select("epoch", "waveform_id", C.event_stratum(F.col("event_type"), F.col("evid")).alias("stratum"))
 
 
 @query("p10_harmonise", f"WITH {V.EVENTS} SELECT evid, origin_time, event_lon, event_lat FROM evt")
@@ -110,11 +110,11 @@ def p11(spark, d):
     return C.drop_bad_waveforms(w, ["x"]).select("row_id")
 
 
-@query("p12_split_by_epoch", f"WITH {V.PICKS} SELECT arrival_time >= 1705000000 AS late, count(*) AS n, sum(pick_id)::BIGINT AS ids FROM picks GROUP BY 1")
+@query("p12_split_by_epoch", f"WITH {V.PICKS} SELECT arrival_time >= 1705000000 AS late, pick_id FROM picks")
 def p12(spark, d):
     a, b = C.split_by_epoch(V.picks(spark, d), 1705000000.0)
-    g = lambda df, late: df.agg(F.lit(late).alias("late"), F.count(F.lit(1)).alias("n"), F.sum("pick_id").alias("ids"))
-    return g(a, False).unionByName(g(b, True)).filter("n > 0")
+    part = lambda df, late: df.select(F.lit(late).alias("late"), "pick_id")
+    return part(a, False).unionByName(part(b, True))
 
 
 @query("p14_is_operating", "SELECT s_suppkey AS station, day, coalesce(s IS NOT NULL AND day >= s AND (e IS NULL OR day <= e), false) AS operating FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_suppkey % 20 END AS s, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 20 + 15 END AS e FROM supplier), (SELECT unnest([5, 15, 30]) AS day)")
@@ -146,11 +146,12 @@ def u1(spark, d):
     return C.combine_catalogs([(c.filter("channel = 'F'"), "le"), (c.filter("channel <> 'F'"), "qb")], ["evid", "station", "arrival_time"])
 
 
-@query("u2_combine_splits", f"WITH {V.CATALOG} SELECT CASE WHEN first_motion = 0 THEN -1 ELSE quantity::BIGINT END::BIGINT AS pick_index, count(*) AS n FROM catalog GROUP BY 1")
+@query("u2_combine_splits", f"WITH {V.CATALOG} SELECT evid, line, part, first_motion, CASE WHEN first_motion = 0 THEN -1 ELSE quantity::BIGINT END::BIGINT AS pick_index FROM catalog")
 def u2(spark, d):
     c = V.catalog(spark, d)
     signal = c.filter("first_motion <> 0").withColumn("pick_index", F.col("quantity").cast("long"))
-    return C.combine_splits([signal.filter("first_motion = 1"), signal.filter("first_motion = -1")], c.filter("first_motion = 0").drop("quantity")).groupBy("pick_index").agg(F.count(F.lit(1)).alias("n"))
+    parts = [signal.filter("first_motion = 1"), signal.filter("first_motion = -1")]
+    return C.combine_splits(parts, c.filter("first_motion = 0").drop("quantity")).select("evid", "line", "part", "first_motion", F.col("pick_index").cast("long").alias("pick_index"))
 
 
 @query("a8_magnitude_distribution", f"WITH {V.EVENTS}, b AS (SELECT CASE WHEN magnitude < 1 THEN 0 WHEN magnitude < 2 THEN 1 WHEN magnitude < 3 THEN 2 WHEN magnitude < 4 THEN 3 ELSE 4 END AS bin FROM evt WHERE magnitude_type = 'l' AND magnitude >= 0.5 AND magnitude <= 5), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) SELECT bin::INT AS bin, n, round(n / sum(n) OVER (), 6) AS share FROM c")
@@ -254,9 +255,11 @@ def w13(spark, d):
     return C.match_distribution(e.filter("event_type = 'qb'"), e.filter("event_type = 'le'").select("evid", "bin"), "bin", 500, "evid", "w13")
 
 
-@query("x28_upsample_minority", f"""WITH {V.CATALOG}, c AS (SELECT first_motion, count(*) AS n FROM catalog WHERE first_motion <> 0 AND NOT (first_motion = -1 AND line <> 1) GROUP BY 1),
-m AS (SELECT *, max(n) OVER () AS top FROM c) SELECT first_motion, n + CASE WHEN n < top THEN top - n ELSE 0 END AS n FROM m""")
+@query("x28_upsample_minority", f"""WITH {V.CATALOG}, c AS (SELECT evid, line, part, station, first_motion, evid || ':' || line || ':' || part || ':' || station || ':' || quantity AS k FROM catalog WHERE first_motion <> 0 AND NOT (first_motion = -1 AND line <> 1)),
+n AS (SELECT first_motion, count(*) AS n, max(count(*)) OVER () AS top FROM c GROUP BY 1), r AS (SELECT c.*, n, top, row_number() OVER (PARTITION BY c.first_motion ORDER BY md5('up:' || k), k) AS rk FROM c JOIN n USING (first_motion))
+SELECT evid, line, part, station, first_motion, (top // n + CASE WHEN rk <= top % n THEN 1 ELSE 0 END)::BIGINT AS copies FROM r""")
 def x28(spark, d):
     c = V.catalog(spark, d).filter("NOT (first_motion = -1 AND line <> 1)")
     key = F.concat_ws(":", "evid", "line", "part", "station", "quantity")
-    return S.upsample_minority(c, "first_motion", [1, -1], [S.shuffled("up", key), key]).groupBy("first_motion").agg(F.count(F.lit(1)).alias("n"))
+    up = S.upsample_minority(c, "first_motion", [1, -1], [S.shuffled("up", key), key])
+    return up.groupBy("evid", "line", "part", "station", "first_motion").agg(F.count(F.lit(1)).alias("copies"))
