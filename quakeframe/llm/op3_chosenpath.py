@@ -18,7 +18,8 @@ pair is then held against the true sets (links are exact: 9 * shared >= 4 * (a +
 0.8), again in pairs of chunks. Tasks return links per set and a spanning forest, never
 the pairs: rows stay in proportion to the sets, whatever the size of a group. The work on
 a group of n different near copies is n^2 / 2 comparisons, spread over chunk pairs, since
-the number of links of each of its sets is part of the result.
+the number of links of each of its sets is part of the result; `deduplicated`, which needs
+none, leaves out those between sets that are joined already.
 
 Defined results: null and empty texts have no shingles and no links, but are copies of one
 another; a text of 1 to 4 words has one shingle, all its words; repeated rows are copies.
@@ -236,30 +237,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each set and a spanning forest over them in each chunk pair (cluster, i, j; chunk, id, shingles)."""
-    for g in _groups(batches, 3):
-        ids, order = np.unique(g.column("id").to_numpy(), return_index=True)  # a set comes twice where its rows lay in two tasks
-        chunk = g.column("chunk").to_numpy()[order]
-        two = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-        raw = g.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[k], "<u8") for k in order]
-        sizes = np.array([len(x) for x in sets])
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        mark = np.zeros(flat.max(initial=0) + 1, np.int64)
-        linked = np.zeros((len(ids), len(ids)), bool)  # about 2 * CHUNK squared
-        for k in range(len(ids)):
-            own = flat[starts[k] : starts[k] + sizes[k]]
-            mark[own] = 1
-            shared = np.add.reduceat(mark[flat], starts)
-            mark[own] = 0
-            linked[k] = 9 * shared >= 4 * (sizes[k] + sizes)
-            linked[k, k] = False
-        if two:
-            linked &= chunk[:, None] != chunk[None, :]
-        root = _forest(len(ids), lambda k, rest, m=linked: m[k, rest])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked.sum(1).astype(np.int64)), pa.array(ids[root])], schema=_LINKS)
+def _verified(count: bool):
+    """A spanning forest over the links in each chunk pair (cluster, i, j; chunk, id, shingles), and with `count` the links of each set.
+
+    Without it a set that a tree has reached is compared no more, so n sets that are all alike take n comparisons and not n^2 / 2.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 3):
+            ids, order = np.unique(g.column("id").to_numpy(), return_index=True)  # a set comes twice where its rows lay in two tasks
+            chunk = g.column("chunk").to_numpy()[order]
+            two = g.column("i")[0].as_py() != g.column("j")[0].as_py()
+            raw = g.column("shingles").to_pylist()
+            sets = [np.frombuffer(raw[k], "<u8") for k in order]
+            sizes = np.array([len(x) for x in sets])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            mark = np.zeros(flat.max(initial=0) + 1, np.int64)
+
+            def linked(k: int, chunk=chunk, two=two, sizes=sizes, flat=flat, starts=starts, mark=mark) -> np.ndarray:
+                own = flat[starts[k] : starts[k] + sizes[k]]
+                mark[own] = 1
+                shared = np.add.reduceat(mark[flat], starts)
+                mark[own] = 0
+                out = 9 * shared >= 4 * (sizes[k] + sizes)
+                out[k] = False
+                return out & (chunk != chunk[k]) if two else out
+
+            if count:
+                m = np.stack([linked(k) for k in range(len(ids))])  # about 2 * CHUNK squared
+                root, links = _forest(len(ids), lambda k, rest, m=m: m[k, rest]), m.sum(1).astype(np.int64)
+            else:
+                root, links = _forest(len(ids), lambda k, rest, linked=linked: linked(k)[rest]), np.zeros(len(ids), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[root])], schema=_LINKS)
+
+    return run
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -341,8 +353,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return _joined(docs, doc_id, text)[0]
 
 
-def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
-    """`join`, and the written tables it is read from."""
+def _joined(docs: DataFrame, doc_id: str, text: str, count: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """`join`, and the written tables it is read from. Without `count`, _links only tells whether there are any."""
     common.ship(docs.sparkSession)
     rows, texts = classes(docs, doc_id, text)
     sketches = texts.filter(F.col("sketch").isNotNull()).select(F.col("set").alias("id"), "sketch", "keys")
@@ -359,10 +371,11 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[Da
     # The texts wanted grow with the documents, so they are never broadcast, at no size.
     sets = body.join(wanted.hint("merge"), (body["_digest"] == wanted["_d"]) & (body["_own"] == wanted["_l"])).select("set", "cluster", "_text").mapInArrow(_sets, _ddl(_SETS))
     dealt = _chunk_pairs(sets.join(sizes, sets["cluster"] == sizes["_c"]), "cluster", "n").select("cluster", "i", "j", "chunk", "id", "shingles")
-    found = common.written(dealt.mapInArrow(_verified, _ddl(_LINKS)), "op3-links")
+    found = common.written(dealt.mapInArrow(_verified(count), _ddl(_LINKS)), "op3-links")
     common.forget(sizes, wanted)
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0").withColumnRenamed("id", "_s")
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "op3-groups")
+    links = found.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0") if count else groups.select("id", F.lit(1).cast("long").alias("links"))
+    links = links.withColumnRenamed("id", "_s")
     named = groups.join(texts.select("set", "proper", "class"), F.col("id") == F.col("set"))
     low = named.groupBy("root").agg(F.min(F.struct((~F.col("proper")).alias("p"), F.col("class").alias("c"), F.col("set").alias("s"))).alias("low"))
     low = common.written(low.select(F.col("root").alias("_r"), F.col("low.c").alias("group"), F.col("low.s").alias("head")), "op3-low")
@@ -383,7 +396,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     plain = common.Plain(docs)
     docs, doc_id, text = plain.df, plain.at(doc_id), plain.at(text)
-    joined, used = _joined(docs, doc_id, text)
+    joined, used = _joined(docs, doc_id, text, count=False)
     member = joined.select(F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_none"), "_digest", "_first")
     member = common.written(member, "op3-member")
     common.forget(*used)
