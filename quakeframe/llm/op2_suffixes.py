@@ -27,6 +27,12 @@ carries of them, has a fixed size. Where ranges of PART_BYTES would be more, eac
 suffixes take one by the hash of their first GRAM bytes (windows that are equal agree in
 them), and a lane is merged by itself.
 
+An anchor whose first GRAM bytes are in HOT_SHARE of all documents or more (by a sample; a
+wrong guess costs time, not results) would bring all these documents into one task where
+its surroundings differ, at the edges of a passage. Its suffixes are taken apart by LEVELS,
+ranges of window places: all windows of a range have so many bytes to the left and to the
+right of the anchor, and the hash of those bytes gives the lane.
+
 Defined results: a null text is empty; a text under SPAN bytes loses nothing; rows that
 repeat an id and a text are one document given more than once and get equal results; rows
 that share an id but not the text are ordered by the hash of the text; rows without an id
@@ -51,6 +57,10 @@ SPAN, GRAM = 100, 16
 WIDTH = SPAN - GRAM + 1  # GRAM-byte strings in a window
 CHUNK, SEGMENT, BLOCK = 8 << 20, 4 << 20, 1 << 19
 PART_BYTES, SAMPLES, MAX_RANGES = 16 << 20, 64, 4096
+#: Documents of the sample for hot anchors, in expectation, and the share of them that makes one hot.
+HOT_SAMPLE, HOT_SHARE = 5000, 0.02
+#: Ranges of window places: they double from both ends, where windows have few bytes on one side of their anchor.
+LEVELS = [(0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, 31), (32, 52), (53, 68), (69, 76), (77, 80), (81, 82), (83, 83), (84, 84)]
 #: Shuffle partitions at most; beyond them a task merges several lanes, one after the other.
 MAX_TASKS = 100_000
 _BASE = 0xD6E8FEB86659FD93
@@ -129,7 +139,36 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray, lanes: int = 1) -> Iterator[tuple[int, bytes]]:
+def _heads(data: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The first GRAM bytes (+ 1, so none is 0) of the suffixes at t."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[t]).view(f"S{GRAM}").ravel()
+
+
+def _levels(heads: np.ndarray, x0: np.ndarray, x1: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Suffixes with the hot ones once for each of LEVELS that their windows reach: their places among those given, x0, x1 and level (-1: not hot)."""
+    is_hot = np.isin(heads, hot)
+    rest, own = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+    out = [(rest, x0[rest], x1[rest], np.full(len(rest), -1))]
+    for k, (a, b) in enumerate(LEVELS):
+        low, high = np.maximum(x0[own], a), np.minimum(x1[own], b)
+        some = low <= high
+        out.append((own[some], low[some], high[some], np.full(int(some.sum()), k)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _lane_of(level: np.ndarray, right: np.ndarray, left: np.ndarray, parts: int) -> np.ndarray:
+    """The lane of hot suffixes among all `parts`: a hash of the level and of what all its windows see."""
+    out = np.zeros(len(level), np.int64)
+    for k, (a, b) in enumerate(LEVELS):
+        own = np.flatnonzero(level == k)
+        if len(own):
+            seen = np.concatenate([right[own, : SPAN - b], left[own, :a]], axis=1).astype(np.uint64)
+            h = (seen * _UP[: seen.shape[1]]).sum(axis=1, dtype=np.uint64) + np.uint64(k + 1)
+            out[own] = (mixed(h) % np.uint64(parts)).astype(np.int64)
+    return out
+
+
+def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray, lanes: int = 1, hot: np.ndarray = np.empty(0, f"S{GRAM}")) -> Iterator[tuple[int, bytes]]:
     """Packed runs, by range and lane (range * lanes + lane), of the suffixes of one chunk: texts (id, hash, offset, bytes + 1) in order."""
     sizes = np.array([len(t[3]) for t in texts])
     ends = np.cumsum(sizes)
@@ -140,6 +179,9 @@ def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray, l
     if not n:
         return
     x0, x1 = t - last, t - first
+    places, x0, x1, level = _levels(_heads(data, t), x0, x1, hot)
+    segment, t = segment[places], t[places]
+    n = len(t)
     padded = np.concatenate([np.zeros(WIDTH, np.uint8), data, np.zeros(SPAN, np.uint8)])
     right = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[t + WIDTH].copy()
     left = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[t][:, ::-1].copy()  # nearest byte first
@@ -171,6 +213,9 @@ def _run(texts: list[tuple[int, int, int, np.ndarray]], splitters: np.ndarray, l
     if lanes > 1:
         words = head.view(np.uint64)
         part = part + (mixed(words[:, 0] * np.uint64(_BASE) + mixed(words[:, 1])) % np.uint64(lanes)).astype(np.int64)
+    level = level[order]
+    if (level >= 0).any():
+        part = np.where(level < 0, part, _lane_of(level, right, left, (len(splitters) + 1) * lanes))
     for number, own_rows, shared in _lanes(part, lcp):
         own, size = order[own_rows], length[own_rows]
         columns = np.arange(SPAN)[None, :]
@@ -203,13 +248,13 @@ def even_keys(spark: SparkSession, parts: int) -> list[int]:
     return [at.get(p, p) for p in range(parts)]
 
 
-def _runs(splitters: np.ndarray, lanes: int, keys: list[int] | None, schema: pa.Schema):
+def _runs(splitters: np.ndarray, lanes: int, hot: np.ndarray, keys: list[int] | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush(held: list) -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: x[:3])
-            made = list(_run(held, splitters, lanes))
+            made = list(_run(held, splitters, lanes, hot))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[m[0]] if keys else m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], schema=schema)
 
@@ -432,9 +477,8 @@ def _cut(columns: tuple[str, ...], schema: pa.Schema):
     return run
 
 
-def splitters(docs: DataFrame, parts: int) -> list[bytes]:
+def splitters(docs: DataFrame, n: int, parts: int) -> list[bytes]:
     """parts - 1 quantiles of GRAM-byte strings at one hashed place in each of a sample of about SAMPLES * parts texts."""
-    n = docs.count()
     rate = min(1.0, SAMPLES * parts / max(1, n))
     draw = F.pmod(F.xxhash64(F.lit("splitters"), "_id", "_hash"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
     place = (F.pmod(F.xxhash64("_hash"), F.greatest(F.octet_length("_bytes") - SPAN, F.lit(1))) + 1).cast("int")
@@ -443,6 +487,31 @@ def splitters(docs: DataFrame, parts: int) -> list[bytes]:
     return sorted({got[len(got) * k // parts] for k in range(1, parts)}) if got else []
 
 
+def _sample_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different first bytes of each text's anchors."""
+    for b in batches:
+        out: list[bytes] = []
+        for text in b.column(0):
+            body = text.as_buffer()
+            if body is None or body.size < SPAN:
+                continue
+            data, own = np.frombuffer(body, np.uint8) + np.uint8(1), set()
+            for at in range(0, len(data) - SPAN + 1, SEGMENT):
+                part = data[at : at + SEGMENT + SPAN - 1]
+                own.update(_heads(part, anchors(part, np.array([0]), np.array([len(part)]))[1]).tolist())
+            out += own
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["head"])
+
+
+def hot_heads(docs: DataFrame, n: int) -> np.ndarray:
+    """The first bytes (+ 1) of hot anchors; a text has one for some 43 bytes, so they are (bytes of a text / 43 / HOT_SHARE) at most."""
+    rate = min(1.0, HOT_SAMPLE / max(1, n))
+    draw = F.pmod(F.xxhash64(F.lit("hot"), "_id", "_hash"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
+    heads = docs.filter(draw).select("_bytes").mapInArrow(_sample_heads, "head binary")
+    often = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2.0, HOT_SHARE * rate * n))
+    return np.array(sorted(bytes(r["head"]) for r in often.select("head").collect()), f"S{GRAM}")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")) -> DataFrame:
     """The id of every document with the chosen ones of n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left)."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -451,14 +520,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     common.ship(spark)
     body = common.text_of(docs, text)
     base = docs.select(docs[doc_id].alias("_own"), F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(body).alias("_hash"), body.cast("binary").alias("_bytes"))
-    total = base.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
+    total, n = base.agg(F.coalesce(F.sum(F.octet_length("_bytes")), F.lit(0)), F.count(F.lit(1))).first()
     wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     ranges = min(wanted, MAX_RANGES)
     lanes = -(-wanted // ranges)
-    cuts = splitters(base, ranges)
+    cuts, hot = splitters(base, n, ranges), hot_heads(base, n)
     schema = pa.schema([("part", pa.int64()), ("blob", pa.binary())])
     keys = even_keys(spark, ranges) if lanes == 1 else None
-    runs = base.select("_id", "_hash", "_bytes").mapInArrow(_runs(np.array(cuts, f"S{GRAM}"), lanes, keys, schema), "part long, blob binary")
+    runs = base.select("_id", "_hash", "_bytes").mapInArrow(_runs(np.array(cuts, f"S{GRAM}"), lanes, hot, keys, schema), "part long, blob binary")
     merged = runs.repartition(min(ranges * lanes, MAX_TASKS), "part").sortWithinPartitions("part").mapInArrow(_merge, "id long, hash long, a long, b long")
     of = merged.groupBy(F.col("id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
     df = base.join(of, (base["_id"] == of["_i"]) & (base["_hash"] == of["_h"]), "left").select("_own", "_bytes", "_ranges")

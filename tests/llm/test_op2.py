@@ -66,6 +66,28 @@ def test_lanes_of_ranges(make, monkeypatch):
     check(rows, op.remove_repeats(make(rows).repartition(5)).collect())
 
 
+def test_levels_cover_all_window_places():
+    assert sorted(x for a, b in op.LEVELS for x in range(a, b + 1)) == list(range(op.WIDTH)) and all(op.SPAN - b >= op.GRAM for _, b in op.LEVELS)
+
+
+@pytest.mark.parametrize("share", [0.02, 1.1])
+def test_hot_passages(make, monkeypatch, share):
+    """A passage in a third of all documents, between texts of their own; `share` 1.1: nothing counts as hot."""
+    monkeypatch.setattr(op, "HOT_SHARE", share)
+    monkeypatch.setattr(op, "CHUNK", 8_000)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage, rows = prose(400), []
+    for i in range(180):
+        own = prose(rng.randint(0, 250))
+        rows.append((i, own[: len(own) // 2] + (passage[rng.choice([0, 0, 3, 50]) : rng.choice([400, 400, 390])] if i % 3 == 0 else "") + own[len(own) // 2 :], "en", "s"))
+    rows += [(200 + k, rows[k][1][7:], "en", "s") for k in range(0, 30, 3)]
+    docs = make(rows).repartition(5)
+    found = op.hot_heads(docs.selectExpr("doc_id AS _id", "xxhash64(text) AS _hash", "CAST(text AS binary) AS _bytes"), len(rows))
+    assert (len(found) > 5) == (share < 1)
+    check(rows, op.remove_repeats(docs).collect())
+
+
 def test_lanes_keep_exact_prefixes():
     import numpy as np
 
