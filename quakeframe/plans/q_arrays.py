@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quakeframe.functions import arrays as A
+from quakeframe.functions import kernels
 from quakeframe.operators import picking as P
 from quakeframe.plans import views as V
 from quakeframe.plans.registry import query
@@ -267,9 +268,23 @@ def f4(spark, d):
     return r.select("epoch", "row_id", "residual", _r("probability").alias("probability"))
 
 
-@query("x8_detrend_taper_bandpass")
+def _impulse(n: int) -> list[float]:
+    """The band-pass's answer to a single 1, by the recursion of its whole transfer function."""
+    b, a = np.ones(1), np.ones(1)
+    for s in kernels.bandpass_sections(1.0, 17.0, 100.0, 2):
+        b, a = np.polymul(b, s[:3]), np.polymul(a, s[3:])
+    h: list[float] = []
+    for t in range(n):
+        h.append((float(b[t]) if t < len(b) else 0.0) - sum(float(a[k]) * h[t - k] for k in range(1, min(t, len(a) - 1) + 1)))
+    return h
+
+
+@query("x8_detrend_taper_bandpass", f"""WITH {V.WAVEFORMS}, l AS (SELECT row_id, x, list_avg(x) AS m, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * (i - 31.5))) / 21840 AS s FROM wf),
+z AS (SELECT row_id, list_transform(range(0, 64), lambda i: CASE WHEN i IN (0, 63) THEN 0 ELSE x[i + 1] - m - s * (i - 31.5) END) AS z, {_impulse(64)!r}::DOUBLE[] AS h FROM l)
+SELECT row_id, list_transform(range(0, 64), lambda t: round(list_sum(list_transform(range(0, t + 1), lambda k: h[t - k + 1] * z[k + 1])), 6) + 0) AS x FROM z""")
 def x8(spark, d):
-    return P.processed(V.waveforms(spark, d).select("row_id", "x"), "x").select("row_id", _rounded(F.col("x")).alias("x"))
+    p = P.processed(V.waveforms(spark, d).select("row_id", "x"), "x")
+    return p.select("row_id", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
 @query("x9_fill_gaps", f"""WITH {V.WAVEFORMS}, s AS (SELECT label AS station, row_id // 576 AS day, row_id % 576 * 150 + i AS t, x[i + 1] AS v FROM wf, (SELECT unnest(range(0, 64)) AS i)),
