@@ -64,8 +64,8 @@ def detector_metrics(df: DataFrame, tolerances: list[float], keys: list[str], st
 
 
 def _with_trimmed(g: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Groups with the mean and std of a value of `rows` inside its fences."""
-    f = fence_stats(rows, keys, value, 1.5)
+    """Groups with the mean and std of a value of `rows`, a residual in samples of a window, inside its fences."""
+    f = fence_stats(rows, keys, value, 1.5, few=True)
     f = f.select(*[F.col(k).alias(f"_f{k}") for k in keys], F.col("fence_mean").alias("_m"), F.col("fence_std").alias("_s"))
     j = g.join(f, [g[k] == f[f"_f{k}"] for k in keys], "left")
     trimmed = {"trimmed_residual_mean": F.coalesce("_m", F.lit(0.0)), "trimmed_residual_std": F.coalesce("_s", F.lit(0.0))}
@@ -109,13 +109,16 @@ def exact_quantiles(counts: DataFrame, keys: list[str], value: str, n: str, prob
     return g.select(*keys, F.array(*map(between, places)).alias("_q"))
 
 
-def fence_stats(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
+def fence_stats(df: DataFrame, keys: list[str], value: str, k: float, few: bool = False) -> DataFrame:
     """Mean and population std of the values strictly inside [q1 - k iqr, q3 + k iqr]; 0 and 0 without any.
 
-    Values are counted first, so a group costs as many rows as it has distinct values.
+    Values are counted first, so a group costs as many rows as it has distinct values. With `few`, for values of a bounded
+    number such as differences of places in a window, quantiles are taken from a group's counts in one buffer.
     """
     c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(value).isNotNull())
-    j = c.join(exact_quantiles(c, keys, value, "_n", [0.25, 0.75]), keys)
+    quartiles = [0.25, 0.75]
+    q = c.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, quartiles)), F.col("_n")).alias("_q")) if few else exact_quantiles(c, keys, value, "_n", quartiles)
+    j = c.join(q, keys)
     iqr = F.col("_q")[1] - F.col("_q")[0]
     inside = j.withColumn("_w", F.when((F.col(value) > F.col("_q")[0] - k * iqr) & (F.col(value) < F.col("_q")[1] + k * iqr), F.col("_n")).otherwise(0))
     v, w = F.col(value), F.col("_w")
