@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quakeframe.llm import op1_divergence, op10_topk, op2_suffixes, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
+from quakeframe.llm import op1_divergence, op10_topk, op11_whitening, op2_suffixes, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
 
 _ALL = {
     "op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL),
@@ -17,6 +17,7 @@ _ALL = {
     "op9_reshard": (op9_reshard.op9_reshard, op9_reshard.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_topk": (op10_topk.op10_topk, op10_topk.SQL),
+    "op11_whitening": (op11_whitening.op11_whitening, op11_whitening.SQL),
 }
 
 
