@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quakeframe.llm import op1_divergence, op10_topk, op11_whitening, op12_spelling, op2_suffixes, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
+from quakeframe.llm import op1_divergence, op10_topk, op11_whitening, op12_spelling, op13_tensored, op2_suffixes, op3_chosenpath, op4_licenses, op5_langid, op6_pseudonyms, op7_packing, op8_mixing, op9_reshard
 
 _ALL = {
     "op1_divergence": (op1_divergence.op1_divergence, op1_divergence.SQL),
@@ -19,6 +19,7 @@ _ALL = {
     "op10_topk": (op10_topk.op10_topk, op10_topk.SQL),
     "op11_whitening": (op11_whitening.op11_whitening, op11_whitening.SQL),
     "op12_spelling": (op12_spelling.op12_spelling, op12_spelling.SQL),
+    "op13_tensored": (op13_tensored.op13_tensored, op13_tensored.SQL),
 }
 
 
