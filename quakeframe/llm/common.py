@@ -92,6 +92,6 @@ def words_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words; an array of matches is never built."""
-    body = F.regexp_replace(text, "^" + BLANKS + "|" + BLANKS + "$", "")
+    """Number of words; an array of matches is never built. (The end is \\z: $ would also match before a last U+0085, U+2028 or U+2029, which are words here.)"""
+    body = F.regexp_replace(text, "^" + BLANKS + "|" + BLANKS + "\\z", "")
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, BLANKS))).cast("long")

@@ -11,9 +11,11 @@ ranges follow the distribution of the source's own keys, a mixture of exponentia
 whose shares are its counts of documents by weight, so they are even for any weights.
 
 Defined results: a null or wordless text has size 0, and 0 words are taken of it; a null
-source is a source of its own and comes last; rows with equal key and id (repeated rows)
-are taken together or not at all; an empty table gives no rows. `mix` carries columns of
-any name; what `keyed` gets may have none that starts with `_mix_`, as its own ones do.
+source is a source of its own and comes last; ids may be null or repeat, since a row draws
+by its id, its text and its number among the rows that agree in both (which of those has
+which number tells nothing, so reruns take as many of them); an empty table gives no rows.
+`mix` carries columns of any name; what `keyed` gets may have none that starts with
+`_mix_`, as its own ones do.
 """
 
 from __future__ import annotations
@@ -39,19 +41,43 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(LEAST), F.round((n - F.length(F.regexp_replace(text, LETTERS, ""))) / n, 4))).otherwise(F.lit(LEAST))
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight, with u from the md5 of seed and id: the same on every run and every engine."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"))), 1, 8), 16, 10).cast("bigint")
+def exponential_key(doc_id: Column, digest: Column, nth: Column, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight, with u from the md5 of seed, id, text and number: the same on every run and every engine."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"), digest, nth.cast("string"))), 1, 8), 16, 10).cast("bigint")
     return -F.log((h + 0.5) / F.lit(4294967296.0)) / weight
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents with _mix_source, _mix_id, _mix_size, _mix_class (of its weight) and _mix_key."""
+    """The documents with _mix_source, _mix_id, _mix_digest (of the text), _mix_nth, _mix_size, _mix_class (of its weight) and _mix_key."""
     if any(c.startswith("_mix_") for c in docs.columns):
         raise ValueError("columns that start with _mix_ are those of the mix")
-    df = docs.withColumns({"_mix_source": docs[source].cast("string"), "_mix_id": docs[doc_id], "_mix_size": common.word_count(common.text_of(docs, text)), "_mix_weight": quality_weight(common.text_of(docs, text))})
+    body = common.text_of(docs, text)
+    df = numbered(docs.withColumns({"_mix_source": docs[source].cast("string"), "_mix_id": docs[doc_id], "_mix_digest": F.md5(body)}))
+    df = df.withColumns({"_mix_size": common.word_count(common.text_of(df, text)), "_mix_weight": quality_weight(common.text_of(df, text))})
     df = df.withColumn("_mix_class", F.floor((F.col("_mix_weight") - LEAST) / (1 - LEAST) * CLASSES).cast("int"))
-    return df.withColumn("_mix_key", exponential_key(docs[doc_id], F.col("_mix_weight"))).drop("_mix_weight")
+    return df.withColumn("_mix_key", exponential_key(F.col("_mix_id"), F.col("_mix_digest"), F.col("_mix_nth"), F.col("_mix_weight"))).drop("_mix_weight")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with _mix_nth, from 1 among the rows of one id and text.
+
+    Only where some agree in both are rows numbered: within a part of the input, after the counts of the parts before it,
+    so copies of one row that make up a third of the table lie in as many windows as the table has parts.
+    """
+    own = ["_mix_id", "_mix_digest"]
+    repeated = common.written(df.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").toDF("_i", "_t", "_n"), "op8-repeated")
+    if repeated.isEmpty():
+        common.forget(repeated)
+        return df.withColumn("_mix_nth", F.lit(1).cast("long"))
+    rows = common.written(df.withColumn("_mix_part", F.spark_partition_id()), "op8-rows")
+    same = lambda d, r: d["_mix_id"].eqNullSafe(r["_i"]) & (d["_mix_digest"] == r["_t"])
+    alone = rows.join(repeated, same(rows, repeated), "left_anti").withColumn("_mix_nth", F.lit(1).cast("long"))
+    some = rows.join(repeated, same(rows, repeated), "left_semi")
+    parts = some.groupBy(*own, "_mix_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_n").over(W.partitionBy(*own).orderBy("_mix_part")) - F.col("_n")).drop("_n").toDF("_i", "_t", "_p", "_before")
+    some = some.withColumn("_mix_nth", F.row_number().over(W.partitionBy(*own, "_mix_part").orderBy(F.lit(1))))
+    some = some.join(parts, same(some, parts) & (some["_mix_part"] == parts["_p"])).withColumn("_mix_nth", F.col("_mix_nth") + F.col("_before")).drop("_i", "_t", "_p", "_before")
+    return alone.unionByName(some).drop("_mix_part")
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -86,11 +112,16 @@ def _range() -> Column:
     return F.least(n - 1, F.floor(under / rows * n))
 
 
-KEYS = ["_mix_source", "_mix_id", "_mix_size", "_mix_class", "_mix_key"]
+KEYS = ["_mix_source", "_mix_id", "_mix_digest", "_mix_nth", "_mix_size", "_mix_class", "_mix_key"]
+
+
+def _place() -> Column:
+    """The order of a source's rows: by key, and where 32 bits of it agree by what it is made of."""
+    return F.struct(F.col("_mix_key").alias("k"), F.col("_mix_id").alias("i"), F.col("_mix_digest").alias("t"), F.col("_mix_nth").alias("n"))
 
 
 def plan(features: DataFrame) -> DataFrame:
-    """One row per source: its target, its epochs and the place (range, key, id) up to which one more copy is taken."""
+    """One row per source: its target, its epochs and the place up to which one more copy is taken."""
     of_class = [F.count(F.when(F.col("_mix_class") == k, 1)).alias(f"_mix_n{k}") for k in range(CLASSES + 1)]
     totals = features.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_rows"), *of_class)
     goals = common.written(targets(totals), "op8-targets")
@@ -101,12 +132,11 @@ def plan(features: DataFrame) -> DataFrame:
     last = sums.filter((F.col("_before") < F.col("_rest")) & (F.col("_n") > 0)).groupBy("_mix_source").agg(F.max(F.struct("_range", "_before")).alias("_last"))
     last = last.select(F.col("_mix_source").alias("_s"), F.col("_last._range").alias("_b"), F.col("_last._before").alias("_before"))
     inside = f.join(last, f["_mix_source"].eqNullSafe(last["_s"]) & (f["_range"] == last["_b"]))
-    order = W.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id")
-    inside = inside.withColumn("_place", F.struct(F.col("_mix_key").alias("k"), F.col("_mix_id").alias("i")))
-    inside = inside.withColumn("_to", F.col("_before") + F.sum("_mix_size").over(order.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    peers = inside.groupBy("_mix_source", "_range", "_place").agg(F.max("_to").alias("_to"), F.sum("_mix_size").alias("_n"), F.max("_mix_rest").alias("_rest"))
-    nearer = (F.col("_to") - F.col("_n") < F.col("_rest")) & (F.col("_to") - F.col("_rest") < F.col("_rest") - (F.col("_to") - F.col("_n")))
-    cut = peers.groupBy("_mix_source").agg(F.max("_range").alias("_mix_range"), F.max(F.when((F.col("_to") <= F.col("_rest")) | nearer, F.col("_place"))).alias("_mix_place"))
+    inside = inside.withColumn("_place", _place())
+    to, n, rest = F.col("_to"), F.col("_mix_size"), F.col("_mix_rest")
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_mix_size").over(W.partitionBy("_mix_source").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    nearer = (to - n < rest) & (to - rest < rest - (to - n))
+    cut = inside.groupBy("_mix_source").agg(F.max("_range").alias("_mix_range"), F.max(F.when((to <= rest) | nearer, F.col("_place"))).alias("_mix_place"))
     out = common.written(_with(goals, cut), "op8-plan")
     common.forget(goals)
     return out
@@ -121,8 +151,7 @@ def _with(left: DataFrame, right: DataFrame) -> DataFrame:
 def copies(keyed_docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """The documents with _mix_copies (0 to MAX_EPOCHS), _mix_target and _mix_total."""
     df = _with(keyed_docs, cuts).withColumn("_range", _range())
-    place = F.struct(F.col("_mix_key").alias("k"), F.col("_mix_id").alias("i"))
-    one_more = F.coalesce((F.col("_range") < F.col("_mix_range")) | ((F.col("_range") == F.col("_mix_range")) & (place <= F.col("_mix_place"))), F.lit(False))
+    one_more = F.coalesce((F.col("_range") < F.col("_mix_range")) | ((F.col("_range") == F.col("_mix_range")) & (_place() <= F.col("_mix_place"))), F.lit(False))
     return df.withColumn("_mix_copies", F.col("_mix_epochs") + one_more.cast("long")).drop("_range", "_mix_range", "_mix_place", "_mix_rows", "_mix_rest", "_mix_epochs", *[f"_mix_n{k}" for k in range(CLASSES + 1)])
 
 
@@ -150,11 +179,12 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
     len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size
   FROM documents),
+e AS (SELECT *, md5(t) AS dg, row_number() OVER (PARTITION BY doc_id, t) AS nth FROM d),
 k AS (
-  SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296.0)
+  SELECT doc_id, source, size, dg, nth,
+    -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR || ':', '') || dg || ':' || nth), 1, 8))::BIGINT + 0.5) / 4294967296.0)
     / (CASE WHEN length(t) > 0 THEN greatest({LEAST}, round((length(t) - length(regexp_replace(t, '{LETTERS}', '', 'g'))) / length(t), 4)) ELSE {LEAST} END) AS key
-  FROM d),
+  FROM e),
 s AS (SELECT source, sum(size) AS total FROM k GROUP BY source),
 w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
 l AS (
@@ -166,7 +196,7 @@ g AS (SELECT source, total, least(cap::DOUBLE, max(lev) OVER () * w) AS target F
 h AS (SELECT *, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS epochs FROM g),
 r AS (
   SELECT k.doc_id, k.size, h.total, h.target, h.epochs, h.target - h.epochs * h.total AS rest,
-    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id) AS upto
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS FIRST, k.dg, k.nth) AS upto
   FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, size::BIGINT AS size, total::BIGINT AS source_size, target,
   (size * (epochs + CASE WHEN upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -101,3 +101,32 @@ def test_names_of_the_mix_are_refused_where_they_would_be_overwritten(make):
     with pytest.raises(ValueError):
         op.keyed(docs.withColumnRenamed("n_chars", "_mix_size"))
     assert op.mix(docs.withColumnRenamed("n_chars", "_mix_size")).columns == ["doc_id", "text", "lang", "source", "_mix_size"]
+
+
+def test_words_are_those_of_the_contract(spark):
+    """U+0085, U+2028 and U+2029 are no blanks, at the end of a text as elsewhere."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quakeframe.llm import common
+
+    texts = ["a \u0085", "a \u2028", "a\n\u0085", "a b \u2029", "\u0085", " a\n", "\n", "", "a\r\n", "\u2028 a \u2028\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.word_count(F.col("t")).alias("n")).collect()
+    assert all(r.n == len(re.findall("[^\\x20\\x09-\\x0D]+", r.t)) for r in got)
+
+
+def test_null_and_repeated_ids_meet_their_targets(make):
+    """Ten rows of null id, ten of one id, forty repeated ones: each draws for itself."""
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(None, f"{ten} {k}", "en", "a") for k in range(10)] + [(7, f"{ten} {k}", "en", "b") for k in range(10)] + [(8, ten, "en", "c")] * 40 + [(None, ten, "en", "d")] * 10
+    a, b = table(make(rows)), table(make(rows).repartition(9))
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in a:
+        sizes[r._mix_source] += r._mix_size
+        taken[r._mix_source] += r._mix_size * r._mix_copies
+    want = target_of(sizes)
+    assert all(abs(taken[s] - want[s]) <= 6 for s in sizes)
+    key = lambda r: (r._mix_id is None, r._mix_id, r._mix_digest, r._mix_nth, r._mix_copies)
+    assert sorted(map(key, a)) == sorted(map(key, b))
+    assert op.mix(make(rows)).count() == sum(r._mix_copies for r in a)
