@@ -182,7 +182,8 @@ def file_names(columns: list[str]) -> list[str]:
 def with_row_key(docs: DataFrame) -> DataFrame:
     """`docs`, read from Parquet, under their names in the files, with the columns ROW: each row's file and place in it, which are unique and the same at every read."""
     named = [F.col(f"`{a}`").alias(b) for a, b in zip(docs.columns, file_names(docs.columns), strict=True)]
-    return docs.select(*named, F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    of_file = docs.metadataColumn("_metadata")  # the file's own, whatever the columns are called
+    return docs.select(*named, of_file["file_path"].alias(ROW[0]), of_file["row_index"].alias(ROW[1]))
 
 
 def _facts(docs: DataFrame) -> list[Column]:

@@ -55,7 +55,7 @@ def test_operators_ignore_other_columns(make, odd):
 
 
 def test_resharding_ignores_other_columns(spark, make, odd, tmp_path):
-    docs = rows_of(make, odd).withColumnsRenamed({"c0": "shard", "c1": "_rs_file", "id": "_rs_old"}).coalesce(1)
+    docs = rows_of(make, odd).withColumnsRenamed({"c0": "shard", "c1": "_rs_file", "id": "_rs_old", "key": "_metadata"}).coalesce(1)
     docs.write.parquet(f"file://{tmp_path}/a")
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/b")
     a, b = (op9_reshard.reshard(spark.read.parquet(f"file://{tmp_path}/{k}"), f"file://{tmp_path}/out-{k}") for k in "ab")
