@@ -14,13 +14,16 @@ block is left out as soon as its bound is under it. (A job for every single bloc
 take as many jobs as there are blocks.) Queries travel to blocks in chunks, blocks never
 travel to queries.
 
-Scores are integers, so all of this is exact; ties go to the smaller id.
+Scores are integers, so all of this is exact; ties go to the smaller id. Where a product
+could leave a long it is taken in Python's integers, and what is beyond LIMIT is held there:
+bounds too, so the order of visits stays right.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take
 no part; a score takes two vectors of one length, so a query's candidates are those of its
 own length; a query with fewer than k partners gets them all; rows with an id that occurs
 twice are candidates each (a query never gets its own id, and asks with the smallest of
-its vectors); an empty table gives no rows. Other columns of the input are not read.
+its vectors); components are held within 2^62 and scores within LIMIT, so vectors of huge
+components take part and tie at the limit; an empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ BLOCK, QUERY_CHUNK, BANDS = 1024, 512, 4
 PART_BLOCKS, PAGE_PARTS = 64, 8
 SCALE = 256
 NONE = -(2**63)
+LIMIT = 2**62 - 1
 _BLOCKS = pa.schema([("block", pa.int64()), ("page", pa.int64()), ("dims", pa.int64()), ("kind", pa.string()), ("ids", pa.binary()), ("matrix", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
 _CHUNKS = pa.schema([("dims", pa.int64()), ("queries", pa.binary()), ("vectors", pa.binary()), ("upper", pa.binary()), ("lower", pa.binary()), ("least", pa.binary())])
 _TOPS = pa.schema([("query_id", pa.int64()), ("top", pa.int64())])
@@ -53,16 +57,21 @@ def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     whole = F.size(v) > 0
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     df = df.filter(F.col(vec_id).isNotNull() & v.isNotNull() & whole & finite)
-    return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+    return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62), x.cast("double") * SCALE))).cast("long")).alias("v"))
 
 
 def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
 
+def _most(m: np.ndarray) -> int:
+    """The largest absolute value."""
+    return max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+
+
 def _kind(m: np.ndarray) -> str:
     """The narrowest integer type that holds all of a matrix."""
-    most = max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+    most = _most(m)
     return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
 
 
@@ -115,15 +124,22 @@ def _make_chunks(size: int):
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer a @ b.T: in floating point where that can't round, which BLAS does fast."""
-    if np.abs(a).max(initial=0) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2.0**52:
+    """Exact integer a @ b.T: in floating point where that can't round, which BLAS does fast, in longs where they hold it, else in Python's integers."""
+    most = _most(a) * _most(b) * a.shape[1]
+    if most < 2**52:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    return a @ b.T if most <= LIMIT else a.astype(object) @ b.T.astype(object)
+
+
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs within LIMIT."""
+    return np.clip(scores, -LIMIT, LIMIT).astype(np.int64)
 
 
 def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The most that any vector of each block can score with each query."""
-    return _product(np.maximum(q, 0), high) + _product(np.minimum(q, 0), low)
+    up, down = _product(np.maximum(q, 0), high), _product(np.minimum(q, 0), low)
+    return _held(up + down)  # two longs within LIMIT have a long sum
 
 
 def _chunk_and_page(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
@@ -164,7 +180,7 @@ def _score(k: int):
                 dims = b.column("dims")[r].as_py()
                 queries, q, least, ids = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "least", "ids"))
                 m = np.frombuffer(b.column("matrix")[r].as_py(), b.column("kind")[r].as_py()).astype(np.int64).reshape(-1, dims)
-                scores = _product(q.reshape(-1, dims), m)
+                scores = _held(_product(q.reshape(-1, dims), m))
                 order = np.argsort(ids, kind="stable")
                 ids, scores = ids[order], scores[:, order]
                 out = [[], [], []]

@@ -65,3 +65,16 @@ def test_odd_vectors(spark):
     check(rows, op.top_k(spark.createDataFrame(rows, SCHEMA), lambda v: v % 50 == 0).collect())
     assert op.top_k(spark.createDataFrame([], SCHEMA), lambda v: v % 50 == 0).collect() == []
     assert op.top_k(spark.createDataFrame(rows[:1], SCHEMA), lambda v: v % 50 == 0).collect() == []
+
+
+def test_huge_components(spark, monkeypatch):
+    """Scores beyond a long are held at the limit; sums that cancel are exact."""
+    monkeypatch.setattr(op, "BLOCK", 3)
+    big = float(np.float32(1e10))
+    rows = [(0, [big, big], 0), (1, [big, big], 0), (2, [big, -big], 0), (3, [1.0, 1.0], 0), (4, [-big, -big], 0), (5, [0.0, 0.0], 0), (50, [1.0, 2.0], 0), (51, [3e38, 3e38], 0)]
+    got = op.top_k(spark.createDataFrame(rows, SCHEMA), lambda v: v % 50 == 0).collect()
+    by = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50)}
+    b = 256 * int(big)
+    held = lambda x: max(-op.LIMIT, min(op.LIMIT, x))
+    assert by[0] == [(1, op.LIMIT), (51, op.LIMIT), (50, held(3 * 256 * b)), (3, held(2 * 256 * b)), (2, 0)]
+    assert by[50] == [(51, op.LIMIT), (0, held(3 * 256 * b)), (1, held(3 * 256 * b)), (3, 3 * 65536), (5, 0)]
