@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.sources.io import written
+
 ARCHIVE_KEYS = ["evid", "network", "station", "channel", "location"]
 
 
@@ -64,20 +66,64 @@ def add_magnitudes(df: DataFrame, magnitudes: DataFrame, key: str = "evid") -> D
     return df.join(one, key, "left")
 
 
-def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float, high: float, seed: str, width: float = 0.5) -> DataFrame:
-    """For each row of `left` one row of `right` of the same keys, another event, and a magnitude from m + low to m + high.
+#: Cut points between the magnitude ranges of a station's partners.
+CUTS = [k / 256 for k in range(1, 256)]
+
+
+def _between_cuts(value: Column, inclusive: bool = False) -> Column:
+    """Number of cut points under (or at) a value."""
+    return F.size(F.filter("_cuts", lambda c: c <= value if inclusive else c < value))
 
-    Magnitudes are bucketed, and the buckets a row can reach are exploded on the (small)
-    left side: an equi-join on keys and bucket instead of a pair loop over a station. A row given twice comes out twice.
+
+def magnitude_index(right: DataFrame, keys: list[str], seed: str) -> DataFrame:
+    """The partners of each `keys` by rank: evid2, magnitude2, _place (from 0, by magnitude, md5 and evid), _cuts, and _range, a run of places that one task sorts.
+
+    Ranges lie between approximate quantiles. A magnitude that fills several of them (a station with a million equal ones)
+    is dealt to them by the md5, which is also the order inside a magnitude, so no range holds much more than others.
+    """
+    r = right.filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).select(*keys, F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2")).distinct()
+    cuts = r.groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx("magnitude2", CUTS, 4096).alias("_cuts"))
+    r = r.join(cuts, [r[k] == cuts[f"_c{k}"] for k in keys]).drop(*[f"_c{k}" for k in keys])
+    r = r.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "evid2")))
+    share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") / 4294967296.0
+    first = _between_cuts(F.col("magnitude2"))
+    return r.withColumn("_range", (first + F.floor(share * (_between_cuts(F.col("magnitude2"), True) - first))).cast("int"))
+
+
+def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float, high: float, seed: str, draw: list[str] | None = None) -> DataFrame:
+    """For each row of `left` one row of `right` of the same keys, another event, and a magnitude from m + low to m + high, all equally likely.
+
+    Partners are ranked once. Two rank lookups, which ride on the sort that ranks them, give the places of a row's interval;
+    a draw by hash (of evid, keys and the columns `draw`) picks a place, stepping over those of the row's own event; an
+    equi-join on keys and place fetches that one partner. So no row ever meets more than one, however many share a station.
+    Rows of null keys, null or NaN magnitudes or without a partner go; a row given twice comes out twice.
     """
-    reach = F.sequence(F.floor((F.col("magnitude") + low) / width), F.floor((F.col("magnitude") + high) / width))
-    a = counted(left).withColumn("_b", F.explode(reach))
-    b = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2"), F.floor(F.col("magnitude") / width).alias("_b2")).distinct()
-    on = [a[k] == b[f"_r{k}"] for k in keys] + [a["_b"] == b["_b2"], a["evid"] != b["evid2"], b["magnitude2"] >= a["magnitude"] + low, b["magnitude2"] <= a["magnitude"] + high]
-    j = a.join(b, on)
-    # One partner per row: an aggregate that combines before the shuffle, not a sort of all pairs.
-    pick = F.min(F.struct(F.md5(F.concat_ws(":", F.lit(seed), "evid", "evid2")).alias("h"), "evid2", "magnitude2")).alias("_p")
-    return repeated(j.groupBy(*left.columns, "_copies").agg(pick).select(*left.columns, "_copies", "_p.evid2", "_p.magnitude2"))
+    index = written(magnitude_index(right, keys, seed), "pair-index")
+    cuts = index.groupBy(*keys).agg(F.first("_cuts").alias("_cuts"))
+    own = [*keys, "evid", "magnitude"]
+    asked = left.select(*own).filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).distinct()
+    ends = F.array(F.struct(F.lit(0).alias("_kind"), (F.col("magnitude") + low).alias("_at")), F.struct(F.lit(2).alias("_kind"), (F.col("magnitude") + high).alias("_at")))
+    asked = asked.join(cuts, keys).withColumn("_e", F.explode(ends)).select(*own, "_e.*", "_cuts")
+    # An interval starts in the range of the first value that isn't under it, and ends in that of the last one not over it.
+    asked = asked.withColumn("_range", F.when(F.col("_kind") == 0, _between_cuts(F.col("_at"))).otherwise(_between_cuts(F.col("_at"), True))).drop("_cuts")
+    sizes = index.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    points = index.select(*keys, "_range", F.lit(1).alias("_kind"), F.col("magnitude2").alias("_at"), "_h", "evid2").unionByName(asked, allowMissingColumns=True)
+    w = W.partitionBy(*keys, "_range").orderBy("_at", "_kind", "_h", "evid2").rowsBetween(W.unboundedPreceding, W.currentRow)
+    points = points.withColumn("_inside", F.sum((F.col("_kind") == 1).cast("long")).over(w))
+    filled = points.select(*keys, "_range").distinct().join(sizes, [*keys, "_range"], "left")
+    before = filled.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    points = written(points.join(before, [*keys, "_range"]).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_range", "_h"), "pair-places")
+    found = points.filter("_kind = 1").select(*keys, "evid2", F.col("_at").alias("magnitude2"), (F.col("_place") - 1).alias("_place"))
+    spans = points.filter("_kind <> 1").groupBy(*own).agg(F.max(F.when(F.col("_kind") == 0, F.col("_place"))).alias("_from"), F.max(F.when(F.col("_kind") == 2, F.col("_place"))).alias("_to"))
+    events = found.groupBy(*keys, F.col("evid2").alias("evid")).agg(F.sort_array(F.collect_list("_place")).alias("_own"))  # the magnitudes of one event
+    spans = spans.filter(F.col("_to") > F.col("_from")).join(events, [*keys, "evid"], "left")
+    mine = F.coalesce(F.filter("_own", lambda p: (p >= F.col("_from")) & (p < F.col("_to"))), F.array().cast("array<bigint>"))
+    spans = spans.withColumn("_own", mine).withColumn("_choice", F.col("_to") - F.col("_from") - F.size("_own")).filter("_choice > 0")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ["evid", *keys, *(draw or [])]])), 1, 13), 16, 10).cast("bigint")
+    chosen = left.join(spans.select(*own, "_from", "_own", "_choice"), own)
+    place = F.aggregate("_own", F.col("_from") + hashed % F.col("_choice"), lambda at, p: F.when(p <= at, at + 1).otherwise(at))
+    chosen = chosen.withColumn("_place", place).drop("_from", "_own", "_choice")
+    return chosen.join(found, [*keys, "_place"]).select(*left.columns, "evid2", "magnitude2")
 
 
 def match_picks(estimated: DataFrame, actual: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
@@ -118,10 +164,11 @@ def missing_days(stations: DataFrame, inventory: DataFrame, first: int, last: in
     return df.filter(F.col("files") != expected).withColumn("error", F.when(F.col("files") == 0, "missing").otherwise("file_error"))
 
 
-def mask_picks_in_gaps(picks: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """Picks outside all gaps [begin, end) of their station."""
-    g = gaps.select(*[F.col(k).alias(f"_g{k}") for k in keys], "begin", "end")
-    on = [picks[k] == g[f"_g{k}"] for k in keys] + [picks["arrival_time"] >= g["begin"], picks["arrival_time"] < g["end"]]
+def mask_picks_in_gaps(picks: DataFrame, gaps: DataFrame, keys: list[str], day: str = "day", time: str = "arrival_time") -> DataFrame:
+    """Picks outside all gaps of their station-day. A pick lies in a gap if its sample does: from start_ind up to, but not with, end_ind of the gap, counted from midnight."""
+    g = gaps.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col(day).alias("_gday"), "start_ind", "end_ind", "sampling_rate")
+    sample = F.round((picks[time] - picks[day] * 86400) * g["sampling_rate"]).cast("long")
+    on = [picks[k] == g[f"_g{k}"] for k in keys] + [picks[day] == g["_gday"], sample >= g["start_ind"], sample < g["end_ind"]]
     return picks.join(g, on, "left_anti")
 
 

@@ -75,16 +75,25 @@ def j6(spark, d):
     return J.add_magnitudes(V.catalog(spark, d).select("evid", "station", "line", "part"), V.events(spark, d).filter("magnitude > 2"))
 
 
-@query("j8_pair_events", f"""WITH {V.CATALOG}, {V.EVENTS}, l AS (SELECT c.evid, station, channel, magnitude, row_number() OVER () AS rid FROM catalog c JOIN evt USING (evid)), m AS (SELECT DISTINCT evid, station, channel, magnitude FROM l),
-r AS (SELECT l.*, m.evid AS evid2, m.magnitude AS magnitude2, row_number() OVER (PARTITION BY rid ORDER BY md5('pair:' || l.evid || ':' || m.evid), m.evid) AS rk
-FROM l JOIN m ON l.station = m.station AND l.channel = m.channel AND l.evid <> m.evid AND m.magnitude BETWEEN l.magnitude - 0.3 AND l.magnitude + 0.4)
-SELECT evid, station, channel, magnitude, evid2, magnitude2 FROM r WHERE rk = 1""")
+_PAIRS = f"""{V.CATALOG}, {V.EVENTS}, l AS (SELECT c.evid, line, station, channel, magnitude, row_number() OVER () AS rid FROM catalog c JOIN evt USING (evid)), m AS (SELECT DISTINCT evid, station, channel, magnitude FROM l),
+j AS (SELECT l.*, m.evid AS evid2, m.magnitude AS magnitude2, row_number() OVER (PARTITION BY rid ORDER BY m.magnitude, md5('pair:' || m.evid), m.evid) - 1 AS place, count(*) OVER (PARTITION BY rid) AS choice
+FROM l JOIN m ON l.station = m.station AND l.channel = m.channel AND l.evid <> m.evid AND m.magnitude BETWEEN l.magnitude + -0.3 AND l.magnitude + 0.4)"""
+
+
+@query("j8_pair_events", f"""WITH {_PAIRS} SELECT evid, station, channel, magnitude, evid2, magnitude2 FROM j WHERE place = ('0x' || substr(md5('pair:' || evid || ':' || station || ':' || channel), 1, 13))::BIGINT % choice""")
 def j8(spark, d):
     """All picks look for a partner; some events have several picks at a station and channel, which are equal rows here."""
     m = V.catalog(spark, d).join(V.events(spark, d).select("evid", "magnitude"), "evid").select("evid", "station", "channel", "magnitude")
     return J.pair_events(m, m, ["station", "channel"], -0.3, 0.4, "pair")
 
 
+@query("j8_pair_draws", f"""WITH {_PAIRS} SELECT evid, line, station, channel, evid2, magnitude2 FROM j WHERE place = ('0x' || substr(md5('pair:' || evid || ':' || station || ':' || channel || ':' || line), 1, 13))::BIGINT % choice""")
+def j8_draws(spark, d):
+    """Every pick draws for itself."""
+    m = V.catalog(spark, d).join(V.events(spark, d).select("evid", "magnitude"), "evid").select("evid", "line", "station", "channel", "magnitude")
+    return J.pair_events(m, m, ["station", "channel"], -0.3, 0.4, "pair", ["line"]).drop("magnitude")
+
+
 _PICKS2 = """act0 AS (SELECT l_orderkey AS waveform_id, l_suppkey % 3 AS epoch, l_quantity::BIGINT AS act, l_linestatus FROM lineitem WHERE l_returnflag = 'A'), act AS (SELECT waveform_id, epoch, act FROM act0 UNION ALL SELECT waveform_id, epoch, act FROM act0 WHERE act < 10),
 est AS (SELECT l_orderkey AS waveform_id, l_suppkey % 3 AS epoch, l_quantity::BIGINT + l_partkey % 9 - 4 AS est, round(l_discount * 10, 4) AS proba FROM lineitem WHERE l_returnflag <> 'N')"""
 
@@ -139,25 +148,83 @@ def s9(spark, d):
     return K.data_issue_report(j12(spark, d))
 
 
-_GAPS = """s AS (SELECT *, starttime + npts / sampling_rate AS endtime, 1 / sampling_rate AS dt FROM segs),
-o AS (SELECT *, max(endtime) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach, lead(starttime) OVER w AS nxt, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY station, day ORDER BY starttime, npts)),
-g0 AS (SELECT station, day, day * 86400.0::DOUBLE AS "begin", starttime AS "end", sampling_rate FROM o WHERE rn = 1 AND starttime - day * 86400.0 > dt
-UNION ALL SELECT station, day, reach, nxt, sampling_rate FROM o WHERE nxt IS NOT NULL
-UNION ALL SELECT station, day, reach, day * 86400.0 + 86400, sampling_rate FROM o WHERE nxt IS NULL AND day * 86400.0 + 86400 - reach > dt),
-gp AS (SELECT station, day, "begin"::DOUBLE AS "begin", "end"::DOUBLE AS "end", sampling_rate, "end"::DOUBLE - "begin"::DOUBLE AS duration, floor(("end"::DOUBLE - "begin"::DOUBLE) * sampling_rate)::BIGINT AS npts FROM g0 WHERE "end"::DOUBLE - "begin"::DOUBLE >= 0.05)"""
+def _gaps(keys, source):
+    """Gaps by the rule, over islands of samples: (keys, day, begin, end, npts, start_ind, end_ind, r)."""
+    return f"""t AS (SELECT {keys}, day, sampling_rate AS r, greatest(round((starttime - day * 86400) * sampling_rate)::BIGINT, 0) AS a,
+  least(round((starttime - day * 86400) * sampling_rate)::BIGINT + npts, (86400 * sampling_rate)::BIGINT) AS b, starttime, starttime + (npts - 1) / sampling_rate AS final FROM {source}),
+o AS (SELECT *, max(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, max(final) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(starttime) OVER (PARTITION BY {keys}, day, a) AS here FROM t WINDOW w AS (PARTITION BY {keys}, day ORDER BY a, b)),
+e AS (SELECT {keys}, day, r, min(a) AS a, max(b) AS b, arg_min(starttime, (a, starttime)) AS st, max(final) AS final FROM t GROUP BY ALL),
+g0 AS (SELECT {keys}, day, r, day * 86400.0::DOUBLE AS "begin", st AS "end", a AS npts, 0 AS start_ind FROM e WHERE a > 1
+  UNION ALL SELECT {keys}, day, r, before, here, a - reach, reach - 1 FROM o WHERE a > reach AND reach IS NOT NULL
+  UNION ALL SELECT {keys}, day, r, final, day * 86400.0 + 86400, (86400 * r)::BIGINT - b + 1, b - 1 FROM e WHERE b < 86400 * r),
+gp AS (SELECT {keys}, day, r, "begin", "end", npts, start_ind, start_ind + npts AS end_ind FROM g0 WHERE npts >= ceil(0.05 * r - 1e-6))"""
+
+
+_GAPS = _gaps("station", "segs")
+_GAP_COLUMNS = 'day, round("begin", 3) AS "begin", round("end", 3) AS "end", round(npts / r, 3) AS duration, npts, start_ind, end_ind'
+
 
+def _shown(g, *keys):
+    return g.select(*keys, "day", *[F.round(c, 3).alias(c) for c in ("begin", "end", "duration")], "npts", "start_ind", "end_ind")
 
-@query("w2_find_gaps", f'WITH {V.SEGMENTS}, {_GAPS} SELECT station, day, round("begin", 3) AS "begin", round("end", 3) AS "end", round(duration, 3) AS duration, npts FROM gp')
+
+@query("w2_find_gaps", f"WITH {V.SEGMENTS}, {_GAPS} SELECT station, {_GAP_COLUMNS} FROM gp")
 def w2(spark, d):
-    g = K.find_gaps(V.segments(spark, d), ["station"])
-    return g.select("station", "day", *[F.round(c, 3).alias(c) for c in ("begin", "end", "duration")], "npts")
+    return _shown(K.find_gaps(V.segments(spark, d), ["station"]), "station")
+
+
+@query("w2_gaps_100hz", f"WITH {V.SEGMENTS100}, {_gaps('station, channel', 'segs100')} SELECT station, channel, {_GAP_COLUMNS} FROM gp")
+def w2_100hz(spark, d):
+    """Of each channel, with gaps of 0 to 8 samples and an unknown station."""
+    return _shown(K.find_gaps(V.segments100(spark, d), ["station", "channel"]), "station", "channel")
+
+
+def _missing(least):
+    """Runs of samples that fewer than `least` of three channels have, from the ends of the islands of each channel."""
+    return f"""t AS (SELECT station, channel, day, greatest(round((starttime - day * 86400) * 100)::BIGINT, 0) AS a, least(round((starttime - day * 86400) * 100)::BIGINT + npts, 8640000) AS b FROM segs100),
+i1 AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY station, channel, day ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM t),
+i2 AS (SELECT *, sum(fresh) OVER (PARTITION BY station, channel, day ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM i1),
+i3 AS (SELECT station, day, channel, min(a) AS a, max(b) AS b FROM i2 GROUP BY station, day, channel, island),
+c AS (SELECT station, day, a AS p FROM i3 UNION SELECT station, day, b FROM i3 UNION SELECT station, day, 0 FROM i3 UNION SELECT station, day, 8640000 FROM i3),
+s AS (SELECT *, lead(p) OVER (PARTITION BY station, day ORDER BY p) AS q FROM c),
+k AS (SELECT s.station, s.day, p, q, count(i3.channel) AS n FROM s LEFT JOIN i3 ON s.station IS NOT DISTINCT FROM i3.station AND s.day = i3.day AND i3.a <= p AND i3.b >= q WHERE q IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY station, day ORDER BY p), -1) AS prior FROM k WHERE n < {least}),
+r AS (SELECT *, sum((p <> prior)::INT) OVER (PARTITION BY station, day ORDER BY p) AS run FROM l),
+m AS (SELECT station, day, min(p) AS a, max(q) AS b FROM r GROUP BY station, day, run),
+g AS (SELECT station, day, a, b, b - a + (b = 8640000 AND a > 0)::INT AS npts, greatest(a - 1, 0) AS start_ind FROM m)
+SELECT station, day, npts, start_ind, start_ind + npts AS end_ind FROM g WHERE npts >= 5"""
+
 
+@query("w2_any_missing_3c", f"WITH {V.SEGMENTS100}, {_missing(3)}")
+def w2_any(spark, d):
+    """Samples that one of the three channels at least doesn't have."""
+    return K.find_gaps(V.segments100(spark, d), ["station"], channel="channel").select("station", "day", "npts", "start_ind", "end_ind")
 
-@query("j13_mask_picks_in_gaps", f"WITH {V.PICKS}, {V.SEGMENTS}, {_GAPS}, q AS (SELECT pick_id, station, arrival_time + 1800 AS arrival_time, floor((arrival_time + 1800) / 86400)::BIGINT AS day FROM picks) SELECT pick_id, station FROM q WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gp.station = q.station AND gp.day = q.day AND q.arrival_time >= gp.\"begin\" AND q.arrival_time < gp.\"end\")")
+
+@query("w2_all_missing_3c", f"WITH {V.SEGMENTS100}, {_missing(1)}")
+def w2_all(spark, d):
+    """Samples that no channel has."""
+    return K.find_gaps(V.segments100(spark, d), ["station"], channel="channel", any_missing=False).select("station", "day", "npts", "start_ind", "end_ind")
+
+
+def _shifted(rate):
+    return f"q AS (SELECT pick_id, station, arrival_time + 1800 AS arrival_time, floor((arrival_time + 1800) / 86400)::BIGINT AS day, round((arrival_time + 1800 - floor((arrival_time + 1800) / 86400) * 86400) * {rate})::BIGINT AS ind FROM picks)"
+
+
+@query("j13_mask_picks_in_gaps", f"WITH {V.PICKS}, {V.SEGMENTS}, {_GAPS}, {_shifted(1)} SELECT pick_id, station FROM q WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gp.station = q.station AND gp.day = q.day AND q.ind >= gp.start_ind AND q.ind < gp.end_ind)")
 def j13(spark, d):
+    return _masked(spark, d, K.find_gaps(V.segments(spark, d), ["station"]))
+
+
+def _masked(spark, d, gaps):
     t = F.col("arrival_time") + 1800
     p = V.picks(spark, d).select("pick_id", "station", t.alias("arrival_time"), F.floor(t / 86400).alias("day"))
-    return J.mask_picks_in_gaps(p, K.find_gaps(V.segments(spark, d), ["station"]), ["station", "day"]).select("pick_id", "station")
+    return J.mask_picks_in_gaps(p, gaps, ["station"]).select("pick_id", "station")
+
+
+@query("j13_mask_picks_100hz", f"WITH {V.PICKS}, {V.SEGMENTS100}, {_gaps('station, channel', 'segs100')}, {_shifted(100)} SELECT pick_id, station FROM q WHERE NOT EXISTS (SELECT 1 FROM gp WHERE channel = 'HHZ' AND gp.station = q.station AND gp.day = q.day AND q.ind >= gp.start_ind AND q.ind < gp.end_ind)")
+def j13_100hz(spark, d):
+    return _masked(spark, d, K.find_gaps(V.segments100(spark, d), ["station", "channel"]).filter("channel = 'HHZ'"))
 
 
 @query("p13_sufficient_signal", f"WITH {V.SEGMENTS} SELECT station, day, sum(npts)::BIGINT AS npts, round(100 * sum(npts) / 86400, 6) AS percent, round(100 * sum(npts) / 86400, 6) >= 10 AS enough FROM segs GROUP BY ALL")
@@ -165,11 +232,29 @@ def p13(spark, d):
     return K.sufficient_signal(V.segments(spark, d), ["station", "day"], 10)
 
 
-@query("s6_station_day_metadata", f"WITH {V.SEGMENTS}, {_GAPS}, n AS (SELECT station, day, count(*) AS n_gaps FROM gp GROUP BY ALL), s2 AS (SELECT station, day, min(starttime) AS s, sum(npts)::BIGINT AS npts FROM segs GROUP BY ALL) SELECT station, day, coalesce(n_gaps, 0) AS n_gaps, npts FROM s2 LEFT JOIN n USING (station, day)")
+_ISO = "strftime(epoch_ms(0) + to_microseconds(round({t} * 1e6)::BIGINT), '%Y-%m-%dT%H:%M:%S') || CASE WHEN round({t} * 1e6)::BIGINT % 1000000 <> 0 THEN printf('.%06d', round({t} * 1e6)::BIGINT % 1000000) ELSE '' END"
+
+
+@query("s6_station_day_metadata", f"""WITH {V.SEGMENTS100}, {_gaps('station, channel', 'segs100')},
+u AS (SELECT station, day, min(a) AS a, max(b) AS b, min(starttime) AS st, max(final) AS fin, min(channel) AS code, count(DISTINCT channel) AS codes FROM t GROUP BY ALL),
+v AS (SELECT station, day, CASE WHEN codes > 1 THEN code[1:2] || '?' ELSE code END AS channel, day % 3 = 0 AS app, CASE WHEN a > 1 THEN 0 ELSE a END AS a, CASE WHEN b < 8640000 THEN 8640000 ELSE b END AS b,
+  CASE WHEN a > 1 THEN day * 86400.0 ELSE st END AS os, CASE WHEN b < 8640000 THEN day * 86400.0 + 86399.99 ELSE fin END AS oe FROM u),
+x AS (SELECT v.station, v.day, list([gp.channel, round("begin", 2)::DECIMAL(20, 2)::VARCHAR, round("end", 2)::DECIMAL(20, 2)::VARCHAR, npts::VARCHAR, (start_ind - v.a + app::INT * 1000)::VARCHAR, (end_ind - v.a + app::INT * 1000)::VARCHAR] ORDER BY gp.channel, start_ind) AS gaps FROM v JOIN gp ON v.station IS NOT DISTINCT FROM gp.station AND v.day = gp.day GROUP BY ALL),
+y AS (SELECT v.*, os - app::INT * 10 AS ss, coalesce(gaps, []) AS gaps FROM v LEFT JOIN x ON v.station IS NOT DISTINCT FROM x.station AND v.day = x.day)
+SELECT day, len(gaps) AS n_gaps, 'WY' AS network, station, channel, 100.0::DOUBLE AS sampling_rate, 0.01::DOUBLE AS dt, {_ISO.format(t='ss')} AS starttime, (b - a + app::INT * 1000)::BIGINT AS npts, round(ss, 3)::DOUBLE AS starttime_epoch, round(oe, 3)::DOUBLE AS endtime_epoch, app AS previous_appended,
+  {_ISO.format(t='os')} AS original_starttime, {_ISO.format(t='oe')} AS original_endtime, round(os, 3)::DOUBLE AS original_starttime_epoch, round(oe, 3)::DOUBLE AS original_endtime_epoch, (b - a)::BIGINT AS original_npts, gaps FROM y""")
 def s6(spark, d):
-    s = V.segments(spark, d)
-    m = K.station_day_metadata(s, K.find_gaps(s, ["station"]), ["station", "day"])
-    return m.select("station", "day", "n_gaps", F.get_json_object("metadata", "$.original_npts").cast("long").alias("npts"))
+    """All 15 fields and the gaps of all channels, read back from the JSON; every third day has 10 s of the day before put before it."""
+    s = V.segments100(spark, d)
+    appended = s.filter("day % 3 = 0").select("network", "station", "day").distinct().withColumn("samples", F.lit(1000))
+    m = K.station_day_metadata(s, K.find_gaps(s, ["network", "station", "channel"]), ["network", "station"], appended=appended)
+    kinds = {"sampling_rate": "double", "dt": "double", "npts": "long", "starttime_epoch": "double", "endtime_epoch": "double", "previous_appended": "boolean", "original_starttime_epoch": "double", "original_endtime_epoch": "double", "original_npts": "long", "station": "long"}
+    names = ["network", "station", "channel", "sampling_rate", "dt", "starttime", "npts", "starttime_epoch", "endtime_epoch", "previous_appended", "original_starttime", "original_endtime", "original_starttime_epoch", "original_endtime_epoch", "original_npts"]
+    j = F.from_json("metadata", ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names) + ", gaps array<array<string>>")
+    m = m.select("day", "n_gaps", j.alias("j")).select("day", "n_gaps", "j.*")
+    time = lambda x: F.round(x.cast("double"), 2).cast("decimal(20,2)").cast("string")
+    m = m.withColumn("gaps", F.transform("gaps", lambda g: F.array(g[0], time(g[1]), time(g[2]), g[3], g[4], g[5])))
+    return m.withColumns({c: F.round(c, 3) for c in names if c.endswith("_epoch")})
 
 
 @query("j14_attach_pick_metadata", f"WITH {V.PICKS}, s AS (SELECT pick_id, round(amplitude / 2, 6) AS shift FROM picks WHERE phase <> 'error') SELECT p.pick_id, station, phase, shift FROM picks p JOIN s USING (pick_id)")

@@ -120,3 +120,19 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEGMENTS = "segs AS (SELECT user_id AS station, floor(epoch_us(ts) / 1e6 / 86400)::BIGINT AS day, epoch_us(ts) / 1e6 AS starttime, 1.0::DOUBLE AS sampling_rate, floor(value * 60 + 1)::BIGINT AS npts FROM events)"
+
+
+def segments100(spark: SparkSession, d: str) -> DataFrame:
+    """events as segments of three channels at 100 Hz: a station's record from each event on, for `value` minutes, and after 0 to 8 missing samples some seconds more. Every 50th station is unknown."""
+    p = picks(spark, d)
+    n = F.floor(F.col("amplitude") * 6000 + 1).cast("long")
+    start = F.round(F.col("arrival_time") * 100) / 100
+    two = F.array(F.struct(start.alias("starttime"), n.alias("npts")), F.struct((start + (n + F.col("pick_id") % 9) / 100).alias("starttime"), (500 + F.col("pick_id") % 100).alias("npts")))
+    channel = F.concat(F.lit("HH"), F.substring(F.lit("ENZ"), (F.col("pick_id") % 3 + 1).cast("int"), F.lit(1)))
+    x = p.select(F.when(F.col("station") % 50 != 0, F.col("station")).alias("station"), channel.alias("channel"), F.explode(two).alias("s")).select("station", "channel", "s.*")
+    return x.select(F.lit("WY").alias("network"), "station", "channel", F.floor(F.col("starttime") / 86400).cast("long").alias("day"), "starttime", F.lit(100.0).alias("sampling_rate"), "npts")
+
+
+SEGMENTS100 = """p100 AS (SELECT event_id AS id, CASE WHEN user_id % 50 <> 0 THEN user_id END AS station, 'HH' || substr('ENZ', (event_id % 3 + 1)::INT, 1) AS channel, round(epoch_us(ts) / 1e6 * 100) / 100 AS s, floor(value * 6000 + 1)::BIGINT AS n FROM events),
+q100 AS (SELECT station, channel, s AS starttime, n AS npts FROM p100 UNION ALL SELECT station, channel, s + (n + id % 9) / 100, 500 + id % 100 FROM p100),
+segs100 AS (SELECT station, channel, floor(starttime / 86400)::BIGINT AS day, starttime, 100.0::DOUBLE AS sampling_rate, npts FROM q100)"""

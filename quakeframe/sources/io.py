@@ -26,9 +26,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again: what is used several times is made once, and a lost executor costs no earlier stage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_catalog(spark: SparkSession, path: str, phase: str | None = None, schema: str = ARRIVAL_COLUMNS) -> DataFrame:
-    """An arrival CSV with its types given; locations stay text, blank ones become empty; rows of one phase, by event and time."""
+    """An arrival CSV with its types given; locations stay text, blank ones become empty, NaN becomes null; rows of one phase, by event and time."""
     df = spark.read.schema(schema).csv(path, header=True)
+    df = df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c, kind in df.dtypes if kind == "double"})
     df = df.withColumn("location", F.coalesce(F.trim("location"), F.lit("")))
     df = df.filter(F.col("phase") == phase) if phase else df
     return df.orderBy("evid", "arrival_time")
