@@ -14,14 +14,13 @@ def let(value: Column, use) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    """Mean, null without values."""
+    return F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.size(x))
 
 
 def variance(x: Column) -> Column:
     """Population variance, by the mean of squares about the mean."""
-    state = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    merge = lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"))
-    return F.aggregate(x, state, merge, lambda a: F.greatest(F.lit(0.0), a["q"] / F.size(x) - (a["s"] / F.size(x)) * (a["s"] / F.size(x))))
+    return let(mean(x), lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x))
 
 
 def peak(x: Column) -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.operators.keys import join_on, number
 from quakeframe.operators.splits import ranked, shuffled
 
 
 def filter_quality(df: DataFrame, min_quality: float, col: str = "pick_quality") -> DataFrame:
-    """Rows of at least that quality; a limit of 0 or less keeps all."""
-    return df.filter(F.col(col) >= min_quality) if min_quality > 0 else df
+    """Rows of at least that quality, which those of null or NaN don't have; a limit of 0 or less keeps all."""
+    return df.filter(number(F.col(col)) >= min_quality) if min_quality > 0 else df
 
 
 def filter_first_motion(df: DataFrame, drop_down: bool = False, qualities: tuple[float, ...] = (0.5, 1.0)) -> DataFrame:
@@ -50,8 +51,8 @@ def separate_events(df: DataFrame, days: tuple[int, int], lat: tuple[float, floa
 
 
 def filter_candidates(df: DataFrame, qualities: list[float], max_km: float, min_magnitude: float) -> DataFrame:
-    """Candidates for two-event windows."""
-    return df.filter(F.col("pick_quality").isin(*qualities) & (F.col("source_receiver_distance") < max_km) & (F.col("magnitude") > min_magnitude))
+    """Candidates for two-event windows; no unknown (null, NaN) quality, distance or magnitude passes."""
+    return df.filter(number(F.col("pick_quality")).isin(*qualities) & (number(F.col("source_receiver_distance")) < max_km) & (number(F.col("magnitude")) > min_magnitude))
 
 
 def filter_distance(df: DataFrame, max_km: float) -> DataFrame:
@@ -100,17 +101,24 @@ def clamped_sigmoid(x: Column, low: float = -70.0, high: float = 70.0) -> Column
     return 1 / (1 + F.exp(-F.greatest(F.lit(low), F.least(F.lit(high), x))))
 
 
-def component_consistency(df: DataFrame, keys: list[str], dt: str = "dt") -> DataFrame:
-    """Keys whose three components agree: starts and ends within one sample, one length and one rate."""
-    g = df.groupBy(*keys).agg(
-        F.count_distinct("component").alias("n"),
-        (F.max("starttime") - F.min("starttime")).alias("ds"),
-        (F.max("endtime") - F.min("endtime")).alias("de"),
-        F.count_distinct("npts").alias("lengths"),
-        F.count_distinct("sampling_rate").alias("rates"),
-        F.max(dt).alias("dt"),
-    )
-    return g.filter((F.col("n") == 3) & (F.col("ds") <= F.col("dt")) & (F.col("de") <= F.col("dt")) & (F.col("lengths") == 1) & (F.col("rates") == 1)).select(*keys)
+#: Fixed channel codes of each component.
+CHANNELS = {"E": ("EHE", "EH1", "BHE", "BH1", "HHE", "HH1"), "N": ("EHN", "EH2", "BHN", "BH2", "HHN", "HH2"), "Z": ("EHZ", "BHZ", "HHZ")}
+
+
+def component_consistency(df: DataFrame, keys: list[str], rates: bool = True) -> DataFrame:
+    """Keys that have E, N and Z once each, on channels of CHANNELS, that agree: starts, and ends, of E and N and of N and Z less than one sample apart, one length, one rate.
+
+    `df` has component, channel, starttime, endtime, npts and dt (and sampling_rate). An unknown value agrees with nothing.
+    """
+    allowed = reduce(lambda a, b: a | b, [(F.col("component") == c) & F.col("channel").isin(*codes) for c, codes in CHANNELS.items()])
+    fields = ["starttime", "endtime", "npts", "dt", *(["sampling_rate"] if rates else [])]
+    own = F.struct(*[number(F.col(c)).alias(c) for c in fields])
+    of = {c: F.max(F.when(F.col("component") == c, own)).alias(c) for c in CHANNELS}
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.coalesce(allowed, F.lit(False)).cast("int")).alias("_allowed"), F.count_distinct("component").alias("_parts"), *of.values())
+    dt = F.col("N.dt")
+    near = [F.abs(F.col(f"{a}.{t}") - F.col(f"{b}.{t}")) < dt for a, b in (("E", "N"), ("N", "Z")) for t in ("starttime", "endtime")]
+    same = [(F.col(f"E.{c}") == F.col(f"N.{c}")) & (F.col(f"N.{c}") == F.col(f"Z.{c}")) for c in fields[2:] if c != "dt"]
+    return g.filter((F.col("_rows") == 3) & (F.col("_allowed") == 3) & (F.col("_parts") == 3)).filter(reduce(lambda a, b: a & b, near + same)).select(*keys)
 
 
 def combine_catalogs(parts: list[tuple[DataFrame, str]], columns: list[str]) -> DataFrame:
@@ -185,13 +193,13 @@ def assign_event_ids(df: DataFrame, lat: str = "event_lat", lon: str = "event_lo
 
 
 def match_distribution(target: DataFrame, pool: DataFrame, bin_col: str, n: int, key: str, seed: str) -> DataFrame:
-    """About n draws from `pool`, with replacement, whose bins follow those of `target`."""
-    share = normalised(target.groupBy(F.col(bin_col).alias("bin")).agg(F.count(F.lit(1)).alias("n"))).select(F.col("bin").alias("_bin"), F.round(F.lit(n) * F.col("share")).cast("int").alias("_draws"))
-    size = pool.groupBy(F.col(bin_col).alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
-    draws = share.join(size, F.col("_bin") == F.col("_b")).filter("_draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
-    draws = draws.withColumn("_rank", F.pmod(bucket32(F.concat_ws(":", F.lit(seed), "_bin", "draw")), F.col("_size")) + 1).select("_bin", "draw", "_rank")
+    """About n draws from `pool`, with replacement, whose bins follow those of `target`; rows without a bin are a bin of their own."""
+    share = normalised(target.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n"))).select(bin_col, F.round(F.lit(n) * F.col("share")).cast("int").alias("_draws"))
+    size = pool.groupBy(bin_col).agg(F.count(F.lit(1)).alias("_size"))
+    draws = join_on(share, size, [bin_col]).filter("_draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
+    draws = draws.withColumn("_r", F.pmod(bucket32(F.concat_ws(":", F.lit(seed), bin_col, "draw")), F.col("_size")) + 1).select(bin_col, "draw", "_r")
     r = ranked(pool, [shuffled(seed, F.col(key)), F.col(key)], [bin_col], "_r")
-    return r.join(draws, (r[bin_col] == draws["_bin"]) & (r["_r"] == draws["_rank"])).drop("_bin", "_rank", "_r")
+    return join_on(r, draws, [bin_col, "_r"]).drop("_r")
 
 
 def bucket32(key: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.operators.keys import join_on
 
 def remove_close_picks(df: DataFrame, min_sep: float, keys: list[str], time: str = "arrival_time", tie: str = "pick_id") -> DataFrame:
     """Rows with `is_close`: whether the pick before or after it at its station is nearer than min_sep. Both of a pair are close."""
@@ -99,23 +100,23 @@ def carry_over_tail(days: DataFrame, n: int, key: str = "station", order: str =
 
 
 def pick_ids(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """pick_id from 1 across groups in their order: rank in the group after the counts of the groups before it.
+    """pick_id from 1 across groups in their order (null first): rank in the group after the counts of the groups before it.
 
     Groups are counted within the values of their first column, and only those values (stations) in one task.
     """
     first, rest = group[0], group[1:] or group
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_within", F.sum("_n").over(W.partitionBy(first).orderBy(*rest)) - F.col("_n"))
-    totals = counts.groupBy(F.col(first).alias("_f")).agg(F.sum("_n").alias("_m"))
-    totals = totals.withColumn("_earlier", F.sum("_m").over(W.orderBy("_f")) - F.col("_m")).drop("_m")
-    counts = counts.join(totals, F.col(first) == F.col("_f")).withColumn("_before", F.col("_within") + F.col("_earlier")).drop("_f", "_within", "_earlier", "_n")
+    totals = counts.groupBy(first).agg(F.sum("_n").alias("_m"))
+    totals = totals.withColumn("_earlier", F.sum("_m").over(W.orderBy(first)) - F.col("_m")).drop("_m")
+    counts = join_on(counts, totals, [first]).withColumn("_before", F.col("_within") + F.col("_earlier")).drop("_within", "_earlier", "_n")
     inside = df.withColumn("_in", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    return inside.join(counts, group).withColumn("new_id", F.col("_before") + F.col("_in")).drop("_before", "_in")
+    return join_on(inside, counts, group).withColumn("new_id", F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
 def pick_rate(df: DataFrame) -> DataFrame:
-    """Picks of each station-day and phase, with totals of station-days and stations."""
-    return df.rollup("station", "day", "phase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("station").isNotNull())
+    """Picks of each station-day and phase, with totals of station-days and stations; picks of no station are one of their own, told from the grand total by its grouping."""
+    return df.rollup("station", "day", "phase").agg(F.count(F.lit(1)).alias("n"), F.grouping("station").alias("_all")).filter("_all = 0").drop("_all")
 
 
 def iso_time(seconds: Column) -> Column:

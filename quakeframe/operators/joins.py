@@ -129,11 +129,11 @@ def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float,
 def match_picks(estimated: DataFrame, actual: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Every actual pick with the closest estimated pick of its waveform nearer than `tolerance`; ties go to the earlier.
 
-    Residual is actual - estimated, null without a match. An actual pick given twice comes out twice.
+    Residual is actual - estimated, null without a match. An actual pick given twice comes out twice; null keys are keys like others.
     """
     actual = counted(actual)
     e = estimated.select(*[F.col(k).alias(f"_e{k}") for k in keys], "est")
-    on = [actual[k] == e[f"_e{k}"] for k in keys] + [F.abs(actual["act"] - e["est"]) < tolerance]
+    on = [actual[k].eqNullSafe(e[f"_e{k}"]) for k in keys] + [F.abs(actual["act"] - e["est"]) < tolerance]
     j = actual.join(e, on, "left").groupBy(*actual.columns).agg(F.min(F.when(F.col("est").isNotNull(), F.struct(F.abs(F.col("act") - F.col("est")).alias("d"), "est"))).alias("_m"))
     return repeated(j.select(*actual.columns, F.col("_m.est").alias("est"), (F.col("act") - F.col("_m.est")).alias("residual")))
 

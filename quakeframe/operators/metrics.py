@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeframe.operators.catalog import bucket
+from quakeframe.operators.keys import join_on, number
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -19,10 +20,32 @@ def at_tolerances(df: DataFrame, tolerances: list[float]) -> DataFrame:
     return df.withColumn("tolerance", F.explode(F.array(*map(F.lit, tolerances))))
 
 
-def confusion_sums(predicted: Column, true: Column, tail: str = "", where: Column | None = None) -> list[Column]:
-    """tp, tn, fp and fn over the rows of `where`, names ending in `tail`."""
+def counted_by_place(df: DataFrame, tolerances: list[float], keys: list[str], residuals: bool) -> DataFrame:
+    """Windows counted (_n) by keys, _place (how many of the tolerances the probability exceeds), _t (whether they hold a pick) and, of those that are found at some tolerance, residual _r.
+
+    That is all metrics at all tolerances need, so the input is read and shuffled once, as counts, whatever the number of
+    tolerances. A probability of null or NaN exceeds none.
+    """
+    p = number(F.col("proba"))
+    place = sum((F.coalesce(p > t, F.lit(False)).cast("int") for t in tolerances), F.lit(0))
+    t = F.coalesce(F.col("true_index") >= 0, F.lit(False))
+    d = df.withColumns({"_place": place, "_t": t})
+    if residuals:
+        d = d.withColumn("_r", F.when(t & (F.col("_place") > 0), F.col("true_index") - F.col("est_index")))
+    return d.groupBy(*keys, "_place", "_t", *(["_r"] if residuals else [])).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def passed(counts: DataFrame, tolerances: list[float]) -> DataFrame:
+    """Counts with each tolerance and _p, whether it is exceeded. Counts are few, so this is no longer in proportion to the rows."""
+    steps = F.array(*[F.struct(F.lit(t).alias("tolerance"), F.lit(k).alias("_k")) for k, t in enumerate(sorted(tolerances))])
+    return counts.withColumn("_step", F.explode(steps)).select("*", "_step.tolerance", (F.col("_place") > F.col("_step._k")).alias("_p")).drop("_step")
+
+
+def confusion_sums(predicted: Column, true: Column, tail: str = "", where: Column | None = None, n: Column | None = None) -> list[Column]:
+    """tp, tn, fp and fn over the rows of `where`, which count for `n` each, names ending in `tail`."""
     inside = F.lit(True) if where is None else where
-    return [F.sum((inside & p & t).cast("long")).alias(name + tail) for name, p, t in (("tp", predicted, true), ("tn", ~predicted, ~true), ("fp", predicted, ~true), ("fn", ~predicted, true))]
+    n = F.lit(1).cast("long") if n is None else n
+    return [F.coalesce(F.sum(F.when(inside & p & t, n)), F.lit(0)).alias(name + tail) for name, p, t in (("tp", predicted, true), ("tn", ~predicted, ~true), ("fp", predicted, ~true), ("fn", ~predicted, true))]
 
 
 def rates(tail: str = "", head: str = "") -> dict[str, Column]:
@@ -35,8 +58,8 @@ def rates(tail: str = "", head: str = "") -> dict[str, Column]:
 STRATA = ("ceq", "heq", "cbl", "noise")
 
 
-def _strata(predicted: Column, true: Column, stratum: str | None) -> list[Column]:
-    return [c for s in STRATA for c in confusion_sums(predicted, true, f"_{s}", F.col(stratum) == s)] if stratum else []
+def _strata(predicted: Column, true: Column, stratum: str | None, n: Column | None = None) -> list[Column]:
+    return [c for s in STRATA for c in confusion_sums(predicted, true, f"_{s}", F.col(stratum) == s, n)] if stratum else []
 
 
 def _strata_rates(stratum: str | None) -> dict[str, Column]:
@@ -54,28 +77,53 @@ def detector_metrics(df: DataFrame, tolerances: list[float], keys: list[str], st
     found true picks, plain and inside the fences at 1.5 quartile distances (0 without any). With the name of a column that
     holds the classes of STRATA also accuracy, precision and recall of each of them.
     """
-    d = at_tolerances(df, tolerances).withColumns({"_p": F.col("proba") > F.col("tolerance"), "_t": F.col("true_index") >= 0})
-    p, t = F.col("_p"), F.col("_t")
-    d = d.withColumn("_r", F.when(p & t, F.col("true_index") - F.col("est_index")))
-    plain = [F.round(F.coalesce(F.avg("_r"), F.lit(0.0)), 6).alias("residual_mean"), F.round(F.coalesce(F.stddev_pop("_r"), F.lit(0.0)), 6).alias("residual_std")]
-    g = d.groupBy(*keys, "tolerance").agg(*confusion_sums(p, t), *plain, *_strata(p, t, stratum))
+    d = passed(counted_by_place(df, tolerances, [*keys, *([stratum] if stratum else [])], True), tolerances)
+    p, t, n = F.col("_p"), F.col("_t"), F.col("_n")
+    r = F.when(p & t, F.col("_r"))
+    g = d.groupBy(*keys, "tolerance").agg(*confusion_sums(p, t, n=n), *_strata(p, t, stratum, n), *_spread(r, n))
     g = g.withColumns({"n_picks": F.col("tp") + F.col("fn"), "n_picked": F.col("tp"), **rates(), **_strata_rates(stratum)})
-    return _with_trimmed(g, d, [*keys, "tolerance"], "_r").drop(*[f"{c}_{s}" for c in ("tp", "tn", "fp", "fn") for s in STRATA])
+    return _with_residuals(g).drop(*[f"{c}_{s}" for c in ("tp", "tn", "fp", "fn") for s in STRATA])
+
+
+def _spread(value: Column, n: Column) -> list[Column]:
+    """A group's values with their counts and their quartiles; for values of a bounded number, such as differences of places in a window."""
+    listed = F.collect_list(F.when(value.isNotNull(), F.struct(value.alias("v"), n.alias("n")))).alias("_values")
+    return [listed, F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)), F.when(value.isNotNull(), n).otherwise(0)).alias("_q")]
+
+
+def _moments(values: Column, about: Column) -> Column:
+    """n, mean and population variance of values with counts: the squares are those of differences from the mean."""
+    from quakeframe.functions.arrays import let
 
+    total = lambda part: F.aggregate(values, F.lit(0.0), lambda a, x: a + x["n"] * part(x["v"] - about))
+    n = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    both = F.struct(n.alias("n"), F.try_divide(total(lambda v: v), n).alias("m"))
+    return let(both, lambda b: F.struct(b["n"].alias("n"), (about + b["m"]).alias("mean"), (total(lambda v: (v - b["m"]) * (v - b["m"])) / b["n"]).alias("var")))
 
-def _with_trimmed(g: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Groups with the mean and std of a value of `rows`, a residual in samples of a window, inside its fences."""
-    f = fence_stats(rows, keys, value, 1.5, few=True)
-    f = f.select(*[F.col(k).alias(f"_f{k}") for k in keys], F.col("fence_mean").alias("_m"), F.col("fence_std").alias("_s"))
-    j = g.join(f, [g[k] == f[f"_f{k}"] for k in keys], "left")
-    trimmed = {"trimmed_residual_mean": F.coalesce("_m", F.lit(0.0)), "trimmed_residual_std": F.coalesce("_s", F.lit(0.0))}
-    return j.withColumns(trimmed).drop(*[f"_f{k}" for k in keys], "_m", "_s")
+
+def _fenced(values: Column, q: Column, k: float) -> Column:
+    """The values strictly inside [q1 - k iqr, q3 + k iqr]."""
+    iqr = q[1] - q[0]
+    return F.filter(values, lambda x: (x["v"] > q[0] - k * iqr) & (x["v"] < q[1] + k * iqr))
+
+
+def _shown(m: Column, part: str) -> Column:
+    return F.when(m["n"] > 0, F.round(F.sqrt(m["var"]) if part == "std" else m["mean"], 6)).otherwise(0.0)
+
+
+def _with_residuals(g: DataFrame, k: float = 1.5) -> DataFrame:
+    """Groups of `_spread` with mean and std of their residuals, plain and inside the fences; 0 without any."""
+    about = F.coalesce(F.col("_q")[0], F.lit(0.0))
+    g = g.withColumns({"_plain": _moments(F.col("_values"), about), "_inner": _moments(_fenced(F.col("_values"), F.col("_q"), k), about)})
+    shown = {f"{head}residual_{part}": _shown(F.col(c), part) for head, c in (("", "_plain"), ("trimmed_", "_inner")) for part in ("mean", "std")}
+    return g.withColumns(shown).drop("_values", "_q", "_plain", "_inner")
 
 
 def by_stratum(df: DataFrame, tolerances: list[float]) -> DataFrame:
-    """Hits, accuracy, precision and recall of each stratum and of all, in one pass over the rows."""
-    d = at_tolerances(df, tolerances).withColumns({"_p": F.col("proba") > F.col("tolerance"), "_t": F.col("true_index") >= 0})
-    sums = [*confusion_sums(F.col("_p"), F.col("_t")), F.count(F.lit(1)).alias("n"), F.grouping("stratum").alias("_all")]
+    """Hits, accuracy, precision and recall of each stratum and of all, from one count of the rows."""
+    d = passed(counted_by_place(df, tolerances, ["epoch", "stratum"], False), tolerances)
+    n = F.col("_n")
+    sums = [*confusion_sums(F.col("_p"), F.col("_t"), n=n), F.sum(n).alias("n"), F.grouping("stratum").alias("_all")]
     g = d.groupingSets([["epoch", "tolerance", "stratum"], ["epoch", "tolerance"]], "epoch", "tolerance", "stratum").agg(*sums)
     g = g.withColumns({"stratum": F.when(F.col("_all") == 1, "all").otherwise(F.col("stratum")), "hits": F.col("tp") + F.col("tn"), **rates()})
     return g.select("epoch", "tolerance", "stratum", "hits", "n", "accuracy", "precision", "recall")
@@ -93,14 +141,14 @@ def exact_quantiles(counts: DataFrame, keys: list[str], value: str, n: str, prob
     """
     marks = [k / RANGES for k in range(1, RANGES)]
     cuts = counts.groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx(value, marks, 4 * RANGES).alias("_xcuts"), F.sum(n).alias("_xall"))
-    d = counts.join(cuts, [counts[k] == cuts[f"_c{k}"] for k in keys]).drop(*[f"_c{k}" for k in keys])
+    d = counts.join(cuts, [counts[k].eqNullSafe(cuts[f"_c{k}"]) for k in keys]).drop(*[f"_c{k}" for k in keys])
     d = d.withColumn("_xrange", F.size(F.filter("_xcuts", lambda x: x < F.col(value)))).drop("_xcuts")
     sums = d.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys], F.col("_xrange").alias("_xr")).agg(F.sum(n).alias("_xm"), F.max("_xall").alias("_xa"))
     sums = sums.withColumn("_xbefore", F.sum("_xm").over(W.partitionBy(*[f"_s{k}" for k in keys]).orderBy("_xr")) - F.col("_xm"))
     places = [p * (F.col("_xa") - 1) for p in probabilities]
     wanted = F.array_distinct(F.array(*[f(x).cast("long") for x in places for f in (F.floor, F.ceil)]))
     sums = sums.withColumn("_xwanted", F.filter(wanted, lambda r: (r >= F.col("_xbefore")) & (r < F.col("_xbefore") + F.col("_xm")))).filter(F.size("_xwanted") > 0)
-    some = d.join(sums, [d[k] == sums[f"_s{k}"] for k in keys] + [d["_xrange"] == sums["_xr"]])
+    some = d.join(sums, [d[k].eqNullSafe(sums[f"_s{k}"]) for k in keys] + [d["_xrange"] == sums["_xr"]])
     some = some.withColumn("_xto", F.col("_xbefore") + F.sum(n).over(W.partitionBy(*keys, "_xrange").orderBy(value)))
     hits = some.withColumn("_xrank", F.explode(F.filter("_xwanted", lambda r: (r >= F.col("_xto") - F.col(n)) & (r < F.col("_xto")))))
     g = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_xrank"), F.col(value).cast("double").alias("v")))).alias("_xv"), F.max("_xa").alias("_xa"))
@@ -115,23 +163,28 @@ def fence_stats(df: DataFrame, keys: list[str], value: str, k: float, few: bool
     Values are counted first, so a group costs as many rows as it has distinct values. With `few`, for values of a bounded
     number such as differences of places in a window, quantiles are taken from a group's counts in one buffer.
     """
-    c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(value).isNotNull())
-    quartiles = [0.25, 0.75]
-    q = c.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, quartiles)), F.col("_n")).alias("_q")) if few else exact_quantiles(c, keys, value, "_n", quartiles)
-    j = c.join(q, keys)
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    inside = j.withColumn("_w", F.when((F.col(value) > F.col("_q")[0] - k * iqr) & (F.col(value) < F.col("_q")[1] + k * iqr), F.col("_n")).otherwise(0))
-    v, w = F.col(value), F.col("_w")
-    g = inside.groupBy(*keys).agg(F.sum(w).alias("n_inside"), F.sum(w * v).alias("_s"), F.sum(w * v * v).alias("_ss"))
-    mean = F.when(F.col("n_inside") > 0, F.col("_s") / F.col("n_inside")).otherwise(0.0)
-    var = F.when(F.col("n_inside") > 0, F.col("_ss") / F.col("n_inside") - mean * mean).otherwise(0.0)
+    c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).filter(number(F.col(value)).isNotNull())
+    if few:
+        g = c.groupBy(*keys).agg(*_spread(F.col(value), F.col("_n")))
+        g = g.withColumn("_m", _moments(_fenced(F.col("_values"), F.col("_q"), k), F.col("_q")[0]))
+        return g.select(*keys, F.col("_m.n").alias("n_inside"), _shown(F.col("_m"), "mean").alias("fence_mean"), _shown(F.col("_m"), "std").alias("fence_std"))
+    j = join_on(c, exact_quantiles(c, keys, value, "_n", [0.25, 0.75]), keys)
+    q1, iqr = F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0]
+    w = F.when((F.col(value) > q1 - k * iqr) & (F.col(value) < F.col("_q")[1] + k * iqr), F.col("_n")).otherwise(0)
+    # What is inside lies within some quartile distances of the first quartile, so sums about that lose nothing.
+    v = F.col(value) - q1
+    g = j.groupBy(*keys).agg(F.sum(w).alias("n_inside"), F.sum(w * v).alias("_s"), F.sum(w * v * v).alias("_ss"), F.first(q1).alias("_q1"))
+    some, m = F.col("n_inside") > 0, F.col("_s") / F.col("n_inside")
+    mean = F.when(some, F.col("_q1") + m).otherwise(0.0)
+    var = F.when(some, F.col("_ss") / F.col("n_inside") - m * m).otherwise(0.0)
     return g.select(*keys, "n_inside", F.round(mean, 6).alias("fence_mean"), F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 6).alias("fence_std"))
 
 
 def residual_summary(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
-    """Plain and fenced mean and std of a residual."""
-    g = df.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
-    return g.join(fence_stats(df, keys, value, k), keys)
+    """Plain and fenced mean and std of a residual; groups without one have none."""
+    g = df.withColumn(value, number(F.col(value))).groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
+    j = join_on(g, fence_stats(df, keys, value, k), keys, "left")
+    return j.withColumns({"n_inside": F.coalesce("n_inside", F.lit(0)), "fence_mean": F.coalesce("fence_mean", F.lit(0.0)), "fence_std": F.coalesce("fence_std", F.lit(0.0))})
 
 
 def first_motion_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,7 +236,7 @@ def mew_metrics(est: DataFrame, windows: DataFrame, tolerances: list[float], nea
     w = counted(windows.select(*own))
     j = w.join(e, (w["epoch"] == e["_e"]) & (w["waveform_id"] == e["_w"]), "left")
     j = repeated(j.groupBy(*own, "_copies").agg(F.collect_list("_pick").alias("_picks")))  # the picks of one window
-    d = at_tolerances(j, tolerances).withColumn("_picks", F.filter("_picks", lambda p: p["proba"] > F.col("tolerance")))
+    d = at_tolerances(j, tolerances).withColumn("_picks", F.filter("_picks", lambda p: number(p["proba"]) > F.col("tolerance")))
 
     def found(a: str) -> Column:
         near_ones = F.filter("_picks", lambda p: F.abs(F.col(a) - p["est"]) < near)
@@ -200,34 +253,53 @@ def mew_metrics(est: DataFrame, windows: DataFrame, tolerances: list[float], nea
     rows = F.when(two, rows).otherwise(F.filter(rows, lambda x: x["picks"] != "second"))
     d = d.withColumns({"_spare": spare, "_any": F.when(signal & (n > 0), given).otherwise(0)}).withColumn("_k", F.explode(rows)).select("*", "_k.*")
     p, t = F.col("_p"), F.col("_t")
-    total = lambda part: F.sum(F.aggregate("_rs", F.lit(0).cast("double"), part))
-    sums = [*confusion_sums(p, t), F.sum("_spare").alias("_fp"), F.sum("_given").alias("n_picks"), F.sum(F.size("_rs")).alias("_found"), F.sum("_any").alias("_any"), total(lambda a, x: a + x).alias("_s"), total(lambda a, x: a + x * x).alias("_ss")]
+    # Windows that agree in all that is counted are counted first; their residuals, at most two, stay with them.
     keys = ["epoch", "tolerance", "picks"]
-    g = d.groupBy(*keys).agg(*sums, *_strata(p, t, stratum))
+    d = d.groupBy(*keys, "_p", "_t", "_rs", *([stratum] if stratum else [])).agg(F.count(F.lit(1)).alias("_w"), F.sum("_spare").alias("_spare"), F.sum("_given").alias("_given"), F.sum("_any").alias("_any"))
+    w = F.col("_w")
+    pairs = F.transform("_rs", lambda x: F.struct(x.alias("v"), w.alias("n")))
+    sums = [*confusion_sums(p, t, n=w), F.sum("_spare").alias("_fp"), F.sum("_given").alias("n_picks"), F.sum(w * F.size("_rs")).alias("_found"), F.sum("_any").alias("_any"), F.flatten(F.collect_list(pairs)).alias("_values")]
+    g = d.groupBy(*keys).agg(*sums, *_strata(p, t, stratum, w))
     g = g.withColumnRenamed("fp", "fp_notused").withColumnRenamed("_fp", "fp")
-    mean = F.when(F.col("_found") > 0, F.col("_s") / F.col("_found")).otherwise(0.0)
-    var = F.when(F.col("_found") > 0, F.col("_ss") / F.col("_found") - mean * mean).otherwise(0.0)
     picked = F.when(F.col("picks") == "first", F.col("_any")).otherwise(F.col("_found")) if stratum else F.col("_found")
     of_first = {name: F.when(F.col("picks") == "first", rate) for name, rate in _strata_rates(stratum).items()}
-    g = g.withColumns({"n_picked": picked, "residual_mean": F.round(mean, 6), "residual_std": F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 6), **rates(), **of_first})
-    g = g.drop("_found", "_any", "_s", "_ss", *[f"{c}_{s}" for c in ("tp", "tn", "fp", "fn") for s in STRATA])
-    return _with_trimmed(g, d.select(*keys, F.explode("_rs").alias("_r")), keys, "_r")
+    g = g.withColumns({"n_picked": picked, **rates(), **of_first, "_q": _quartiles(F.col("_values"))})
+    return _with_residuals(g).drop("_found", "_any", *[f"{c}_{s}" for c in ("tp", "tn", "fp", "fn") for s in STRATA])
+
+
+def _quartiles(values: Column) -> Column:
+    """Interpolated quartiles of values with counts."""
+    from quakeframe.functions.arrays import let
+
+    def at(s: Column, n: Column, q: float) -> Column:
+        place = (n - 1) * q
+        # The value at a rank is the first whose running count exceeds it.
+        ranked = lambda rank: F.aggregate(s, F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(a["v"].isNull() & (a["c"] + x["n"] > rank), x["v"].cast("double")).otherwise(a["v"]).alias("v")))["v"]
+        low = ranked(F.floor(place))
+        return low + (place - F.floor(place)) * (ranked(F.ceil(place)) - low)
+
+    def both(s: Column) -> Column:
+        n = F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.array(at(s, n, 0.25), at(s, n, 0.75))
+
+    return let(F.array_sort(values), both)
 
 
 def pick_jaccard(est: DataFrame, act: DataFrame, keys: list[str], near: int) -> DataFrame:
     """matched / (estimated + actual - matched) of each waveform, where matched counts the actual picks that have an estimated one nearer than `near`; 1 if it has neither."""
     from quakeframe.operators.joins import match_picks
 
-    m = match_picks(est, act, keys, near).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_act"), F.count("est").alias("matched"))
-    n = est.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_est"))
-    j = m.join(n, keys, "full").na.fill(0, ["n_act", "matched", "n_est"])
+    none = F.lit(0).cast("long")
+    m = match_picks(est, act, keys, near).select(*keys, F.lit(1).cast("long").alias("n_act"), F.col("est").isNotNull().cast("long").alias("matched"), none.alias("n_est"))
+    n = est.select(*keys, none.alias("n_act"), none.alias("matched"), F.lit(1).cast("long").alias("n_est"))
+    j = m.unionByName(n).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_est", "n_act", "matched")])
     either = F.col("n_est") + F.col("n_act") - F.col("matched")
     return j.select(*keys, "n_est", "n_act", "matched", ratio(F.col("matched"), either, 1.0).alias("jaccard"))
 
 
 def pick_jaccard_at(est: DataFrame, act: DataFrame, tolerances: list[float], keys: list[str], near: int) -> DataFrame:
     """`pick_jaccard` at each tolerance, over the estimated picks (with `proba`) above it."""
-    some = at_tolerances(est, tolerances).filter(F.col("proba") > F.col("tolerance")).drop("proba")
+    some = at_tolerances(est, tolerances).filter(number(F.col("proba")) > F.col("tolerance")).drop("proba")
     return pick_jaccard(some, at_tolerances(act, tolerances), [*keys, "tolerance"], near)
 
 
@@ -238,8 +310,7 @@ def jaccard_summary(df: DataFrame, keys: list[str], value: str = "jaccard", name
     one = low == high
     a, b = F.when(one, low - 0.5).otherwise(low), F.when(one, high + 0.5).otherwise(high)
     g = g.withColumn("_edges", F.array(*[a + (b - a) / 10 * k for k in range(1, 10)]))
-    j = df.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col(value).alias("_v"))
-    j = j.join(g, [j[f"_g{k}"] == g[k] for k in keys]).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))))
+    j = join_on(df.select(*keys, F.col(value).alias("_v")), g, keys).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))))
     stats = [f"{name}_mean", f"{name}_min", f"{name}_max"]
     dist = F.array(*[F.count(F.when(F.col("_bin") == k, 1)) for k in range(10)]).alias(f"{name}_dist")
     return j.groupBy(*keys, *stats).agg(dist)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.operators.keys import join_on
+
 
 def shuffled(seed: str, key: Column) -> Column:
     """Sort key of a reproducible shuffle."""
@@ -16,7 +18,7 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name
     """Global (or per `by`) row numbers without one task for all rows.
 
     The first 3 hex digits of the leading md5 key are ranges: ranks inside a range plus
-    the counts of the ranges before it.
+    the counts of the ranges before it. A `by` of null is a group like others.
     """
     by = by or []
     df = df.withColumn("_k", order[0]).withColumn("_range", F.substring("_k", 1, 3))
@@ -25,7 +27,7 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name
     counts = df.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return df.join(counts, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_k", "_range", "_in", "_before")
+    return join_on(df, counts, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_k", "_range", "_in", "_before")
 
 
 def event_split(df: DataFrame, key: str, train: float, validation: float, test: float, seed: str) -> DataFrame:
