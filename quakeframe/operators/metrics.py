@@ -98,7 +98,7 @@ def _moments(values: Column, about: Column) -> Column:
     total = lambda part: F.aggregate(values, F.lit(0.0), lambda a, x: a + x["n"] * part(x["v"] - about))
     n = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     both = F.struct(n.alias("n"), F.try_divide(total(lambda v: v), n).alias("m"))
-    return let(both, lambda b: F.struct(b["n"].alias("n"), (about + b["m"]).alias("mean"), (total(lambda v: (v - b["m"]) * (v - b["m"])) / b["n"]).alias("var")))
+    return let(both, lambda b: F.struct(b["n"].alias("n"), (about + b["m"]).alias("mean"), F.try_divide(total(lambda v: (v - b["m"]) * (v - b["m"])), b["n"]).alias("var")))
 
 
 def _fenced(values: Column, q: Column, k: float) -> Column:
