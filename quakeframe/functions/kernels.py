@@ -69,18 +69,68 @@ def bandpass_sections(low: float, high: float, rate: float, order: int) -> np.nd
     return out
 
 
+#: Samples that one block of the recursion takes at once.
+BLOCK = 256
+
+
+def _state_space(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The cascade as z' = a z + b v, y = c z + d v, with two states for each section."""
+    a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for b0, b1, b2, _, a1, a2 in sections:
+        own_a, own_b = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        n = len(a)
+        joined = np.zeros((n + 2, n + 2))
+        joined[:n, :n], joined[n:, n:], joined[n:, :n] = a, own_a, np.outer(own_b, c)
+        a, b = joined, np.concatenate([b, own_b * d])
+        c, d = np.concatenate([b0 * c, [1.0, 0.0]]), b0 * d
+    return a, b, c, d
+
+
+def sections_run(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Causal recursion of second-order sections over the last axis of x, and the state after it, which goes on as the `state` of what follows.
+
+    Blocks of samples are answered by matrix products: each by its own samples through the impulse response and by the
+    state before it. The states between blocks are a scan with powers of the block's transition, in as many steps as the
+    binary logarithm of the number of blocks; so nothing steps from sample to sample.
+    """
+    a, b, c, d = _state_space(sections)
+    rows, n, k = x.shape[:-1], x.shape[-1], len(a)
+    flat = np.asarray(x, float).reshape(int(np.prod(rows)), n)
+    z = np.zeros((len(flat), k)) if state is None else np.asarray(state, float).reshape(len(flat), k)
+    size = min(BLOCK, n) or 1
+    powers = [np.eye(k)]
+    for _ in range(size):
+        powers.append(a @ powers[-1])
+    response = np.array([d, *[c @ p @ b for p in powers[: size - 1]]])
+    lags = np.arange(size)[:, None] - np.arange(size)[None, :]
+    own = np.where(lags >= 0, response[np.maximum(lags, 0)], 0.0)  # samples to samples
+    shown = np.array([c @ p for p in powers[:size]])  # state before to samples
+    kept = np.array([powers[size - 1 - t] @ b for t in range(size)])  # samples to state after
+    whole = n // size
+    v = flat[:, : whole * size].reshape(len(flat), whole, size)
+    states = np.concatenate([z[:, None], v @ kept], axis=1)  # what each block adds, after the state before all
+    step, m = 1, powers[size]
+    while step <= whole and np.abs(m).max() > 0:
+        states[:, step:] += states[:, :-step] @ m.T
+        step, m = 2 * step, m @ m
+    y = np.empty_like(flat)
+    y[:, : whole * size] = (v @ own.T + states[:, :-1] @ shown.T).reshape(len(flat), -1)
+    last, rest = states[:, -1], flat[:, whole * size :]
+    r = rest.shape[1]
+    if r:
+        y[:, whole * size :] = rest @ own[:r, :r].T + last @ shown[:r].T
+        last = last @ powers[r].T + rest @ kept[size - r :]
+    return y.reshape(x.shape), last.reshape(*rows, k)
+
+
 def sections_applied(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Causal recursion of second-order sections over the last axis of x, all rows at once."""
-    y = np.array(x, float)
-    for b0, b1, b2, _, a1, a2 in sections:
-        z1, z2 = np.zeros(y.shape[:-1]), np.zeros(y.shape[:-1])
-        for t in range(y.shape[-1]):
-            v = y[..., t]
-            o = b0 * v + z1
-            z1 = b1 * v - a1 * o + z2
-            z2 = b2 * v - a2 * o
-            y[..., t] = o
-    return y
+    return sections_run(sections, x)[0]
+
+
+def transition(sections: np.ndarray, n: int) -> np.ndarray:
+    """What becomes of a state in n samples of silence."""
+    return np.linalg.matrix_power(_state_space(sections)[0], n)
 
 
 def detrended(x: np.ndarray) -> np.ndarray:
@@ -90,10 +140,56 @@ def detrended(x: np.ndarray) -> np.ndarray:
     return x - x.mean(-1, keepdims=True) - slope * t
 
 
+def taper_weights(total: int, first: int, n: int, share: float = 0.01) -> np.ndarray:
+    """Weights of n samples from `first` on, of a series of `total` samples with cosine slopes over that share of it at both ends."""
+    m = max(1, int(total * share))
+    at = np.arange(first, first + n)
+    w = np.where(at < m, 0.5 * (1 - np.cos(np.pi * at / m)), 1.0)
+    back = total - 1 - at
+    return np.where(back < m, 0.5 * (1 - np.cos(np.pi * back / m)), w)
+
+
 def tapered(x: np.ndarray, share: float = 0.01) -> np.ndarray:
     """x with cosine slopes over that share of its length at both ends."""
-    n = max(1, int(x.shape[-1] * share))
-    w = np.ones(x.shape[-1])
-    slope = 0.5 * (1 - np.cos(np.pi * np.arange(n) / n))
-    w[:n], w[-n:] = slope, slope[::-1]
-    return x * w
+    return x * taper_weights(x.shape[-1], 0, x.shape[-1], share)
+
+
+def parted(p: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A piece of a series before its first and after its last sample under `low`, and whether it has one. No pick crosses such a sample, so what lies between is independent of what comes before and after the piece."""
+    at = np.flatnonzero(p < low)
+    return (p[: at[0]], p[at[-1] + 1 :], True) if len(at) else (p, p[:0], False)
+
+
+def joined_picks(pieces: list[tuple[int, np.ndarray, np.ndarray, bool]], threshold: float, drop: float) -> list[tuple[int, int, float]]:
+    """The picks that `parted` left open: in the samples between the last low one of a piece and the first one of a later piece. Pieces (size, head, tail, has a low sample) in order."""
+    out: list[tuple[int, int, float]] = []
+    held: list[np.ndarray] = []
+    start = at = 0
+    for n, head, tail, low in pieces:
+        if low:
+            out += [(start + i, w, q) for i, w, q in extract(np.concatenate([*held, head, [-np.inf]]), threshold, drop)]
+            held, start = [tail], at + n - len(tail)
+        else:
+            held.append(head)
+        at += n
+    return out + [(start + i, w, q) for i, w, q in extract(np.concatenate([np.zeros(0), *held]), threshold, drop)]
+
+
+def window_ratio(x: np.ndarray, short: int, long: int) -> np.ndarray:
+    """Short over long trailing mean of squares along the last axis; NaN until the long window is full and where it is silent."""
+    total = np.cumsum(np.concatenate([np.zeros((*x.shape[:-1], 1)), np.square(np.asarray(x, float))], axis=-1), axis=-1)
+    out = np.full(x.shape, np.nan)
+    if x.shape[-1] >= long:
+        over = lambda n: (total[..., long:] - total[..., long - n : total.shape[-1] - n]) / n
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[..., long - 1 :] = np.where(over(long) > 0, over(short) / over(long), np.nan)
+    return out
+
+
+def triggers(ratio: np.ndarray, on: float, off: float) -> list[tuple[int, int]]:
+    """(begin, end): from the first ratio of at least `on` to the last one before it falls under `off`."""
+    high = np.concatenate([[0], (np.nan_to_num(ratio, nan=-np.inf) >= off).astype(np.int8), [0]])
+    begins, ends = np.flatnonzero(np.diff(high) == 1), np.flatnonzero(np.diff(high) == -1)
+    firsts = np.flatnonzero(np.nan_to_num(ratio, nan=-np.inf) >= on)
+    at = np.searchsorted(firsts, begins)
+    return [(int(firsts[k]), int(e) - 1) for k, e in zip(at, ends, strict=True) if k < len(firsts) and firsts[k] < e]

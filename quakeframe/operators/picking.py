@@ -6,24 +6,80 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeframe.functions import arrays, kernels
+from quakeframe.operators.keys import join_on
 
 PICKS = "array<struct<index: int, width: int, probability: double>>"
 
 
+def _pick_column(found: list[list[tuple[int, int, float]]]) -> pa.Array:
+    """Picks of each series as an Arrow array of structs."""
+    flat = [k for f in found for k in f]
+    index, width, probability = zip(*flat, strict=True) if flat else ((), (), ())
+    fields = [pa.array(index, pa.int32()), pa.array(width, pa.int32()), pa.array(probability, pa.float64())]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays(fields, ["index", "width", "probability"]))
+
+
+def _series(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The rows of a list column as arrays, without a copy of each value."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = column.values.to_numpy(zero_copy_only=False)
+    for k, (a, b) in enumerate(zip(column.offsets.to_numpy(), column.offsets.to_numpy()[1:], strict=False)):
+        yield values[a:b].astype(float) if column[k].is_valid else None
+
+
 def extract_picks(df: DataFrame, p: str, threshold: float, drop: float = 0.05) -> DataFrame:
-    """Rows with `picks` of their probability series, one Arrow batch of series at a time."""
+    """Rows with `picks` of their probability series, one Arrow batch of series at a time; none of a null series."""
 
-    @F.pandas_udf(PICKS)
-    def picks(series: pd.Series) -> pd.Series:
-        return series.map(lambda v: [{"index": i, "width": w, "probability": q} for i, w, q in kernels.extract(np.asarray(v, float), threshold, drop)] if v is not None else [])
+    @F.arrow_udf(PICKS)
+    def picks(series: pa.Array) -> pa.Array:
+        return _pick_column([kernels.extract(v, threshold, drop) if v is not None else [] for v in _series(series)])
 
     return df.withColumn("picks", picks(F.col(p)))
 
 
+def extract_picks_chunks(df: DataFrame, keys: list[str], order: str, p: str, threshold: float, drop: float = 0.05) -> DataFrame:
+    """keys and `picks` of series that lie in chunks, in the order of `order`: those of the whole series, however it is cut.
+
+    No pick crosses a sample under threshold - drop. So a chunk's picks between its first and its last such sample are
+    found where the chunk lies; only they and the samples before and after go on, which are few where the probability is low.
+    What is open between two chunks is closed when the pieces of a series meet in order.
+    """
+    low = threshold - drop
+
+    @F.arrow_udf(f"struct<n: long, head: array<double>, tail: array<double>, low: boolean, picks: {PICKS}>")
+    def parts(series: pa.Array) -> pa.Array:
+        rows, found = [], []
+        for v in _series(series):
+            v = np.zeros(0) if v is None else v
+            head, tail, has = kernels.parted(v, low)
+            inner = kernels.extract(v[len(head) : len(v) - len(tail)], threshold, drop) if has else []
+            found.append([(i + len(head), w, q) for i, w, q in inner])
+            rows.append((len(v), head, tail, has))
+        n, heads, tails, lows = zip(*rows, strict=True) if rows else ((), (), (), ())
+        lists = lambda x: pa.array([h.tolist() for h in x], pa.list_(pa.float64()))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), lists(heads), lists(tails), pa.array(lows, pa.bool_()), _pick_column(found)], ["n", "head", "tail", "low", "picks"])
+
+    fields = df.select(*keys).schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        before = np.cumsum([0, *pdf["n"]])
+        found = [(int(at + k["index"]), k["width"], k["probability"]) for at, own in zip(before, pdf["picks"], strict=False) for k in own]
+        found += kernels.joined_picks([(n, np.asarray(h, float), np.asarray(t, float), bool(has)) for n, h, t, has in zip(pdf["n"], pdf["head"], pdf["tail"], pdf["low"], strict=True)], threshold, drop)
+        picks = [{"index": i, "width": int(w), "probability": q} for i, w, q in sorted(found)]
+        return pd.DataFrame([{**{k: pdf.iloc[0][k] for k in keys}, "picks": picks}])
+
+    slim = df.select(*keys, order, parts(F.col(p)).alias("_c")).select(*keys, order, "_c.*")
+    return slim.groupBy(*keys).applyInPandas(close, f"{ddl}, picks {PICKS}")
+
+
 def sliding_windows(df: DataFrame, x: str, window: int, slide: int) -> DataFrame:
     """One row per whole window: window_id, start and its samples."""
     starts = arrays.window_starts(F.size(x), window, slide)
@@ -87,9 +143,16 @@ def score_picks(df: DataFrame, x: str, make_scorer: Callable[[], Scorer], draws:
     return df.withColumn(out, score(F.col(x)))
 
 
+#: Epochs that evaluate_over_models puts beside every example where that is cheaper than a shuffle.
+MAX_EPOCHS = 1000
+
+
 def evaluate_over_models(df: DataFrame, epochs: DataFrame, scorer: Callable[[Column, Column], Column], centre: int | None = None) -> DataFrame:
-    """Each example with each epoch (a short list): the lag of its pick from the true one, and its probability."""
-    j = df.join(F.broadcast(epochs))  # a handful of rows by its meaning
+    """Each example with each epoch: the lag of its pick from the true one, and its probability. More than MAX_EPOCHS epochs are refused: every example is scored by every one."""
+    listed = [r[0] for r in epochs.select("epoch").limit(MAX_EPOCHS + 1).collect()]
+    if len(listed) > MAX_EPOCHS:
+        raise ValueError(f"more than {MAX_EPOCHS} epochs")
+    j = df.withColumn("epoch", F.explode(F.lit(listed).cast(f"array<{epochs.schema['epoch'].dataType.simpleString()}>")))
     j = j.withColumn("_p", scorer(F.col("x"), F.col("epoch"))).withColumn("est", arrays.single_pick(F.col("_p"), centre))
     return j.select("epoch", "row_id", (F.col("true_index") - F.col("est")).alias("residual"), F.element_at("_p", F.col("est") + 1).alias("probability"))
 
@@ -112,6 +175,93 @@ def processed(df: DataFrame, x: str, low: float = 1.0, high: float = 17.0, rate:
     return df.withColumn(x, run(F.col(x)))
 
 
+def processed_chunks(df: DataFrame, keys: list[str], order: str, x: str, low: float = 1.0, high: float = 17.0, rate: float = 100.0, corners: int = 2) -> DataFrame:
+    """`processed` of series that lie in chunks, in the order of `order`: each chunk's samples are those of the whole series.
+
+    Line and taper take sums and places of the chunks. The recursion runs in every chunk from a state of 0 first; the
+    states handed over, a few numbers a chunk, are added up along the series, and the chunks are filtered from them. Only
+    rows without samples are sorted or grouped.
+    """
+    sections = kernels.bandpass_sections(low, high, rate, corners)
+    k = 2 * len(sections)
+    n = F.size(x).cast("long")
+    sums = df.select(*keys, order, n.alias("_n"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("_s"), F.aggregate(F.transform(x, lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v).alias("_t"))
+    w, whole = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
+    sums = sums.withColumn("_at", F.sum("_n").over(w) - F.col("_n")).withColumns({"_all": F.sum("_n").over(whole), "_sum": F.sum("_s").over(whole), "_moment": F.sum(F.col("_t") + F.col("_at") * F.col("_s")).over(whole)})
+    total = F.col("_all").cast("double")
+    middle = (total - 1) / 2
+    slope = F.coalesce(F.try_divide(F.col("_moment") - middle * F.col("_sum"), total * (total * total - 1) / 12), F.lit(0.0))
+    plan = sums.select(*keys, order, "_at", "_all", slope.alias("_slope"), (F.col("_sum") / total - slope * middle).alias("_level"))
+
+    def prepared(v: np.ndarray, at: int, all_: int, slope: float, level: float) -> np.ndarray:
+        place = np.arange(at, at + len(v))
+        return (v - level - slope * place) * kernels.taper_weights(all_, at, len(v))
+
+    facts = ["_at", "_all", "_slope", "_level"]
+    chunks = join_on(df, plan, [*keys, order])
+
+    @F.arrow_udf("array<double>")
+    def ends(series: pa.Array, at: pa.Array, all_: pa.Array, slope: pa.Array, level: pa.Array) -> pa.Array:
+        rest = zip(*[c.to_pylist() for c in (at, all_, slope, level)], strict=True)
+        return pa.array([kernels.sections_run(sections, prepared(v, *f))[1].tolist() for v, f in zip(_series(series), rest, strict=True)], pa.list_(pa.float64()))
+
+    @F.arrow_udf("array<double>")
+    def filtered(series: pa.Array, at: pa.Array, all_: pa.Array, slope: pa.Array, level: pa.Array, state: pa.Array) -> pa.Array:
+        rest = zip(*[c.to_pylist() for c in (at, all_, slope, level)], strict=True)
+        return pa.array([kernels.sections_run(sections, prepared(v, *f), np.array(z))[0] for v, f, z in zip(_series(series), rest, state.to_pylist(), strict=True)], pa.list_(pa.float64()))
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, out = pdf.sort_values(order), np.zeros(k), []
+        for size, end in zip(pdf["_n"], pdf["_end"], strict=True):
+            out.append(state)
+            state = kernels.transition(sections, int(size)) @ state + np.asarray(end)
+        return pdf.drop(columns=["_n", "_end"]).assign(_state=out)
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, order).schema)
+    states = chunks.select(*keys, order, n.alias("_n"), ends(F.col(x), *map(F.col, facts)).alias("_end")).groupBy(*keys).applyInPandas(carried, f"{ddl}, _state array<double>")
+    done = join_on(chunks, states, [*keys, order])
+    return done.withColumn(x, filtered(F.col(x), *map(F.col, facts), F.col("_state"))).drop(*facts, "_state")
+
+
+def sta_lta_arrays(df: DataFrame, x: str, short: int, long: int, out: str = "ratio", keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Rows with the ratio of the short to the long trailing mean of x squared, by sums along the array; null until the long window is full.
+
+    With `keys` and `order`, numbers from any one on without a gap, rows are chunks of series, of `long` - 1 samples at
+    least: each takes the end of the chunk before it, found by an equi-join.
+    """
+
+    @F.arrow_udf("array<double>")
+    def ratio(series: pa.Array, lead: pa.Array) -> pa.Array:
+        rows = []
+        for v, before in zip(_series(series), _series(lead), strict=True):
+            if v is None:
+                rows.append(None)
+                continue
+            before = np.zeros(0) if before is None else before
+            r = kernels.window_ratio(np.concatenate([before, v]), short, long)[len(before) :]
+            rows.append([None if np.isnan(q) else q for q in r.tolist()])
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    if keys is None:
+        return df.withColumn(out, ratio(F.col(x), F.array().cast("array<double>")))
+    size = F.size(x)
+    ends = df.select(*keys, (F.col(order) + 1).alias(order), F.slice(x, F.greatest(F.lit(1), size - long + 2), F.least(F.lit(long - 1), size)).cast("array<double>").alias("_lead"))
+    return join_on(df, ends, [*keys, order], "left").withColumn(out, ratio(F.col(x), F.col("_lead"))).drop("_lead")
+
+
+def trigger_arrays(df: DataFrame, ratio: str, on: float, off: float, out: str = "triggers") -> DataFrame:
+    """Rows with their triggers (begin, end): from the first ratio of at least `on` to the last one before it falls under `off`, or is unknown."""
+
+    @F.arrow_udf("array<struct<begin: int, end: int>>")
+    def run(series: pa.Array) -> pa.Array:
+        found = [kernels.triggers(np.array([np.nan if q is None else q for q in v], float), on, off) if v is not None else [] for v in series.to_pylist()]
+        flat = [k for f in found for k in f]
+        begin, end = zip(*flat, strict=True) if flat else ((), ())
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["begin", "end"]))
+
+    return df.withColumn(out, run(F.col(ratio)))
+
+
 def apply_processing(df: DataFrame, x: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Rows with a user's function of one waveform applied to x."""
 

@@ -34,6 +34,23 @@ def x1(spark, d):
     return p.select("row_id", F.explode("picks").alias("k")).select("row_id", F.col("k.index").cast("long").alias("idx"), F.col("k.width").cast("long").alias("width"), _r("k.probability").alias("probability"))
 
 
+def _chunked(df, x):
+    """Twenty rows in a row are the chunks of one series."""
+    return df.select(F.floor(F.col("row_id") / 20).alias("series"), (F.col("row_id") % 20).alias("chunk"), x)
+
+
+@query("x1_extract_picks_chunks", f"""WITH RECURSIVE {V.PROBS}, q AS (SELECT row_id // 20 AS series, flatten(list(p ORDER BY row_id)) AS p FROM pr GROUP BY 1),
+f AS (SELECT series, p, len(p) AS n, list_filter(range(0, len(p)), lambda i: p[i + 1] >= 0.3) AS high, list_filter(range(0, len(p)), lambda i: p[i + 1] < 0.3) AS under, list_filter(range(0, len(p)), lambda i: p[i + 1] < 0.25) AS low FROM q),
+k AS (SELECT series, high[1] AS s, 0::BIGINT AS e FROM f WHERE len(high) > 0
+  UNION ALL SELECT f.series, list_filter(f.high, lambda i: i >= g.e)[1], g.e FROM (SELECT k.series, coalesce(list_filter(f.low, lambda i: i >= k.s AND i < k.s + 100)[1], list_filter(f.under, lambda i: i > k.s)[1], f.n) AS e FROM k JOIN f USING (series) WHERE k.s IS NOT NULL) g JOIN f USING (series) WHERE g.e < f.n),
+r AS (SELECT k.series, k.s, coalesce(list_filter(f.low, lambda i: i >= k.s AND i < k.s + 100)[1], list_filter(f.under, lambda i: i > k.s)[1], f.n) AS t, f.p FROM k JOIN f USING (series) WHERE k.s IS NOT NULL)
+SELECT series::BIGINT AS series, (s + list_position(p[s + 1:t], list_max(p[s + 1:t])) - 1)::BIGINT AS idx, (t - s)::BIGINT AS width, round(list_max(p[s + 1:t]), 6) AS probability FROM r""")
+def x1_chunks(spark, d):
+    """Series of 1,280 samples in 20 chunks."""
+    p = P.extract_picks_chunks(_chunked(V.probabilities(spark, d), "p"), ["series"], "chunk", "p", 0.3, 0.05)
+    return p.select("series", F.explode("picks").alias("k")).select("series", F.col("k.index").cast("long").alias("idx"), F.col("k.width").cast("long").alias("width"), _r("k.probability").alias("probability"))
+
+
 @query("x2_stack_components", "SELECT label::BIGINT AS station, (vec_id // 30)::BIGINT AS day, max(CASE WHEN vec_id % 3 = 0 THEN vec_id END) AS e, max(CASE WHEN vec_id % 3 = 1 THEN vec_id END) AS n, max(CASE WHEN vec_id % 3 = 2 THEN vec_id END) AS z FROM embeddings GROUP BY ALL")
 def x2(spark, d):
     w = V.waveforms(spark, d)
@@ -287,6 +304,34 @@ def x8(spark, d):
     return p.select("row_id", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
+@query("x8_processed_chunks", f"""WITH {V.WAVEFORMS}, c AS (SELECT row_id // 20 AS series, flatten(list(x ORDER BY row_id)) AS x FROM wf GROUP BY 1), n AS (SELECT series, x, len(x) AS n, list_avg(x) AS m FROM c),
+l AS (SELECT *, list_sum(list_transform(range(0, n), lambda i: x[i + 1] * (i - (n - 1) / 2))) / (n * (n * n - 1) / 12) AS s, greatest(1, floor(n * 0.01))::BIGINT AS k FROM n),
+z AS (SELECT series, n, list_transform(range(0, n), lambda i: (x[i + 1] - m - s * (i - (n - 1) / 2)) * CASE WHEN n - 1 - i < k THEN 0.5 * (1 - cos(pi() * (n - 1 - i) / k)) WHEN i < k THEN 0.5 * (1 - cos(pi() * i / k)) ELSE 1 END) AS z, {_impulse(800)!r}::DOUBLE[] AS h FROM l),
+y AS (SELECT series, n, list_transform(range(0, n), lambda t: list_sum(list_transform(range(greatest(0, t - 799), t + 1), lambda k: h[t - k + 1] * z[k + 1]))) AS y FROM z)
+SELECT series::BIGINT AS series, c::BIGINT AS chunk, list_transform(y[c * 64 + 1:c * 64 + 64], lambda v: round(v, 6) + 0) AS x FROM y, (SELECT unnest(range(0, 20)) AS c) WHERE c * 64 < n""")
+def x8_chunks(spark, d):
+    """Series of 1,280 samples in 20 chunks, filtered as if each were one array."""
+    p = P.processed_chunks(_chunked(V.waveforms(spark, d), "x"), ["series"], "chunk", "x")
+    return p.select("series", "chunk", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
+
+
+_STA = "r AS (SELECT *, CASE WHEN i >= 29 AND row_number() OVER w = i + 1 THEN avg(x * x) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(x * x) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END AS ratio FROM s WINDOW w AS (PARTITION BY id ORDER BY i))"
+
+
+@query("w12_arrays", f"WITH {V.WAVEFORMS}, s AS (SELECT row_id AS id, unnest(x) AS x, unnest(range(0, 64)) AS i FROM wf), {_STA}, x AS (SELECT *, sum(coalesce(ratio < 0.7, true)::INT) OVER (PARTITION BY id ORDER BY i) AS run FROM r), t AS (SELECT id, run, min(CASE WHEN ratio >= 1.2 THEN i END) AS b, max(i) AS e FROM x WHERE ratio >= 0.7 GROUP BY ALL HAVING b IS NOT NULL), l AS (SELECT id, list(b ORDER BY b) AS begins, list(e ORDER BY b) AS ends FROM t GROUP BY id) SELECT id AS row_id, list(round(ratio, 6) ORDER BY i) AS ratio, coalesce(any_value(begins), []) AS begins, coalesce(any_value(ends), []) AS ends FROM r LEFT JOIN l USING (id) GROUP BY id")
+def w12_arrays(spark, d):
+    """Ratio and triggers of every trace, in its row."""
+    r = P.trigger_arrays(P.sta_lta_arrays(V.waveforms(spark, d), "x", 5, 30), "ratio", 1.2, 0.7)
+    part = lambda c: F.transform("triggers", lambda t: t[c].cast("long"))
+    return r.select("row_id", _rounded(F.col("ratio")).alias("ratio"), part("begin").alias("begins"), part("end").alias("ends"))
+
+
+@query("w12_chunks", f"WITH {V.WAVEFORMS}, s AS (SELECT row_id // 20 AS id, row_id % 20 AS chunk, row_id % 20 * 64 + j AS i, x[j + 1] AS x FROM wf, (SELECT unnest(range(0, 64)) AS j)), {_STA} SELECT id::BIGINT AS series, chunk, list(round(ratio, 6) ORDER BY i) AS ratio FROM r GROUP BY ALL")
+def w12_chunks(spark, d):
+    """The ratio goes on from chunk to chunk of a series."""
+    return P.sta_lta_arrays(_chunked(V.waveforms(spark, d), "x"), "x", 5, 30, keys=["series"], order="chunk").select("series", "chunk", _rounded(F.col("ratio")).alias("ratio"))
+
+
 @query("x9_fill_gaps", f"""WITH {V.WAVEFORMS}, s AS (SELECT label AS station, row_id // 576 AS day, row_id % 576 * 150 + i AS t, x[i + 1] AS v FROM wf, (SELECT unnest(range(0, 64)) AS i)),
 l AS (SELECT *, lag(t) OVER w AS t1, lag(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY station, day ORDER BY t))
 SELECT station, day, 86400 AS npts, round(sum(CASE WHEN t1 IS NULL THEN v * (t + 1) ELSE (t - t1) * v1 + (v - v1) * (t - t1 + 1) / 2 END) + arg_max(v, t) * (86399 - max(t)), 4) AS total FROM l GROUP BY station, day""")
