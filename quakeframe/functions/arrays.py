@@ -19,8 +19,8 @@ def mean(x: Column) -> Column:
 
 
 def variance(x: Column) -> Column:
-    """Population variance, by the mean of squares about the mean."""
-    return let(mean(x), lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x))
+    """Population variance, by the mean of squares about the mean; null without values."""
+    return let(mean(x), lambda m: F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(x)))
 
 
 def peak(x: Column) -> Column:
@@ -155,6 +155,23 @@ def random_lag(seed: str, key: Column, copy: Column, most: int) -> Column:
     return (h % (2 * most + 1) - most).cast("int")
 
 
+def random_integer(seed: str, key: Column, draw: int, low: Column, high: Column) -> Column:
+    """A number from low to high - 1, the `draw`-th of a key's stream: 52 bits of the md5 of seed, key and draw. Null where there is none between."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), F.lit(str(draw)))), 1, 13), 16, 10).cast("bigint")
+    return F.when(high > low, low + F.pmod(h, F.greatest(high - low, F.lit(1))))
+
+
+def pad_length(seconds: float, dt: float) -> int:
+    """Samples of a window with both its ends, made up to a multiple of 16, as networks that halve it four times want it."""
+    n = int(seconds / dt + 0.5) + 1
+    return -(-n // 16) * 16
+
+
+def largest_lag(max_shift: float, n: int) -> int:
+    """The largest lag: a number of samples, or, up to 1, that share of half a window of n samples."""
+    return int(max_shift * n / 2) if max_shift <= 1.0 else int(max_shift)
+
+
 def scaled_pair(x1: Column, x2: Column, m1: Column, m2: Column) -> tuple[Column, Column]:
     """Two events over their largest values and about their means, the smaller one scaled to 10^-|m1 - m2| of the larger."""
     centred = lambda x: let(mean(x), lambda m: F.transform(x, lambda v: v - m))

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 
 from quakeframe.operators.keys import join_on
 
-def remove_close_picks(df: DataFrame, min_sep: float, keys: list[str], time: str = "arrival_time", tie: str = "pick_id") -> DataFrame:
-    """Rows with `is_close`: whether the pick before or after it at its station is nearer than min_sep. Both of a pair are close."""
-    w = W.partitionBy(*keys).orderBy(time, tie)
+
+def remove_close_picks(df: DataFrame, min_sep: float, keys: list[str], time: str = "arrival_time", tie: str = "pick_id", span: float = 86400.0) -> DataFrame:
+    """Rows with `is_close`: whether the pick before or after it at its station is nearer than min_sep. Both of a pair are close.
+
+    A station's picks are cut into spans of time (at least 20 * min_sep), so the years of one station lie in many tasks.
+    Picks nearer than min_sep to the end of a span are copied to the next one, where they are neighbours but no rows.
+    """
+    span = max(span, 20.0 * min_sep)
+    own = F.floor(F.col(time) / span)
+    near_start, near_end = F.col(time) - own * span < min_sep, (own + 1) * span - F.col(time) <= min_sep
+    places = F.array(F.struct(own.alias("b"), F.lit(False).alias("h")), F.struct(F.when(near_start, own - 1).alias("b"), F.lit(True).alias("h")), F.struct(F.when(near_end, own + 1).alias("b"), F.lit(True).alias("h")))
+    d = df.withColumn("_at", F.explode(F.filter(places, lambda p: ~p["h"] | p["b"].isNotNull())))
+    w = W.partitionBy(*keys, "_at.b").orderBy(time, tie)
     near = lambda other: F.coalesce(F.abs(F.col(time) - other.over(w)) < min_sep, F.lit(False))
-    return df.withColumn("is_close", near(F.lag(time)) | near(F.lead(time)))
+    return d.withColumn("is_close", near(F.lag(time)) | near(F.lead(time))).filter(~F.col("_at.h")).drop("_at")
 
 
 def _ticks(segments: DataFrame, keys: list[str], day: str) -> DataFrame:

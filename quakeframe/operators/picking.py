@@ -304,6 +304,85 @@ def reordered(df: DataFrame, order: list[str], names: list[str]) -> DataFrame:
     return df.withColumns({new: F.col(old) for old, new in zip(order, names, strict=True)})
 
 
+def component_noise(df: DataFrame, keys: list[str], comps: list[str]) -> DataFrame:
+    """Mean over the rows of each group of the variance of each component: {component}_noise."""
+    return df.groupBy(*keys).agg(*[F.avg(arrays.variance(F.col(c))).alias(f"{c}_noise") for c in comps])
+
+
+def stack_components(df: DataFrame, keys: list[str], x: str = "x", component: str = "component", channel: str = "channel") -> DataFrame:
+    """keys, channel (HH?, BH? ...), npts, and the samples of E, N and Z as x_e, x_n and x_z, of keys that have one of each.
+
+    Components of another length than the longest one are cut to it, or filled up with their last sample, if they lack
+    one sample at most; else the key goes. Of a component given twice the row with the smaller channel code counts.
+    """
+    of = {c: F.min(F.when(F.col(component) == c.upper(), F.struct(F.col(channel).alias("channel"), F.col(x).alias("x")))).alias(f"_{c}") for c in "enz"}
+    g = df.filter(F.col(x).isNotNull()).groupBy(*keys).agg(*of.values()).dropna(subset=[f"_{c}" for c in "enz"])
+    n = F.greatest(*[F.size(f"_{c}.x") for c in "enz"])
+    g = g.withColumn("npts", n).filter(F.least(*[F.size(f"_{c}.x") for c in "enz"]) >= F.greatest(F.col("npts") - 1, F.lit(1)))
+    full = lambda c: F.concat(F.col(f"_{c}.x"), F.array_repeat(F.element_at(f"_{c}.x", -1), F.col("npts") - F.size(f"_{c}.x")))
+    return g.select(*keys, F.concat(F.substring("_z.channel", 1, 2), F.lit("?")).alias("channel"), "npts", *[full(c).alias(f"x_{c}") for c in "enz"])
+
+
+def augmented(df: DataFrame, x: str, key: str, pick_sample: int, seconds: float, dt: float, max_shift: float, copies: int, seed: str, y: str | None = None, shrinkage: float | None = None) -> DataFrame:
+    """`copies` rows of each, with copy (from 1), lag, pick_index, and of x (over its largest value) a window that starts at the lag from where the pick would be in its middle.
+
+    The window has `pad_length` samples; lags are drawn up to `largest_lag`. A trace as long as the window is taken as it
+    is. Of a mask `y` the same samples are cut, less what `shrinkage` takes off at both ends. A window that leaves its
+    trace is null.
+    """
+    n = arrays.pad_length(seconds, dt)
+    most = arrays.largest_lag(max_shift, n)
+    d = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("lag", arrays.random_lag(seed, F.col(key), F.col("copy"), most))
+    start = F.when(F.size(x) == n, 0).otherwise(int(pick_sample - n / 2) + F.col("lag"))
+    d = d.withColumns({"pick_index": n // 2 - F.col("lag"), "_start": start})
+    inner = n if shrinkage is None else int(shrinkage * n)
+    cuts = {x: arrays.normalise(arrays.cut(F.col(x), F.col("_start"), n), 0.0)}
+    if y:
+        cuts[y] = arrays.cut(F.col(y), F.col("_start") + (n - inner) // 2, inner)
+    return d.withColumns(cuts).drop("_start")
+
+
+def random_start_times(df: DataFrame, x: str, key: str, n: int, max_seconds: float, dt: float, seed: str, first_motion: bool = False) -> DataFrame:
+    """Rows with lag, and n samples of x over their largest value: around its middle, the lag earlier, with the lag in seconds as `label`; for first motions the lag later, and no label, since it doesn't change."""
+    d = df.withColumn("lag", arrays.random_lag(seed, F.col(key), F.lit(1), int(max_seconds / dt)))
+    begin = (F.floor(F.size(x) / 2) - n // 2).cast("int")
+    d = d.withColumn(x, arrays.normalise(arrays.cut(F.col(x), begin + F.col("lag") if first_motion else begin - F.col("lag"), n), 0.0))
+    return d if first_motion else d.withColumn("label", F.round(F.col("lag") * dt, 9))
+
+
+def pair_shifts(df: DataFrame, key: str, distance: str, seed: str, length: int, centre: tuple[int, int], min_second: int, min_separation: int, first_margin: int, boxcar: int, margin: int = 50, rate: float = 100.0, speed: float = 6.0) -> DataFrame:
+    """Rows with min_sep, first, second, shift, and `feasible`: where two events stand in a window of `length` samples, and how much later the second window starts.
+
+    The events are as far apart as S and P at the `distance` (km), `margin` more, within bounds. The first one is drawn in
+    the `centre` (from, to), at least `first_margin` before its end; the second one after it, out of the centre by its
+    `boxcar`, with `min_second` samples left; the shift so that the second event stands in the centre and the first one, with
+    its boxcar, before it. Draws are a key's own stream. Where a range is empty (or the distance unknown) feasible is false, and what couldn't be drawn is null.
+    """
+    low, high = centre
+    sep = F.least((F.col(distance) / speed * rate).cast("long") + margin, F.lit(length - min_second - low - margin).cast("long"))
+    sep = F.when(F.col(distance).isNotNull() & ~F.isnan(F.col(distance).cast("double")), F.greatest(F.lit(min_separation).cast("long"), sep))
+    d = df.withColumn("min_sep", sep)
+    top = F.least(length - min_second - F.col("min_sep"), F.lit(high - first_margin).cast("long"))
+    d = d.withColumn("first", F.when(F.col("min_sep").isNotNull(), arrays.random_integer(seed, F.col(key), 1, F.lit(low).cast("long"), top)))
+    under = F.greatest(F.lit(high + boxcar).cast("long"), F.col("first") + F.col("min_sep"))
+    d = d.withColumn("second", F.when(F.col("first").isNotNull(), arrays.random_integer(seed, F.col(key), 2, under, F.lit(length - min_second).cast("long"))))
+    least = F.greatest(F.col("first") - (low - boxcar - 1), F.col("second") - (high - 1))
+    most = F.least(F.col("first") - boxcar - 1, F.col("second") - low)
+    d = d.withColumn("shift", F.when(F.col("second").isNotNull(), arrays.random_integer(seed, F.col(key), 3, least, most)))
+    return d.withColumn("feasible", F.col("shift").isNotNull())
+
+
+def absolute_times(df: DataFrame, start: Column, index: str, dt: float = 0.01, correction: str | None = None) -> DataFrame:
+    """Rows with arrival_time: that of the first sample, dt for each sample of the index, and a correction in seconds if there is one (null counts as none)."""
+    more = F.coalesce(F.col(correction), F.lit(0.0)) if correction else F.lit(0.0)
+    return df.withColumn("arrival_time", F.round(start + dt * F.col(index) + more, 6))
+
+
+def append_pairs(single: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Two-event examples after the others, which have no second pick."""
+    return single.unionByName(pairs, allowMissingColumns=True)
+
+
 def resample(df: DataFrame, x: str, old: float, new: float) -> DataFrame:
     """x at another sampling rate."""
 

@@ -30,14 +30,43 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name
     return join_on(df, counts, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_k", "_range", "_in", "_before")
 
 
+def _parted(r: DataFrame, train: float, validation: float, test: float) -> Column:
+    """The split of each of `r` by its rank: floor(train * n), then floor(v / (v + t) * rest), then the rest."""
+    first = F.floor(F.lit(train) * F.col("_all"))
+    second = F.floor(F.lit(validation / (validation + test)) * (F.col("_all") - first))
+    return F.when(F.col("rank") <= first, "train").when(F.col("rank") <= first + second, "validation").otherwise("test")
+
+
 def event_split(df: DataFrame, key: str, train: float, validation: float, test: float, seed: str) -> DataFrame:
-    """(key, split) for the distinct keys: exactly floor(train * n) to train, then floor(v / (v + t) * rest) to validation, the rest to test."""
-    keys = ranked(df.select(key).distinct(), [shuffled(seed, F.col(key)), F.col(key)])
+    """(key, split) for the distinct keys: exactly floor(train * n) to train, then floor(v / (v + t) * rest) to validation, the rest to test. Null is no key: `row_split` is for rows without one."""
+    keys = ranked(df.select(key).filter(F.col(key).isNotNull()).distinct(), [shuffled(seed, F.col(key)), F.col(key)])
     n = keys.agg(F.count(F.lit(1)).alias("_all"))
     keys = keys.join(F.broadcast(n))  # one row
-    first = F.floor(F.lit(train) * F.col("_all"))
-    second = F.floor(F.lit(validation / (validation + test)) * (F.col("_all") - first))
-    return keys.select(key, F.when(F.col("rank") <= first, "train").when(F.col("rank") <= first + second, "validation").otherwise("test").alias("split"))
+    return keys.select(key, _parted(keys, train, validation, test).alias("split"))
+
+
+def row_split(df: DataFrame, train: float, validation: float, test: float, seed: str, identity: list[str] | None = None) -> DataFrame:
+    """Every row with a split of its own, in the exact counts of `event_split`.
+
+    Rows are known by the columns `identity` (all of them, if not given). Rows that agree in them share an order, so which
+    of them comes first tells nothing, and as many of them fall into each split on every run.
+    """
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity or df.columns]
+    r = ranked(df, [F.md5(F.concat_ws(":", F.lit(seed), *known))])
+    r = r.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+    return r.withColumn("split", _parted(r, train, validation, test)).drop("rank", "_all")
+
+
+def noise_share(signal_rows: int, copies: int, noise_rows: int) -> float:
+    """The share of the noise that goes to train, so that it has as many rows there as the signal with its copies; 1 at most."""
+    return min(1.0, copies * signal_rows / noise_rows) if noise_rows else 1.0
+
+
+def split_examples(df: DataFrame, key: str, train: float, validation: float, test: float, seed: str, noise_train: float | None = None, identity: list[str] | None = None) -> DataFrame:
+    """Every row with its split: rows of an event together, noise rows (without a key) each for itself, with a share of train of its own."""
+    signal = df.filter(F.col(key).isNotNull())
+    noise = row_split(df.filter(F.col(key).isNull()), train if noise_train is None else noise_train, validation, test, seed, identity)
+    return assign_split_rows(signal, event_split(signal, key, train, validation, test, seed), key).unionByName(noise)
 
 
 def hash_split(key: Column, train: float, validation: float, seed: str) -> Column:
@@ -47,8 +76,8 @@ def hash_split(key: Column, train: float, validation: float, seed: str) -> Colum
 
 
 def assign_split_rows(df: DataFrame, splits: DataFrame, key: str) -> DataFrame:
-    """Every row with the split of its event."""
-    return df.join(splits, key)
+    """Every row with the split of its event, null where that has none."""
+    return df.join(splits, key, "left")
 
 
 def sample_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None) -> DataFrame:

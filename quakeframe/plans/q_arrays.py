@@ -51,12 +51,19 @@ def x1_chunks(spark, d):
     return p.select("series", F.explode("picks").alias("k")).select("series", F.col("k.index").cast("long").alias("idx"), F.col("k.width").cast("long").alias("width"), _r("k.probability").alias("probability"))
 
 
-@query("x2_stack_components", "SELECT label::BIGINT AS station, (vec_id // 30)::BIGINT AS day, max(CASE WHEN vec_id % 3 = 0 THEN vec_id END) AS e, max(CASE WHEN vec_id % 3 = 1 THEN vec_id END) AS n, max(CASE WHEN vec_id % 3 = 2 THEN vec_id END) AS z FROM embeddings GROUP BY ALL")
+@query("x2_stack_components", f"""WITH {V.WAVEFORMS}, c AS (SELECT label AS station, row_id // 30 AS day, row_id % 3 AS k, x[1:64 - (row_id % 7 = 0)::INT - (row_id % 11 = 0)::INT] AS x, ['EH', 'HH'][row_id // 3 % 2 + 1] || substr('ENZ', (row_id % 3 + 1)::INT, 1) AS channel FROM wf),
+o AS (SELECT station, day, k, arg_min(channel, (channel, x)) AS channel, arg_min(x, (channel, x)) AS x FROM c GROUP BY ALL),
+p AS (SELECT e.station, e.day, z.channel AS channel, e.x AS e, n.x AS n, z.x AS z, greatest(len(e.x), len(n.x), len(z.x)) AS npts, least(len(e.x), len(n.x), len(z.x)) AS least FROM o e JOIN o n USING (station, day) JOIN o z USING (station, day) WHERE e.k = 0 AND n.k = 1 AND z.k = 2)
+SELECT station, day::BIGINT AS day, channel[1:2] || '?' AS channel, npts::INT AS npts, list_transform(range(0, npts), lambda i: round(e[least(i + 1, len(e))], 6)) AS x_e, list_transform(range(0, npts), lambda i: round(n[least(i + 1, len(n))], 6)) AS x_n, list_transform(range(0, npts), lambda i: round(z[least(i + 1, len(z))], 6)) AS x_z FROM p WHERE npts - least <= 1""")
 def x2(spark, d):
-    w = V.waveforms(spark, d)
-    comp = F.element_at(F.array(*map(F.lit, "enz")), (F.col("row_id") % 3 + 1).cast("int"))
-    g = w.select(F.col("label").alias("station"), F.floor(F.col("row_id") / 30).alias("day"), comp.alias("comp"), "row_id").groupBy("station", "day").pivot("comp", list("enz"))
-    return g.agg(F.max("row_id"))
+    """Samples of three components in one row, some of them a sample or two short."""
+    k = (F.col("row_id") % 3 + 1).cast("int")
+    part = lambda *names: F.element_at(F.array(*map(F.lit, names)), k)
+    short = (F.col("row_id") % 7 == 0).cast("int") + (F.col("row_id") % 11 == 0).cast("int")
+    code = F.element_at(F.array(F.lit("EH"), F.lit("HH")), (F.floor(F.col("row_id") / 3) % 2 + 1).cast("int"))
+    w = V.waveforms(spark, d).select(F.col("label").alias("station"), F.floor(F.col("row_id") / 30).alias("day"), part("E", "N", "Z").alias("component"), F.concat(code, part("E", "N", "Z")).alias("channel"), F.slice("x", F.lit(1), 64 - short).alias("x"))
+    s = P.stack_components(w, ["station", "day"])
+    return s.select("station", "day", "channel", "npts", *[_rounded(F.col(f"x_{c}")).alias(f"x_{c}") for c in "enz"])
 
 
 @query("x4_padding", "SELECT pick_id, total::BIGINT AS total, sp::BIGINT AS start_pad, ep::BIGINT AS end_pad FROM (SELECT event_id AS pick_id, 254 AS sp, CASE WHEN e0 < 254 THEN e0 + 500 ELSE e0 END AS ep, npts + 254 + CASE WHEN e0 < 254 THEN e0 + 500 ELSE e0 END AS total FROM (SELECT event_id, npts, 500 - ((npts + 254 - 1008) % 500 + 500) % 500 AS e0 FROM (SELECT event_id, 1000 + event_id % 7000 AS npts FROM events)))")
@@ -120,10 +127,32 @@ def x15(spark, d):
     return c.select("row_id", "copy", "lag", (16 - F.col("lag")).alias("pick_index"), _r(F.element_at(A.cut(F.col("x"), 16 + F.col("lag"), 32), 1)).alias("first_value"))
 
 
-@query("x16_random_start_times", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, 1 AS copy FROM wf), l AS (SELECT *, {_LAG} AS lag FROM c), w AS (SELECT *, x[16 - lag + 1: 16 - lag + 32] AS y FROM l) SELECT row_id, round(lag * 0.01, 6)::DOUBLE AS label, round(y[1] / list_max(list_transform(y, lambda u: abs(u))), 6) AS first_value FROM w")
+@query("x15_augmented", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest([1, 2]) AS copy FROM wf), l AS (SELECT *, ('0x' || substr(md5('aug:' || row_id || ':' || copy), 1, 8))::BIGINT % 9 - 4 AS lag FROM c), w AS (SELECT *, x[16 + lag + 1:16 + lag + 32] AS w FROM l) SELECT row_id, copy, lag::INT AS lag, (16 - lag)::INT AS pick_index, list_transform(w, lambda v: round(v / list_max(list_transform(w, lambda u: abs(u))), 6)) AS x, list_transform(range(0, 16), lambda i: CASE WHEN i + 16 + lag + 8 BETWEEN 22 AND 42 THEN 1 ELSE 0 END) AS y FROM w")
+def x15_augmented(spark, d):
+    """Windows of 0.25 s at 100 Hz (26 samples, made up to 32), lags up to a quarter of half a window, masks of half the window."""
+    w = V.waveforms(spark, d).withColumn("y", A.boxcar(64, F.lit(32), F.lit(21)))
+    a = P.augmented(w, "x", "row_id", 32, 0.25, 0.01, 0.25, 2, "aug", "y", 0.5)
+    return a.select("row_id", "copy", "lag", "pick_index", _rounded(F.col("x")).alias("x"), "y")
+
+
+def _start_times(sign):
+    return f"w AS (SELECT row_id, lag, x[16 {sign} lag + 1: 16 {sign} lag + 32] AS y FROM (SELECT row_id, x, ('0x' || substr(md5('lag:' || row_id || ':1'), 1, 8))::BIGINT % 17 - 8 AS lag FROM wf))"
+
+
+_UNIT = "list_transform(y, lambda v: round(v / list_max(list_transform(y, lambda u: abs(u))), 6)) AS x"
+
+
+@query("x16_random_start_times", f"WITH {V.WAVEFORMS}, {_start_times('-')} SELECT row_id, round(lag * 0.01, 6)::DOUBLE AS label, {_UNIT} FROM w")
 def x16(spark, d):
-    c = V.waveforms(spark, d).withColumn("lag", A.random_lag("lag", F.col("row_id"), F.lit(1), 8)).withColumn("y", A.cut(F.col("x"), 16 - F.col("lag"), 32))
-    return c.select("row_id", _r(F.col("lag") * 0.01).alias("label"), _r(F.element_at(A.normalise(F.col("y"), 0.0), 1)).alias("first_value"))
+    s = P.random_start_times(V.waveforms(spark, d), "x", "row_id", 32, 0.08, 0.01, "lag")
+    return s.select("row_id", _r("label").alias("label"), _rounded(F.col("x")).alias("x"))
+
+
+@query("x16_first_motion", f"WITH {V.WAVEFORMS}, {_start_times('+')} SELECT row_id, label, {_UNIT} FROM w JOIN wf USING (row_id)")
+def x16_first_motion(spark, d):
+    """Windows move, labels don't."""
+    s = P.random_start_times(V.waveforms(spark, d), "x", "row_id", 32, 0.08, 0.01, "lag", first_motion=True)
+    return s.select("row_id", "label", _rounded(F.col("x")).alias("x"))
 
 
 @query("x17_boxcar_labels", "SELECT row_id, y, list_sum(y)::BIGINT AS ones FROM (SELECT vec_id AS row_id, list_transform(range(0, 64), lambda i: CASE WHEN c >= 0 AND i >= c - w // 2 AND i <= c + w // 2 THEN 1 ELSE 0 END) AS y FROM (SELECT vec_id, vec_id % 70 - 6 AS c, CASE WHEN label % 3 = 0 THEN 21 WHEN label % 3 = 1 THEN 31 ELSE 51 END AS w FROM embeddings))")
@@ -228,6 +257,37 @@ def x30(spark, d):
     return o.select(F.col("o_orderkey").alias("evid"), sep.alias("min_sep"), (sep + bucket32(F.concat_ws(":", F.lit("shift"), "o_orderkey")) % 100).alias("shift"))
 
 
+def _shifts(key, distance, source, seed, length, low, high, min_second, req, first_margin, box, margin):
+    """Draws by the rule: a range is empty, and so is all after it, unless its end lies over its start."""
+    draw = lambda k, a, b: f"CASE WHEN {b} > {a} THEN {a} + ('0x' || substr(md5('{seed}:' || {key} || ':{k}'), 1, 13))::BIGINT % ({b} - {a}) END"
+    return f"""s0 AS (SELECT *, greatest({req}, least(trunc({distance} / 6 * 100)::BIGINT + {margin}, {length - min_second - low - margin})) AS min_sep FROM {source}),
+s1 AS (SELECT *, {draw(1, low, f'least({length - min_second} - min_sep, {high - first_margin})')} AS f FROM s0),
+s2 AS (SELECT *, {draw(2, f'greatest({high + box}, f + min_sep)', length - min_second)} AS s FROM s1),
+s3 AS (SELECT *, {draw(3, f'greatest(f - {low - box - 1}, s - {high - 1})', f'least(f - {box + 1}, s - {low})')} AS shift FROM (SELECT *, CASE WHEN f IS NOT NULL THEN s END AS s FROM (SELECT * EXCLUDE (s), s FROM s2)))"""
+
+
+@query("x30_pair_shifts", f"WITH o AS (SELECT o_orderkey AS evid, CASE WHEN o_custkey % 17 <> 0 THEN o_custkey % 70 / 1.5 END::DOUBLE AS dist FROM orders WHERE true), {_shifts('evid', 'dist', 'o', 'shifts', 1008, 254, 754, 60, 150, 20, 10, 50)} SELECT evid, CASE WHEN dist IS NOT NULL THEN min_sep END::BIGINT AS min_sep, CASE WHEN dist IS NOT NULL THEN f END AS \"first\", CASE WHEN dist IS NOT NULL THEN s END AS second, CASE WHEN dist IS NOT NULL THEN shift END AS shift, dist IS NOT NULL AND shift IS NOT NULL AS feasible FROM s3")
+def x30_shifts(spark, d):
+    """Places of both events and the shift of the second window, at known and unknown distances."""
+    k = F.col("o_custkey")
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("evid"), F.when(k % 17 != 0, k % 70 / 1.5).alias("distance"))
+    return P.pair_shifts(o, "evid", "distance", "shifts", 1008, (254, 754), 60, 150, 20, 10).drop("distance")
+
+
+@query("x20_mix_drawn", f"""WITH {V.WAVEFORMS}, j0 AS (SELECT a.row_id, a.x AS x1, b.x AS x2, (a.row_id % 9 / 100.0)::DOUBLE AS dist FROM wf a JOIN wf b ON b.row_id = a.row_id + 1), {_shifts('row_id', 'dist', 'j0', 'mix', 30, 8, 14, 4, 4, 1, 2, 2)},
+j AS (SELECT * FROM s3 WHERE shift IS NOT NULL),
+k AS (SELECT *, 1 AS win, 0 AS o, f AS pick_index, s AS pick_index2 FROM j UNION ALL SELECT *, 2, shift, s - shift, f - shift FROM j),
+m AS (SELECT row_id, win, pick_index, pick_index2, list_transform(range(0, 30), lambda i: coalesce(x1[32 - f + i + o + 1], 0) + CASE WHEN i + o - s + 10 >= 0 THEN coalesce(x2[32 + i + o - s + 1], 0) * CASE WHEN i + o - s + 10 < 9 THEN 0.5 * (1 - cos(pi() * (i + o - s + 10) / 9)) ELSE 1 END ELSE 0 END) AS x,
+  list_transform(range(0, 30), lambda i: CASE WHEN abs(i + o - f) <= 2 OR abs(i + o - s) <= 2 THEN 1 ELSE 0 END) AS y FROM k)
+SELECT row_id, win::INT AS "window", pick_index::INT AS pick_index, pick_index2::INT AS pick_index2, list_transform(x, lambda v: round(v / list_max(list_transform(x, lambda u: abs(u))), 6)) AS x, y FROM m""")
+def x20_drawn(spark, d):
+    """Pairs mixed where their draws put them."""
+    w = V.waveforms(spark, d)
+    j = w.select("row_id", F.col("x").alias("x1"), (F.col("row_id") % 9 / 100).alias("distance")).join(w.select((F.col("row_id") - 1).alias("row_id"), F.col("x").alias("x2")), "row_id")
+    s = P.pair_shifts(j, "row_id", "distance", "mix", 30, (8, 14), 4, 4, 1, 2, margin=2).filter("feasible")
+    return P.mix_pairs(s, 30, 2).select("row_id", "window", "pick_index", "pick_index2", _rounded(F.col("x")).alias("x"), "y")
+
+
 @query("w9_single_pick", f"WITH {V.PROBS} SELECT row_id, (list_position(p, list_max(p)) - 1)::INT AS pick, (list_position(p[23:42], list_max(p[23:42])) - 1 + 22)::INT AS centre_pick FROM pr")
 def w9(spark, d):
     p = V.probabilities(spark, d)
@@ -244,7 +304,7 @@ def a7(spark, d):
 
 @query("a17_component_noise", f"WITH {V.WAVEFORMS} SELECT label, round(avg(list_var_pop(x)), 6) AS noise FROM wf GROUP BY label")
 def a17(spark, d):
-    return V.waveforms(spark, d).groupBy("label").agg(_r(F.avg(A.variance(F.col("x")))).alias("noise"))
+    return P.component_noise(V.waveforms(spark, d), ["label"], ["x"]).select("label", _r("x_noise").alias("noise"))
 
 
 @query("a18_sample_accuracy", f"WITH {V.PROBS}, s AS (SELECT row_id, label, unnest(p) AS p, unnest(range(0, 64)) AS i FROM pr) SELECT label, round(sum(((p >= 0.3)::INT = CASE WHEN i BETWEEN 20 AND 40 THEN 1 ELSE 0 END)::INT) / count(*), 6) AS accuracy FROM s GROUP BY label")

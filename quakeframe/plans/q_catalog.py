@@ -129,15 +129,20 @@ def p15(spark, d):
     return V.picks(spark, d).select("pick_id", F.round(C.clamped_sigmoid(F.col("amplitude") - 50), 6).alias("p"))
 
 
-_COMPONENTS = "SELECT l_orderkey AS evid, l_linenumber % 3 AS component, l_quantity::BIGINT % 3 AS npts, (l_quantity % 2)::DOUBLE AS starttime, l_quantity % 2 + l_quantity::BIGINT % 3 AS endtime, 100.0 AS sampling_rate, 1.0 AS dt FROM lineitem"
+_COMPONENTS = """c AS (SELECT o_orderkey AS evid, substr('ENZ', k::INT, 1) AS component, ['HH', 'EH', 'BH', 'HN'][o_orderkey % 4 + 1] || substr('12ZENZ', (k + CASE WHEN (o_custkey + k) % 3 = 0 THEN 3 ELSE 0 END)::INT, 1) AS channel,
+  CASE WHEN (o_custkey + k) % 19 <> 0 THEN 10 + (o_custkey * k % 23 = 5)::INT END AS npts, CASE WHEN o_custkey * k % 5 = 2 THEN 0.5 WHEN o_custkey * k % 5 = 1 THEN -0.5 ELSE 0 END::DOUBLE AS starttime, 1.0::DOUBLE AS dt FROM orders, (SELECT unnest([1, 2, 3]) AS k) WHERE NOT (o_custkey % 11 = 0 AND k = 2))"""
 
 
-@query("p16_component_consistency", f"WITH c AS ({_COMPONENTS}) SELECT evid FROM c GROUP BY evid HAVING count(DISTINCT component) = 3 AND max(starttime) - min(starttime) <= 1 AND max(endtime) - min(endtime) <= 1 AND count(DISTINCT npts) = 1")
+@query("p16_component_consistency", f"""WITH {_COMPONENTS}, f AS (SELECT *, starttime + npts - 1 AS endtime, (component = 'E' AND channel IN ('EHE', 'EH1', 'BHE', 'BH1', 'HHE', 'HH1')) OR (component = 'N' AND channel IN ('EHN', 'EH2', 'BHN', 'BH2', 'HHN', 'HH2')) OR (component = 'Z' AND channel IN ('EHZ', 'BHZ', 'HHZ')) AS ok FROM c)
+SELECT evid FROM f e JOIN f n USING (evid) JOIN f z USING (evid) WHERE e.component = 'E' AND n.component = 'N' AND z.component = 'Z' AND e.ok AND n.ok AND z.ok
+  AND abs(e.starttime - n.starttime) < n.dt AND abs(n.starttime - z.starttime) < n.dt AND abs(e.endtime - n.endtime) < n.dt AND abs(n.endtime - z.endtime) < n.dt AND e.npts = n.npts AND n.npts = z.npts""")
 def p16(spark, d):
-    q = F.col("l_quantity")
-    n = q.cast("long") % 3
-    c = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("evid"), (F.col("l_linenumber") % 3).alias("component"), n.alias("npts"), (q % 2).alias("starttime"), (q % 2 + n).alias("endtime"), F.lit(100.0).alias("sampling_rate"), F.lit(1.0).alias("dt"))
-    return C.component_consistency(c, ["evid"])
+    """Missing components, channels that aren't allowed, starts half a sample or a whole one apart, unknown and unequal lengths."""
+    o = V.table(spark, d, "orders").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter("NOT (o_custkey % 11 = 0 AND k = 2)")
+    cust, k = F.col("o_custkey"), F.col("k")
+    code = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int"))
+    c = o.select(F.col("o_orderkey").alias("evid"), code("ENZ", k).alias("component"), F.concat(code(["HH", "EH", "BH", "HN"], F.col("o_orderkey") % 4 + 1), code("12ZENZ", k + F.when((cust + k) % 3 == 0, 3).otherwise(0))).alias("channel"), F.when((cust + k) % 19 != 0, 10 + (cust * k % 23 == 5).cast("int")).alias("npts"), F.when(cust * k % 5 == 2, 0.5).when(cust * k % 5 == 1, -0.5).otherwise(0.0).alias("starttime"), F.lit(1.0).alias("dt"))
+    return C.component_consistency(c.withColumn("endtime", F.col("starttime") + F.col("npts") - 1), ["evid"], rates=False)
 
 
 @query("u1_combine_catalogs", f"WITH {V.CATALOG} SELECT evid, station, arrival_time, CASE WHEN channel = 'O' THEN 'qb' ELSE 'le' END AS event_type FROM catalog")
@@ -196,6 +201,17 @@ def w4_hash(spark, d):
     return V.events(spark, d).select("evid", S.hash_split(F.col("evid"), 0.8, 0.1, SEED).alias("split"))
 
 
+@query("w4_split_examples", f"""WITH {V.CATALOG}, c AS (SELECT CASE WHEN first_motion <> 0 THEN evid END AS evid, station, line, part % 5 AS part FROM catalog),
+k AS (SELECT DISTINCT evid FROM c WHERE evid IS NOT NULL), r AS (SELECT evid, row_number() OVER (ORDER BY md5('{SEED}:' || evid), evid) AS rk, count(*) OVER () AS n FROM k),
+z AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || station || ':' || line || ':' || part)) AS rk, count(*) OVER () AS n FROM c WHERE evid IS NULL),
+sp AS (SELECT c.*, rk, n, 0.8 AS f FROM c JOIN r USING (evid) UNION ALL SELECT evid, station, line, part, rk, n, 0.6 FROM z)
+SELECT evid, station, line, part, CASE WHEN rk <= floor(f * n) THEN 'train' WHEN rk <= floor(f * n) + floor(0.5 * (n - floor(f * n))) THEN 'validation' ELSE 'test' END AS split FROM sp""")
+def w4_examples(spark, d):
+    """Events together, rows without one each for itself; some of those are equal."""
+    c = V.catalog(spark, d).select(F.when(F.col("first_motion") != 0, F.col("evid")).alias("evid"), "station", "line", (F.col("part") % 5).alias("part"))
+    return S.split_examples(c, "evid", 0.8, 0.1, 0.1, SEED, 0.6, ["station", "line", "part"])
+
+
 @query("j7_assign_split_rows", f"WITH {V.CATALOG}, {_SPLIT} SELECT evid, station, line, part, split FROM catalog JOIN sp USING (evid)")
 def j7(spark, d):
     c = V.catalog(spark, d)

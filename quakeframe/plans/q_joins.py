@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quakeframe.functions import arrays as A
 from quakeframe.operators import continuity as K
 from quakeframe.operators import joins as J
+from quakeframe.operators import picking as P
 from quakeframe.operators import splits as S
 from quakeframe.plans import views as V
 from quakeframe.plans.registry import query
@@ -326,7 +327,7 @@ def o2(spark, d):
 def u3(spark, d):
     c = V.catalog(spark, d).select("evid", F.col("quantity").cast("long").alias("pick_index"), "channel")
     two = c.filter("channel = 'O'").withColumn("pick_index2", F.col("pick_index") + 40)
-    return two.unionByName(c.filter("channel <> 'O'"), allowMissingColumns=True).drop("channel")
+    return P.append_pairs(c.filter("channel <> 'O'"), two).drop("channel")
 
 
 @query("x27_flip_polarity", f"WITH {V.WAVEFORMS}, w AS (SELECT row_id, x, label % 3 - 1 AS first_motion, ('0x' || substr(md5('flip:' || row_id), 1, 8))::BIGINT / 4294967296.0 < 0.5 AS u FROM wf) SELECT row_id, first_motion <> 0 AND u AS was_flipped, CASE WHEN first_motion <> 0 AND u THEN -first_motion ELSE first_motion END AS first_motion, round(CASE WHEN first_motion <> 0 AND u THEN -x[1] ELSE x[1] END, 6) AS x0 FROM w")
@@ -337,7 +338,7 @@ def x27(spark, d):
 
 @query("x25_absolute_times", f"WITH {V.EVALUATION} SELECT waveform_id, est_index, round(1000 + 0.01 * est_index, 6)::DOUBLE AS arrival_time FROM ev")
 def x25(spark, d):
-    return V.evaluation(spark, d).select("waveform_id", "est_index", F.round(1000 + 0.01 * F.col("est_index"), 6).alias("arrival_time"))
+    return P.absolute_times(V.evaluation(spark, d).select("waveform_id", "est_index"), F.lit(1000.0), "est_index")
 
 
 @query("x26_first_motion_decision", f"WITH {V.PROBS} SELECT row_id, round_even(20 + p[4] * 10, 0)::BIGINT AS idx, CASE WHEN p[1] >= p[2] AND p[1] >= p[3] THEN 1 WHEN p[2] >= p[3] THEN -1 ELSE 0 END AS polarity FROM pr")
