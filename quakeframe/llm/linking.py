@@ -1,11 +1,12 @@
 """Connected components of a similarity among the members of groups, without all pairs of a large group.
 
-A group that fits a chunk is compared as it is. A larger one is dealt to chunks by hash, in
-several dealings, and compared inside them; that joins what is much alike, such as
-thousands of near copies. What is left are the members outside their group's largest
-component: they are held against all its members, chunk by chunk. Pairs inside one
-component are compared no more, since they can't join anything: so the result is that of
-all pairs, while n near copies of one text cost about n comparisons and not n^2 / 2.
+First, the groups of a part of the keys are compared: whole where they fit a chunk, else in
+chunks dealt by hash; that joins what is much alike, such as thousands of near copies.
+Then every group is seen as its largest component and the members outside it. Outsiders
+are held against all members of that component, once for all the groups that they meet it
+in, and against each other inside their groups. Two members of one component are compared
+no more, since they can't join anything. So the result is that of all pairs in all groups,
+while n near copies of one text cost about n comparisons and not n^2 / 2, and as many rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.llm import common
@@ -23,8 +24,10 @@ from quakeframe.llm.components import components
 CHUNK, DEALINGS = 512, 3
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 EDGES_DDL = "a long, b long"
-#: near(k, rest): which of the members `rest` are similar to member k.
+#: near(k, rest): which of the members `rest` are similar to member k; how it is made of their payloads; how rows with an id get the payloads.
 Near = Callable[[int, np.ndarray], np.ndarray]
+Maker = Callable[[list[bytes]], Near]
+Payloads = Callable[[DataFrame], DataFrame]
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -85,8 +88,8 @@ def _members(g: pa.Table, *more: str) -> tuple[np.ndarray, ...]:
     return ids, [payload[k] for k in at], *[g.column(c).to_numpy()[at] for c in more]
 
 
-def _inside(make: Callable[[list[bytes]], Near]):
-    """Edges of a spanning forest of each chunk (key, round, chunk, id, payload)."""
+def _inside(make: Maker):
+    """Edges of a spanning forest of each run of rows that agree in their first three columns (and id, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,7 +105,7 @@ def _inside(make: Callable[[list[bytes]], Near]):
     return run
 
 
-def _across(make: Callable[[list[bytes]], Near]):
+def _across(make: Maker):
     """An edge from each outsider to each component that it is similar to, in a pair of chunks (key, i, j, role, id, comp, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,44 +126,80 @@ def _across(make: Callable[[list[bytes]], Near]):
     return run
 
 
-def linked(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], make: Callable[[list[bytes]], Near], name: str, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _chunks(n: Column) -> Column:
+    return F.ceil(n / CHUNK).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _place(n: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+
+
+def grouped(members: DataFrame) -> DataFrame:
+    """(_k, n) of the groups of (key, id) with two members or more, one key for all groups of the same members."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1")
+    return sizes.groupBy("n", "x", "a", "b").agg(F.min("key").alias("_k")).select("_k", "n")
+
+
+def _asked(outside: DataFrame, of: DataFrame, payloads: Payloads, make: Maker) -> DataFrame:
+    """Edges between outsiders (id, comp, main) and members of the components `main`."""
+    asks = outside.select("id", "comp", F.col("main").alias("key")).distinct()
+    targets = asks.groupBy(F.col("key").alias("_t")).agg(_chunks(F.count(F.lit(1))).alias("outer"))
+    found = of.join(targets, of["root"] == targets["_t"]).select("id", F.col("root").alias("key"), "outer")
+    alone = targets.join(of.select(F.col("root").alias("_r")).distinct(), F.col("_t") == F.col("_r"), "left_anti").select(F.col("_t").alias("id"), F.col("_t").alias("key"), "outer")
+    members = found.unionByName(alone)
+    own = members.groupBy(F.col("key").alias("_o")).agg(_chunks(F.count(F.lit(1))).alias("own"), F.max("outer").alias("_outer"))
+    answers = members.join(own, F.col("key") == F.col("_o")).select("key", "id", F.col("key").alias("comp"), F.lit(0).alias("role"), _each("outer").alias("i"), _place("own", 2).alias("j"))
+    asks = asks.join(own, F.col("key") == F.col("_o")).select("key", "id", "comp", F.lit(1).alias("role"), _place("_outer", 1).alias("i"), _each("own").alias("j"))
+    pairs = payloads(answers.unionByName(asks)).select("key", "i", "j", "role", "id", "comp", "payload").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return pairs.mapInArrow(_across(make), EDGES_DDL)
+
+
+def _among(outside: DataFrame, payloads: Payloads, make: Maker, split: Callable[[DataFrame], DataFrame] | None, name: str) -> DataFrame:
+    """Edges among the outsiders (key, id) of each group: of all pairs, in pairs of chunks where there are many."""
+    rows = outside.select("key", "id")
+    sizes = common.written(grouped(rows), f"{name}-sizes")
+    rows = rows.join(sizes, F.col("key") == F.col("_k")).select("key", "id", _chunks(F.col("n")).alias("n"))
+    if split:
+        large = split(payloads(rows.filter("n > 1")))
+        parts = grouped(large)
+        rows = rows.filter("n = 1").unionByName(large.join(parts, F.col("key") == F.col("_k")).select("key", "id", _chunks(F.col("n")).alias("n")))
+    rows = rows.withColumn("c", _place("n", 3)).withColumn("o", _each("n"))
+    rows = rows.select("key", "id", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    dealt = payloads(rows).select("key", "i", "j", "id", "payload").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_inside(make), EDGES_DDL)
+
+
+def linked(first: DataFrame, later: DataFrame | None, payloads: Payloads, make: Maker, name: str, dealings: int = DEALINGS, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A written table (id, root) of the members that are similar to another member of one of their groups.
 
-    `members` has key, id and chunks, the number of chunks that its group is cut into. `payloads` adds the column payload
-    to such rows, `make` turns payloads into Near. `split`, if given, cuts the groups that are left over into smaller ones
-    between which no pair matters: rows (key, id, payload) come back with other keys.
+    `first` has key, id and chunks, the number of chunks that a group is cut into; `later` more groups (key, id). `payloads`
+    adds the column payload to such rows, `make` turns payloads into Near. `split`, if given, cuts large groups of outsiders
+    into smaller ones between which no pair matters: rows (key, id, payload) come back as (key, id).
     """
-    rounds = F.when(F.col("chunks") > 1, DEALINGS).otherwise(1)
-    dealt = members.withColumn("round", F.explode(F.sequence(F.lit(1), rounds)))
+    rounds = F.when(F.col("chunks") > 1, dealings).otherwise(1)
+    dealt = first.withColumn("round", F.explode(F.sequence(F.lit(1), rounds)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "key", "round"), F.col("chunks")).cast("int"))
     dealt = payloads(dealt).select("key", "round", "chunk", "id", "payload").repartition("key", "round", "chunk").sortWithinPartitions("key", "round", "chunk")
-    first = common.written(dealt.mapInArrow(_inside(make), EDGES_DDL).distinct(), f"{name}-inside")
-    found = components(first, name)
-    large = members.filter(F.col("chunks") > 1)
-    if large.isEmpty():
-        common.forget(first)
+    edges = common.written(dealt.mapInArrow(_inside(make), EDGES_DDL).distinct(), f"{name}-inside")
+    found = components(edges, name)
+    rest = first.filter(F.col("chunks") > 1).select("key", "id")
+    if later is None and rest.isEmpty():
+        common.forget(edges)
         return found
+    rest = rest if later is None else rest.unionByName(later)
     of = found.select(F.col("id").alias("_i"), "root")
-    rows = payloads(large) if split else large
-    rows = (split(rows) if split else rows).join(of, F.col("id") == F.col("_i"), "left").withColumn("comp", F.coalesce("root", "id")).drop("_i", "root")
-    slim = common.written(rows.select("key", "id", "comp", *([] if split else ["chunks"])), f"{name}-left")
-    sizes = slim.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *([] if split else [F.max("chunks").alias("c")]))
-    whole = F.ceil(F.sum("n") / CHUNK) if split else F.max("c")
-    sizes = sizes.groupBy(F.col("key").alias("_k")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), whole.cast("int").alias("own"))
-    sizes = sizes.filter(F.col("n") > F.col("main.n"))
-    sizes = common.written(sizes.select("_k", F.col("main.comp").alias("main"), "own", F.ceil(F.col("own") * (F.col("n") - F.col("main.n")) / F.col("n")).cast("int").alias("outer")), f"{name}-sizes")
-    left = slim.select("key", "id", "comp").join(sizes, F.col("key") == F.col("_k"))
-    left = left.withColumns({"i": F.pmod(F.xxhash64("id", F.lit(1)), F.col("outer")).cast("int"), "j": F.pmod(F.xxhash64("id", F.lit(2)), F.col("own")).cast("int")})
-    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    answers = left.withColumn("i", F.explode(each("outer"))).withColumn("role", F.lit(0))
-    asks = left.filter(F.col("comp") != F.col("main")).withColumn("j", F.explode(each("own"))).withColumn("role", F.lit(1))
-    roles = answers.unionByName(asks).select("key", "i", "j", "role", "id", "comp")
-    pairs = payloads(roles).select("key", "i", "j", "role", "id", "comp", "payload").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = common.written(pairs.mapInArrow(_across(make), EDGES_DDL), f"{name}-across")
-    common.forget(slim, sizes)
-    if second.isEmpty():
-        common.forget(first, second)
+    rest = rest.join(of, F.col("id") == F.col("_i"), "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    sizes = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("_k")).agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main"))
+    sizes = common.written(sizes.filter(F.col("all") > F.col("main.n")).select("_k", F.col("main.comp").alias("main")), f"{name}-mixed")
+    outside = common.written(rest.join(sizes, (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("main"))).select("key", "id", "comp", "main"), f"{name}-outside")
+    if outside.isEmpty():
+        common.forget(edges, sizes, outside)
         return found
-    both = components(first.unionByName(second), name)
-    common.forget(first, second, found)
+    more = common.written(_asked(outside, found, payloads, make).unionByName(_among(outside, payloads, make, split, name)).distinct(), f"{name}-across")
+    both = components(edges.unionByName(more), name)
+    common.forget(edges, sizes, outside, more, found)
     return both

@@ -6,13 +6,15 @@ A pair of sets shares a table exactly if it agrees in some hash of both collecti
 takes 2 * HALF * M min-hash values where tables with values of their own would take
 2 * HALF * M^2. For the same reason the M^2 keys of a set are never written out: rows go
 to their M keys of the first collection, and inside such a bucket a pair counts if any key
-of the second agrees. A bucket that is too large for one chunk falls into its tables.
+of the second agrees. The buckets of the FIRST keys are compared first; of all buckets only
+what lies outside their largest component goes on (see `linking`), by tables where there
+is much of it.
 
 M is the least number of hashes that finds a pair at the limit with probability RECALL.
 Sets that share a table and agree in enough of all values form candidate clusters, and
-within a cluster links are confirmed on full sets (9 * shared >= 4 * (a + b) for 0.8).
-`linking` describes how both steps leave out comparisons that can't join anything. Sets
-with equal shingles are one set from the start, whatever their texts.
+within a cluster links are confirmed on full sets (9 * shared >= 4 * (a + b) for 0.8),
+again by `linking`. Sets with equal shingles are one set from the start, whatever their
+texts.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
 fewer than 4 words make one shingle; ids may be null or repeat: a component's id is the
@@ -41,6 +43,8 @@ T = 2 * HALF * M
 #: Values in which candidates agree at least: 5 deviations under the mean at the limit.
 AGREE = math.floor(T * SIMILARITY - 5 * math.sqrt(T * SIMILARITY * (1 - SIMILARITY)))
 CHUNK_BYTES = 32 << 20
+#: Keys of the first collection whose buckets are compared as a whole.
+FIRST = 4
 _BASE = 0x9E3779B97F4A7C15
 #: UTF-8 bytes with A-Z lower-cased and every blank a space.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -167,12 +171,15 @@ def _bytes(docs: DataFrame, text: str) -> Column:
     return common.text_of(docs, text).cast("binary")
 
 
+def _members(sets: DataFrame, keys: Column) -> DataFrame:
+    return sets.select(F.col("set").alias("id"), F.explode(keys).alias("key"))
+
+
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(key, id, chunks): the buckets of the first collection with two sets or more, one of those with the same members."""
-    slim = sets.select(F.col("set").alias("id"), F.explode("keys").alias("key"))
-    sizes = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1")
-    one = common.written(sizes.groupBy("n", "x", "a", "b").agg(F.min("key").alias("_k")).select("_k", F.ceil(F.col("n") / linking.CHUNK).cast("int").alias("chunks")), "op13-sizes")
-    met = common.written(slim.join(one, slim["key"] == one["_k"]).drop("_k"), "op13-buckets")
+    """(key, id, chunks): the buckets of the FIRST keys with two sets or more, one of those with the same members."""
+    slim = _members(sets, F.slice("keys", 1, FIRST))
+    one = common.written(linking.grouped(slim), "op13-sizes")
+    met = common.written(slim.join(one, slim["key"] == one["_k"]).select("key", "id", F.ceil(F.col("n") / linking.CHUNK).cast("int").alias("chunks")), "op13-buckets")
     common.forget(one)
     return met
 
@@ -193,28 +200,25 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sets = common.written(sets.withColumn("place", F.coalesce("p", "q")).drop("p", "q").withColumn("set", F.monotonically_increasing_id()), "op13-sets")
     buckets = _buckets(sets)
     sketches = sets.select(F.col("set").alias("_s"), F.col("sketch").alias("payload"))
-    near = linking.linked(buckets, lambda r: r.join(sketches, r["id"] == sketches["_s"]).drop("_s"), same_table, "op13-near", _tables)
+    later = _members(sets, F.slice("keys", FIRST + 1, M))
+    near = linking.linked(buckets, later, lambda r: r.join(sketches, r["id"] == sketches["_s"]).drop("_s"), same_table, "op13-near", 1, _tables)
     common.forget(buckets)
     wanted = common.written(near.join(sets, near["id"] == sets["set"]).select("id", "root", "n", F.col("place.i").alias("_i"), F.col("place.t").alias("_t")), "op13-wanted")
     sizes = wanted.groupBy(F.col("root").alias("_r")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / linking.CHUNK), F.ceil(8 * F.sum("n") / CHUNK_BYTES)).cast("int").alias("chunks"))
     members = common.written(wanted.join(sizes, wanted["root"] == sizes["_r"]).select(F.col("root").alias("key"), "id", "chunks"), "op13-members")
     body = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(0)).alias("_own"), _bytes(docs, text).alias("_text")).withColumn("_digest", F.unhex(F.md5("_text")))
 
-    def bodies(r: DataFrame) -> DataFrame:
-        """The texts grow with the documents, as does what is wanted of them, so neither is ever broadcast."""
-        some = wanted.join(r.select(F.col("id").alias("_m")).distinct(), F.col("id") == F.col("_m"), "left_semi")
-        made = body.join(some.hint("merge"), (body["_own"] == some["_i"]) & (body["_digest"] == some["_t"])).select("id", "_text").mapInArrow(_shingles, "id long, payload binary")
-        made = made.withColumnRenamed("id", "_p")
-        return r.join(made.hint("merge"), r["id"] == made["_p"]).drop("_p")
-
-    groups = linking.linked(members, bodies, similar, "op13-links")
+    # The texts grow with the documents, as does what is wanted of them, so neither is ever broadcast.
+    bodies = body.join(wanted.hint("merge"), (body["_own"] == wanted["_i"]) & (body["_digest"] == wanted["_t"])).select("id", "_text").mapInArrow(_shingles, "id long, payload binary")
+    bodies = common.written(bodies.withColumnRenamed("id", "_p"), "op13-bodies")
+    groups = linking.linked(members, None, lambda r: r.join(bodies.hint("merge"), r["id"] == bodies["_p"]).drop("_p"), similar, "op13-links")
     named = groups.join(sets.select("set", "low", "place"), F.col("id") == F.col("set"))
     low = named.groupBy("root").agg(F.min("low").alias("component"), F.min(F.struct(F.col("low").isNull().alias("x"), F.col("low").alias("y"), F.col("place").alias("place"))).alias("head"))
     low = low.select(F.col("root").alias("_r"), "component", F.col("head.place").alias("head"))
     reached = groups.join(low, groups["root"] == low["_r"]).select(F.col("id").alias("_g"), "component", "head")
     facts = sets.join(reached, sets["set"] == reached["_g"], "left")
     facts = common.written(facts.select(F.col("digest").alias("_d"), F.when(F.col("_g").isNull(), F.col("low")).otherwise(F.col("component")).alias("_component"), F.coalesce("head", "place").alias("_head")), "op13-facts")
-    common.forget(near, wanted, members, groups)
+    common.forget(near, wanted, members, groups, bodies)
     out = rows.select("id", "text_digest", "digest", "n").join(facts, F.col("digest") == F.col("_d"), "left")
     alone = F.col("digest").isNull()
     first = alone | ((F.col("_head.i") == F.coalesce("id", F.lit(0))) & (F.col("_head.t") == F.col("text_digest")) & (F.col("_head.none") == F.col("id").isNull()))
