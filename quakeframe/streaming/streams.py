@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quakeframe.sources.io import scratch
 
@@ -27,34 +28,83 @@ def lone_picks(picks: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     return s.filter("n = 1").select("station", "pick_id")
 
 
-CARRIED = "station long, day long, previous_appended boolean, starttime double, data array<double>"
-
-
-def carry_over(days: DataFrame, n: int, rate: float) -> DataFrame:
+CARRIED = "station long, day long, previous_appended boolean, starttime double, data array<double>, late boolean"
+
+
+class CarryOver(StatefulProcessor):
+    """Keyed state of `carry_over`: days that wait for the watermark, and the end of the last day that went out."""
+
+    def __init__(self, n: int, rate: float, keep: float):
+        self.n, self.rate, self.keep = n, rate, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "day long", "ends long, starttime double, data array<double>")
+        self.last = handle.getValueState("last", "day long, ends long, until double, tail array<double>")
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["station", "day", "previous_appended", "starttime", "data", "late"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        for part in rows:  # one part at a time; no list of all days
+            late = []
+            for day, start, data, ends in zip(part["day"], part["starttime"], part["data"], part["ends"], strict=True):
+                ends = int(ends)
+                if last is not None and day <= last[0] or ends <= timerValues.getCurrentWatermarkInMs():
+                    late.append((key[0], int(day), False, float(start), np.asarray(data, float), True))
+                    continue
+                self.waiting.updateValue((int(day),), (ends, float(start), np.asarray(data, float).tolist()))
+                self.handle.registerTimer(ends)
+            yield self._out(late)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(day[0] for day, v in self.waiting.iterator() if v[0] <= now)
+        last, rows = (self.last.get() if self.last.exists() else None), []
+        for day in due:
+            ends, start, data = self.waiting.getValue((day,))
+            data = np.asarray(data, float)
+            gap = None if last is None else start - last[2] + 1 / self.rate
+            joined = gap is not None and len(last[3]) > 0 and 0 < gap < 1.5 / self.rate
+            tail = np.asarray(last[3], float) if joined else np.empty(0)
+            rows.append((key[0], day, joined, start - len(tail) / self.rate, np.concatenate([tail, data]), False))
+            last = (day, ends, start + len(data) / self.rate, data[max(len(data) - self.n, 0) :].tolist())
+            self.waiting.removeKey((day,))
+        if rows:
+            self.last.update(last)
+            self.handle.registerTimer(last[1] + int(self.keep * 1000))
+        elif last is not None and last[1] + int(self.keep * 1000) <= now:
+            self.last.update((last[0], last[1], last[2], []))  # nothing can join it any more: the day stays, to tell late ones, its samples go
+        yield self._out(rows)
+
+
+def carry_over(days: DataFrame, n: int, rate: float, delay: str, keep: float = 172800.0) -> DataFrame:
     """Station-days with the last n samples of the day before put before them, if that ended less than 1.5 samples ago.
 
-    The state of a station is the tail and the end of its last day. Days of a station have to arrive in order, micro-batch by micro-batch.
+    A day has to come with `ends`, the event time of its end; it goes out when the watermark, `delay` behind the latest
+    end, has passed it. So days of a station may come out of order within the delay; those that come later are given out as
+    they are, with `late` set, and change nothing. A missing day breaks the chain. State holds what waits inside the
+    delay, and n samples of a station's last day for `keep` seconds of event time.
     """
+    # Spark drops late rows by a column that has the watermark; a copy without it lets them through to be told apart.
+    plain = days.withWatermark("ends", delay).select("station", "day", "starttime", "data", F.unix_millis(F.col("ends").cast("timestamp")).alias("ends"))
+    grouped = plain.groupBy("station")
+    return grouped.transformWithStateInPandas(CarryOver(n, rate, keep), CARRIED, "Append", "EventTime")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail, until = (np.asarray(state.get[0], float), state.get[1]) if state.exists else (np.empty(0), None)
-        rows = []
-        for _, r in pd.concat(list(parts)).sort_values("day").iterrows():
-            data, start = np.asarray(r["data"], float), float(r["starttime"])
-            gap = None if until is None else start - until + 1 / rate
-            joined = gap is not None and len(tail) > 0 and 0 < gap < 1.5 / rate
-            until = start + len(data) / rate
-            rows.append((key[0], r["day"], joined, start - len(tail) / rate if joined else start, np.concatenate([tail, data]) if joined else data))
-            tail = data[-n:]
-        state.update((tail.tolist(), until))
-        yield pd.DataFrame(rows, columns=["station", "day", "previous_appended", "starttime", "data"])
 
-    return days.groupBy("station").applyInPandasWithState(step, CARRIED, "tail array<double>, until double", "append", "NoTimeout")
+#: The state store that keyed timers and maps need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """A stream run over all its input there is now into Parquet, and read."""
     out = scratch(spark, name)
+    name_of, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name_of, ROCKS)
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name_of, before)
     return spark.read.schema(stream.schema).parquet(out)
