@@ -73,16 +73,15 @@ def x4(spark, d):
     return V.picks(spark, d).select("pick_id", *[v.cast("long").alias(k) for k, v in pad.items()])
 
 
-@query("x5_pad_edges", f"WITH {V.WAVEFORMS} SELECT row_id, 64 + 12 AS n, round(x[1], 6) AS first, round(x[64], 6) AS last, round(5 * x[1] + 7 * x[64] + list_sum(x), 4) AS total FROM wf")
+@query("x5_pad_edges", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(range(-5, 71), lambda i: round(x[greatest(0, least(63, i)) + 1], 6)) AS x FROM wf")
 def x5(spark, d):
-    x = V.waveforms(spark, d).withColumn("x", A.pad_edges(F.col("x"), 5, 7))
-    return x.select("row_id", F.size("x").alias("n"), _r(F.element_at("x", 1)).alias("first"), _r(F.element_at("x", -1)).alias("last"), _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return V.waveforms(spark, d).select("row_id", _rounded(A.pad_edges(F.col("x"), 5, 7)).alias("x"))
 
 
-@query("x6_sliding_windows", f"WITH {V.WAVEFORMS}, w AS (SELECT row_id, x, unnest(range(0, 7)) AS window_id FROM wf) SELECT row_id, window_id::INT AS window_id, (window_id * 8)::INT AS start, round(x[window_id * 8 + 1], 6) AS first, round(x[window_id * 8 + 16], 6) AS last FROM w")
+@query("x6_sliding_windows", f"WITH {V.WAVEFORMS}, w AS (SELECT row_id, x, unnest(range(0, 7)) AS window_id FROM wf) SELECT row_id, window_id::INT AS window_id, (window_id * 8)::INT AS start, list_transform(x[window_id * 8 + 1:window_id * 8 + 16], lambda v: round(v, 6)) AS x FROM w")
 def x6(spark, d):
     w = P.sliding_windows(V.waveforms(spark, d).select("row_id", "x"), "x", 16, 8)
-    return w.select("row_id", "window_id", "start", _r(F.element_at("x", 1)).alias("first"), _r(F.element_at("x", -1)).alias("last"))
+    return w.select("row_id", "window_id", "start", _rounded(F.col("x")).alias("x"))
 
 
 @query("x7_normalise", f"WITH {V.WAVEFORMS} SELECT row_id, list_transform(x, lambda v: round(v / list_max(list_transform(x, lambda u: abs(u))), 6)) AS x FROM wf")
@@ -112,19 +111,19 @@ def x12_join(spark, d):
     return P.join_chunks(c, ["row_id"], "x", 20).select("row_id", _rounded(F.col("x")).alias("x"))
 
 
-@query("x13_cut_around_pick", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, (row_id * 7) % 64 - 8 AS first FROM wf) SELECT row_id, first >= 0 AND first + 16 <= 64 AS inside, CASE WHEN first >= 0 AND first + 16 <= 64 THEN round(x[first + 1], 6) END AS first_value FROM c")
+@query("x13_cut_around_pick", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, (row_id * 7) % 64 - 8 AS first FROM wf) SELECT row_id, first >= 0 AND first + 16 <= 64 AS inside, CASE WHEN first >= 0 AND first + 16 <= 64 THEN list_transform(x[first + 1:first + 16], lambda v: round(v, 6)) END AS x FROM c")
 def x13(spark, d):
     c = V.waveforms(spark, d).withColumn("c", A.cut(F.col("x"), ((F.col("row_id") * 7) % 64 - 8).cast("int"), 16))
-    return c.select("row_id", F.col("c").isNotNull().alias("inside"), _r(F.element_at("c", 1)).alias("first_value"))
+    return c.select("row_id", F.col("c").isNotNull().alias("inside"), _rounded(F.col("c")).alias("x"))
 
 
 _LAG = "('0x' || substr(md5('lag:' || row_id || ':' || copy), 1, 8))::BIGINT % 17 - 8"
 
 
-@query("x15_random_shift", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest([1, 2, 3]) AS copy FROM wf), l AS (SELECT *, {_LAG} AS lag FROM c) SELECT row_id, copy, lag::INT AS lag, (16 - lag)::INT AS pick_index, round(x[16 + lag + 1], 6) AS first_value FROM l")
+@query("x15_random_shift", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest([1, 2, 3]) AS copy FROM wf), l AS (SELECT *, {_LAG} AS lag FROM c) SELECT row_id, copy, lag::INT AS lag, (16 - lag)::INT AS pick_index, list_transform(x[16 + lag + 1:16 + lag + 32], lambda v: round(v, 6)) AS x FROM l")
 def x15(spark, d):
     c = V.waveforms(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("lag", A.random_lag("lag", F.col("row_id"), F.col("copy"), 8))
-    return c.select("row_id", "copy", "lag", (16 - F.col("lag")).alias("pick_index"), _r(F.element_at(A.cut(F.col("x"), 16 + F.col("lag"), 32), 1)).alias("first_value"))
+    return c.select("row_id", "copy", "lag", (16 - F.col("lag")).alias("pick_index"), _rounded(A.cut(F.col("x"), 16 + F.col("lag"), 32)).alias("x"))
 
 
 @query("x15_augmented", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest([1, 2]) AS copy FROM wf), l AS (SELECT *, ('0x' || substr(md5('aug:' || row_id || ':' || copy), 1, 8))::BIGINT % 9 - 4 AS lag FROM c), w AS (SELECT *, x[16 + lag + 1:16 + lag + 32] AS w FROM l) SELECT row_id, copy, lag::INT AS lag, (16 - lag)::INT AS pick_index, list_transform(w, lambda v: round(v / list_max(list_transform(w, lambda u: abs(u))), 6)) AS x, list_transform(range(0, 16), lambda i: CASE WHEN i + 16 + lag + 8 BETWEEN 22 AND 42 THEN 1 ELSE 0 END) AS y FROM w")
@@ -198,10 +197,10 @@ def x20(spark, d):
     return m.select("row_id", "window", "pick_index", "pick_index2", _rounded(F.col("x")).alias("x"), "y")
 
 
-@query("x21_segment_noise", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest(range(0, 4)) AS part FROM wf) SELECT row_id, part::INT AS part, round(list_sum(x[part * 16 + 1: part * 16 + 16]), 6) AS total FROM c")
+@query("x21_segment_noise", f"WITH {V.WAVEFORMS}, c AS (SELECT row_id, x, unnest(range(0, 4)) AS part FROM wf) SELECT row_id, part::INT AS part, list_transform(x[part * 16 + 1: part * 16 + 16], lambda v: round(v, 6)) AS x FROM c")
 def x21(spark, d):
     w = P.sliding_windows(V.waveforms(spark, d).select("row_id", "x"), "x", 16, 16)
-    return w.select("row_id", F.col("window_id").alias("part"), _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+    return w.select("row_id", F.col("window_id").alias("part"), _rounded(F.col("x")).alias("x"))
 
 
 @query("x22_zero_bad_windows", f"WITH {V.PROBS} SELECT row_id, len(list_filter(p, lambda v: v = 0.9)) > 0 AS had, round(CASE WHEN len(list_filter(q, lambda v: v = 1.0)) > 5 THEN 0 ELSE list_sum(q) END, 4) AS total FROM (SELECT *, list_transform(p, lambda v: CASE WHEN v > 0.45 THEN 1.0 ELSE v END) AS q FROM pr)")
@@ -393,14 +392,16 @@ def w12_chunks(spark, d):
 
 
 @query("x9_fill_gaps", f"""WITH {V.WAVEFORMS}, s AS (SELECT label AS station, row_id // 576 AS day, row_id % 576 * 150 + i AS t, x[i + 1] AS v FROM wf, (SELECT unnest(range(0, 64)) AS i)),
-l AS (SELECT *, lag(t) OVER w AS t1, lag(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY station, day ORDER BY t))
-SELECT station, day, 86400 AS npts, round(sum(CASE WHEN t1 IS NULL THEN v * (t + 1) ELSE (t - t1) * v1 + (v - v1) * (t - t1 + 1) / 2 END) + arg_max(v, t) * (86399 - max(t)), 4) AS total FROM l GROUP BY station, day""")
+g AS (SELECT station, day, unnest(range(0, 86400)) AS t FROM (SELECT DISTINCT station, day FROM s)),
+a AS (SELECT g.*, s.t AS t1, s.v AS v1 FROM g ASOF LEFT JOIN s ON g.station = s.station AND g.day = s.day AND g.t >= s.t),
+b AS (SELECT a.*, s.t AS t2, s.v AS v2 FROM a ASOF LEFT JOIN s ON a.station = s.station AND a.day = s.day AND a.t <= s.t)
+SELECT station, day, list(round(CASE WHEN t1 IS NULL THEN v2 WHEN t2 IS NULL OR t1 = t2 THEN v1 ELSE v1 + (v2 - v1) * (t - t1) / (t2 - t1) END, 5) + 0 ORDER BY t) AS data FROM b GROUP BY station, day""")
 def x9(spark, d):
     w = V.waveforms(spark, d)
     day = F.floor(F.col("row_id") / 576).cast("long")
     seg = w.select(F.col("label").alias("station"), day.alias("day"), (day * 86400 + F.col("row_id") % 576 * 150).cast("double").alias("starttime"), F.lit(1.0).alias("sampling_rate"), F.col("x").alias("data"))
     f = P.fill_gaps(seg, ["station"])
-    return f.select("station", "day", F.size("data").alias("npts"), _r(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return f.select("station", "day", F.transform("data", lambda v: F.round(v, 5) + 0.0).alias("data"))
 
 
 @query("x10_resample", f"""WITH {V.WAVEFORMS}, k AS (SELECT j, n, (1 + 2 * sum(cos(2 * pi() * f * (j / 160 - n / 64)))) / 64 AS w FROM (SELECT unnest(range(0, 160)) AS j), (SELECT unnest(range(0, 64)) AS n), (SELECT unnest(range(1, 33)) AS f) GROUP BY ALL),

@@ -272,13 +272,13 @@ def w1(spark, d):
 @query("w8_carry_over_tail", """WITH b AS (SELECT label::BIGINT AS station, vec_id AS day, list_transform(embedding, lambda v: v::DOUBLE) AS data, (CASE WHEN vec_id % 5 = 0 THEN 1000 ELSE 0 END + row_number() OVER (PARTITION BY label ORDER BY vec_id) * 64)::DOUBLE AS starttime FROM embeddings),
 l AS (SELECT *, lag(data[-10:]) OVER w AS tail, lag(starttime + len(data)) OVER w AS until FROM b WINDOW w AS (PARTITION BY station ORDER BY day)),
 j AS (SELECT *, coalesce(tail IS NOT NULL AND starttime - until + 1 > 0 AND starttime - until + 1 < 1.5, false) AS previous_appended FROM l)
-SELECT station, day, previous_appended, CASE WHEN previous_appended THEN starttime - 10 ELSE starttime END AS starttime, (CASE WHEN previous_appended THEN 10 ELSE 0 END + len(data))::BIGINT AS npts, round(CASE WHEN previous_appended THEN tail[1] ELSE data[1] END, 6) AS first_value FROM j""")
+SELECT station, day, previous_appended, CASE WHEN previous_appended THEN starttime - 10 ELSE starttime END AS starttime, list_transform(CASE WHEN previous_appended THEN list_concat(tail, data) ELSE data END, lambda v: round(v, 6)) AS data FROM j""")
 def w8(spark, d):
     w = V.waveforms(spark, d)
     rn = F.row_number().over(W.partitionBy("label").orderBy("row_id"))
     days = w.select(F.col("label").alias("station"), F.col("row_id").alias("day"), F.col("x").alias("data"), (F.when(F.col("row_id") % 5 == 0, 1000).otherwise(0) + rn * 64).cast("double").alias("starttime"), F.lit(1.0).alias("sampling_rate"))
     c = K.carry_over_tail(days, 10)
-    return c.select("station", "day", "previous_appended", "starttime", F.size("data").cast("long").alias("npts"), F.round(F.element_at("data", 1), 6).alias("first_value"))
+    return c.select("station", "day", "previous_appended", "starttime", F.transform("data", lambda v: F.round(v, 6)).alias("data"))
 
 
 @query("w10_empirical_cdf", f"WITH {V.PICKS}, m AS (SELECT min(amplitude) lo, max(amplitude) hi, count(amplitude) n FROM picks), g AS (SELECT unnest(range(0, 50))::INT AS step), s AS (SELECT ceil(round((amplitude - lo) / ((hi - lo) / 49), 9))::INT AS step FROM picks, m), c AS (SELECT step, count(*) AS c FROM s GROUP BY 1) SELECT g.step, round(lo + g.step * ((hi - lo) / 49), 6) AS x, round(sum(coalesce(c, 0)) OVER (ORDER BY g.step) / n, 6) AS share FROM g LEFT JOIN c USING (step), m")
@@ -330,10 +330,10 @@ def u3(spark, d):
     return P.append_pairs(c.filter("channel <> 'O'"), two).drop("channel")
 
 
-@query("x27_flip_polarity", f"WITH {V.WAVEFORMS}, w AS (SELECT row_id, x, label % 3 - 1 AS first_motion, ('0x' || substr(md5('flip:' || row_id), 1, 8))::BIGINT / 4294967296.0 < 0.5 AS u FROM wf) SELECT row_id, first_motion <> 0 AND u AS was_flipped, CASE WHEN first_motion <> 0 AND u THEN -first_motion ELSE first_motion END AS first_motion, round(CASE WHEN first_motion <> 0 AND u THEN -x[1] ELSE x[1] END, 6) AS x0 FROM w")
+@query("x27_flip_polarity", f"WITH {V.WAVEFORMS}, w AS (SELECT row_id, x, label % 3 - 1 AS first_motion, ('0x' || substr(md5('flip:' || row_id), 1, 8))::BIGINT / 4294967296.0 < 0.5 AS u FROM wf) SELECT row_id, first_motion <> 0 AND u AS was_flipped, CASE WHEN first_motion <> 0 AND u THEN -first_motion ELSE first_motion END AS first_motion, list_transform(x, lambda v: round(CASE WHEN first_motion <> 0 AND u THEN -v ELSE v END, 6) + 0) AS x FROM w")
 def x27(spark, d):
     w = V.waveforms(spark, d).withColumn("first_motion", F.col("label") % 3 - 1)
-    return S.flip_polarity(w, 0.5, "flip", "row_id").select("row_id", "was_flipped", "first_motion", F.round(F.element_at("x", 1), 6).alias("x0"))
+    return S.flip_polarity(w, 0.5, "flip", "row_id").select("row_id", "was_flipped", "first_motion", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
 @query("x25_absolute_times", f"WITH {V.EVALUATION} SELECT waveform_id, est_index, round(1000 + 0.01 * est_index, 6)::DOUBLE AS arrival_time FROM ev")

@@ -61,12 +61,13 @@ def s7(spark, d):
     return q.select("row_id", F.col("day").cast("long").alias("day"), F.aggregate("p", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query("s8_write_corrections", f"WITH {V.WAVEFORMS} SELECT row_id AS pick_id, label AS station, round(x[1], 6) AS shift FROM wf")
+@query("s8_write_corrections", f"WITH {V.WAVEFORMS} SELECT row_id AS pick_id, label AS station, round(x[1], 6) AS shift, list_transform(x, lambda v: round(v, 6)) AS preds FROM wf")
 def s8(spark, d):
     w = V.waveforms(spark, d).withColumnRenamed("row_id", "pick_id")
     path = io.scratch(spark, "s8")
     io.write_corrections(w.select("pick_id", F.col("label").alias("station")), w.select("pick_id", F.round(F.element_at("x", 1), 6).alias("shift")), w.select("pick_id", F.col("x").alias("preds")), path)
-    return spark.read.schema("pick_id long, station long, shift double").csv(f"{path}/corrections", header=True)
+    back = spark.read.schema("pick_id long, station long, shift double").csv(f"{path}/corrections", header=True)
+    return back.join(spark.read.parquet(f"{path}/predictions"), "pick_id").withColumn("preds", F.transform("preds", lambda v: F.round(v, 6)))
 
 
 @query("u4_join_pick_files", f"WITH {V.PICKS} SELECT pick_id, station, printf('%.6f', arrival_time) || '0' AS arrival_time FROM picks")
