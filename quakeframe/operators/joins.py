@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.sources.archive import by_key
 from quakeframe.sources.io import written
 
 ARCHIVE_KEYS = ["evid", "network", "station", "channel", "location"]
@@ -26,17 +27,16 @@ def repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")
 
 
-def attach_waveforms_3c(catalog: DataFrame, archive: DataFrame, keys: list[str], channels: dict[str, str]) -> DataFrame:
-    """Picks that have all three component waveforms. `channels` names, by component, the catalog column with its channel.
+def attach_waveforms_3c(catalog: DataFrame, stored: DataFrame, keys: list[str], channels: dict[str, str]) -> DataFrame:
+    """Picks that have all three component waveforms, x_{component}. `channels` names, by component, the catalog column with its channel.
 
-    The channels are unpivoted, so the archive is joined once and shuffled once. A pick given twice comes out twice; of
-    several waveforms that the archive has for a channel the smallest is taken.
+    `stored` is an archive of `store_archive`, where a key's channels lie in one row: catalog rows go to the bucket of
+    their key and find all three there. Arrays are neither shuffled nor aggregated, and each row is met once. An archive
+    that isn't stored (keys, channel, x) is grouped first. A pick given twice comes out twice.
     """
-    long = counted(catalog).withColumn("_c", F.explode(F.array(*[F.struct(F.lit(k).alias("component"), F.col(c).alias("channel")) for k, c in channels.items()])))
-    waves = archive.groupBy(*[F.col(k).alias(f"_a{k}") for k in keys], F.col("channel").alias("_channel")).agg(F.min("x").alias("_x"))
-    found = long.join(waves, [long[k] == waves[f"_a{k}"] for k in keys] + [long["_c.channel"] == waves["_channel"]])
-    one = found.groupBy(*catalog.columns, "_copies").agg(*[F.min(F.when(F.col("_c.component") == k, F.col("_x"))).alias(f"x_{k}") for k in channels])
-    return repeated(one.dropna(subset=[f"x_{k}" for k in channels]))
+    stored = stored if "waves" in stored.columns else by_key(stored, keys)
+    found = catalog.join(stored, keys).select(*[catalog[c] for c in catalog.columns], *[F.try_element_at("waves", F.col(c)).alias(f"x_{k}") for k, c in channels.items()])
+    return found.dropna(subset=[f"x_{k}" for k in channels])
 
 
 def coverage_left(catalog: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from quakeframe.operators import picking as P
 from quakeframe.operators import splits as S
 from quakeframe.plans import views as V
 from quakeframe.plans.registry import query
+from quakeframe.sources.archive import store_archive
 
 _ARCH = "arch AS (SELECT vec_id AS wave, x FROM (SELECT row_id AS vec_id, x FROM wf) WHERE vec_id % 3 <> 0)"
 
@@ -30,16 +31,17 @@ _REPEATED = "events UNION ALL SELECT * FROM events WHERE event_type = 'click'"
 
 @query("j2_attach_waveforms_3c", f"""
 WITH p AS (SELECT event_id AS pick_id, user_id % 40 AS station, 'c' || (event_id % 5) AS z, 'c' || ((event_id + 1) % 5) AS n, 'c' || ((event_id + 2) % 5) AS e FROM (SELECT * FROM {_REPEATED})),
-a AS (SELECT vec_id % 40 AS station, 'c' || label AS channel, min(embedding[1]::DOUBLE) AS x FROM embeddings WHERE label < 5 GROUP BY ALL)
-SELECT pick_id, p.station, round(az.x, 6) AS x_z, round(an.x, 6) AS x_n, round(ae.x, 6) AS x_e FROM p JOIN a az ON az.station = p.station AND az.channel = z JOIN a an ON an.station = p.station AND an.channel = n JOIN a ae ON ae.station = p.station AND ae.channel = e""")
+a AS (SELECT vec_id % 40 AS station, 'c' || label AS channel, min(list_transform(embedding, lambda v: v::DOUBLE)) AS x FROM embeddings WHERE label < 5 GROUP BY ALL)
+SELECT pick_id, p.station, {", ".join(f"list_transform(a{c}.x, lambda v: round(v, 6)) AS x_{c}" for c in "zne")} FROM p JOIN a az ON az.station = p.station AND az.channel = z JOIN a an ON an.station = p.station AND an.channel = n JOIN a ae ON ae.station = p.station AND ae.channel = e""")
 def j2(spark, d):
-    """Picks of one type are given twice, and the archive has many waveforms for each channel."""
+    """Picks of one type are given twice, and the archive, which is stored in buckets, has many waveforms for each channel."""
     p = V.picks(spark, d)
     p = p.unionAll(p.filter("phase = 'click'"))
     channel = lambda k: F.concat(F.lit("c"), ((F.col("pick_id") + k) % 5).cast("string"))
     p = p.select("pick_id", (F.col("station") % 40).alias("station"), channel(0).alias("z"), channel(1).alias("n"), channel(2).alias("e"))
-    a = V.waveforms(spark, d).filter("label < 5").select((F.col("row_id") % 40).alias("station"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("channel"), F.element_at("x", 1).alias("x"))
-    return J.attach_waveforms_3c(p, a, ["station"], {"z": "z", "n": "n", "e": "e"}).select("pick_id", "station", *[F.round(f"x_{k}", 6).alias(f"x_{k}") for k in "zne"])
+    a = V.waveforms(spark, d).filter("label < 5").select((F.col("row_id") % 40).alias("station"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("channel"), "x")
+    found = J.attach_waveforms_3c(p, store_archive(a, ["station"], 8), ["station"], {"z": "z", "n": "n", "e": "e"})
+    return found.select("pick_id", "station", *[F.transform(f"x_{k}", lambda v: F.round(v, 6)).alias(f"x_{k}") for k in "zne"])
 
 
 @query("j1_coverage", f"WITH {V.CATALOG} SELECT part % 3 <> 0 AND part < (SELECT count(*) FROM embeddings) AS found, count(*) AS n FROM catalog GROUP BY 1")

@@ -97,3 +97,20 @@ def test_picks_in_gaps(spark):
     g = K.find_gaps(s, ["station"]).first()
     kept = {r.k for r in J.mask_picks_in_gaps(p, K.find_gaps(s, ["station"]), ["station"]).collect()}
     assert (g.start_ind, g.end_ind) == (999, 1999) and kept == {0, 5}
+
+
+def test_arrays_of_a_stored_archive_stay_where_they_lie(spark):
+    from quakeframe.sources.archive import store_archive
+
+    archive = spark.createDataFrame([(k % 7, c, [float(k), float(j)]) for k in range(20) for j, c in enumerate(["HHE", "HHN", "HHZ"])] + [(8, "HHE", [1.0]), (9, None, [1.0]), (9, "HHZ", None)], "station int, channel string, x array<double>")
+    stored = store_archive(archive, ["station"], 4)
+    picks = spark.createDataFrame([(k, k % 10, "HHE", "HHN", "HHZ") for k in range(30)] * 2, "pick_id int, station int, e string, n string, z string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = J.attach_waveforms_3c(picks, stored, ["station"], {"e": "e", "n": "n", "z": "z"})
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Bucketed: true" in plan
+    assert len(got) == 42 and all(r.x_n == [float(r.station), 1.0] for r in got)
