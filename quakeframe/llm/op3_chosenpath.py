@@ -8,10 +8,12 @@ sampled tokens: sets that share the tokens met so far share a bucket. All sets a
 on DEPTH tokens; a bucket of at most BUCKET sets is then compared by brute force, a larger
 one is split again on tokens sampled from its path, up to LEVELS times. What is large even
 then, or what a split would not separate (many sets that share nearly everything), is
-compared in pairs of chunks, so nothing is dropped.
+compared in pairs of chunks (by number, and where full sets are held by bytes too), so nothing
+is dropped.
 
 Recall: `meeting` is the probability that a pair meets in a run, and `runs_for` repeats
-runs until a pair at the limit is met with probability RECALL.
+runs until a pair at the limit is met with probability RECALL. That counts runs as
+independent, though all sample the same T values; a test counts what is really missed.
 
 Pairs that meet and agree in the sketch give candidate clusters. Within a cluster every
 pair is then held against the true sets (links are exact: 9 * shared >= 4 * (a + b) for
@@ -47,6 +49,8 @@ from quakeframe.llm.components import components
 WORDS, T, DEPTH, WAYS = 5, 64, 2, 2
 BUCKET, CHUNK, LEVELS, DENSE = 1024, 512, 3, 0.7
 SIMILARITY, RECALL = 0.8, 1 - 1e-8
+#: Shingles of a chunk, in bytes: a task holds those of two chunks, whatever the length of the texts.
+CHUNK_BYTES = 32 << 20
 #: Sketches that agree in this many of T places make candidates: 5 deviations under the mean at similarity 0.8.
 AGREE = 35
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -123,11 +127,11 @@ def _places() -> np.ndarray:
     return np.stack([rng.choice(T, DEPTH, replace=False) for _ in range(RUNS)])
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest, sketch and the bucket of each run of every row's text (id, bytes); no sketch where a text has no word. A text seen last is not done again."""
+    """Digest, set size, sketch and the bucket of each run of every row's text (id, bytes); no sketch where a text has no word. A text seen last is not done again."""
     shingler, places = Shingler(), _places()
     starts = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
     lately: dict[bytes, tuple] = {}
@@ -139,16 +143,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if digest not in lately:
                 if len(lately) >= 4096:
                     lately.clear()
-                h, made = shingler.hashes(data), (None, None)
+                h = shingler.hashes(data)
+                made = 0, None, None
                 if len(h):
                     e, key = embedded(h), starts
                     for d in range(DEPTH):
                         key = mixed(key * np.uint64(31) + e[places[:, d]])
-                    made = (e & np.uint64(0xFFFF)).astype("<u2").tobytes(), key.view(np.int64)
+                    made = len(h), (e & np.uint64(0xFFFF)).astype("<u2").tobytes(), key.view(np.int64)
                 lately[digest] = made
             out.append((digest, *lately[digest]))
-        digests, sketches, keys = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
+        digests, sizes, sketches, keys = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -334,10 +339,10 @@ def _spare(digest: Column) -> Column:
 
 
 def classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Two written tables. Rows: id and digest. Texts: set (a number for each), digest, low (smallest id), copies, proper (whether the class is an id), class, sketch, keys."""
+    """Two written tables. Rows: id and digest. Texts: set (a number for each), digest, low (smallest id), copies, proper (whether the class is an id), class, n (its shingles), sketch, keys."""
     made = docs.select(docs[doc_id].cast("long").alias("id"), _bytes(docs, text).alias("text")).mapInArrow(_sketches, _ddl(_SKETCH))
     rows = common.written(made, "op3-rows")
-    texts = rows.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    texts = rows.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     # Written, so the numbers stay; and a join of two plain exchanges is one whose hot keys Spark can split.
     texts = common.written(texts.withColumn("set", F.monotonically_increasing_id()), "op3-texts")
     first = common.written(texts.filter(F.col("low").isNotNull()).groupBy(F.col("low").alias("_l")).agg(F.min("digest").alias("_d")), "op3-first")
@@ -363,13 +368,15 @@ def _joined(docs: DataFrame, doc_id: str, text: str, count: bool = True) -> tupl
     found_near = components(pairs.mapInArrow(_candidates, _ddl(_EDGES)).distinct(), "op3-near")
     near = found_near.withColumnsRenamed({"id": "_i", "root": "cluster"})
     common.forget(*used)
-    sizes = common.written(near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cluster", "_c"), "op3-cluster-sizes")
     # A set's text is that of the rows with its smallest id, so rows of a hot text lie apart.
-    wanted = near.join(texts.select("set", "digest", "low"), F.col("_i") == F.col("set")).select("set", "cluster", F.col("digest").alias("_d"), F.coalesce("low", F.lit(0)).alias("_l"))
+    wanted = near.join(texts.select("set", "digest", "low", "n"), F.col("_i") == F.col("set")).select("set", "cluster", "n", F.col("digest").alias("_d"), F.coalesce("low", F.lit(0)).alias("_l"))
     wanted = common.written(wanted, "op3-wanted")
+    # A cluster is cut by its sets or by their bytes, whichever takes more chunks.
+    size = F.greatest(F.count(F.lit(1)), CHUNK * F.ceil(8 * F.sum("n") / CHUNK_BYTES))
+    sizes = common.written(wanted.groupBy(F.col("cluster").alias("_c")).agg(size.alias("n")), "op3-cluster-sizes")
     body = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(0)).alias("_own"), _bytes(docs, text).alias("_text")).withColumn("_digest", F.unhex(F.md5("_text")))
     # The texts wanted grow with the documents, so they are never broadcast, at no size.
-    sets = body.join(wanted.hint("merge"), (body["_digest"] == wanted["_d"]) & (body["_own"] == wanted["_l"])).select("set", "cluster", "_text").mapInArrow(_sets, _ddl(_SETS))
+    sets = body.join(wanted.drop("n").hint("merge"), (body["_digest"] == wanted["_d"]) & (body["_own"] == wanted["_l"])).select("set", "cluster", "_text").mapInArrow(_sets, _ddl(_SETS))
     dealt = _chunk_pairs(sets.join(sizes, sets["cluster"] == sizes["_c"]), "cluster", "n").select("cluster", "i", "j", "chunk", "id", "shingles")
     found = common.written(dealt.mapInArrow(_verified(count), _ddl(_LINKS)), "op3-links")
     common.forget(sizes, wanted)

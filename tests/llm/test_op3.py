@@ -160,3 +160,17 @@ def test_components_of_paths_and_stars(spark):
     star = [(200, k) for k in range(100, 160)]
     got = {r.id: r.root for r in components(spark.createDataFrame(path + star + [(7, 7)], "a long, b long"), "t").collect()}
     assert len({got[k] for k in range(1, 61)}) == 1 and len({got[k] for k in [200, *range(100, 160)]}) == 1 and got[1] != got[200]
+
+
+def test_long_near_copies_fall_into_chunks_by_bytes(make, monkeypatch):
+    """Thirty near copies of 3,000 words each, of which three fit into a chunk."""
+    monkeypatch.setattr(op, "CHUNK_BYTES", 80_000)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(50000)}" for _ in range(3000)]
+    rows = []
+    for k in range(30):
+        w = list(base)
+        for _ in range(30):
+            w[rng.randrange(3000)] = f"x{k}-{rng.randrange(9999)}"
+        rows.append((k, " ".join(w), "en", "s"))
+    check(rows, op.join(make(rows)).collect())
