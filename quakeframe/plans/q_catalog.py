@@ -245,6 +245,18 @@ def w6(spark, d):
     return S.sample_k(V.picks(spark, d).select("pick_id", "phase"), 200, [S.shuffled("w6", F.col("pick_id")), F.col("pick_id")], ["phase"])
 
 
+@query("w6_sample_unknown", f"WITH {V.UNKNOWNS}, r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5('w6:' || waveform_id), waveform_id) AS rk FROM un) SELECT waveform_id, epoch FROM r WHERE rk <= 50")
+def w6_unknown(spark, d):
+    """Fifty rows of each epoch, those without one included."""
+    u = V.unknowns(spark, d).select("waveform_id", "epoch")
+    return S.sample_k(u, 50, [S.shuffled("w6", F.col("waveform_id")), F.col("waveform_id")], ["epoch"])
+
+
+@query("p1_filter_unknown", f"WITH {V.UNKNOWNS} SELECT waveform_id, epoch, pick_quality FROM un WHERE pick_quality >= 0.5 AND NOT isnan(pick_quality)")
+def p1_unknown(spark, d):
+    return C.filter_quality(V.unknowns(spark, d), 0.5).select("waveform_id", "epoch", "pick_quality")
+
+
 @query("w7_thin_every_nth", f"WITH {V.PICKS}, r AS (SELECT pick_id, row_number() OVER (ORDER BY md5('w7:' || pick_id), pick_id) AS rk FROM picks) SELECT pick_id FROM r WHERE (rk - 1) % 3 = 0")
 def w7(spark, d):
     return S.thin_every_nth(V.picks(spark, d).select("pick_id"), 3, [S.shuffled("w7", F.col("pick_id")), F.col("pick_id")])

@@ -294,6 +294,25 @@ def w11(spark, d):
     return K.pick_ids(p, ["station", "day"], ["arrival_time", "pick_id"]).select("pick_id", "station", "new_id")
 
 
+_SOME = "p AS (SELECT pick_id, CASE WHEN station % 9 <> 0 THEN station END AS station, arrival_time, CASE WHEN pick_id % 11 <> 0 THEN floor(arrival_time / 86400)::BIGINT END AS day, phase FROM picks)"
+
+
+def _some_picks(spark, d):
+    p = V.picks(spark, d)
+    return p.select("pick_id", F.when(F.col("station") % 9 != 0, F.col("station")).alias("station"), "arrival_time", F.when(F.col("pick_id") % 11 != 0, F.floor(F.col("arrival_time") / 86400)).alias("day"), "phase")
+
+
+@query("w11_unknown_stations", f"WITH {V.PICKS}, {_SOME} SELECT pick_id, station, row_number() OVER (ORDER BY station NULLS FIRST, day NULLS FIRST, arrival_time, pick_id) AS new_id FROM p")
+def w11_unknown(spark, d):
+    """Picks of no station, and of no day, have ids as well."""
+    return K.pick_ids(_some_picks(spark, d), ["station", "day"], ["arrival_time", "pick_id"]).select("pick_id", "station", "new_id")
+
+
+@query("a20_unknown_stations", f"WITH {V.PICKS}, {_SOME} SELECT station, day, phase, count(*) AS n FROM p GROUP BY ROLLUP (station, day, phase) HAVING grouping(station) = 0")
+def a20_unknown(spark, d):
+    return K.pick_rate(_some_picks(spark, d))
+
+
 _RATIO = "r AS (SELECT *, CASE WHEN row_number() OVER w >= 20 THEN round(avg(amplitude * amplitude) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(amplitude * amplitude) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) END AS ratio FROM picks WINDOW w AS (PARTITION BY station ORDER BY arrival_time, pick_id))"
 
 

@@ -173,3 +173,33 @@ def a19(spark, d):
 @query("o3_precision_recall_curve", f"WITH {V.EVALUATION}, {_DM} SELECT tolerance, precision, recall FROM dm WHERE epoch = 3")
 def o3(spark, d):
     return M.precision_recall_curve(a1(spark, d), 3)
+
+
+_UN = f"""{V.UNKNOWNS}, x AS (SELECT epoch, tolerance, {_STRATUM.replace('ev.', 'un.')} AS stratum, coalesce(proba > tolerance AND NOT isnan(proba), false) AS p, coalesce(true_index >= 0, false) AS t,
+  CASE WHEN coalesce(proba > tolerance AND NOT isnan(proba), false) AND true_index >= 0 THEN true_index - est_index END AS r FROM un, {_T})"""
+
+
+@query("a1_unknown_values", f"""WITH {_UN}, q AS (SELECT epoch, tolerance, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.75) AS q3 FROM x WHERE r IS NOT NULL GROUP BY ALL),
+fs AS (SELECT s.epoch, s.tolerance, round(avg(r), 6) AS fm, round(stddev_pop(r), 6) AS fd FROM x s JOIN q ON s.epoch IS NOT DISTINCT FROM q.epoch AND s.tolerance = q.tolerance WHERE r > q1 - 1.5 * (q3 - q1) AND r < q3 + 1.5 * (q3 - q1) GROUP BY ALL),
+m AS (SELECT epoch, tolerance, {_sums()}, round(coalesce(avg(r), 0), 6) residual_mean, round(coalesce(stddev_pop(r), 0), 6) residual_std FROM x GROUP BY ALL)
+SELECT m.epoch, m.tolerance, tp, tn, fp, fn, residual_mean, residual_std, tp + fn AS n_picks, tp AS n_picked, {_rates('tp', 'tn', 'fp', 'fn')}, coalesce(fm, 0) AS trimmed_residual_mean, coalesce(fd, 0) AS trimmed_residual_std
+FROM m LEFT JOIN fs ON m.epoch IS NOT DISTINCT FROM fs.epoch AND m.tolerance = fs.tolerance""")
+def a1_unknown(spark, d):
+    """Epochs of null are one of their own; what is unknown is neither predicted nor a pick."""
+    return M.detector_metrics(V.unknowns(spark, d), TOLS, ["epoch"])
+
+
+@query("a2_unknown_values", f"""WITH {_UN}, y AS (SELECT epoch, tolerance, stratum, p, t FROM x UNION ALL SELECT epoch, tolerance, 'all', p, t FROM x),
+g AS (SELECT epoch, tolerance, stratum, {_sums()}, count(*) AS n FROM y GROUP BY ALL) SELECT epoch, tolerance, stratum, tp + tn AS hits, n, {_rates('tp', 'tn', 'fp', 'fn')} FROM g""")
+def a2_unknown(spark, d):
+    return M.by_stratum(V.unknowns(spark, d).withColumn("stratum", C.event_stratum(F.col("event_type"), F.col("evid"))), TOLS)
+
+
+@query("a3_unknown_values", f"""WITH {V.UNKNOWNS}, s AS (SELECT epoch, 1e9 + true_index - est_index AS r FROM un), q AS (SELECT epoch, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.75) AS q3 FROM s WHERE r IS NOT NULL GROUP BY ALL),
+v AS (SELECT s.epoch, CASE WHEN r > q1 - 1.5 * (q3 - q1) AND r < q3 + 1.5 * (q3 - q1) THEN r - 1e9 END AS v FROM s JOIN q ON s.epoch IS NOT DISTINCT FROM q.epoch WHERE r IS NOT NULL)
+SELECT epoch, count(v) AS n_inside, round(1e9 + avg(v), 5) AS fence_mean, round(stddev_pop(v), 5) AS fence_std FROM v GROUP BY ALL""")
+def a3_unknown(spark, d):
+    """Residuals far from 0, some unknown, of known and unknown epochs."""
+    r = V.unknowns(spark, d).select("epoch", (1e9 + F.col("true_index") - F.col("est_index")).alias("r"))
+    f = M.fence_stats(r, ["epoch"], "r", 1.5)
+    return f.select("epoch", "n_inside", F.round("fence_mean", 5).alias("fence_mean"), F.round("fence_std", 5).alias("fence_std"))

@@ -136,3 +136,17 @@ def segments100(spark: SparkSession, d: str) -> DataFrame:
 SEGMENTS100 = """p100 AS (SELECT event_id AS id, CASE WHEN user_id % 50 <> 0 THEN user_id END AS station, 'HH' || substr('ENZ', (event_id % 3 + 1)::INT, 1) AS channel, round(epoch_us(ts) / 1e6 * 100) / 100 AS s, floor(value * 6000 + 1)::BIGINT AS n FROM events),
 q100 AS (SELECT station, channel, s AS starttime, n AS npts FROM p100 UNION ALL SELECT station, channel, s + (n + id % 9) / 100, 500 + id % 100 FROM p100),
 segs100 AS (SELECT station, channel, floor(starttime / 86400)::BIGINT AS day, starttime, 100.0::DOUBLE AS sampling_rate, npts FROM q100)"""
+
+
+def unknowns(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as detector outputs of which some have no epoch, a probability of NaN or none, an unknown true place, or a quality or distance of NaN."""
+    x, k = evaluation(spark, d), F.col("waveform_id")
+    nan = F.lit(float("nan"))
+    return x.select(
+        "waveform_id", "event_type", "evid", F.when(F.col("epoch") != 2, F.col("epoch")).alias("epoch"), F.when(k % 13 == 0, nan).when(k % 17 != 0, F.col("proba")).alias("proba"),
+        F.when(k % 19 != 0, F.col("true_index")).alias("true_index"), "est_index", F.when(k % 5 == 0, nan).when(k % 7 != 0, (k % 4) / 4).alias("pick_quality"),
+    )
+
+
+UNKNOWNS = f"""{EVALUATION}, un AS (SELECT waveform_id, event_type, evid, CASE WHEN epoch <> 2 THEN epoch END AS epoch, CASE WHEN waveform_id % 13 = 0 THEN 'nan'::DOUBLE WHEN waveform_id % 17 <> 0 THEN proba END AS proba,
+  CASE WHEN waveform_id % 19 <> 0 THEN true_index END AS true_index, est_index, CASE WHEN waveform_id % 5 = 0 THEN 'nan'::DOUBLE WHEN waveform_id % 7 <> 0 THEN waveform_id % 4 / 4 END::DOUBLE AS pick_quality FROM ev)"""
