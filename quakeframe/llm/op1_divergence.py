@@ -7,8 +7,11 @@ small letters (or characters beyond ASCII) for half of the characters of their w
 least, each text once however many copies it has. A language that isn't in `COMMON` has the LISTED
 commonest words of its own documents as its list, if it has MIN_DOCS of them. Documents
 without a reference of their own (no language, or one of fewer documents) are held against
-all references, and the smallest distance of each kind counts; if no language has a
-reference, against the counts over all clean texts.
+those of COMMON and of the NEAREST other languages with the most documents, and the smallest
+distance of each kind counts; if none of these has a reference, against the counts over
+their clean texts. Only those lists and references, a bounded number, are part of
+the plan; the ones of all further languages are tables, joined by language, however many
+there are.
 
 Defined results: a null or empty text has no words and fails the base rules; texts under
 the length guards pass the divergence test; where no clean text is there to refer to, all
@@ -47,6 +50,8 @@ CLASSES = {
 
 #: A language that isn't in COMMON has a reference of its own from so many documents up, and so many words in its list.
 MIN_DOCS, LISTED = 50, 40
+#: Languages besides COMMON, those of the most documents, whose references texts without one are held against.
+NEAREST = 28
 
 
 @dataclass(frozen=True)
@@ -87,35 +92,46 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_d", "_q", "_p")
 
 
-def lists(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """The common words by language: COMMON and, for every other language of MIN_DOCS documents, its commonest words."""
+def lists(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, list[str]], DataFrame | None]:
+    """The common words by language: COMMON and those of the NEAREST other languages; and a written table (_lang, _own) of all further ones of MIN_DOCS documents, if there are any.
+
+    A language's words are counted where its texts lie, so no text is moved for them.
+    """
     rows = docs.select(F.col(lang).cast("string").alias("_lang"), common.text_of(docs, text).alias("_t")).filter(~F.col("_lang").isin(list(COMMON)))
-    many = [r["_lang"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS).collect()]  # documents / MIN_DOCS at most
-    if not many:
-        return dict(COMMON)
-    words = rows.filter(F.col("_lang").isin(many)).select("_lang", F.explode(common.words_of(F.col("_t"))).alias("_word"))
-    counts = words.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("n"))
+    many = common.written(rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= MIN_DOCS), "op1-languages")
+    if many.isEmpty():
+        return dict(COMMON), None
+    counts = rows.select("_lang", F.explode(common.words_of(F.col("_t"))).alias("_word")).groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(many.withColumnRenamed("_lang", "_l"), F.col("_lang") == F.col("_l"), "left_semi")
     top = counts.withColumn("_k", F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("n"), "_word"))).filter(F.col("_k") <= LISTED)
-    own: dict[str, list[str]] = {name: [] for name in many}
-    for r in top.orderBy("_lang", "_k").collect():
-        own[r["_lang"]].append(r["_word"])
-    return COMMON | own
+    words = top.groupBy(F.col("_lang").alias("_l")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_word"))), lambda x: x["_word"]).alias("_own"))
+    all_ = common.written(many.join(words, F.col("_lang") == F.col("_l"), "left").select("_lang", "_docs", F.coalesce("_own", F.array().cast("array<string>")).alias("_own")), "op1-lists")
+    first = all_.orderBy(F.desc("_docs"), "_lang").limit(NEAREST).collect()
+    further = all_.filter(~F.col("_lang").isin([r["_lang"] for r in first])).select("_lang", "_own")
+    return COMMON | {r["_lang"]: list(r["_own"]) for r in first}, None if further.isEmpty() else further
 
 
-def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...], listing: dict[str, list[str]]) -> DataFrame:
-    """One row per document: the base counts, the counts by class and by common word of its language, or, without one of `listing`, by all listed words."""
+def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...], listing: dict[str, list[str]], further: DataFrame | None = None) -> DataFrame:
+    """One row per document: the base counts, the counts by class and by common word of its language, or, without a list, by all words of `listing`; and _has, whether its list is one of `further`."""
     df = docs.select(*keep, F.col(lang).cast("string").alias("_lang"), common.text_of(docs, text).alias("_t"))
+    none = F.lit(None).cast("array<string>")
+    if further is None:
+        df = df.withColumn("_own", none)
+    else:  # only texts of languages that aren't listed are moved
+        elsewhere = F.coalesce(~F.col("_lang").isin(list(listing)), F.lit(False))
+        other = df.filter(elsewhere).join(further.withColumnRenamed("_lang", "_l"), F.col("_lang") == F.col("_l"), "left").drop("_l")
+        df = df.filter(~elsewhere).withColumn("_own", none).unionByName(other)
     df = df.withColumn("_w", common.words_of(F.col("_t"))).withColumn("n_chars_all", F.length("_t").cast("long"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     df = _repeat_words(df)
     listed = _listed(listing)
-    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_c", F.filter("_w", lambda x: x.isin(listed)))
+    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_c", F.filter("_w", lambda x: x.isin(listed) | F.coalesce(F.array_contains("_own", x), F.lit(False)) if further is not None else x.isin(listed)))
     mine = F.lit(None).cast("array<string>")
     for name, ws in [("", listed), *listing.items()]:
         here = F.col("_lang") == name if name else F.coalesce(~F.col("_lang").isin(list(listing)), F.lit(True))
         mine = F.when(here, F.array(*map(F.lit, ws)).cast("array<string>")).otherwise(mine)
-    df = df.withColumn("_mine", mine)
+    df = df.withColumns({"_mine": F.coalesce("_own", mine), "_has": F.col("_own").isNotNull()})
     c = F.col("_c")
     df = df.withColumn("words_hist", F.transform("_mine", lambda x: (F.size(c) - F.size(F.array_remove(c, x))).cast("long")))
     rest, before = F.col("_t"), F.col("n_chars_all")
@@ -129,7 +145,7 @@ def _features(docs: DataFrame, text: str, lang: str, keep: tuple[str, ...], list
     blank, symbol = list(CLASSES).index("blank"), list(CLASSES).index("symbol")
     df = df.withColumn("word_chars", F.col("n_chars_all") - F.col("chars_hist")[blank]).withColumn("n_symbols", F.col("chars_hist")[symbol])
     df = df.withColumn("_hash", F.md5("_t"))
-    return df.select(*keep, "_lang", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "chars_hist", "words_hist")
+    return df.select(*keep, "_lang", "_has", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "chars_hist", "words_hist")
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -155,22 +171,21 @@ def clean(features: DataFrame) -> DataFrame:
     return features.filter(~base_failed() & (2 * small >= F.col("word_chars"))).select("_lang", "_hash", "chars_hist", "words_hist", "n_words", "n_chars_all").dropDuplicates(["_lang", "_hash"])
 
 
-def references(features: DataFrame, listing: dict[str, list[str]]) -> DataFrame:
-    """Per language of `listing`, the summed histograms of its clean texts: one row for each of them at most."""
-    known = clean(features.filter(F.col("_lang").isin(list(listing))))
-    k, m = len(CLASSES) + 1, max(map(len, listing.values()))
-    sums = [F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)] + [F.sum(F.get("words_hist", F.lit(i))).alias(f"w{i}") for i in range(m)]
+def references(features: DataFrame, most: int) -> DataFrame:
+    """Per language the summed histograms of its clean texts, with lists of `most` words: c0, c1, ..., w0, w1, ..., nw and nc."""
+    known = clean(features)
+    sums = [F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.get("words_hist", F.lit(i))).alias(f"w{i}") for i in range(most)]
     return known.groupBy("_lang").agg(*sums, F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc"))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of every document with its counts, both distances, base_failed and kept."""
-    listing = lists(docs, text, lang)
+    listing, further = lists(docs, text, lang)
     listed = _listed(listing)
-    features = common.written(_features(docs, text, lang, keep, listing), "op1-features")
+    features = common.written(_features(docs, text, lang, keep, listing, further), "op1-features")
     k = len(CLASSES) + 1
-    # As many rows as there are languages in COMMON or of MIN_DOCS documents, so they can go into the expression itself.
-    refs = {r["_lang"]: r for r in references(features, listing).collect()}
+    # As many rows as there are languages in COMMON and NEAREST, so they can go into the expression itself.
+    refs = {r["_lang"]: r for r in references(features.filter(F.col("_lang").isin(list(listing))), max(map(len, listing.values()))).collect()}
     share = lambda xs, n: F.transform(xs, lambda x: x.cast("double") / n)
     fixed = lambda xs, n: F.array(*[F.lit(x / n if n else None).cast("double") for x in xs]).cast("array<double>")
     with_rest = lambda xs: F.concat(xs, F.array(1 - F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)))
@@ -183,12 +198,19 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
         if r["nc"] and r["nw"]:
             every.append(F.struct(F.array(*[F.lit(listed.index(w)) for w in listing[name]]).cast("array<int>").alias("at"), own_chars.alias("qc"), own_words.alias("qw")))
     if not every:
-        pooled = clean(features).agg(*[F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)], *[F.sum(F.col("words_hist")[i]).alias(f"w{i}") for i in range(len(listed))], F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc")).first()
+        pooled = clean(features.filter(~F.col("_has"))).agg(*[F.sum(F.col("chars_hist")[i]).alias(f"c{i}") for i in range(k)], *[F.sum(F.col("words_hist")[i]).alias(f"w{i}") for i in range(len(listed))], F.sum("n_words").alias("nw"), F.sum("n_chars_all").alias("nc")).first()
         if pooled["nc"] and pooled["nw"]:  # null without a clean text
             places = F.array(*map(F.lit, range(len(listed))))
             every.append(F.struct(places.alias("at"), fixed([pooled[f"c{i}"] for i in range(k)], pooled["nc"]).alias("qc"), with_rest(fixed([pooled[f"w{i}"] for i in range(len(listed))], pooled["nw"])).alias("qw")))
     df = features.withColumns({"_qc": chars, "_qw": words})
-    none_of_its_own = F.coalesce(~F.col("_lang").isin(list(refs)), F.lit(True))
+    none_of_its_own = F.coalesce(~F.col("_lang").isin(list(refs)), F.lit(True)) & F.col("_qc").isNull()
+    if further is not None:
+        own = references(features.filter("_has"), LISTED).withColumnRenamed("_lang", "_l")
+        counts = lambda head, n: F.filter(F.array(*[F.col(f"{head}{i}") for i in range(n)]), lambda x: x.isNotNull())
+        per = lambda xs, n: F.transform(xs, lambda x: F.try_divide(x.cast("double"), n))
+        own = own.select("_l", per(counts("c", k), F.col("nc")).alias("_oc"), with_rest(per(counts("w", LISTED), F.col("nw"))).alias("_ow"))
+        mine = df.filter("_has").join(own, F.col("_lang") == F.col("_l"), "left").withColumns({"_qc": F.col("_oc"), "_qw": F.col("_ow")}).drop("_l", "_oc", "_ow")
+        df = df.filter(~F.col("_has")).unionByName(mine)
     df = df.withColumn("_pc", F.when(F.col("n_chars_all") >= rules.min_chars, share("chars_hist", F.col("n_chars_all"))))
     df = df.withColumn("_pw", F.when(F.col("n_words") >= rules.min_words, with_rest(share("words_hist", F.col("n_words")))))
     char, word = _distance(F.col("_pc"), F.col("_qc")), _distance(F.col("_pw"), F.col("_qw"))

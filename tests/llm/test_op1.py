@@ -124,3 +124,18 @@ def test_junk_and_copies_do_not_move_the_references(make):
     more = [(100 + k, rows[3][1], "en", "s") for k in range(200)] + [(400 + k, "# " * 100, "en", "s") for k in range(50)] + [(500, None, "en", "s")]
     after = {r.doc_id: (r.char_distance, r.word_distance) for r in op.judge(make(rows + more), keep=["doc_id"]).collect()}
     assert all(after[k] == before[k] for k in range(20)) and after[150] == before[3]
+
+
+def test_languages_beyond_the_nearest_are_joined(make, monkeypatch):
+    """The verdicts of a language of its own are the same whether its reference is in the plan or in a table."""
+    prose, salad, symbols = texts()
+    words = {"it": ["il", "che", "di", "non", "per", "sono", "con", "una", "alla", "anche", "come", "della"], "pt": ["de", "que", "não", "uma", "os", "para", "com", "mais", "foi", "ele", "das", "tem"]}
+    rows = [(1000 * j + k, prose(ws * 2), lang, "s") for j, (lang, ws) in enumerate(words.items()) for k in range(60 + j)] + [(5000 + k, prose(op.COMMON["en"]), "en", "s") for k in range(20)]
+    rows += [(6000, symbols, "it", "s"), (6001, prose(words["pt"]).upper(), "pt", "s"), (6002, salad(), "it", "s"), (6003, prose(op.COMMON["en"]), None, "s"), (6004, None, "it", "s"), (6005, prose(op.COMMON["de"]), "rare", "s")]
+    run = lambda: {r.doc_id: r.asDict() for r in op.judge(make(rows), keep=["doc_id"]).collect()}
+    want = run()
+    for n in (0, 1):
+        monkeypatch.setattr(op, "NEAREST", n)
+        got = run()
+        assert got.keys() == want.keys() and all(got[k] == want[k] for k in got if k not in (6003, 6005))
+        assert got[6003]["kept"] and got[6003]["word_distance"] is not None
