@@ -66,8 +66,8 @@ def add_magnitudes(df: DataFrame, magnitudes: DataFrame, key: str = "evid") -> D
     return df.join(one, key, "left")
 
 
-#: Cut points between the magnitude ranges of a station's partners.
-CUTS = [k / 256 for k in range(1, 256)]
+#: Cut points between the magnitude ranges of a station's partners at most, and partners of a range at least.
+CUTS, RANGE_ROWS = [k / 256 for k in range(1, 256)], 20_000
 
 
 def _between_cuts(value: Column, inclusive: bool = False) -> Column:
@@ -78,11 +78,13 @@ def _between_cuts(value: Column, inclusive: bool = False) -> Column:
 def magnitude_index(right: DataFrame, keys: list[str], seed: str) -> DataFrame:
     """The partners of each `keys` by rank: evid2, magnitude2, _place (from 0, by magnitude, md5 and evid), _cuts, and _range, a run of places that one task sorts.
 
-    Ranges lie between approximate quantiles. A magnitude that fills several of them (a station with a million equal ones)
+    Ranges lie between approximate quantiles, as many as the number of partners asks for. A magnitude that fills several of them (a station with a million equal ones)
     is dealt to them by the md5, which is also the order inside a magnitude, so no range holds much more than others.
     """
     r = right.filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).select(*keys, F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2")).distinct()
-    cuts = r.groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx("magnitude2", CUTS, 4096).alias("_cuts"))
+    cuts = r.groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx("magnitude2", CUTS, 4096).alias("_cuts"), F.count(F.lit(1)).alias("_c"))
+    step = F.greatest(F.lit(1), F.ceil(F.lit(256 * RANGE_ROWS) / F.col("_c"))).cast("int")
+    cuts = cuts.withColumn("_cuts", F.filter("_cuts", lambda c, i: (i + 1) % step == 0)).drop("_c")
     r = r.join(cuts, [r[k] == cuts[f"_c{k}"] for k in keys]).drop(*[f"_c{k}" for k in keys])
     r = r.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "evid2")))
     share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") / 4294967296.0

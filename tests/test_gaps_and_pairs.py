@@ -13,7 +13,9 @@ from quakeframe.operators import joins as J
 PICK = "evid long, station string, magnitude double, line long"
 
 
-def test_pairs_are_partners_and_no_row_is_lost(spark):
+@pytest.mark.parametrize("rows_of_a_range", [20_000, 3])
+def test_pairs_are_partners_and_no_row_is_lost(spark, monkeypatch, rows_of_a_range):
+    monkeypatch.setattr(J, "RANGE_ROWS", rows_of_a_range)
     rng = random.Random(3)
     rows = [(k % 90, rng.choice(["a", "b", None]), rng.choice([None, float("nan"), *[m / 10 for m in range(20)]]), k) for k in range(600)]
     got = J.pair_events(spark.createDataFrame(rows, PICK), spark.createDataFrame(rows, PICK), ["station"], -0.3, 0.4, "s", ["line"]).collect()
@@ -33,8 +35,9 @@ def test_partners_are_equally_likely(spark):
     assert sum((c - 20000 / 19) ** 2 / (20000 / 19) for c in n.values()) < 50  # chi-square of 18 degrees
 
 
-def test_a_hot_station_of_one_magnitude(spark):
+def test_a_hot_station_of_one_magnitude(spark, monkeypatch):
     """100,000 picks that could all pair with each other: as many rows come out, from ranges of even sizes."""
+    monkeypatch.setattr(J, "RANGE_ROWS", 390)
     hot = spark.range(100_000).select(F.col("id").alias("evid"), F.lit("a").alias("station"), F.lit(2.5).alias("magnitude"))
     sizes = J.magnitude_index(hot, ["station"], "s").groupBy("_range").count().collect()
     assert len(sizes) > 200 and max(r["count"] for r in sizes) < 1000
