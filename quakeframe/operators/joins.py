@@ -112,7 +112,7 @@ def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float,
     points = index.select(*keys, "_range", F.lit(1).alias("_kind"), F.col("magnitude2").alias("_at"), "_h", "evid2").unionByName(asked, allowMissingColumns=True)
     w = W.partitionBy(*keys, "_range").orderBy("_at", "_kind", "_h", "evid2").rowsBetween(W.unboundedPreceding, W.currentRow)
     points = points.withColumn("_inside", F.sum((F.col("_kind") == 1).cast("long")).over(w))
-    filled = points.select(*keys, "_range").distinct().join(sizes, [*keys, "_range"], "left")
+    filled = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_range")).join(sizes, [*keys, "_range"], "left")
     before = filled.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     points = written(points.join(before, [*keys, "_range"]).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_range", "_h"), "pair-places")
     found = points.filter("_kind = 1").select(*keys, "evid2", F.col("_at").alias("magnitude2"), (F.col("_place") - 1).alias("_place"))
