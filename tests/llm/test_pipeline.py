@@ -181,7 +181,7 @@ def plain_mixture(rows):
     totals = defaultdict(int)
     for r in rows:
         totals[r[3]] += size(r[1])
-    target, out = test_op8.target_of(totals), []
+    target, out, seen = test_op8.target_of(totals), [], Counter()
     for source, total in totals.items():
         own = []
         for r in rows:
@@ -189,7 +189,10 @@ def plain_mixture(rows):
                 t = r[1] or ""
                 share = sum(map(len, regex.findall(r"[\p{L}\p{M}]+", t))) / len(t) if t else 0
                 weight = max(0.25, float(Decimal(repr(share)).quantize(Decimal("0.0001"), ROUND_HALF_UP)))
-                u = (int(hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+                digest = hashlib.md5(t.encode()).hexdigest()
+                seen[r[0], digest] += 1  # rows that agree in id and text are numbered
+                known = ":".join(["mix-1", *([] if r[0] is None else [str(r[0])]), digest, str(seen[r[0], digest])])
+                u = (int(hashlib.md5(known.encode()).hexdigest()[:8], 16) + 0.5) / 2**32
                 own.append((-math.log(u) / weight, r[0], size(t), r))
         epochs = int(target[source] // total) if total else 0
         rest, upto = target[source] - epochs * total, 0
