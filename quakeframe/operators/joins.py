@@ -82,10 +82,12 @@ def magnitude_index(right: DataFrame, keys: list[str], seed: str) -> DataFrame:
     is dealt to them by the md5, which is also the order inside a magnitude, so no range holds much more than others.
     """
     r = right.filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).select(*keys, F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2")).distinct()
-    cuts = r.groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx("magnitude2", CUTS, 4096).alias("_cuts"), F.count(F.lit(1)).alias("_c"))
+    r = written(r, "pair-partners")
+    large = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > RANGE_ROWS)
+    cuts = r.join(large, keys).groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx("magnitude2", CUTS, 4096).alias("_cuts"), F.max("_c").alias("_c"))
     step = F.greatest(F.lit(1), F.ceil(F.lit(256 * RANGE_ROWS) / F.col("_c"))).cast("int")
     cuts = cuts.withColumn("_cuts", F.filter("_cuts", lambda c, i: (i + 1) % step == 0)).drop("_c")
-    r = r.join(cuts, [r[k] == cuts[f"_c{k}"] for k in keys]).drop(*[f"_c{k}" for k in keys])
+    r = r.join(cuts, [r[k] == cuts[f"_c{k}"] for k in keys], "left").drop(*[f"_c{k}" for k in keys]).withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<double>")))
     r = r.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "evid2")))
     share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") / 4294967296.0
     first = _between_cuts(F.col("magnitude2"))
@@ -117,7 +119,11 @@ def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float,
     points = written(points.join(before, [*keys, "_range"]).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_range", "_h"), "pair-places")
     found = points.filter("_kind = 1").select(*keys, "evid2", F.col("_at").alias("magnitude2"), (F.col("_place") - 1).alias("_place"))
     spans = points.filter("_kind <> 1").groupBy(*own).agg(F.max(F.when(F.col("_kind") == 0, F.col("_place"))).alias("_from"), F.max(F.when(F.col("_kind") == 2, F.col("_place"))).alias("_to"))
-    events = found.groupBy(*keys, F.col("evid2").alias("evid")).agg(F.sort_array(F.collect_list("_place")).alias("_own"))  # the magnitudes of one event
+    of_event = found.select(*keys, F.col("evid2").alias("evid"), "_place")
+    ends = of_event.groupBy(*keys, "evid").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_a"), F.max("_place").alias("_b"))
+    few = ends.filter("_n <= 2").select(*keys, "evid", F.when(F.col("_n") == 1, F.array("_a")).otherwise(F.array("_a", "_b")).alias("_own"))
+    many = of_event.join(ends.filter("_n > 2"), [*keys, "evid"], "left_semi").groupBy(*keys, "evid").agg(F.sort_array(F.collect_list("_place")).alias("_own"))
+    events = few.unionByName(many)  # the magnitudes that an event is given with
     spans = spans.filter(F.col("_to") > F.col("_from")).join(events, [*keys, "evid"], "left")
     mine = F.coalesce(F.filter("_own", lambda p: (p >= F.col("_from")) & (p < F.col("_to"))), F.array().cast("array<bigint>"))
     spans = spans.withColumn("_own", mine).withColumn("_choice", F.col("_to") - F.col("_from") - F.size("_own")).filter("_choice > 0")
