@@ -22,6 +22,7 @@ the input are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ from quakeframe.llm import common
 LEAST_LENGTH, LEAST_COUNT, SLIP = 5, 3, 97
 #: Words and letters of a chunk at most; words and letters that a task counts before it hands them on.
 CHUNK, CHUNK_LETTERS, HELD, HELD_LETTERS = 2048, 1 << 22, 200_000, 1 << 26
+#: Pairs of words that a task compares, about; what a pair of chunks costs beside them, in pairs of words.
+TASK_PAIRS, PAIR_COST = 1 << 24, 1 << 12
 #: Classes of letters, of about equal weight in European texts; others go by their code.
 CLASSES = ("ekvjqxzf", "tdbwy", "ahpg", "orin", "slcum")
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(0xC0, 0x100)])
@@ -110,20 +113,21 @@ def _neighbours(h: list[Column]) -> Column:
 
 
 def blocks(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two written tables. Chunks: key, chunk, length, words (with counts). Pairs: a, i, b, j, the keys and chunks that are compared."""
+    """Two written tables. Chunks: key, chunk, length, words (with counts). Pairs: a, i, b, j, the keys and chunks that are compared, and work, about the number of pairs of words."""
     of_class = [F.length("word") - F.length(F.translate("word", letters, "")) for letters in class_letters()]
     w = words.withColumns({"key": _key(of_class), "length": F.length("word"), **{f"h{k}": c for k, c in enumerate(of_class)}})
     most = F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.floor(F.lit(CHUNK_LETTERS) / F.col("length"))))
     sizes = w.groupBy("key", "length", *[f"h{k}" for k in range(len(CLASSES))]).agg(F.count(F.lit(1)).alias("m")).withColumn("chunks", F.ceil(F.col("m") / most).cast("int"))
     sizes = common.written(sizes, "op12-blocks")
-    s = sizes.select(F.col("key").alias("_k"), "chunks")
+    s = sizes.select(F.col("key").alias("_k"), "chunks", (F.col("m") / F.col("chunks")).alias("mean"))
     chunk = F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int")
-    dealt = w.select("key", "length", "word", "n").join(s, F.col("key") == F.col("_k")).withColumn("chunk", chunk)
+    dealt = w.select("key", "length", "word", "n").join(s.drop("mean"), F.col("key") == F.col("_k")).withColumn("chunk", chunk)
     chunks = common.written(dealt.groupBy("key", "chunk", "length").agg(F.collect_list(F.struct("word", "n")).alias("words")), "op12-chunks")
-    a = sizes.select(F.col("key").alias("a"), F.col("chunks").alias("na"), F.explode(_neighbours([F.col(f"h{k}") for k in range(len(CLASSES))])).alias("b"))
-    ab = a.join(s, F.col("b") == F.col("_k")).select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "chunks")
+    a = sizes.select(F.col("key").alias("a"), F.col("chunks").alias("na"), (F.col("m") / F.col("chunks")).alias("ma"), F.explode(_neighbours([F.col(f"h{k}") for k in range(len(CLASSES))])).alias("b"))
+    ab = a.join(s, F.col("b") == F.col("_k")).withColumn("work", F.col("ma") * F.col("mean") + PAIR_COST)
+    ab = ab.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "chunks", "work")
     ab = ab.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j")))
-    pairs = common.written(ab.select("a", "i", "b", "j"), "op12-pairs")
+    pairs = common.written(ab.select("a", "i", "b", "j", "work"), "op12-pairs")
     common.forget(sizes)
     return chunks, pairs
 
@@ -194,8 +198,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(words: DataFrame) -> DataFrame:
     """word, n_near and best (count and name of the near word that occurs most often) of all words that have one."""
     chunks, pairs = blocks(words)
+    # A pair of chunks is a few bytes that cost up to CHUNK^2 comparisons, so tasks are dealt by work, not by bytes.
+    tasks = max(1, math.ceil((pairs.agg(F.sum("work")).first()[0] or 0) / TASK_PAIRS))
     side = lambda key, chunk, tail: chunks.select(F.col("key").alias(f"_{key}"), F.col("chunk").alias(f"_{chunk}"), F.col("length").alias(f"l{tail}"), F.col("words").alias(f"w{tail}"))
     met = pairs.join(side("a", "i", "a"), (F.col("a") == F.col("_a")) & (F.col("i") == F.col("_i")))
+    met = met.repartition(tasks, "b", "j")
     met = met.join(side("b", "j", "b"), (F.col("b") == F.col("_b")) & (F.col("j") == F.col("_j")))
     met = met.select(((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("same"), "la", "wa", "lb", "wb")
     found = met.mapInArrow(_compared, "word string, n_near long, best_n long, best string")
