@@ -8,11 +8,15 @@ Their summaries are packed into pages, a distributed table as well: no task and
 holds them all.
 
 A query visits its blocks in the order of its own bounds. Visits go in bands: first the
-blocks of the highest bound, then those down to half way between that and the k-th score,
+block of the highest bound, then those down to half way between that and the k-th score,
 half way again, and last the rest; the k-th score is taken anew after each band, and a
 block is left out as soon as its bound is under it. (A job for every single block would
-take as many jobs as there are blocks.) Queries travel to blocks in chunks, blocks never
-travel to queries.
+take as many jobs as there are blocks.)
+
+Queries meet the summaries twice, whatever the number of bands: once for each query's best
+block, and once for the list of its blocks whose bounds reach the k-th score of that one.
+The bands read this list of (query, block, bound), and a query's vector goes only to blocks
+that it visits, in chunks of queries; blocks never travel to queries.
 
 Scores are integers, so all of this is exact; ties go to the smaller id. Where a product
 could leave a long it is taken in Python's integers, and what is beyond LIMIT is held there:
@@ -45,9 +49,9 @@ SCALE = 256
 NONE = -(2**63)
 LIMIT = 2**62 - 1
 _BLOCKS = pa.schema([("block", pa.int64()), ("page", pa.int64()), ("dims", pa.int64()), ("kind", pa.string()), ("ids", pa.binary()), ("matrix", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
-_CHUNKS = pa.schema([("dims", pa.int64()), ("queries", pa.binary()), ("vectors", pa.binary()), ("upper", pa.binary()), ("lower", pa.binary()), ("least", pa.binary())])
-_TOPS = pa.schema([("query_id", pa.int64()), ("top", pa.int64())])
-_ROUTES = pa.schema([("block", pa.int64()), ("queries", pa.binary()), ("vectors", pa.binary()), ("least", pa.binary())])
+_CHUNKS = pa.schema([("dims", pa.int64()), ("queries", pa.binary()), ("vectors", pa.binary()), ("first", pa.binary()), ("least", pa.binary())])
+_TOPS = pa.schema([("query_id", pa.int64()), ("top", pa.int64()), ("block", pa.int64())])
+_VISITS = pa.schema([("query_id", pa.int64()), ("block", pa.int64()), ("bound", pa.int64())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -113,11 +117,11 @@ def _make_blocks(size: int, page_parts: int):
 
 
 def _make_chunks(size: int):
-    """Queries (dims, vec_id, v, upper, lower, least) as rows of up to `size`."""
+    """Queries (dims, vec_id, v, first, least) as rows of up to `size`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dims, t in _in_order(batches, size):
-            numbers = [t.column(c).to_numpy().astype("<i8").tobytes() for c in ("upper", "lower", "least")]
+            numbers = [t.column(c).to_numpy().astype("<i8").tobytes() for c in ("first", "least")]
             yield _row(_CHUNKS, dims, t.column("vec_id").to_numpy().astype("<i8").tobytes(), _matrix(t.column("v"), dims).astype("<i8").tobytes(), *numbers)
 
     return run
@@ -143,32 +147,29 @@ def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _chunk_and_page(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
-    """Blocks, queries, their vectors and limits, and all bounds, of a row that joins a chunk of queries and a page of summaries."""
+    """Blocks, queries, their first blocks and limits, and all bounds, of a row that joins a chunk of queries and a page of summaries."""
     dims = b.column("dims")[r].as_py()
-    queries, q, upper, lower, least = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "upper", "lower", "least"))
+    queries, q, first, least = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "first", "least"))
     own = b.column("heads")[r].values
     high, low = (np.frombuffer(b"".join(own.field(c).to_pylist()), "<i8").reshape(-1, dims) for c in ("high", "low"))
-    q = q.reshape(-1, dims)
-    return own.field("block").to_numpy(), queries, q, upper, lower, least, _bounds(q, high, low)
+    return own.field("block").to_numpy(), queries, first, least, _bounds(q.reshape(-1, dims), high, low)
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each query's highest bound in a page."""
+    """Each query's highest bound in a page, and a block that has it."""
     for b in batches:
         for r in range(b.num_rows):
-            _, queries, *_, bound = _chunk_and_page(b, r)
-            yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(bound.max(1))], schema=_TOPS)
+            blocks, queries, _, _, bound = _chunk_and_page(b, r)
+            yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(bound.max(1)), pa.array(blocks[bound.argmax(1)])], schema=_TOPS)
 
 
-def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries packed for the blocks of a page that they visit in a band: lower <= bound < upper, and not under the k-th score."""
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a page whose bounds aren't under a query's k-th score, but for the block that gave it."""
     for b in batches:
         for r in range(b.num_rows):
-            blocks, queries, q, upper, lower, least, bound = _chunk_and_page(b, r)
-            visit = (bound < upper[:, None]) & (bound >= np.maximum(lower, least)[:, None])
-            for k in np.flatnonzero(visit.any(0)):
-                mine = np.flatnonzero(visit[:, k])
-                yield _row(_ROUTES, int(blocks[k]), queries[mine].tobytes(), q[mine].tobytes(), least[mine].tobytes())
+            blocks, queries, first, least, bound = _chunk_and_page(b, r)
+            i, j = np.nonzero((bound >= least[:, None]) & (blocks[None, :] != first[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(queries[i]), pa.array(blocks[j]), pa.array(bound[i, j])], schema=_VISITS)
 
 
 def _score(k: int):
@@ -178,7 +179,10 @@ def _score(k: int):
         for b in batches:
             for r in range(b.num_rows):
                 dims = b.column("dims")[r].as_py()
-                queries, q, least, ids = (np.frombuffer(b.column(c)[r].as_py(), "<i8") for c in ("queries", "vectors", "least", "ids"))
+                asked = b.column("asked")[r].values
+                queries, least = (asked.field(c).to_numpy() for c in ("vec_id", "least"))
+                q = asked.field("v").flatten().to_numpy()
+                ids = np.frombuffer(b.column("ids")[r].as_py(), "<i8")
                 m = np.frombuffer(b.column("matrix")[r].as_py(), b.column("kind")[r].as_py()).astype(np.int64).reshape(-1, dims)
                 scores = _held(_product(q.reshape(-1, dims), m))
                 order = np.argsort(ids, kind="stable")
@@ -226,38 +230,52 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vect
     heads = common.written(blocks.groupBy(F.col("page").alias("_p"), F.col("dims").alias("_d")).agg(F.collect_list(F.struct("block", "high", "low")).alias("heads")), "op10-pages")
     indexes = blocks.select(F.col("block").alias("_b"), "dims", "kind", "ids", "matrix")
     asked = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("m"))
-    state = asked.select("m.dims", "vec_id", "m.v", *[F.lit(NONE).alias(c) for c in ("upper", "lower", "least")])
+    state = common.written(asked.select("m.dims", "vec_id", "m.v", F.lit(-1).cast("long").alias("first"), F.lit(NONE).alias("least")), "op10-state")
+    slices = max(1, -(-state.count() // QUERY_CHUNK))
 
     def met(live: DataFrame) -> DataFrame:
         """Chunks of queries with all pages of vectors of their length."""
-        chunks = live.select("dims", "vec_id", "v", "upper", "lower", "least").sortWithinPartitions("dims").mapInArrow(_make_chunks(QUERY_CHUNK), _ddl(_CHUNKS))
+        chunks = live.select("dims", "vec_id", "v", "first", "least").sortWithinPartitions("dims").mapInArrow(_make_chunks(QUERY_CHUNK), _ddl(_CHUNKS))
         chunks = chunks.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))))
         return chunks.join(heads, (chunks["page"] == heads["_p"]) & (chunks["dims"] == heads["_d"])).drop("_p", "_d")
 
-    tops = met(state).mapInArrow(_tops, _ddl(_TOPS)).groupBy(F.col("query_id").alias("_q")).agg(F.max("top").alias("top"))
-    state = state.join(tops, F.col("vec_id") == F.col("_q")).select("dims", "vec_id", "v", (F.col("top") + 1).alias("upper"), F.col("top").alias("lower"), "least")
-    state = common.written(state, "op10-state")
-    seen, used = None, [rows]
-    for band in range(BANDS):
-        routes = common.written(met(state).mapInArrow(_routes, _ddl(_ROUTES)), "op10-routes")
+    def scored(turn: DataFrame) -> DataFrame:
+        """What queries (vec_id, v, least) find in the blocks they visit; those of a block come in chunks of about QUERY_CHUNK."""
         if visits is not None:
-            visits.append(routes.agg(F.sum(F.octet_length("queries") / 8)).first()[0] or 0)
-        found = routes.join(indexes, routes["block"] == indexes["_b"]).mapInArrow(_score(k), _ddl(_FOUND))
-        found = found if seen is None else found.unionByName(seen)
-        best = common.written(_best(found, k).select("query_id", "rank", "vec_id", "score"), "op10-best")
-        common.forget(*used, routes)
-        seen, used = best.drop("rank"), [best]
+            visits.append(turn.count())
+        asked = turn.groupBy("block", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("asked"))
+        return asked.join(indexes, asked["block"] == indexes["_b"]).select("dims", "kind", "ids", "matrix", "asked").mapInArrow(_score(k), _ddl(_FOUND))
+
+    def kth(best: DataFrame) -> DataFrame:
+        return best.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+
+    tops = met(state).mapInArrow(_tops, _ddl(_TOPS)).groupBy(F.col("query_id").alias("_q")).agg(F.max(F.struct("top", "block")).alias("t"))
+    firsts = common.written(state.drop("first").join(tops, F.col("vec_id") == F.col("_q")).select("dims", "vec_id", "v", F.col("t.block").alias("first"), (F.col("t.top") + 1).alias("lower"), "least"), "op10-firsts")
+    best = common.written(_best(scored(firsts.withColumn("block", F.col("first"))), k).select("query_id", "rank", "vec_id", "score"), "op10-best")
+    after = firsts.drop("least").join(kth(best), F.col("vec_id") == F.col("_q"), "left").drop("_q").withColumn("least", F.coalesce("kth", F.lit(NONE))).drop("kth")
+    after = common.written(after, "op10-state")
+    common.forget(rows, state, firsts)
+    state = after
+    listed = common.written(met(state).mapInArrow(_visits, _ddl(_VISITS)).withColumnRenamed("query_id", "_v"), "op10-visits")
+    for band in range(1, BANDS):
+        # From `upper`, the end of the band before, down to `lower`: half way to the k-th score, or all that is left.
+        half = F.when(F.col("least") > NONE, F.col("least") + F.shiftright(F.col("upper") - F.col("least"), 1)).otherwise(F.lit(NONE))
+        live = state.filter(F.col("lower") > F.col("least")).withColumnRenamed("lower", "upper")
+        live = live.withColumn("lower", half if band < BANDS - 1 else F.lit(NONE))
+        turn = live.join(listed, (live["vec_id"] == listed["_v"]) & (F.col("bound") < F.col("upper")) & (F.col("bound") >= F.greatest("lower", "least")))
+        found = scored(turn.select("block", "vec_id", "v", "least")).unionByName(best.drop("rank"))
+        better = common.written(_best(found, k).select("query_id", "rank", "vec_id", "score"), "op10-best")
+        common.forget(best)
+        best = better
         if band == BANDS - 1:
             break
-        kth = best.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-        after = state.join(kth, F.col("vec_id") == F.col("_q"), "left").withColumn("least", F.coalesce("kth", F.lit(NONE)))
-        half = F.when(F.col("least") > NONE, F.col("least") + F.shiftright(F.col("lower") - F.col("least"), 1)).otherwise(F.lit(NONE))
-        after = after.withColumn("next", half if band < BANDS - 2 else F.lit(NONE)).filter(F.col("lower") > F.col("least"))
-        after = common.written(after.select("dims", "vec_id", "v", F.col("lower").alias("upper"), F.col("next").alias("lower"), "least"), "op10-state")
+        after = live.drop("least", "upper").join(kth(best), F.col("vec_id") == F.col("_q"), "left").drop("_q").withColumn("least", F.coalesce("kth", F.lit(NONE))).drop("kth")
+        after = common.written(after, "op10-state")
         common.forget(state)
         state = after
-        if state.isEmpty():
+        if state.filter(F.col("lower") > F.col("least")).isEmpty():
             break
+    common.forget(listed)
     common.forget(blocks, heads, state)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
