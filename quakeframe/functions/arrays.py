@@ -69,6 +69,15 @@ def cut_padded(x: Column, first: Column, n: int) -> Column:
     return F.concat(F.array_repeat(F.lit(0.0), before.cast("int")), inside, F.array_repeat(F.lit(0.0), (n - before - size).cast("int")))
 
 
+def fitted(x: Column, first: Column, n: Column) -> Column:
+    """The n samples of x from `first` on (from 0, may be negative), zeros where x has none."""
+    lead = F.least(n, F.greatest(-first, F.lit(0))).cast("int")
+    at = F.greatest(first, F.lit(0)).cast("int")
+    taken = F.greatest(F.least(F.size(x), first + n) - at, F.lit(0)).cast("int")
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    return F.concat(zeros(lead), F.slice(x, at + 1, taken), zeros((n - lead - taken).cast("int")))
+
+
 def sample_index(time: Column, start: Column, dt: float) -> Column:
     """Index of the sample nearest to a time, half up, truncated toward zero."""
     return ((time - start) / dt + 0.5).cast("int")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeframe.functions import arrays, kernels
-from quakeframe.operators.keys import join_on
+from quakeframe.operators.keys import join_on, number
 
 PICKS = "array<struct<index: int, width: int, probability: double>>"
 
@@ -323,6 +323,32 @@ def stack_components(df: DataFrame, keys: list[str], x: str = "x", component: st
     return g.select(*keys, F.concat(F.substring("_z.channel", 1, 2), F.lit("?")).alias("channel"), "npts", *[full(c).alias(f"x_{c}") for c in "enz"])
 
 
+def align_components(df: DataFrame, keys: list[str], span: float, x: str = "x", component: str = "component", start: str = "starttime", dt: str = "dt") -> DataFrame:
+    """keys, starttime, dt, npts, and the samples of E, N and Z as x_e, x_n and x_z, all of one length.
+
+    Components of one length stay as they are, and starttime is E's. Else the last one in the order E, N, Z that is complete
+    (`span` seconds with both ends, or one sample less) gives start and length: the others are cut to it at the nearest
+    sample and filled up with zeros. Keys without a complete component, with one missing, or with different sampling
+    intervals go. Of a component given twice the row that starts first counts; rows without samples, start or interval don't.
+    """
+    known = F.col(x).isNotNull() & number(F.col(start)).isNotNull() & (number(F.col(dt)) > 0)
+    own = F.struct(F.col(start).cast("double").alias("t"), F.col(dt).cast("double").alias("dt"), F.col(x).alias("x"))
+    g = df.filter(known).groupBy(*keys).agg(*[F.min(F.when(F.col(component) == c.upper(), own)).alias(f"_{c}") for c in "enz"])
+    g = g.dropna(subset=["_e", "_n", "_z"]).filter("_e.dt = _n.dt AND _n.dt = _z.dt")
+    size = {c: F.size(f"_{c}.x") for c in "enz"}
+    equal = (size["e"] == size["n"]) & (size["n"] == size["z"])
+    full = F.round(span / F.col("_e.dt")).cast("long") + 1
+    place = {c: F.struct(F.col(f"_{c}.t").alias("t"), size[c].alias("n")) for c in "enz"}
+    complete = F.coalesce(*[F.when((size[c] == full) | (size[c] == full - 1), place[c]) for c in "zne"])
+    g = g.withColumn("_to", F.when(equal, place["e"]).otherwise(complete)).filter(F.col("_to").isNotNull())
+
+    def fitted(c: str) -> Column:
+        shift = F.round((F.col("_to.t") - F.col(f"_{c}.t")) / F.col("_e.dt")).cast("long")
+        return F.when(equal, F.col(f"_{c}.x")).otherwise(arrays.fitted(F.col(f"_{c}.x"), shift, F.col("_to.n")))
+
+    return g.select(*keys, F.col("_to.t").alias("starttime"), F.col("_e.dt").alias("dt"), F.col("_to.n").alias("npts"), *[fitted(c).alias(f"x_{c}") for c in "enz"])
+
+
 def augmented(df: DataFrame, x: str, key: str, pick_sample: int, seconds: float, dt: float, max_shift: float, copies: int, seed: str, y: str | None = None, shrinkage: float | None = None) -> DataFrame:
     """`copies` rows of each, with copy (from 1), lag, pick_index, and of x (over its largest value) a window that starts at the lag from where the pick would be in its middle.
 

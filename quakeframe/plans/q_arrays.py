@@ -66,6 +66,25 @@ def x2(spark, d):
     return s.select("station", "day", "channel", "npts", *[_rounded(F.col(f"x_{c}")).alias(f"x_{c}") for c in "enz"])
 
 
+@query("x2_align_components", f"""WITH {V.WAVEFORMS}, c AS (SELECT row_id // 3 AS grp, row_id % 3 AS k, CASE WHEN row_id // 3 % 4 = 1 THEN x[1:40 + row_id % 3] WHEN row_id % 5 = 0 THEN x[1:50] WHEN row_id % 7 = 0 THEN x[4:64] ELSE x[1:64 - row_id % 2] END AS x,
+  CASE WHEN row_id // 3 % 4 = 1 THEN 0 WHEN row_id % 5 = 0 THEN -2.3 WHEN row_id % 7 = 0 THEN 3 WHEN row_id % 11 = 0 THEN 0.7 ELSE 0 END::DOUBLE AS s, CASE WHEN row_id % 29 = 0 THEN 0.5 ELSE 1 END::DOUBLE AS dt FROM wf),
+j AS (SELECT grp, e.x AS e, n.x AS n, z.x AS z, e.s AS es, n.s AS ns, z.s AS zs, len(e.x) = len(n.x) AND len(n.x) = len(z.x) AS same FROM c e JOIN c n USING (grp) JOIN c z USING (grp) WHERE e.k = 0 AND n.k = 1 AND z.k = 2 AND e.dt = n.dt AND n.dt = z.dt),
+g AS (SELECT *, CASE WHEN same THEN len(e) WHEN len(z) IN (63, 64) THEN len(z) WHEN len(n) IN (63, 64) THEN len(n) WHEN len(e) IN (63, 64) THEN len(e) END AS npts,
+  CASE WHEN same THEN es WHEN len(z) IN (63, 64) THEN zs WHEN len(n) IN (63, 64) THEN ns ELSE es END AS s FROM j),
+o AS (SELECT *, CASE WHEN same THEN 0 ELSE round(s - es) END::INT AS de, CASE WHEN same THEN 0 ELSE round(s - ns) END::INT AS dn, CASE WHEN same THEN 0 ELSE round(s - zs) END::INT AS dz FROM g WHERE npts IS NOT NULL)
+SELECT grp::BIGINT AS grp, s AS starttime, npts::INT AS npts, list_transform(range(0, npts), lambda i: CASE WHEN i + de BETWEEN 0 AND len(e) - 1 THEN round(e[i + de + 1], 6) ELSE 0 END) AS x_e,
+  list_transform(range(0, npts), lambda i: CASE WHEN i + dn BETWEEN 0 AND len(n) - 1 THEN round(n[i + dn + 1], 6) ELSE 0 END) AS x_n, list_transform(range(0, npts), lambda i: CASE WHEN i + dz BETWEEN 0 AND len(z) - 1 THEN round(z[i + dz + 1], 6) ELSE 0 END) AS x_z FROM o""")
+def x2_align(spark, d):
+    """Components that are short, late, early or half a sample off, of which some have no complete one and some another interval."""
+    r, third = F.col("row_id"), F.floor(F.col("row_id") / 3)
+    lone = third % 4 == 1
+    cut = F.when(lone, F.slice("x", F.lit(1), (40 + r % 3).cast("int"))).when(r % 5 == 0, F.slice("x", 1, 50)).when(r % 7 == 0, F.slice("x", 4, 61)).otherwise(F.slice("x", F.lit(1), (64 - r % 2).cast("int")))
+    start = F.when(lone, 0.0).when(r % 5 == 0, -2.3).when(r % 7 == 0, 3.0).when(r % 11 == 0, 0.7).otherwise(0.0)
+    w = V.waveforms(spark, d).select(third.alias("grp"), F.element_at(F.array(*map(F.lit, "ENZ")), (r % 3 + 1).cast("int")).alias("component"), cut.alias("x"), start.alias("starttime"), F.when(r % 29 == 0, 0.5).otherwise(1.0).alias("dt"))
+    s = P.align_components(w, ["grp"], 63.0)
+    return s.select("grp", "starttime", "npts", *[_rounded(F.col(f"x_{c}")).alias(f"x_{c}") for c in "enz"])
+
+
 @query("x4_padding", "SELECT pick_id, total::BIGINT AS total, sp::BIGINT AS start_pad, ep::BIGINT AS end_pad FROM (SELECT event_id AS pick_id, 254 AS sp, CASE WHEN e0 < 254 THEN e0 + 500 ELSE e0 END AS ep, npts + 254 + CASE WHEN e0 < 254 THEN e0 + 500 ELSE e0 END AS total FROM (SELECT event_id, npts, 500 - ((npts + 254 - 1008) % 500 + 500) % 500 AS e0 FROM (SELECT event_id, 1000 + event_id % 7000 AS npts FROM events)))")
 def x4(spark, d):
     n = 1000 + F.col("pick_id") % 7000
