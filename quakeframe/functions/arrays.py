@@ -13,6 +13,11 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def rounded(v: Column, n: int = 6) -> Column:
+    """v to n decimals as DuckDB's round does it: scaled, half away from zero, and the sign stays on zeros (F.round drops it)."""
+    return F.round(F.abs(v) * 10.0**n) / 10.0**n * F.signum(v)
+
+
 def mean(x: Column) -> Column:
     """Mean, null without values."""
     return F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.size(x))

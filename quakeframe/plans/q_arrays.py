@@ -15,11 +15,11 @@ from quakeframe.plans.registry import query
 
 
 def _r(c, n=6):
-    return F.round(c, n)
+    return A.let(F.col(c) if isinstance(c, str) else c, lambda v: A.rounded(v, n))
 
 
 def _rounded(x, n=6):
-    return F.transform(x, lambda v: F.round(v, n))
+    return F.transform(x, lambda v: A.rounded(v, n))
 
 
 @query("x1_extract_picks", f"""WITH {V.PROBS}, s AS (SELECT row_id, unnest(p) AS p, unnest(range(0, 64)) AS i FROM pr),
