@@ -10,6 +10,7 @@ from quakeframe.plans import catalogue
 QUERIES = [
     "f2_apply_processing",
     "x11_stitch",
+    "x12_join_chunks",
 ]
 
 
