@@ -11,6 +11,7 @@ QUERIES = [
     "f2_apply_processing",
     "x11_stitch",
     "x12_join_chunks",
+    "x13_cut_around_pick",
 ]
 
 
