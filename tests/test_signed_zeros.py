@@ -12,6 +12,7 @@ QUERIES = [
     "x11_stitch",
     "x12_join_chunks",
     "x13_cut_around_pick",
+    "x15_augmented",
 ]
 
 
