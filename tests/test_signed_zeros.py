@@ -13,6 +13,7 @@ QUERIES = [
     "x12_join_chunks",
     "x13_cut_around_pick",
     "x15_augmented",
+    "x15_random_shift",
 ]
 
 
