@@ -14,6 +14,7 @@ QUERIES = [
     "x13_cut_around_pick",
     "x15_augmented",
     "x15_random_shift",
+    "x16_random_start_times",
 ]
 
 
