@@ -15,6 +15,7 @@ QUERIES = [
     "x15_augmented",
     "x15_random_shift",
     "x16_random_start_times",
+    "x20_mix_drawn",
 ]
 
 
