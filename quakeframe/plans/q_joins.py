@@ -280,7 +280,7 @@ def w8(spark, d):
     rn = F.row_number().over(W.partitionBy("label").orderBy("row_id"))
     days = w.select(F.col("label").alias("station"), F.col("row_id").alias("day"), F.col("x").alias("data"), (F.when(F.col("row_id") % 5 == 0, 1000).otherwise(0) + rn * 64).cast("double").alias("starttime"), F.lit(1.0).alias("sampling_rate"))
     c = K.carry_over_tail(days, 10)
-    return c.select("station", "day", "previous_appended", "starttime", F.transform("data", lambda v: F.round(v, 6)).alias("data"))
+    return c.select("station", "day", "previous_appended", "starttime", F.transform("data", lambda v: A.rounded(v)).alias("data"))
 
 
 @query("w10_empirical_cdf", f"WITH {V.PICKS}, m AS (SELECT min(amplitude) lo, max(amplitude) hi, count(amplitude) n FROM picks), g AS (SELECT unnest(range(0, 50))::INT AS step), s AS (SELECT ceil(round((amplitude - lo) / ((hi - lo) / 49), 9))::INT AS step FROM picks, m), c AS (SELECT step, count(*) AS c FROM s GROUP BY 1) SELECT g.step, round(lo + g.step * ((hi - lo) / 49), 6) AS x, round(sum(coalesce(c, 0)) OVER (ORDER BY g.step) / n, 6) AS share FROM g LEFT JOIN c USING (step), m")

@@ -9,6 +9,7 @@ from quakeframe.plans import catalogue
 
 QUERIES = [
     "f2_apply_processing",
+    "w8_carry_over_tail",
     "x11_stitch",
     "x12_join_chunks",
     "x13_cut_around_pick",
