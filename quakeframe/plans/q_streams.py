@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quakeframe.functions import arrays as A
 from quakeframe.plans import views as V
 from quakeframe.plans.registry import query
 from quakeframe.sources import io
@@ -24,7 +25,7 @@ def s2(spark, d):
     a, b = io.scratch(spark, "s2-waves"), io.scratch(spark, "s2-meta")
     w.select("row_id", "x").write.parquet(a)
     w.select("row_id", "label").write.parquet(b)
-    return io.read_examples(spark, a, b).select("row_id", "label", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return io.read_examples(spark, a, b).select("row_id", "label", F.transform("x", lambda v: A.rounded(v)).alias("x"))
 
 
 @query("s3_file_inventory", """WITH f AS (SELECT DISTINCT s_name, s_suppkey, l_linenumber, l_returnflag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 3 AND (l_suppkey % 5 <> 0 OR l_linenumber = 1)),

@@ -15,6 +15,7 @@ QUERIES = [
     "x13_cut_around_pick",
     "x15_augmented",
     "x15_random_shift",
+    "s2_read_examples",
     "x16_random_start_times",
     "x20_mix_drawn",
 ]
