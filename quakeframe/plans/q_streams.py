@@ -66,9 +66,9 @@ def s7(spark, d):
 def s8(spark, d):
     w = V.waveforms(spark, d).withColumnRenamed("row_id", "pick_id")
     path = io.scratch(spark, "s8")
-    io.write_corrections(w.select("pick_id", F.col("label").alias("station")), w.select("pick_id", F.round(F.element_at("x", 1), 6).alias("shift")), w.select("pick_id", F.col("x").alias("preds")), path)
+    io.write_corrections(w.select("pick_id", F.col("label").alias("station")), w.select("pick_id", A.rounded(F.element_at("x", 1)).alias("shift")), w.select("pick_id", F.col("x").alias("preds")), path)
     back = spark.read.schema("pick_id long, station long, shift double").csv(f"{path}/corrections", header=True)
-    return back.join(spark.read.parquet(f"{path}/predictions"), "pick_id").withColumn("preds", F.transform("preds", lambda v: F.round(v, 6)))
+    return back.join(spark.read.parquet(f"{path}/predictions"), "pick_id").withColumn("preds", F.transform("preds", lambda v: A.rounded(v)))
 
 
 @query("u4_join_pick_files", f"WITH {V.PICKS} SELECT pick_id, station, printf('%.6f', arrival_time) || '0' AS arrival_time FROM picks")

@@ -16,6 +16,7 @@ QUERIES = [
     "x15_augmented",
     "x15_random_shift",
     "s2_read_examples",
+    "s8_write_corrections",
     "x16_random_start_times",
     "x20_mix_drawn",
 ]
