@@ -112,4 +112,4 @@ def t1(spark, d):
     e = _landed(spark, d, "embeddings")
     days = e.select(F.col("label").cast("long").alias("station"), F.col("vec_id").alias("day"), (F.col("vec_id") * F.lit(6.4)).alias("starttime"), F.transform("embedding", lambda v: v.cast("double")).alias("data"), F.timestamp_millis((F.col("vec_id") + 1) * 6400).alias("ends"))
     c = T.carry_over(days, 10, 1.0, "12 seconds")
-    return T.drained(spark, c.select("station", "day", "previous_appended", "starttime", F.transform("data", lambda v: F.round(v, 6)).alias("data"), "late"), "t1")
+    return T.drained(spark, c.select("station", "day", "previous_appended", "starttime", F.transform("data", lambda v: A.rounded(v)).alias("data"), "late"), "t1")

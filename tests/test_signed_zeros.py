@@ -17,6 +17,7 @@ QUERIES = [
     "x15_random_shift",
     "s2_read_examples",
     "s8_write_corrections",
+    "t1_stream_carry_over",
     "x16_random_start_times",
     "x20_mix_drawn",
 ]
