@@ -8,6 +8,11 @@ import numpy as np
 LOOK = 100
 
 
+def lower(threshold: float, drop: float) -> float:
+    """threshold - drop as the decimals they are given as: 0.4 and 0.05 make 0.35, where floats make 0.35000000000000003."""
+    return round(threshold - drop, 12)
+
+
 def extract(p: np.ndarray, threshold: float, drop: float) -> list[tuple[int, int, float]]:
     """(index, width, probability) of the picks of a series.
 
@@ -17,7 +22,7 @@ def extract(p: np.ndarray, threshold: float, drop: float) -> list[tuple[int, int
     """
     n, out = len(p), []
     high = np.flatnonzero(p >= threshold)
-    under, low = np.flatnonzero(p < threshold), np.flatnonzero(p < threshold - drop)
+    under, low = np.flatnonzero(p < threshold), np.flatnonzero(p < lower(threshold, drop))
     k = 0
     while k < len(high):
         start = int(high[k])

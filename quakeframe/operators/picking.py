@@ -50,7 +50,7 @@ def extract_picks_chunks(df: DataFrame, keys: list[str], order: str, p: str, thr
     found where the chunk lies; only they and the samples before and after go on, which are few where the probability is low.
     What is open between two chunks is closed when the pieces of a series meet in order.
     """
-    low = threshold - drop
+    low = kernels.lower(threshold, drop)
 
     @F.arrow_udf(f"struct<n: long, head: array<double>, tail: array<double>, low: boolean, picks: {PICKS}>")
     def parts(series: pa.Array) -> pa.Array:
