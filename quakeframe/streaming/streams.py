@@ -30,52 +30,88 @@ def lone_picks(picks: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
 
 CARRIED = "station long, day long, previous_appended boolean, starttime double, data array<double>, late boolean"
 
+#: Samples that go out in one frame, or a day if that has more.
+FRAME = 1 << 20
+
 
 class CarryOver(StatefulProcessor):
-    """Keyed state of `carry_over`: days that wait for the watermark, and the end of the last day that went out."""
+    """Keyed state of `carry_over`: days that wait for the watermark, and the end of the last day that went out.
+
+    A timer stands at the earliest end that waits. When it fires, all days that the watermark has passed go out by one
+    reading of the list of ends; the samples of a day are read and removed by its key. So work grows with the days, however
+    many wait.
+    """
 
     def __init__(self, n: int, rate: float, keep: float):
-        self.n, self.rate, self.keep = n, rate, keep
+        self.n, self.rate, self.keep = n, rate, int(keep * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "day long", "ends long, starttime double, data array<double>")
+        self.waiting = handle.getMapState("waiting", "day long", "starttime double, data binary")
+        self.ends = handle.getListState("ends", "day long, ends long")
+        self.timer = handle.getValueState("timer", "ends long")
         self.last = handle.getValueState("last", "day long, ends long, until double, tail array<double>")
 
     def _out(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["station", "day", "previous_appended", "starttime", "data", "late"])
 
+    def _wake(self, ends: int) -> None:
+        self.handle.registerTimer(ends)
+        self.timer.update((ends,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get() if self.last.exists() else None
+        first = self.timer.get()[0] if self.timer.exists() else None
+        now = timerValues.getCurrentWatermarkInMs()
         for part in rows:  # one part at a time; no list of all days
-            late = []
+            late, fresh = [], []
             for day, start, data, ends in zip(part["day"], part["starttime"], part["data"], part["ends"], strict=True):
-                ends = int(ends)
-                if last is not None and day <= last[0] or ends <= timerValues.getCurrentWatermarkInMs():
-                    late.append((key[0], int(day), False, float(start), np.asarray(data, float), True))
+                day, ends, data = int(day), int(ends), np.asarray(data, float)
+                if last is not None and day <= last[0] or ends <= now:
+                    late.append((key[0], day, False, float(start), data, True))
                     continue
-                self.waiting.updateValue((int(day),), (ends, float(start), np.asarray(data, float).tolist()))
-                self.handle.registerTimer(ends)
+                self.waiting.updateValue((day,), (float(start), data.tobytes()))
+                fresh.append((day, ends))
+            if fresh:
+                self.ends.appendList(fresh)
+                soonest = min(ends for _, ends in fresh)
+                if first is None or soonest < first:
+                    first = soonest
+                    self._wake(first)
             yield self._out(late)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(day[0] for day, v in self.waiting.iterator() if v[0] <= now)
-        last, rows = (self.last.get() if self.last.exists() else None), []
-        for day in due:
-            ends, start, data = self.waiting.getValue((day,))
-            data = np.asarray(data, float)
+        now, at = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        last = self.last.get() if self.last.exists() else None
+        if not self.timer.exists() or self.timer.get()[0] > now:
+            if last is not None and last[1] + self.keep <= at:
+                self.last.update((last[0], last[1], last[2], []))  # nothing can join it any more: the day stays, to tell late ones, its samples go
+            return
+        ends_of = dict(self.ends.get())  # of a day that came twice the later row counts, as in `waiting`
+        rows, samples = [], 0
+        for day in sorted(day for day, ends in ends_of.items() if ends <= now):
+            ends = ends_of.pop(day)
+            start, data = self.waiting.getValue((day,))
+            self.waiting.removeKey((day,))
+            data = np.frombuffer(data, float)
             gap = None if last is None else start - last[2] + 1 / self.rate
-            joined = gap is not None and len(last[3]) > 0 and 0 < gap < 1.5 / self.rate
+            joined = gap is not None and len(last[3]) > 0 and 0 < gap < 1.5 / self.rate and last[1] + self.keep >= ends
             tail = np.asarray(last[3], float) if joined else np.empty(0)
             rows.append((key[0], day, joined, start - len(tail) / self.rate, np.concatenate([tail, data]), False))
             last = (day, ends, start + len(data) / self.rate, data[max(len(data) - self.n, 0) :].tolist())
-            self.waiting.removeKey((day,))
-        if rows:
+            samples += len(data)
+            if samples >= FRAME:
+                yield self._out(rows)
+                rows, samples = [], 0
+        if last is not None:
             self.last.update(last)
-            self.handle.registerTimer(last[1] + int(self.keep * 1000))
-        elif last is not None and last[1] + int(self.keep * 1000) <= now:
-            self.last.update((last[0], last[1], last[2], []))  # nothing can join it any more: the day stays, to tell late ones, its samples go
+            self.handle.registerTimer(last[1] + self.keep)
+        if ends_of:
+            self.ends.put(list(ends_of.items()))
+            self._wake(min(ends_of.values()))
+        else:
+            self.ends.clear()
+            self.timer.clear()
         yield self._out(rows)
 
 

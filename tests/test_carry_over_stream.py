@@ -1,6 +1,7 @@
 """The carry-over stream with days that come out of order, late, or not at all."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,3 +41,23 @@ def test_order_gaps_and_late_days(spark, tmp_path):
 def test_nothing_carried_and_spent_tails(spark, tmp_path):
     got = T.drained(spark, T.carry_over(stream(spark, tmp_path, [[(1, 1), (1, 2)], [(1, 9)]]), 0, 1.0, "1 second"), "test-t1").collect()
     assert {(r.day, r.previous_appended, len(r.data)) for r in got} == {(1, False, 10), (2, False, 10)}
+
+
+def test_a_day_given_again_with_a_later_end(spark, tmp_path):
+    """The later row counts; the timer of the earlier end finds nothing due."""
+    s = stream(spark, tmp_path, [[(1, 1)], [(1, 1)], [(2, 8)], [(2, 20)]])
+    moved = s.withColumn("ends", F.when((F.col("station") == 1) & F.input_file_name().endswith("/1.parquet"), F.timestamp_millis(F.lit(90_000))).otherwise(F.col("ends")))
+    got = T.drained(spark, T.carry_over(moved, 3, 1.0, "20 seconds"), "test-t1").collect()
+    assert sorted((r.station, r.day, r.late) for r in got) == [(1, 1, False), (2, 8, False)]
+
+
+def test_many_days_that_wait_at_one_station(spark, tmp_path):
+    """6,000 days of one station come at once and out of order: one pass gives them out, not one for each of them."""
+    rows = [(1, d, d * 10.0, [float(d + j) for j in range(10)]) for d in range(6000)]
+    spark.createDataFrame(rows, DAYS).repartition(1, F.hash("day")).sortWithinPartitions(F.hash("day")).write.parquet(str(tmp_path / "days"))
+    s = spark.readStream.schema(DAYS).parquet(str(tmp_path / "days")).withColumn("ends", F.timestamp_millis((F.col("day") + 1) * 10_000))
+    started = time.monotonic()
+    got = T.drained(spark, T.carry_over(s, 3, 1.0, "20 seconds"), "test-t1")
+    assert got.filter("not late").count() == 5998 and got.filter("previous_appended").count() == 5997
+    assert got.agg(F.sum(F.size("data"))).first()[0] == 5998 * 10 + 5997 * 3
+    assert time.monotonic() - started < 60
