@@ -26,13 +26,16 @@ def remove_close_picks(df: DataFrame, min_sep: float, keys: list[str], time: str
 
 
 def _ticks(segments: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """Segments with _rate, the largest of their day, and their samples as whole ticks of it since midnight: _from to _to (exclusive), inside the day; and the time of the last sample."""
+    """Segments with _rate, the largest of their day, and their samples as whole ticks of it since midnight: _from to _to (exclusive), inside the day; and the time of the last sample.
+
+    A segment that begins in the last half tick of its day has none of them (_from and _to are the day's end), but it is a record of that day and stays.
+    """
     rates = segments.groupBy(*[F.col(k).alias(f"_r{k}") for k in [*keys, day]]).agg(F.max("sampling_rate").alias("_rate"))
     s = segments.join(rates, [segments[k].eqNullSafe(rates[f"_r{k}"]) for k in [*keys, day]]).drop(*[f"_r{k}" for k in [*keys, day]])
     first = F.round((F.col("starttime") - F.col(day) * 86400) * F.col("_rate")).cast("long")
     s = s.withColumns({"_from": first, "_last": F.col("starttime") + (F.col("npts") - 1) / F.col("sampling_rate"), "_whole": F.round(86400 * F.col("_rate")).cast("long")})
     s = s.withColumns({"_to": F.least(F.col("_from") + F.col("npts"), F.col("_whole")), "_from": F.greatest(F.col("_from"), F.lit(0))})
-    return s.filter(F.col("_to") > F.col("_from"))
+    return s.filter((F.col("_to") > F.col("_from")) | (F.col("npts") > 0) & (F.col("_from") == F.col("_whole")))
 
 
 def _uncovered(spans: DataFrame, keys: list[str], least: Column) -> DataFrame:
@@ -60,7 +63,7 @@ def find_gaps(segments: DataFrame, keys: list[str], min_gap: float = 0.05, day:
 
     All is counted in whole samples. A gap begins with the last sample before it (or the day) and ends with the first one
     after it (or the day); npts are the samples missing between two segments or before the first one, and those from the
-    last sample to the end of the day; end_ind is start_ind + npts, from midnight. Edge gaps have to exceed one sample, all
+    last sample to the end of the day, unless a segment begins in its last half sample: then the gap ends with that; end_ind is start_ind + npts, from midnight. Edge gaps have to exceed one sample, all
     gaps `min_gap` seconds. With the name of a `channel` column the gaps are those of the day's `channels` channels
     together: where any (or, without any_missing, all) of them has no sample. Null keys are keys like others.
     """
@@ -74,6 +77,7 @@ def find_gaps(segments: DataFrame, keys: list[str], min_gap: float = 0.05, day:
         t = t.groupBy(*own, channel, "_rate", "_whole", "_island").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min_by("_begins", "_from").alias("_begins"), F.max_by("_ends", "_to").alias("_ends"))
     g = _uncovered(t, own, F.lit(channels if channel and any_missing else 1))
     midnight, head, tail = F.col(day) * 86400.0, F.col("_a") == 0, F.col("_b") == F.col("_whole")
+    tail = tail if channel else tail & F.col("_next").isNull()
     npts = F.col("_b") - F.col("_a") + F.when(tail & ~head, 1).otherwise(0)
     g = g.select(
         *own,

@@ -117,3 +117,22 @@ def test_arrays_of_a_stored_archive_stay_where_they_lie(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Bucketed: true" in plan
     assert len(got) == 42 and all(r.x_n == [float(r.station), 1.0] for r in got)
+
+
+def test_records_that_begin_in_the_last_half_sample(spark, tmp_path):
+    """At one sample a second a record of 23:59:59.6 has no tick of its day: gaps end with it, and a day of it alone is one gap. As the SQL has it."""
+    import duckdb
+
+    from quakeframe.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    times = [(1, "01 00:00:00.2", 1.0), (1, "01 23:59:59.6", 1.0), (2, "01 23:59:59.5", 1.0), (3, "02 23:50:00", 60.0), (3, "02 23:59:59.9", 1.0), (4, "02 00:00:00", 1.0), (5, "01 23:59:59.7", 0.0), (5, "01 23:59:59.6", 2.0), (6, "03 23:59:59.4", 1.0)]
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, 'click', ?, '{}')", [(k, f"2024-01-{t}", s, v) for k, (s, t, v) in enumerate(times)])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = catalogue.QUERIES["w2_find_gaps"](spark, str(tmp_path))
+    r = con.execute(catalogue.ORACLES["w2_find_gaps"])
+    at = [[c[0] for c in r.description].index(c) for c in df.columns]
+    want = sorted(tuple(row[k] for k in at) for row in r.fetchall())
+    assert sorted(map(tuple, df.collect())) == want
+    assert {row[0] for row in want} == {1, 2, 3, 4, 5, 6} and (2, 19723, 1704067200.0, 1704153599.5, 86400.0, 86400, 0, 86400) in want
