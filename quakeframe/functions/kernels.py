@@ -198,3 +198,43 @@ def triggers(ratio: np.ndarray, on: float, off: float) -> list[tuple[int, int]]:
     firsts = np.flatnonzero(np.nan_to_num(ratio, nan=-np.inf) >= on)
     at = np.searchsorted(firsts, begins)
     return [(int(firsts[k]), int(e) - 1) for k, e in zip(at, ends, strict=True) if k < len(firsts) and firsts[k] < e]
+
+
+def drawn_partners(group: np.ndarray, magnitude: np.ndarray, md5: np.ndarray, draw: np.ndarray, asks: np.ndarray, offers: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that ask and the rows of the partners they draw: of the same group and another event, from magnitude + low to magnitude + high.
+
+    Rows come group by group. `md5` has the two halves of the md5 of a row's event and tells events apart. Partners stand by magnitude and md5,
+    those given twice once; a draw picks a place among those of the interval that aren't of the row's own event.
+    """
+    n = len(group)
+    by_event = np.lexsort((md5[:, 1], md5[:, 0], group))
+    new = np.ones(n, bool)
+    new[1:] = (np.diff(group[by_event]) != 0) | (np.diff(md5[by_event], axis=0) != 0).any(axis=1)
+    event = np.empty(n, np.int64)
+    event[by_event] = np.cumsum(new) - 1  # by group and md5, so the order of events is that of their md5
+    at = np.flatnonzero(offers)
+    at = at[np.lexsort((event[at], magnitude[at], group[at]))]
+    once = np.ones(len(at), bool)
+    once[1:] = (np.diff(event[at]) != 0) | (magnitude[at][1:] != magnitude[at][:-1])
+    at = at[once]
+    values = np.unique(magnitude[at])
+    size = len(values) + 1
+    place = group[at] * size + np.searchsorted(values, magnitude[at])
+    row = np.flatnonzero(asks)
+    first = np.searchsorted(place, group[row] * size + np.searchsorted(values, magnitude[row] + low))
+    end = np.searchsorted(place, group[row] * size + np.searchsorted(values, magnitude[row] + high, "right"))
+    # The own places of each event, by event and place; `free` of one is the number of other places before it.
+    span = len(at) + 1
+    own = np.argsort(event[at], kind="stable")
+    whose = event[at][own]
+    start = np.searchsorted(whose, np.arange(n + 1))
+    free = own - (np.arange(len(own)) - start[whose])
+    inside = np.searchsorted(whose * span + own, event[row] * span + first)
+    mine = np.searchsorted(whose * span + own, event[row] * span + end) - inside
+    choice = end - first - mine
+    some = choice > 0
+    row, first, inside, mine, choice = (v[some] for v in (row, first, inside, mine, choice))
+    at_free = first + draw[row] % choice
+    earlier = inside - start[event[row]]  # own places before the interval
+    step = np.searchsorted(whose * span + free, event[row] * span + at_free - earlier, "right") - inside
+    return row, at[at_free + np.minimum(step, mine)]

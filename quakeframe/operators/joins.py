@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quakeframe.functions import kernels
 from quakeframe.sources.archive import by_key
 from quakeframe.sources.io import written
 
@@ -66,6 +72,8 @@ def add_magnitudes(df: DataFrame, magnitudes: DataFrame, key: str = "evid") -> D
     return df.join(one, key, "left")
 
 
+#: Rows of a station that one task pairs at most, and rows that it takes up at once.
+GROUP_ROWS, CHUNK_ROWS = 250_000, 100_000
 #: Cut points between the magnitude ranges of a station's partners at most, and partners of a range at least.
 CUTS, RANGE_ROWS = [k / 256 for k in range(1, 256)], 20_000
 
@@ -82,7 +90,7 @@ def magnitude_index(right: DataFrame, keys: list[str], seed: str) -> DataFrame:
     is dealt to them by the md5, which is also the order inside a magnitude, so no range holds much more than others.
     """
     r = right.filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).select(*keys, F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2")).distinct()
-    r = written(r, "pair-partners")
+    r = written(r, "pair-partners", release=True)
     large = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > RANGE_ROWS)
     cuts = r.join(large, keys).groupBy(*[F.col(k).alias(f"_c{k}") for k in keys]).agg(F.percentile_approx("magnitude2", CUTS, 4096).alias("_cuts"), F.max("_c").alias("_c"))
     step = F.greatest(F.lit(1), F.ceil(F.lit(256 * RANGE_ROWS) / F.col("_c"))).cast("int")
@@ -94,15 +102,14 @@ def magnitude_index(right: DataFrame, keys: list[str], seed: str) -> DataFrame:
     return r.withColumn("_range", (first + F.floor(share * (_between_cuts(F.col("magnitude2"), True) - first))).cast("int"))
 
 
-def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float, high: float, seed: str, draw: list[str] | None = None) -> DataFrame:
-    """For each row of `left` one row of `right` of the same keys, another event, and a magnitude from m + low to m + high, all equally likely.
+def pair_by_ranges(left: DataFrame, right: DataFrame, keys: list[str], low: float, high: float, seed: str, draw: list[str] | None = None) -> DataFrame:
+    """`pair_events` of stations with so many picks that their partners lie in several tasks.
 
     Partners are ranked once. Two rank lookups, which ride on the sort that ranks them, give the places of a row's interval;
-    a draw by hash (of evid, keys and the columns `draw`) picks a place, stepping over those of the row's own event; an
-    equi-join on keys and place fetches that one partner. So no row ever meets more than one, however many share a station.
-    Rows of null keys, null or NaN magnitudes or without a partner go; a row given twice comes out twice.
+    a draw picks a place, stepping over those of the row's own event; an equi-join on keys and place fetches that one
+    partner. So no row ever meets more than one, however many share a station.
     """
-    index = written(magnitude_index(right, keys, seed), "pair-index")
+    index = written(magnitude_index(right, keys, seed), "pair-index", release=True)
     cuts = index.groupBy(*keys).agg(F.first("_cuts").alias("_cuts"))
     own = [*keys, "evid", "magnitude"]
     asked = left.select(*own).filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).distinct()
@@ -116,7 +123,7 @@ def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float,
     points = points.withColumn("_inside", F.sum((F.col("_kind") == 1).cast("long")).over(w))
     filled = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_range")).join(sizes, [*keys, "_range"], "left")
     before = filled.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    points = written(points.join(before, [*keys, "_range"]).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_range", "_h"), "pair-places")
+    points = written(points.join(before, [*keys, "_range"]).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_range", "_h"), "pair-places", release=True)
     found = points.filter("_kind = 1").select(*keys, "evid2", F.col("_at").alias("magnitude2"), (F.col("_place") - 1).alias("_place"))
     spans = points.filter("_kind <> 1").groupBy(*own).agg(F.max(F.when(F.col("_kind") == 0, F.col("_place"))).alias("_from"), F.max(F.when(F.col("_kind") == 2, F.col("_place"))).alias("_to"))
     of_event = found.select(*keys, F.col("evid2").alias("evid"), "_place")
@@ -127,13 +134,90 @@ def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float,
     spans = spans.filter(F.col("_to") > F.col("_from")).join(events, [*keys, "evid"], "left")
     mine = F.coalesce(F.filter("_own", lambda p: (p >= F.col("_from")) & (p < F.col("_to"))), F.array().cast("array<bigint>"))
     spans = spans.withColumn("_own", mine).withColumn("_choice", F.col("_to") - F.col("_from") - F.size("_own")).filter("_choice > 0")
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ["evid", *keys, *(draw or [])]])), 1, 13), 16, 10).cast("bigint")
+    hashed = _drawn(keys, seed, draw)
     chosen = left.join(spans.select(*own, "_from", "_own", "_choice"), own)
     place = F.aggregate("_own", F.col("_from") + hashed % F.col("_choice"), lambda at, p: F.when(p <= at, at + 1).otherwise(at))
     chosen = chosen.withColumn("_place", place).drop("_from", "_own", "_choice")
     return chosen.join(found, [*keys, "_place"]).select(*left.columns, "evid2", "magnitude2")
 
 
+def _drawn(keys: list[str], seed: str, draw: list[str] | None) -> Column:
+    """The draw of a row: 52 bits of the md5 of seed, evid, keys and the columns `draw`."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ["evid", *keys, *(draw or [])]])), 1, 13), 16, 10).cast("bigint")
+
+
+def _usable(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with all keys, an event and a magnitude."""
+    return df.filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude") & F.col("evid").isNotNull()).dropna(subset=keys)
+
+
+def _pair_groups(rows: DataFrame, keys: list[str], low: float, high: float, seed: str, draw: list[str] | None, columns: list[str]) -> DataFrame:
+    """`pair_events` of rows that ask or, where `_asks` is false, offer themselves (without that column all do both): they are dealt by `keys` once, and whole stations are paired where they lie."""
+    both = "_asks" not in rows.columns
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)  # md5 comes after, so it is neither moved nor sorted
+    dealt = dealt.select("*", F.unhex(F.md5(F.concat_ws(":", F.lit(seed), "evid"))).alias("_md5"), _drawn(keys, seed, draw).alias("_draw"))
+
+    def paired(t: pa.Table, group: np.ndarray) -> pa.Table:
+        t = t.combine_chunks()
+        md5 = np.frombuffer(b"".join(t["_md5"].to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+        asks = np.ones(len(t), bool) if both else t["_asks"].to_numpy().astype(bool)
+        row, partner = kernels.drawn_partners(group, t["magnitude"].to_numpy(), md5, t["_draw"].to_numpy(), asks, asks if both else ~asks, low, high)
+        out = [t[c].take(pa.array(row)) for c in columns] + [t[c].take(pa.array(partner)) for c in ("evid", "magnitude")]
+        return pa.Table.from_arrays(out, [*columns, "evid2", "magnitude2"])
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        """The groups of sorted rows, from 0."""
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            c = t[k].combine_chunks()
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= CHUNK_ROWS:  # whole groups go out, the last one may go on
+                t = pa.Table.from_batches(held).combine_chunks()
+                group = numbered(t)
+                whole = int(np.searchsorted(group, group[-1]))
+                if whole:
+                    yield from paired(t.slice(0, whole), group[:whole]).to_batches(10_000)
+                held = t.slice(whole).to_batches()
+                n = 0  # so a group of many batches is looked at once in CHUNK_ROWS rows
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            if len(t):
+                yield from paired(t, numbered(t)).to_batches(10_000)
+
+    schema = rows.select(*columns, F.col("evid").alias("evid2"), F.col("magnitude").alias("magnitude2")).schema
+    return dealt.mapInArrow(run, schema)
+
+
+def pair_events(left: DataFrame, right: DataFrame, keys: list[str], low: float, high: float, seed: str, draw: list[str] | None = None) -> DataFrame:
+    """For each row of `left` one row of `right` of the same keys, another event, and a magnitude from m + low to m + high, all equally likely.
+
+    A draw by hash (of evid, keys and the columns `draw`) picks a place among the partners by magnitude, md5 and evid. Rows are
+    dealt by their keys once and paired there; stations of more than GROUP_ROWS rows are paired by ranges of magnitude in
+    many tasks. Rows that ask and offer themselves (`right` is `left`) are written and moved once.
+    Rows of null keys, null or NaN magnitudes or without a partner go; a row given twice comes out twice.
+    """
+    columns, rows = left.columns, _usable(left, keys)
+    if right is not left:
+        offered = _usable(right, keys).select(*keys, "evid", "magnitude").withColumn("_asks", F.lit(False))
+        rows = rows.withColumn("_asks", F.lit(True)).unionByName(offered, allowMissingColumns=True)
+    rows = written(rows, "pair-rows", release=True)
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > GROUP_ROWS).select(*keys)
+    large = written(large.coalesce(1), "pair-large", release=True)  # one row of GROUP_ROWS at most
+    if large.isEmpty():
+        return _pair_groups(rows, keys, low, high, seed, draw, columns)
+    small = _pair_groups(rows.join(F.broadcast(large), keys, "left_anti"), keys, low, high, seed, draw, columns)
+    much = rows.join(F.broadcast(large), keys, "left_semi")
+    asking, offered = (much, much) if right is left else (much.filter("_asks"), much.filter("NOT _asks"))
+    return small.unionByName(pair_by_ranges(asking.select(*columns), offered.select(*keys, "evid", "magnitude"), keys, low, high, seed, draw))
+
+
 def match_picks(estimated: DataFrame, actual: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Every actual pick with the closest estimated pick of its waveform nearer than `tolerance`; ties go to the earlier.
 

@@ -26,10 +26,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: what is used several times is made once, and a lost executor costs no earlier stage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+#: Whether Spark removes the shuffle files of a query when that ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read again: what is used several times is made once, and a lost executor costs no earlier stage. With `release` the shuffle files of the write go at once, not when the JVM collects its garbage."""
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    if release:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

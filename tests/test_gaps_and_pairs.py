@@ -136,3 +136,43 @@ def test_records_that_begin_in_the_last_half_sample(spark, tmp_path):
     want = sorted(tuple(row[k] for k in at) for row in r.fetchall())
     assert sorted(map(tuple, df.collect())) == want
     assert {row[0] for row in want} == {1, 2, 3, 4, 5, 6} and (2, 19723, 1704067200.0, 1704153599.5, 86400.0, 86400, 0, 86400) in want
+
+
+def _drawn_by_rule(rows, partners, low, high, seed):
+    """Partners by the rule, one row after the other: places by magnitude and md5 of the event, its own left out."""
+    import hashlib
+
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    out = []
+    for e, s, m, k in rows:
+        can = sorted({(m2, md5(seed, e2), e2) for e2, s2, m2, _ in partners if None not in (e, e2, s, m, m2) and s2 == s and e2 != e and m + low <= m2 <= m + high})
+        if can:
+            m2, _, e2 = can[int(md5(seed, e, s, k)[:13], 16) % len(can)]
+            out.append((e, s, m, k, e2, m2))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize(("group_rows", "chunk_rows", "range_rows"), [(10**6, 10**5, 20_000), (10**6, 7, 20_000), (0, 10, 20_000), (0, 10, 3), (80, 10, 3)])
+def test_pairs_by_stations_and_by_ranges_are_those_of_the_rule(spark, monkeypatch, apart, group_rows, chunk_rows, range_rows):
+    """Events of up to 40 magnitudes, stations in chunks of few rows, in ranges, and some in each; rows that ask are those that offer, or others."""
+    for name, v in (("GROUP_ROWS", group_rows), ("CHUNK_ROWS", chunk_rows), ("RANGE_ROWS", range_rows)):
+        monkeypatch.setattr(J, name, v)
+    rng = random.Random(11)
+    some = lambda n: [(rng.choice([1, 1, 2, rng.randrange(3, 60), None]), rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([None, *[m / 20 for m in range(40)]]), k) for k in range(n)]
+    rows = some(300)
+    partners = [(e, s, m, k) for e, s, m, k in some(200) if e] if apart else rows
+    left = spark.createDataFrame(rows, PICK)
+    right = spark.createDataFrame(partners, PICK) if apart else left
+    got = J.pair_events(left, right, ["station"], -0.3, 0.4, "s", ["line"]).collect()
+    want = _drawn_by_rule(rows, partners, -0.3, 0.4, "s")
+    assert sorted((r.evid, r.station, r.magnitude, r.line, r.evid2, r.magnitude2) for r in got) == want and len(want) > 150
+
+
+def test_whole_stations_are_moved_once(spark, tmp_path):
+    """Rows that ask and offer themselves are written once, and one exchange deals them; nothing is as wide as an md5 there."""
+    rows = spark.createDataFrame([(k % 50, "ab"[k % 2], k % 20 / 10, k) for k in range(300)], PICK)
+    plan = J.pair_events(rows, rows, ["station"], -0.3, 0.4, "s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+    exchange = plan[plan.index("Exchange hashpartitioning") :]
+    assert "md5" not in exchange
