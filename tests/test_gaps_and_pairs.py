@@ -176,3 +176,12 @@ def test_whole_stations_are_moved_once(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
     exchange = plan[plan.index("Exchange hashpartitioning") :]
     assert "md5" not in exchange
+
+
+def test_the_query_of_pairs_reads_one_written_table(spark):
+    """j8_pair_events: its picks are joined and written once; what is left to run is one exchange of them."""
+    from quakeframe.plans import catalogue
+
+    plan = catalogue.QUERIES["j8_pair_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "lineitem" not in plan
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
